@@ -11,12 +11,18 @@ from repolith.llm.common import table
 from repolith.llm.exact_dedup import exact_dedup
 from repolith.llm.mixing import mix
 from repolith.llm.simhash import simhash_dedup
+from repolith.llm.suffix_dedup import dedup_substrings
+from repolith.llm.window_dedup import dedup_windows
 
 
 def op2_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_superkmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_windows(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
@@ -26,9 +32,13 @@ def op7_exact_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_weighted_fair_mix, op6_simhash_trie, op7_exact_tree_merge)
+    for f in (op2_weighted_fair_mix, op5_superkmer_windows, op6_simhash_trie, op7_exact_tree_merge, op10_induced_suffixes)
 }
 
 SQL: dict[str, str] = {
@@ -71,6 +81,25 @@ WITH sized AS (
 SELECT d.doc_id, d.size::BIGINT AS size, d.source_size, d.target::DOUBLE AS target,
        (coalesce(copies, 0) * d.size)::BIGINT AS taken
 FROM d LEFT JOIN n USING (doc_id)""",
+    "op5_superkmer_windows": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), least AS (
+  SELECT h, min(doc_id) AS m FROM win GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN least USING (h) WHERE doc_id > m
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+), n AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op7_exact_tree_merge": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
