@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repolith.llm import language_id
 from repolith.llm.common import table
 from repolith.llm.exact_dedup import exact_dedup
 from repolith.llm.mixing import mix
 from repolith.llm.simhash import simhash_dedup
 from repolith.llm.suffix_dedup import dedup_substrings
+from repolith.llm.toxicity import score_toxicity
 from repolith.llm.window_dedup import dedup_windows
 
 
@@ -19,6 +21,10 @@ def op2_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_superkmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
@@ -32,13 +38,28 @@ def op7_exact_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_bloom_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(language_id.training_rows(docs, language_id.held_out()))
+    texts = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")
+    return language_id.identify(texts, model, ["doc_id", "held_out"])
+
+
 def op10_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_weighted_fair_mix, op5_superkmer_windows, op6_simhash_trie, op7_exact_tree_merge, op10_induced_suffixes)
+    for f in (
+        op2_weighted_fair_mix,
+        op4_noisy_channel_toxicity,
+        op5_superkmer_windows,
+        op6_simhash_trie,
+        op7_exact_tree_merge,
+        op9_bloom_language_id,
+        op10_induced_suffixes,
+    )
 }
 
 SQL: dict[str, str] = {
