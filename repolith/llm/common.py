@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of anything but ASCII white space (the same split as ``bytes.split()``).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A null identifier is larger than any other.
+NO_ID = (1 << 63) - 1
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
@@ -55,3 +58,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = cut(small.union(low.select("u", "m")).distinct())
+
+
+#: Narrow rows (of a few dozen bytes) that a broadcast may hold, about 10 MB.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, cut from their lineage and marked for broadcast if there are at most ``rows``; else joins shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from repolith.llm import language_id
 from repolith.llm.common import table
+from repolith.llm.decontamination import contamination
 from repolith.llm.exact_dedup import exact_dedup
+from repolith.llm.line_dedup import dedup_lines
 from repolith.llm.mixing import mix
 from repolith.llm.simhash import simhash_dedup
 from repolith.llm.suffix_dedup import dedup_substrings
@@ -21,6 +23,12 @@ def op2_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(text, 256).alias("kept_sha256"))
+
+
 def op4_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +46,10 @@ def op7_exact_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("proof")
+
+
 def op9_bloom_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(language_id.training_rows(docs, language_id.held_out()))
@@ -53,10 +65,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_weighted_fair_mix,
+        op3_minhash_lines,
         op4_noisy_channel_toxicity,
         op5_superkmer_windows,
         op6_simhash_trie,
         op7_exact_tree_merge,
+        op8_template_decontamination,
         op9_bloom_language_id,
         op10_induced_suffixes,
     )

@@ -17,10 +17,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repolith.llm.common import NO_ID
+
 #: Bytes of text that a task packs at once.
 CHUNK = 4 << 20
-#: A null identifier is larger than any other.
-NO_ID = (1 << 63) - 1
 #: Low bits of a window's minimum hold the place of the minimiser, the rest its hash.
 PLACE = 24
 

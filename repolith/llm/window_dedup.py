@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repolith.llm.common import NO_ID
 from repolith.llm.superkmers import (
-    NO_ID,
     Kind,
     by_document,
     chunk_of,
