@@ -44,7 +44,7 @@ def running_sum(rows: DataFrame, order: list[Column], group: list[str], value: s
     """Running sum of ``value`` in ``order`` within ``group``, as a parallel scan.
 
     Rows are range-partitioned by group and order, summed inside each range, and shifted by the sums of the
-    ranges before it (one row per range and group). No group is ever in one task.
+    ranges before it (one row per range and group), so that no group is ever in one task.
     """
     by = [F.col(g).asc_nulls_last() for g in group]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

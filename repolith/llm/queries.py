@@ -13,12 +13,18 @@ from repolith.llm.decontamination import contamination
 from repolith.llm.exact_dedup import exact_dedup
 from repolith.llm.line_dedup import dedup_lines
 from repolith.llm.mixing import mix
+from repolith.llm.quotation import link_quotations
 from repolith.llm.simhash import simhash_dedup
 from repolith.llm.suffix_dedup import dedup_substrings
 from repolith.llm.toxicity import score_toxicity
 from repolith.llm.window_dedup import dedup_windows
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_quotations(table(spark, sf_dir, "conversations"))
+    return linked.withColumn("plain_sha256", F.sha2("plain", 256)).drop("plain")
+
+
 def op2_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -64,6 +70,7 @@ def op10_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quotation_links,
         op2_weighted_fair_mix,
         op3_minhash_lines,
         op4_noisy_channel_toxicity,
