@@ -31,7 +31,7 @@ class Queues:
             for runs in self.runs:
                 for i, run in enumerate(runs):
                     if len(run) == 2:
-                        both = np.concatenate(run).astype(np.int64)
+                        both = np.concatenate(run).astype(np.int32)
                         at = self.file.seek(0, 2)
                         self.file.write(both.tobytes())
                         runs[i] = (at, len(run[0]), None)
@@ -42,14 +42,14 @@ class Queues:
         for run in self.runs[char]:
             if len(run) == 3:
                 self.file.seek(run[0])
-                both = np.frombuffer(self.file.read(16 * run[1]), np.int64)
+                both = np.frombuffer(self.file.read(8 * run[1]), np.int32)
                 run = (both[: run[1]], both[run[1] :])
             else:
                 self.held -= len(run[0])
             out.append(run)
         self.runs[char] = []
         if not out:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return np.empty(0, np.int32), np.empty(0, np.int32)
         return np.concatenate([p for p, _ in out]), np.concatenate([v for _, v in out])
 
 
@@ -59,7 +59,7 @@ def least_between(v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     size = j - i
     level = np.floor(np.log2(size)).astype(np.int64)
-    out, now = np.empty(len(i), np.int64), v
+    out, now = np.empty(len(i), np.int32), v
     for k in range(int(level.max()) + 1):
         if k:
             half = 1 << (k - 1)
@@ -103,11 +103,24 @@ def _names(text: np.ndarray, small: np.ndarray, places: np.ndarray) -> np.ndarra
 
 def _order_by_doubling(name: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes of a string of names by their first ``depth`` names, and common prefixes in names."""
-    n, ranks, size = len(name), [name], 1
-    while size < depth and ranks[-1].max(initial=0) < n - 1:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - size)] = ranks[-1][size:] + 1
-        ranks.append(np.unique(ranks[-1] * (n + 1) + after, return_inverse=True)[1])
+    # A rank is the place of a group's first suffix in the order so far, so a group is refined on its own.
+    n, size = len(name), 1
+    count = np.bincount(name, minlength=1)
+    ranks = [(np.cumsum(count) - count)[name].astype(np.int32)]
+    live = np.flatnonzero(count[name] > 1)
+    while size < depth and len(live):
+        rank = ranks[-1]
+        after = np.where(live + size < n, rank[np.minimum(live + size, n - 1)].astype(np.int64) + 1, 0)
+        key = rank[live].astype(np.int64) * (n + 1) + after
+        order = np.argsort(key, kind="stable")
+        live, key = live[order], key[order]
+        old = rank[live]
+        place, new, whole = np.arange(len(live)), np.append(True, key[1:] != key[:-1]), np.append(True, old[1:] != old[:-1])
+        shift = np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(whole, place, 0))
+        rank = rank.copy()
+        rank[live] = old + shift
+        ranks.append(rank)
+        live = live[~(new & np.append(new[1:], True))]
         size *= 2
     order = np.argsort(ranks[-1], kind="stable")
     a, b = order[:-1].copy(), order[1:].copy()
@@ -133,7 +146,7 @@ def sort_suffixes(text: np.ndarray, depth: int, memory: int = 1 << 24) -> tuple[
     # A suffix is small if it is less than the next one; runs of one character share the type at their end.
     edge = np.flatnonzero(np.append(text[1:] != text[:-1], True))
     last = np.repeat(edge, np.diff(np.append(-1, edge)))
-    run = last - np.arange(n) + 1
+    run = (last - np.arange(n) + 1).astype(np.int32)
     following = np.append(text, -1)[last + 1]
     small = following > text
     places = np.flatnonzero(small & np.append(False, ~small[:-1]))
@@ -145,13 +158,13 @@ def sort_suffixes(text: np.ndarray, depth: int, memory: int = 1 << 24) -> tuple[
         skip_a, skip_b = np.minimum(a + lcp, len(places) - 1), np.minimum(order + lcp, len(places) - 1)
         same = places[skip_b] - places[order]
         lcp_text[1:] = (same + _common(text, places[skip_a], places[skip_b], depth))[1:]
-        lms_lcp = lcp_text
+        lms, lms_lcp = lms.astype(np.int32), lcp_text.astype(np.int32)
     else:
-        lms = lms_lcp = np.empty(0, np.int64)
+        lms = lms_lcp = np.empty(0, np.int32)
     by_char = np.searchsorted(text[lms], np.arange(alphabet + 1))
     large, size = {}, np.bincount(text, minlength=alphabet)
     queues = Queues(alphabet, memory)
-    queues.push(int(text[-1]), np.array([n - 1]), np.array([0])) if not small[-1] else None
+    queues.push(int(text[-1]), np.array([n - 1], np.int32), np.array([0], np.int32)) if not small[-1] else None
 
     def induce(place, lcp, char, want_small, own):
         """Entries that the sources ``place``, in order, give their left neighbours' queues; those of ``char`` itself."""
@@ -168,7 +181,7 @@ def sort_suffixes(text: np.ndarray, depth: int, memory: int = 1 << 24) -> tuple[
         order = np.argsort(to, kind="stable")
         at, left, to = at[order], left[order], to[order]
         first = np.append(True, to[1:] != to[:-1])
-        value = np.ones(len(at), np.int64)
+        value = np.ones(len(at), np.int32)
         inner = np.flatnonzero(~first)
         value[inner] = 1 + least_between(lcp, at[inner - 1], at[inner])
         cut = np.flatnonzero(first).tolist()

@@ -9,13 +9,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from repolith.llm.common import NO_ID
 from repolith.llm.induced import sort_suffixes
-from repolith.llm.superkmers import NO_ID, Kind, by_document, dealt, hot_spans, identified, merged, spans_of, unpack
+from repolith.llm.superkmers import Kind, by_document, dealt, hot_spans, identified, merged, spans_of, unpack
 
 #: Bytes of a repeated string; of the pieces that minimisers are chosen from.
 WIDTH, PROBE = 400, 32
 #: Super-k-mers of a shard, about 600 bytes each.
-PER_SHARD = 40_000
+PER_SHARD = 12_000
 
 
 def repeated(packed: list[bytes], width: int, memory: int = 1 << 24) -> dict[str, np.ndarray]:
