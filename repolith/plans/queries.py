@@ -345,16 +345,16 @@ def finding_evidence(spark, sf_dir):
 
 
 @query(r"""
-WITH l AS (
-  SELECT page_id, generate_subscripts(h, 1) AS pos, unnest(h) AS spec FROM (
-    SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages WHERE regexp_matches(html, 'href="[^"]'))
-), p AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages)
-SELECT page_id, (pos - 1)::INT AS pos, spec AS specifier, (SELECT min(path) FROM p WHERE path = regexp_replace(spec, '^(\./)+', '')) AS target
-FROM l WHERE regexp_matches(spec, '^\./[^.]*$')""")
+WITH p AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS path FROM pages),
+m AS (SELECT path, regexp_extract(path, '[0-9]+$')::BIGINT AS n, regexp_extract(path, '^(.*)/', 1) AS dir FROM p WHERE regexp_matches(path, '^[a-z]+/[0-9]+$')),
+l AS (SELECT path, 0 AS pos, './' || (n + 1) AS specifier, dir || '/' || (n + 1) AS goal FROM m
+      UNION ALL SELECT path, 1, '../en/' || n, 'en/' || n FROM m)
+SELECT path AS module_id, pos, specifier, p2.path AS target FROM l LEFT JOIN (SELECT path FROM p) p2 ON p2.path = l.goal""")
 def link_resolution(spark, sf_dir):
-    """Import resolution: relative links of pages against the pages' paths as modules."""
-    pages = read(spark, sf_dir, "pages").withColumn("path", F.regexp_replace("url", r"^[a-z]+://[^/]*/?", ""))
-    links = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "specifier"))
-    links = links.where(F.col("specifier").rlike(r"^\./[^.]*$")).withColumn("module_id", F.concat(F.lit("from"), F.col("page_id").cast("string")))
-    found = builders.resolve_imports(links, pages.select(F.col("path").alias("id")).distinct())
-    return found.select("page_id", "pos", "specifier", "target")
+    """Import resolution: pages as modules that import the next page and the English one by relative specifiers."""
+    pages = read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1).alias("id")).distinct()
+    number = F.regexp_extract("id", "[0-9]+$", 0).cast("long")
+    named = pages.where(F.col("id").rlike("^[a-z]+/[0-9]+$"))
+    specifiers = F.array(F.concat(F.lit("./"), (number + 1).cast("string")), F.concat(F.lit("../en/"), number.cast("string")))
+    imports = named.select(F.col("id").alias("module_id"), F.posexplode(specifiers).alias("pos", "specifier"))
+    return builders.resolve_imports(imports, pages).select("module_id", "pos", "specifier", "target")
