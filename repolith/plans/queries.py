@@ -349,7 +349,7 @@ WITH p AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS
 m AS (SELECT path, regexp_extract(path, '[0-9]+$')::BIGINT AS n, regexp_extract(path, '^(.*)/', 1) AS dir FROM p WHERE regexp_matches(path, '^[a-z]+/[0-9]+$')),
 l AS (SELECT path, 0 AS pos, './' || (n + 1) AS specifier, dir || '/' || (n + 1) AS goal FROM m
       UNION ALL SELECT path, 1, '../en/' || n, 'en/' || n FROM m)
-SELECT path AS module_id, pos, specifier, p2.path AS target FROM l LEFT JOIN (SELECT path FROM p) p2 ON p2.path = l.goal""")
+SELECT l.path AS module_id, pos, specifier, p2.path AS target FROM l LEFT JOIN (SELECT path FROM p) p2 ON p2.path = l.goal""")
 def link_resolution(spark, sf_dir):
     """Import resolution: pages as modules that import the next page and the English one by relative specifiers."""
     pages = read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1).alias("id")).distinct()
