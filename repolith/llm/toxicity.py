@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm.common import crc_bucket, cut
+from repolith.llm.common import broadcast_if_small, crc_bucket, cut
 
 # What a written character may stand for.
 LEET = {
@@ -248,7 +248,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     predicted toxic. An empty table gives an empty result; other columns are ignored.
     """
     labels = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.where(~held_out()).select("doc_id", "text").join(labels, "doc_id").select("toxic", "text")
+    known = docs.where(~held_out()).select("doc_id", "text").join(broadcast_if_small(labels), "doc_id").select("toxic", "text")
     model = fit(docs, known)
     found = strengths(docs.select("doc_id", held_out().alias("held_out"), F.col("text").alias("_text")), model)
     x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("strength") * model.slope + model.offset))
