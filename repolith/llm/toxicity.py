@@ -110,6 +110,7 @@ def decode(token: str, model: LanguageModel) -> str:
 class Restorer:
     model: LanguageModel
     known: dict[str, str] = field(default_factory=dict)
+    hits: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words of a text. Letters spelt apart are joined first."""
@@ -165,7 +166,16 @@ class Model:
     offset: float = 0.0
 
     def strength(self, restorer: Restorer, text: str | None) -> float:
-        return sum(self.weights.get(f, 0.0) for f in features(restorer.words(text or "")))
+        """Sum of the weights of the text's distinct features; those of each word are remembered."""
+        found: set[str] = set()
+        for word in restorer.words(text or ""):
+            hits = restorer.hits.get(word)
+            if hits is None:
+                if len(restorer.hits) > HELD:
+                    restorer.hits.clear()
+                hits = restorer.hits[word] = tuple(f for f in features({word}) if f in self.weights)
+            found.update(hits)
+        return sum(self.weights[f] for f in sorted(found))
 
     def score(self, strength: float) -> float:
         x = max(-30.0, min(30.0, self.slope * strength + self.offset))
