@@ -31,6 +31,7 @@ BEGINNINGS, FEATURES, LEAST_ODDS, LEAST_PROOF = (4, 5, 6), 5000, 2.0, 24.0
 _SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,}\S(?!\w)")
 _EDGE = "\"'()[]{}<>«»“”‘’.,;:!?%&*#$…-–—_/\\|"
 _OPENING = "\"'()[]{}<>«»“”‘’.,;:?%&*#…-–—_/\\"
+_TRIPLE = re.compile(r"(.)\1\1")
 _NOISY = re.compile(r"[^\W\d_].*[\d@$!|+(€£.\-_*'~^`·,/\\]|[\d@$!|+(€£].*[^\W\d_]|(.)\1\1")
 
 
@@ -106,56 +107,72 @@ def decode(token: str, model: LanguageModel) -> str:
     return min((cost + model.cost(state, "$"), text) for state, (cost, text) in states.items())[1] + token[LONGEST:]
 
 
+def features(word: str) -> tuple[str, ...]:
+    return (word, *[word[:n] + "*" for n in BEGINNINGS if len(word) >= n])
+
+
 @dataclass
 class Restorer:
+    """Restores the words of texts. What each token stands for is remembered, as features of ``wanted`` (None: all)."""
+
     model: LanguageModel
-    known: dict[str, str] = field(default_factory=dict)
-    hits: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    wanted: set[str] | None = None
+    known: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
-    def words(self, text: str) -> set[str]:
-        """Distinct restored words of a text. Letters spelt apart are joined first."""
+    def word(self, token: str) -> str:
+        written = token.rstrip(_EDGE).lstrip(_OPENING)
+        if 2 < len(written) <= LONGEST and (_TRIPLE if written.isalpha() else _NOISY).search(written):
+            return decode(written, self.model)
+        return written.lstrip(_EDGE)
+
+    def tokens(self, text: str) -> set[str]:
+        """Distinct tokens of a text. Letters spelt apart are joined as well."""
         text = text.lower()
         tokens = set(text.split())
-        for spelt in _SPACED.findall(text):
-            tokens.add(re.sub(r"[ .\-_*]", "", spelt))
-        out = set()
-        for token in tokens:
-            word = self.known.get(token)
-            if word is None:
-                written = token.rstrip(_EDGE).lstrip(_OPENING)
-                noisy = 2 < len(written) <= LONGEST and _NOISY.search(written)
-                word = decode(written, self.model) if noisy else written.lstrip(_EDGE)
-                if len(self.known) > HELD:
-                    self.known.clear()
-                self.known[token] = word
-            if word:
-                out.add(word)
-        return out
-
-
-def features(words: set[str]) -> set[str]:
-    return words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) >= n}
+        tokens.update(re.sub(r"[ .\-_*]", "", spelt) for spelt in _SPACED.findall(text))
+        return tokens
+
+    def words(self, text: str) -> set[str]:
+        """Distinct restored words of a text."""
+        return {w for t in self.tokens(text) if (w := self.word(t))}
+
+    def features(self, text: str) -> set[str]:
+        """Distinct features of a text."""
+        found: set[str] = set()
+        known = self.known
+        for token in self.tokens(text):
+            got = known.get(token)
+            if got is None:
+                word = self.word(token)
+                got = features(word) if word else ()
+                if self.wanted is not None:
+                    got = tuple(f for f in got if f in self.wanted)
+                if len(known) > HELD:
+                    known.clear()
+                known[token] = got
+            if got:
+                found.update(got)
+        return found
 
 
 def _feature_counts(model: LanguageModel):
     def run(batches):
-        restorer, counts = Restorer(model), {}
+        restorer, counts = Restorer(model), (Counter(), Counter())
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for f in features(restorer.words(text.as_py() or "")):
-                    n = counts.setdefault(f, [0, 0])
-                    n[toxic] += 1
-                if len(counts) > HELD:
-                    yield _pairs(counts)
-                    counts = {}
-        yield _pairs(counts)
+                counts[toxic].update(restorer.features(text.as_py() or ""))
+                if len(counts[0]) + len(counts[1]) > HELD:
+                    yield _pairs(*counts)
+                    counts = (Counter(), Counter())
+        yield _pairs(*counts)
 
     return run
 
 
-def _pairs(counts) -> pa.RecordBatch:
-    clean, toxic = zip(*counts.values()) if counts else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["feature", "clean", "toxic"])
+def _pairs(clean: Counter, toxic: Counter) -> pa.RecordBatch:
+    found = list(clean.keys() | toxic.keys())
+    columns = [pa.array(found, pa.string()), *(pa.array([c[f] for f in found], pa.int64()) for c in (clean, toxic))]
+    return pa.RecordBatch.from_arrays(columns, ["feature", "clean", "toxic"])
 
 
 @dataclass
@@ -166,16 +183,8 @@ class Model:
     offset: float = 0.0
 
     def strength(self, restorer: Restorer, text: str | None) -> float:
-        """Sum of the weights of the text's distinct features; those of each word are remembered."""
-        found: set[str] = set()
-        for word in restorer.words(text or ""):
-            hits = restorer.hits.get(word)
-            if hits is None:
-                if len(restorer.hits) > HELD:
-                    restorer.hits.clear()
-                hits = restorer.hits[word] = tuple(f for f in features({word}) if f in self.weights)
-            found.update(hits)
-        return sum(self.weights[f] for f in sorted(found))
+        """Sum of the weights of the text's distinct features."""
+        return sum(self.weights[f] for f in sorted(restorer.features(text or "")))
 
     def score(self, strength: float) -> float:
         x = max(-30.0, min(30.0, self.slope * strength + self.offset))
@@ -184,7 +193,7 @@ class Model:
 
 def _strengths(model: Model):
     def run(batches):
-        restorer = Restorer(model.language)
+        restorer = Restorer(model.language, set(model.weights))
         for batch in batches:
             strength = [model.strength(restorer, t.as_py()) for t in batch.column("_text")]
             keep = [n for n in batch.schema.names if n != "_text"]
