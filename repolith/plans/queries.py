@@ -9,7 +9,7 @@ from repolith.functions import dims
 from repolith.functions.columns import by_name, certainty_name, classification, language, maintainability_index
 from repolith.operators import builders, graph, metrics
 from repolith.plans import rules
-from repolith.sources import sinks
+from repolith.sources import repository, sinks
 
 QUERIES, SQL = {}, {}
 
@@ -358,3 +358,31 @@ def link_resolution(spark, sf_dir):
     specifiers = F.array(F.concat(F.lit("./"), (number + 1).cast("string")), F.concat(F.lit("../en/"), number.cast("string")))
     imports = named.select(F.col("id").alias("module_id"), F.posexplode(specifiers).alias("pos", "specifier"))
     return builders.resolve_imports(imports, pages).select("module_id", "pos", "specifier", "target")
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, string_split_regex(text, '\r?\n') AS l, text FROM documents WHERE strlen(text) <= 2000000),
+p AS (SELECT doc_id, l, unnest(range(len(l))) AS line FROM t),
+h AS (SELECT doc_id, l, line, greatest(line - 2, 0) AS start FROM p WHERE contains(l[line + 1], '@'))
+SELECT doc_id, line::INT AS line, (start + 1)::INT AS start_line, array_to_string(l[start + 1 : line + 3], chr(10)) AS snippet,
+       doc_id || ':' || (line + 1) AS location FROM h""")
+def report_snippets(spark, sf_dir):
+    """Snippets around the lines of documents that hold an at sign."""
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    lines = texts.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line", "content"))
+    found = sinks.snippets(lines.where(F.col("content").contains("@")), texts)
+    location = sinks.location_text(F.col("path").cast("string"), F.col("line"))
+    return found.select(F.col("path").alias("doc_id"), "line", "start_line", F.array_join("lines", "\n").alias("snippet"), location.alias("location"))
+
+
+@query("""
+WITH o AS (SELECT l_orderkey AS path, min(l_suppkey) AS a FROM lineitem GROUP BY 1),
+n AS (SELECT o_orderkey AS path, o_custkey AS b FROM orders WHERE o_orderstatus <> 'F')
+SELECT coalesce(o.path, n.path) AS path,
+       CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN a = b THEN 'unchanged' ELSE 'changed' END AS status
+FROM o FULL JOIN n ON o.path = n.path""")
+def scan_delta(spark, sf_dir):
+    """What changed between two scans: open orders by customer against all orders by their smallest supplier."""
+    before = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.min("l_suppkey").alias("content_hash"))
+    now = read(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("content_hash"))
+    return repository.delta(now, before)

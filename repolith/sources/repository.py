@@ -50,11 +50,21 @@ def walk(root: str, patterns: list[str] = (), respect_gitignore: bool = True) ->
     return sorted(out)
 
 
+def inside(root: str, path: str) -> bool:
+    """Whether a relative path stays within ``root``, with links followed."""
+    top = os.path.realpath(root)
+    return os.path.commonpath([top, os.path.realpath(os.path.join(top, path))]) == top
+
+
 def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """(path, content, seq): read by tasks, a few hundred paths each. ``root`` must be reachable from executors."""
+    """(path, content, seq): read by tasks, a few hundred paths each. ``root`` must be reachable from executors.
+
+    Paths that lead out of ``root`` are left out.
+    """
 
     def read(batches):
         for b in batches:
+            b = b.filter(pa.array([inside(root, p) for p in b.column(0).to_pylist()], pa.bool_()))
             data = [open(os.path.join(root, p), "rb").read() for p in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary()), b.column(1)], ["path", "content", "seq"])
 
@@ -71,6 +81,18 @@ def files(contents: DataFrame) -> DataFrame:
     )
 
 
+def delta(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(path, status): added, changed, removed or unchanged between two scans, by content hash.
+
+    now, before: (path, content_hash), one row a path; two null hashes are equal. Rescans read the added and changed.
+    """
+    old = before.select("path", F.col("content_hash").alias("_old"), F.lit(True).alias("_was"))
+    both = now.select("path", "content_hash", F.lit(True).alias("_is")).join(old, "path", "full_outer")
+    same = F.col("content_hash").eqNullSafe(F.col("_old"))
+    status = F.when(F.col("_was").isNull(), "added").when(F.col("_is").isNull(), "removed").when(same, "unchanged").otherwise("changed")
+    return both.select("path", status.alias("status"))
+
+
 def parseable(described: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files to parse, diagnostics of those skipped for their size)."""
     wanted = described.where("encoding <> 'binary' and classification not in ('generated', 'vendored', 'asset')")

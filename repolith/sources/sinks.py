@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions import dims
@@ -61,6 +61,31 @@ def to_html(findings: DataFrame, evidence: DataFrame) -> str:
     return "<!doctype html><meta charset=utf-8><title>Report</title>" + "\n".join(body)
 
 
+#: Lines of a snippet on either side of its line; bytes of the largest file that has snippets.
+SNIPPET_LINES, SNIPPET_BYTES = 2, 2_000_000
+
+
+def snippets(locations: DataFrame, texts: DataFrame) -> DataFrame:
+    """(path, line, start_line, highlight, lines): the lines around each distinct (path, line) of ``locations``.
+
+    ``line`` counts from 0, ``start_line`` and ``highlight`` from 1. texts: (path, text). Locations without a line
+    and those in a missing or too large file have no snippet; beyond the end of a file ``lines`` is empty. Each text
+    is joined and split once, however many locations it has.
+    """
+    wanted = locations.where("line >= 0").groupBy("path").agg(F.collect_set(F.col("line").cast("int")).alias("at"))
+    found = texts.where(F.octet_length("text") <= SNIPPET_BYTES).select("path", "text").join(wanted, "path")
+    found = found.select("path", F.split("text", r"\r?\n").alias("all"), F.explode("at").alias("line"))
+    start = F.greatest(F.col("line") - SNIPPET_LINES, F.lit(0))
+    end = F.least(F.size("all"), F.col("line") + SNIPPET_LINES + 1)
+    lines = F.slice("all", start + 1, F.greatest(end - start, F.lit(0)))
+    return found.select("path", "line", (start + 1).alias("start_line"), (F.col("line") + 1).alias("highlight"), lines.alias("lines"))
+
+
+def location_text(path: Column, start_line: Column) -> Column:
+    """``path:line`` with the line counted from 1; the path alone where no line is known."""
+    return F.concat(path, F.coalesce(F.concat(F.lit(":"), (start_line + 1).cast("string")), F.lit("")))
+
+
 EXPORTERS = {"json": to_json, "sarif": lambda f, e: to_sarif(f), "html": to_html}
 
 

@@ -1,6 +1,6 @@
 import json
 
-from repolith.sources import coverage, repository
+from repolith.sources import coverage, repository, sinks
 
 
 def test_walk_and_files(spark, tmp_path):
@@ -26,6 +26,35 @@ def test_walk_and_files(spark, tmp_path):
     assert said.count() == 0 and {r["path"] for r in wanted.collect()}.isdisjoint({"logo.png", "nul.ts", "dist/x.js"})
 
 
+def test_paths_outside_are_left_out(spark, tmp_path):
+    root = tmp_path / "root"
+    root.mkdir()
+    (root / "in.ts").write_text("a")
+    (tmp_path / "out.ts").write_text("b")
+    (root / "link.ts").symlink_to(tmp_path / "out.ts")
+    assert repository.inside(str(root), "in.ts") and not repository.inside(str(root), "/etc/passwd")
+    rows = repository.read_files(spark, str(root), ["in.ts", "../out.ts", "link.ts"]).collect()
+    assert [(r["path"], bytes(r["content"])) for r in rows] == [("in.ts", b"a")]
+
+
+def test_delta(spark):
+    shape = "path string, content_hash string"
+    before = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("e", None)], shape)
+    now = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", None), ("e", None)], shape)
+    got = {r["path"]: r["status"] for r in repository.delta(now, before).collect()}
+    assert got == {"a": "unchanged", "b": "changed", "c": "removed", "d": "added", "e": "unchanged"}
+    assert repository.delta(now.limit(0), before.limit(0)).count() == 0
+
+
+def test_snippets(spark):
+    texts = spark.createDataFrame([("a", "0\r\n1\n2\n3\n4\n5"), ("big", "x" * (sinks.SNIPPET_BYTES + 1)), ("none", None)], "path string, text string")
+    places = [("a", 0), ("a", 3), ("a", 3), ("a", 5), ("a", 9), ("a", None), ("a", -1), ("big", 0), ("none", 0), ("gone", 0)]
+    got = sinks.snippets(spark.createDataFrame(places, "path string, line int"), texts).orderBy("line").collect()
+    assert [(r["path"], r["line"], r["start_line"], r["highlight"], r["lines"]) for r in got] == [
+        ("a", 0, 1, 1, ["0", "1", "2"]), ("a", 3, 2, 4, ["1", "2", "3", "4", "5"]), ("a", 5, 4, 6, ["3", "4", "5"]), ("a", 9, 8, 10, []),
+    ]
+
+
 def test_packages(spark):
     assert repository.package_manager({"yarn.lock", "package-lock.json"}) == "yarn"
     assert [repository.package_manager({p}) for p in ("package.json", "pyproject.toml", "requirements.txt", "x")] == ["npm", "poetry", "pip", "unknown"]
