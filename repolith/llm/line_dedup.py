@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.llm.common import NO_ID, broadcast_if_small, components, cut, saved
@@ -14,8 +14,10 @@ SIMILARITY = 0.8
 #: Hashes of a signature. Bands are its pairs: lines of similarity 0.8 share one with a chance of 99 %.
 SIGNATURE = 4
 #: Bands of at most this many lines have all pairs of different components verified; others use finer bands, each
-#: three of the FINER smallest hashes.
+#: three of the FINER smallest hashes, and then the prefix filter.
 SMALL_BAND, FINER = 8, 6
+#: 64-bit words of a line's bitmap in the prefix filter; lines of one shingle that a block of its join takes.
+BITMAP, BLOCK = 4, 1000
 
 
 def normalised(line: Column) -> Column:
@@ -67,6 +69,49 @@ def similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
 
+def open_bands(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, size, lid, root) of the bands whose lines are in several components."""
+    members = shared.join(roots, F.col("lid") == F.col("node"), "left")
+    members = members.select("band", "size", "lid", F.coalesce("root", "lid").alias("root"))
+    split = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return members.join(split.select("band"), "band")
+
+
+def bitmap(hashes: Column) -> list[Column]:
+    """Parity bits of a set: two sets differ in at least as many elements as their bitmaps differ in bits."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    word = lambda k: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1) == k)
+    return [F.aggregate(word(k), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h))).alias(f"b{k}") for k in range(BITMAP)]
+
+
+def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``lines`` (lid, root) with different roots, among them all whose similarity is reached.
+
+    Two lines of similarity s share one of the (1 - s) share of their shingles that are rarest among ``lines``. At
+    the first one that they share, their sizes and the shingles that follow bound what they have in common; so do
+    their bitmaps. Pairs that fail are never rows. The lines of a frequent shingle meet in blocks.
+    """
+    words = lines.join(sets, "lid").select("lid", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    often = words.groupBy("h").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("lid").orderBy("often", "h")
+    prefix = words.join(often, "h").withColumn("place", F.row_number().over(rarest))
+    prefix = prefix.where((F.col("often") > 1) & (F.col("place") <= F.floor(F.col("n") * (1 - similarity) + 1e-9) + 1))
+    maps = lines.join(sets, "lid").select("lid", *bitmap(F.col("hashes")))
+    prefix = cut(prefix.select("h", "lid", "root", "n", "place").join(maps, "lid"))
+    blocks = prefix.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
+    prefix = prefix.join(blocks, "h")
+    left = prefix.withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long")).cast("int"))
+    right = prefix.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", "place", *(f"b{k}" for k in range(BITMAP)))))
+    both = F.col("n") + F.col("n_b")
+    least = similarity / (1 + similarity) * both - 1e-9
+    apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(BITMAP)), F.lit(0))
+    after = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
+    near = (F.col("root") < F.col("root_b")) & (F.least("n", "n_b") >= F.greatest("n", "n_b") * similarity - 1e-9) & (after >= least) & (both - apart >= 2 * least)
+    same = (left["h"] == right["h"]) & (left["block"] == right["block"])
+    return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b")).distinct()
+
+
 def signed(lines: DataFrame) -> DataFrame:
     """(id, proof, pos, k1, k2, low): each line's place, the bits that stand for it, and its signature."""
     return lines.select("id", "proof", "pos", *keys_of(F.col("line")), F.slice(shingles(F.col("line")), 1, SIGNATURE).alias("low"))
@@ -79,8 +124,8 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     Equal lines become one row before anything else, so a very common line costs what any line does. In each
     band, lines are linked to the smallest one and verified. Where that leaves a band of three or more lines in
     several components, small bands have their other pairs verified, and the lines of all such bands are linked
-    to the largest one of finer bands, of three hashes each. So work stays in proportion to the lines: a large
-    band's pairs are never all made. A link inside a large band that no representative shows can be missed.
+    to the largest one of finer bands, of three hashes each. The lines of larger bands that are in several
+    components even then go through an exact prefix filter: of lines that share a band, no link is missed.
     """
     place = F.struct("id", "proof", "pos")
     distinct = lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("low").alias("low"))
@@ -103,11 +148,8 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 
     found = cut(similar(edges, sets, similarity))
     roots = components(found, "a", "b")
-    members = shared.where("size > 2").join(roots, F.col("lid") == F.col("node"), "left")
-    members = members.select("band", "lid", F.coalesce("root", "lid").alias("root"))
-    split = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_ = cut(members.join(split.select("band"), "band"))
-    few = open_.join(shared.select("band", "size").distinct(), "band").where(F.col("size") <= SMALL_BAND)
+    open_ = cut(open_bands(shared.where("size > 2"), roots))
+    few = open_.where(F.col("size") <= SMALL_BAND)
     other = few.select("band", F.col("lid").alias("b"), F.col("root").alias("root_b"))
     pairs = few.join(other, "band").where("root < root_b").select(F.col("lid").alias("a"), "b")
     finer = sets.join(open_.select("lid").distinct(), "lid").select("lid", F.explode(finer_bands(F.slice("hashes", 1, FINER))).alias("band"))
@@ -116,6 +158,11 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     found = found.union(similar(pairs, sets, similarity))
     roots = components(found, "a", "b")
+    large = cut(open_bands(shared.where(F.col("size") > SMALL_BAND), roots).select("lid", "root").distinct())
+    if not large.isEmpty():
+        found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = found.union(similar(prefix_pairs(large, sets, similarity), sets, similarity))
+        roots = components(found, "a", "b")
 
     rooted = distinct.drop("bands").join(roots, F.col("lid") == F.col("node"), "left").drop("node")
     rooted = rooted.withColumn("root", F.coalesce("root", "lid"))

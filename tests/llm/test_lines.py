@@ -74,3 +74,20 @@ def test_hot_band_without_links(spark):
     pairs = list(enumerate(lines))
     got = dedup_lines(docs(spark, pairs)).collect()
     assert sorted(((x["doc_id"], x["text"]) for x in got), key=repr) == brute(pairs)
+
+
+def test_recall_in_a_templated_group(spark):
+    """Lines of one template are just below the threshold (0.75), and each has one true partner."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(11))
+    template = [word() for _ in range(36)]
+    lines = []
+    for _ in range(200):
+        own = template + [word() for _ in range(6)]
+        lines += [" ".join(own), " ".join([*own, word()])]
+    r.shuffle(lines)
+    pairs = list(enumerate(lines))
+    got = dedup_lines(docs(spark, pairs)).collect()
+    expected = brute(pairs)
+    assert sum(t == "" for _, t in expected) == 200
+    assert sorted(((x["doc_id"], x["text"]) for x in got), key=repr) == expected
