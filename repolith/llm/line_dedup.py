@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repolith.llm.common import NO_ID, broadcast_if_small, components, cut, saved
 
-#: Characters of a shingle, one from each word start; lines with fewer than LEAST_CHARS are left alone.
+#: Characters of a shingle, one from each word start and each place of a longer word; lines with fewer than LEAST_CHARS are left alone.
 SHINGLE, LEAST_CHARS = 12, 20
 #: Jaccard similarity from which lines are linked.
 SIMILARITY = 0.8
@@ -42,8 +42,11 @@ def keys_of(line: Column) -> list[Column]:
 
 
 def shingles(line: Column, width: int = SHINGLE) -> Column:
-    """Sorted distinct hashes of the ``width`` characters (fewer at the end) that begin at each word."""
-    found = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{1,%d}))[^ ]+ ?" % width), F.lit(1))
+    """Sorted distinct hashes of the ``width`` characters (fewer at the end) that begin at each word, and of all
+    ``width`` characters in a row inside words that are longer, so that every character is seen.
+    """
+    pattern = r"(?s)(?=(.{1,%d}))(?:[^ ]{1,%d}+(?: |\z)|[^ ])" % (width, width)
+    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 

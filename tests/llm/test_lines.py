@@ -91,3 +91,23 @@ def test_recall_in_a_templated_group(spark):
     expected = brute(pairs)
     assert sum(t == "" for _, t in expected) == 200
     assert sorted(((x["doc_id"], x["text"]) for x in got), key=repr) == expected
+
+
+def test_lines_without_blanks(spark):
+    """URLs and CJK lines are compared as a whole: here every shingle of 12 characters counts."""
+    r = random.Random(12)
+    cjk = lambda n: "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n))
+    tail = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789/-") for _ in range(n))
+    lines = ["https://www.alpha.example/articles/one.html", "https://www.beta.org/other/page?id=77"]
+    for _ in range(12):
+        start, url = cjk(12), tail(150)
+        lines += [start + cjk(40), start + cjk(40), "https://www." + url, "https://www." + url + "?a", "https://www." + tail(60)]
+        text = cjk(120)
+        lines += [text, text[:-1] + "\u4dff", text[:60] + cjk(60)]
+    r.shuffle(lines)
+    sets = [{x[i : i + 12] for i in range(len(x) - 11)} for x in lines]
+    near = [[k for k in range(n) if len(sets[n] & sets[k]) >= 0.8 * len(sets[n] | sets[k])] for n in range(len(lines))]
+    expected = {n for n in range(len(lines)) if near[n]}
+    assert len(expected) == 24
+    got = dedup_lines(docs(spark, list(enumerate(lines)))).collect()
+    assert {x["doc_id"] for x in got if x["_n_removed"]} == expected
