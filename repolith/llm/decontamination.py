@@ -12,8 +12,8 @@ from repolith.llm.superkmers import _C1, _C2, identified, mix, span_hash, window
 
 #: Words of a template window; an item with fewer words is one window, of LEAST_WORDS or more.
 WIDTH, LEAST_WORDS = 8, 4
-#: A document leaks an item when windows in consistent places cover this share of the item's.
-COVERAGE = 0.5
+#: A document leaks an item when windows in consistent places cover this share of the item's, or so many words in a row.
+COVERAGE, RUN = 0.5, 20
 #: Bits of the filter of benchmark windows (a fixed 2 MB, whatever the benchmark's size).
 FILTER_BITS = 24
 # Units of measure that are one slot type.
@@ -23,6 +23,8 @@ UNITS = (
     "dollar dollars cent cents euro euros usd eur percent % degrees °c °f mph kmh km/h watt watts volt volts"
 ).split()
 
+#: The kind of a name among slot types.
+NAMED = 2
 NUMBER, NAME, UNIT = (np.uint64(0xF00000000000000 + k) for k in (1, 2, 3))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PUNCTUATION = b"\"'()[]{}<>.,;:!?*_`~"
@@ -80,7 +82,7 @@ def _windows(widths: tuple[int, ...] | None, width: int, least: int, bits: np.nd
     """(window, id, proof, at, n, slots) of texts (id, proof, text).
 
     Of benchmark items (bits is None) each window, ``width`` words or the whole item; of documents, the windows
-    of the given widths that the filter may hold. slots: places in the window of typed tokens, and the tokens.
+    of the given widths that the filter may hold. slots: places in the window of typed tokens, the tokens and their types.
     """
 
     def run(batches):
@@ -115,24 +117,25 @@ def _some(ids, proofs, hashes, kind, tokens, first, widths, width, least, bits):
         doc = np.searchsorted(first, at, "right") - 1
         typed = np.append(0, np.cumsum(kind > 0))
         slots = [
-            [(k - a, tokens[k].decode(errors="replace")) for k in range(a, a + w) if kind[k]] if typed[a + w] > typed[a] else []
+            [(k - a, tokens[k].decode(errors="replace"), int(kind[k])) for k in range(a, a + w) if kind[k]] if typed[a + w] > typed[a] else []
             for a in at.tolist()
         ]
         columns = [pa.array(value[at].view(np.int64)), pa.array(ids[doc]), pa.array(proofs[doc].astype(np.int32)), pa.array((at - first[doc]).astype(np.int32)), pa.array(np.maximum(size[doc] - w + 1, 1).astype(np.int32))]
-        slots = pa.array([[{"place": p, "token": t} for p, t in s] for s in slots], pa.list_(pa.struct([("place", pa.int32()), ("token", pa.string())])))
+        slots = pa.array([[{"place": p, "token": t, "kind": k} for p, t, k in s] for s in slots], pa.list_(pa.struct([("place", pa.int32()), ("token", pa.string()), ("kind", pa.int32())])))
         yield pa.RecordBatch.from_arrays([*columns, slots], ["window", "id", "proof", "at", "n", "slots"])
 
 
-_SCHEMA = "window long, id long, proof int, at int, n int, slots array<struct<place int, token string>>"
+_SCHEMA = "window long, id long, proof int, at int, n int, slots array<struct<place int, token string, kind int>>"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST_WORDS) -> DataFrame:
-    """(id, proof, item_id, windows, coverage) of documents and items that share template windows.
+    """(id, proof, item_id, windows, coverage, words) of documents and items that share template windows.
 
     Windows of both sides are joined by hash. Those of documents pass a filter of fixed size first, so that few
-    of them travel. Matches in one alignment (document place minus item place) are consistent if fillers map one
-    to one: the same filler of the item always meets the same filler of the document. The coverage counts the
-    item's distinct windows matched in consistent alignments.
+    of them travel. A window without slots, or whose fillers are the item's, always counts. Others count if each
+    number and unit of the item meets one filler within the window (equal values may be so by chance), and each name
+    of the item meets one name in the whole alignment (document place minus item place). The coverage is the share
+    of the item's distinct windows that count; words is the longest run of words that they cover in one alignment.
     """
     items = benchmark.where("text is not null").groupBy("item_id", "text").agg(F.lit(0).alias("proof"))
     items = items.select(F.col("item_id").cast("long").alias("id"), "proof", F.col("text").cast("binary").alias("text"))
@@ -148,19 +151,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int
     found = benchmark.where("text is not null").select(F.least(lengths, F.lit(width)).alias("w")).where(F.col("w") >= least).distinct().collect()
     widths = tuple(sorted(r["w"] for r in found))
     if not widths:
-        return items.select("id", "proof", F.col("id").alias("item_id"), F.lit(0).alias("windows"), F.lit(0.0).alias("coverage")).where("false")
+        return items.select("id", "proof", F.col("id").alias("item_id"), F.lit(0).alias("windows"), F.lit(0.0).alias("coverage"), F.lit(0).alias("words")).where("false")
     here = identified(docs).mapInArrow(_windows(widths, width, least, bits), _SCHEMA)
     there = items.select("window", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n").alias("n_item"), F.col("slots").alias("item_slots"))
     both = here.join(there, "window")
-    pair = F.transform(F.arrays_zip(F.col("slots.token").alias("d"), F.col("item_slots.token").alias("i"), F.col("item_slots.place").alias("p")), lambda s: F.struct(s["d"].alias("d"), s["i"].alias("i")))
+    zipped = F.arrays_zip(F.col("slots.token").alias("d"), F.col("item_slots.token").alias("i"), F.col("slots.kind").alias("k"))
+    pairs = lambda wanted: F.array_distinct(F.transform(F.filter("pairs", wanted), lambda s: F.struct(s["d"].alias("d"), s["i"].alias("i"))))
+    both = both.withColumn("pairs", zipped)
+    both = both.withColumns({"names": pairs(lambda s: s["k"] == NAMED), "values": pairs(lambda s: s["k"] != NAMED), "same": F.forall("pairs", lambda s: s["d"] == s["i"])})
+    function = lambda c: F.size(F.array_distinct(f"{c}.i")) == F.size(c)
     keys = ["id", "proof", "item_id"]
     aligned = both.groupBy(*keys, (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"), F.collect_set("item_at").alias("places"), F.max("n_item").alias("n_item")
+        F.array_distinct(F.flatten(F.collect_set("names"))).alias("names"),
+        F.collect_set(F.when(function("values"), F.col("item_at"))).alias("fitting"),
+        F.collect_set(F.when(F.col("same"), F.col("item_at"))).alias("same"),
+        F.max("n_item").alias("n_item"),
     )
-    one_to_one = (F.size(F.array_distinct("pairs.d")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.i")) == F.size("pairs"))
-    aligned = aligned.where(one_to_one)
-    covered = aligned.groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("windows"), F.max("n_item").alias("n_item"))
-    return covered.select(*keys, "windows", (F.col("windows") / F.col("n_item")).alias("coverage"))
+    aligned = aligned.withColumn("places", F.sort_array(F.when(function("names"), F.col("fitting")).otherwise(F.col("same")))).where("size(places) > 0")
+    longest = F.expr(
+        "aggregate(places, struct(0 as best, 0 as run, -2 as last), (s, p) -> struct("
+        "greatest(s.best, if(p = s.last + 1, s.run + 1, 1)) as best, if(p = s.last + 1, s.run + 1, 1) as run, p as last), s -> s.best)"
+    )
+    covered = aligned.withColumn("run", longest).groupBy(*keys).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("windows"), F.max("n_item").alias("n_item"), F.max("run").alias("run")
+    )
+    return covered.select(*keys, "windows", (F.col("windows") / F.col("n_item")).alias("coverage"), (F.col("run") + (width - 1)).alias("words"))
+
+
+def _leaked(coverage: float, width: int = WIDTH):
+    return (F.col("coverage") >= coverage) | (F.col("words") >= max(RUN, width))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, width: int = WIDTH) -> DataFrame:
@@ -173,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     """
     found = leaks(docs, benchmark, width)
     best = F.max_by("item_id", F.struct("coverage", -F.col("item_id"))).alias("item_id")
-    found = found.groupBy("id", "proof").agg(F.count(F.when(F.col("coverage") >= coverage, 1)).alias("n_items"), best, F.max("coverage").alias("coverage"))
+    found = found.groupBy("id", "proof").agg(F.count(F.when(_leaked(coverage, width), 1)).alias("n_items"), best, F.max("coverage").alias("coverage"))
     rows = identified(docs).select("id", "proof").join(found, ["id", "proof"], "left")
     return rows.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
@@ -187,7 +206,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents, all columns, that leak no item."""
-    leaked = leaks(docs, benchmark).where(F.col("coverage") >= coverage).select("id", "proof").distinct()
+    leaked = leaks(docs, benchmark).where(_leaked(coverage)).select("id", "proof").distinct()
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_proof": F.hash(text)})
     leaked = broadcast_if_small(leaked).withColumnsRenamed({"id": "_id", "proof": "_proof"})

@@ -83,3 +83,24 @@ def test_contamination(spark):
     assert contamination(docs(spark, {}), items).count() == 0
     assert contamination(docs(spark, pairs), items.where("false")).where("contaminated").count() == 0
     assert decontaminated(docs(spark, pairs), items.where("item_id = 3")).count() == len(pairs)
+
+
+def test_conflicts_and_excerpts(spark):
+    plain = " ".join(f"{a}{b}" for a in ("red", "blue", "green", "brown", "white") for b in ("stone", "leaf", "river", "cloud", "field", "road"))
+    item = f"when Alice had 5 pears and then Bob took 5 plums from Alice at noon {plain} while Alice and Bob ate the rest of them at home"
+    short = "they say that one box holds 3 pens and the other box holds 4 pens so count all pens"
+    items = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    words = item.split()
+    pairs = [
+        (1, item.replace("5 plums", "6 plums")),
+        (2, item.replace("from Alice", "from Carol")),
+        (3, short.replace("3", "6").replace("4", "6")),
+        (4, item.replace("5 pears", "7 pears").replace("5 plums", "9 plums")),
+        (5, "so it goes " + " ".join(words[14:38]) + " and no more"),
+        (6, "so it goes " + " ".join(words[14:32]) + " and no more"),
+        (7, "nothing of this is in any of those items at all"),
+        (8, item),
+    ]
+    got = contamination(docs(spark, pairs), items)
+    assert {r["doc_id"] for r in got.where("contaminated").collect()} == {1, 2, 3, 4, 5, 8}
+    assert {r["doc_id"] for r in decontaminated(docs(spark, pairs), items).collect()} == {6, 7}
