@@ -23,6 +23,8 @@ SEPARATORS = set(".-_*'~^`·,/\\")
 SUBSTITUTE, SEPARATE, REPEAT, KEEP_REPEAT = 1.0, 0.5, 0.5, 1.5
 #: Beam of the decoder; letters of the longest token it decodes; words that a task counts or caches at once.
 BEAM, LONGEST, HELD = 24, 40, 200_000
+#: Letters of the longest piece of a word in two pieces.
+PIECE = 4
 #: Features of a word are the word and its beginnings of these lengths; the model keeps the best FEATURES of those
 #: that are at least LEAST_ODDS likelier (natural log) in toxic documents, by a likelihood-ratio test whose statistic
 #: is at least LEAST_PROOF (a chance of 1 in 10**6 a feature).
@@ -32,6 +34,7 @@ _SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,}\S(?!\w)")
 _EDGE = "\"'()[]{}<>«»“”‘’.,;:!?%&*#$…-–—_/\\|"
 _OPENING = "\"'()[]{}<>«»“”‘’.,;:?%&*#…-–—_/\\"
 _TRIPLE = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
 _NOISY = re.compile(r"[^\W\d_].*[\d@$!|+(€£.\-_*'~^`·,/\\]|[\d@$!|+(€£].*[^\W\d_]|(.)\1\1")
 
 
@@ -107,6 +110,37 @@ def decode(token: str, model: LanguageModel) -> str:
     return min((cost + model.cost(state, "$"), text) for state, (cost, text) in states.items())[1] + token[LONGEST:]
 
 
+def decode_run(written: str, model: LanguageModel) -> list[str]:
+    """Likeliest words behind letters or pieces that blanks part: Viterbi as in ``decode``, but a blank either lies
+    within a word, as a separator, or ends one. A path is a chain (before, letter); $ ends a word.
+    """
+    states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
+    previous = ""
+    for char in written:
+        readings = [(x, SUBSTITUTE) for x in LEET.get(char, "")]
+        readings += [(char, 0.0)] if char.isalpha() else []
+        drop = SEPARATE if char == " " or char in SEPARATORS else REPEAT if char == previous else None if readings else 3 * SEPARATE
+        after: dict[str, tuple[float, tuple | None]] = {}
+        for state, (cost, path) in states.items():
+            if drop is not None and (c := cost + drop) < after.get(state, (math.inf,))[0]:
+                after[state] = (c, path)
+            if char == " " and state != "^^" and (c := cost + model.cost(state, "$")) < after.get("^^", (math.inf,))[0]:
+                after["^^"] = (c, (path, "$"))
+            for letter, channel in readings:
+                c = cost + channel + model.cost(state, letter) + (KEEP_REPEAT if char == previous else 0.0)
+                key = state[1] + letter
+                if c < after.get(key, (math.inf,))[0]:
+                    after[key] = (c, (path, letter))
+        states = dict(sorted(after.items(), key=lambda s: (s[1][0], s[0]))[:BEAM])
+        previous = char if char != " " else previous
+    _, _, path = min((cost + (model.cost(state, "$") if state != "^^" else 0.0), state, path) for state, (cost, path) in states.items())
+    letters = []
+    while path is not None:
+        path, letter = path
+        letters.append(letter)
+    return [w for w in "".join(reversed(letters)).split("$") if w]
+
+
 def features(word: str) -> tuple[str, ...]:
     return (word, *[word[:n] + "*" for n in BEGINNINGS if len(word) >= n])
 
@@ -125,16 +159,28 @@ class Restorer:
             return decode(written, self.model)
         return written.lstrip(_EDGE)
 
+    def readings(self, token: str) -> list[str]:
+        """Words that a token of ``tokens`` stands for. A word with a doubled letter is also read as the channel's."""
+        if " " in token:
+            return decode_run(token, self.model)
+        word = self.word(token)
+        if word.isalpha() and _DOUBLE.search(word) and 2 < len(word) <= LONGEST and (other := decode(word, self.model)) != word:
+            return [word, other]
+        return [word] if word else []
+
     def tokens(self, text: str) -> set[str]:
-        """Distinct tokens of a text. Letters spelt apart are joined as well."""
+        """Distinct tokens of a text, runs of letters spelt apart, and neighbours that may be pieces of a word."""
         text = text.lower()
-        tokens = set(text.split())
-        tokens.update(re.sub(r"[ .\-_*]", "", spelt) for spelt in _SPACED.findall(text))
+        split = text.split()
+        tokens = set(split)
+        tokens.update(re.sub(r"[.\-_*]", " ", spelt) for spelt in _SPACED.findall(text))
+        short = [t if len(t) <= PIECE and t.isalpha() else "" for t in split]
+        tokens.update([f"{a} {b}" for a, b in zip(short, short[1:]) if a and b and len(a) + len(b) > PIECE])
         return tokens
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words of a text."""
-        return {w for t in self.tokens(text) if (w := self.word(t))}
+        return {w for t in self.tokens(text) for w in self.readings(t)}
 
     def features(self, text: str) -> set[str]:
         """Distinct features of a text."""
@@ -143,8 +189,7 @@ class Restorer:
         for token in self.tokens(text):
             got = known.get(token)
             if got is None:
-                word = self.word(token)
-                got = features(word) if word else ()
+                got = tuple(f for word in self.readings(token) for f in features(word))
                 if self.wanted is not None:
                     got = tuple(f for f in got if f in self.wanted)
                 if len(known) > HELD:

@@ -67,3 +67,24 @@ def test_toxicity_odd_rows(spark):
     got = toxicity.score_toxicity(frame, labels).collect()
     assert len(got) == 6 and all(0 <= r["score"] <= 1 and r["predicted"] == 0 for r in got)
     assert toxicity.score_toxicity(frame.where("false"), labels).count() == 0
+
+
+def test_spelt_words_beside_others():
+    """Blanks are part of the lattice: spelt-out words beside others, words in two pieces; and doubled letters."""
+    import math
+
+    words = {"idiot": 50, "dumb": 50, "such": 90, "a": 500, "today": 90, "moron": 40, "i": 300, "good": 60}
+    three, two, one = {}, {}, {}
+    for w, n in words.items():
+        w = "^^" + w + "$"
+        for i in range(len(w) - 2):
+            three[w[i : i + 3]] = three.get(w[i : i + 3], 0) + n
+            two[w[i : i + 2]] = two.get(w[i : i + 2], 0) + n
+            one[w[i + 2]] = one.get(w[i + 2], 0) + n
+    model = toxicity.LanguageModel({g: math.log(n / two[g[:2]]) for g, n in three.items()}, {c: math.log(n / 4000) for c, n in one.items()})
+    found = lambda text: toxicity.Restorer(model).words(text)
+    assert {"a", "moron"} <= found("such a m o r o n today")
+    assert {"a", "dumb", "idiot"} <= found("a d u m b i d i o t")
+    assert "moron" in found("i m 0 r o n")
+    assert "moron" in found("such mor on today") and "idiot" in found("idi ot")
+    assert {"idiot", "idiiot"} <= found("idiiot") and "good" in found("good")
