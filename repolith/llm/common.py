@@ -15,14 +15,53 @@ WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = (1 << 63) - 1
 
 
+#: Bytes of an Arrow batch that a Python worker gets; one longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where the session names none (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names. In local mode, and only there, one of our own if none is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
+def in_python(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes, whatever the length of the texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def schema_of(df: DataFrame) -> str:
+    """The columns of ``df`` as the schema of a function that passes them on."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, with underscores before those that ``columns`` have already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+
+
+def tagged(docs: DataFrame, id_: str, proof: str) -> DataFrame:
+    """``docs`` with what tells its rows apart: ``id_``, the doc_id (NO_ID for null), and ``proof``, a hash of the text."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), proof: F.xxhash64(text)})
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -1,65 +1,94 @@
-"""Induced sorting of a shard's suffixes with their common-prefix values.
+"""External induced sorting of a shard's suffixes with their common-prefix values.
 
-The order of the suffixes at left-most-smaller ("LMS") places is found first, by recursion on their names; all
-others are induced from it: suffixes wait in one queue a character, the smallest are taken off, and the suffix one
-place to the left joins the queue of its own character. Each queue entry is a tuple (place, common prefix with the
-entry before it). All suffixes of a queue are taken off together, so every step is an array operation. Queues are
-written to an unnamed spill file beyond ``memory`` entries and read back one character at a time.
+The order of the suffixes at left-most-smaller ("LMS") places is found first, by recursion: the substrings between
+these places get names, and the suffixes of the string of names are sorted by the same procedure until all names
+differ. All other suffixes are induced from that order. A suffix waits in a priority queue as a tuple (character,
+arrival, place, common prefix with the tuple before it). The least tuples are taken off, and for each of them
+the suffix one place to the left is put in. All characters between which no tuple is handed on are taken off
+together, so that every step is an array operation also for the large alphabets of names.
+
+Beyond ``memory`` tuples a queue keeps its runs on disk, and so are a shard's texts, types and sorted suffixes
+beyond ``memory`` characters. The files are unnamed spill files of one task, in the folder of Spark's own spills.
+Naming sorts 16 bytes for each LMS place in memory; one bucket of a character is taken off as a whole.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 import numpy as np
 
 
-class Queues:
-    """One first-in first-out queue of (place, lcp) a character, on disk beyond ``memory`` entries."""
-
-    def __init__(self, alphabet: int, memory: int):
-        self.runs: list[list] = [[] for _ in range(alphabet)]
-        self.filled = np.zeros(alphabet, bool)
-        self.memory, self.held, self.file = memory, 0, None
-
-    def push(self, char: int, place: np.ndarray, lcp: np.ndarray) -> None:
-        self.filled[char] = True
-        self.runs[char].append((place, lcp))
-        self.held += len(place)
-        if self.held > self.memory:
-            self.file = self.file or tempfile.TemporaryFile()
-            for runs in self.runs:
-                for i, run in enumerate(runs):
-                    if len(run) == 2:
-                        both = np.concatenate(run).astype(np.int32)
-                        at = self.file.seek(0, 2)
-                        self.file.write(both.tobytes())
-                        runs[i] = (at, len(run[0]), None)
-            self.held = 0
-
-    def take(self, char: int) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for run in self.runs[char]:
-            if len(run) == 3:
-                self.file.seek(run[0])
-                both = np.frombuffer(self.file.read(8 * run[1]), np.int32)
-                run = (both[: run[1]], both[run[1] :])
-            else:
-                self.held -= len(run[0])
-            out.append(run)
-        self.runs[char] = []
-        if not out:
-            return np.empty(0, np.int32), np.empty(0, np.int32)
-        return np.concatenate([p for p, _ in out]), np.concatenate([v for _, v in out])
+def held(array: np.ndarray, memory: int) -> np.ndarray:
+    """The array, on disk if it has more than ``memory`` entries."""
+    if len(array) <= memory:
+        return array
+    folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+    with tempfile.TemporaryFile(dir=folder) as file:
+        array.tofile(file)
+        file.flush()
+        return np.memmap(file, array.dtype, "r+", shape=array.shape)
+
+
+class SuffixQueue:
+    """A priority queue of tuples (character, arrival, place, lcp), least character and then first arrival first.
+
+    It is a list of sorted runs. Neighbouring runs of like size are merged; runs beyond ``memory`` tuples in all
+    go to disk. ``pop`` merges what all runs have of the least characters.
+    """
+
+    def __init__(self, memory: int):
+        self.memory, self.runs, self.spilled = memory, [], 0
+
+    def push(self, char: np.ndarray, place: np.ndarray, lcp: np.ndarray) -> None:
+        """Tuples in order of character and arrival, later than all that were pushed before."""
+        run = [char, place, lcp]
+        while self.runs and isinstance(run[0], np.ndarray) and len(self.runs[-1][0]) <= 2 * len(run[0]) and not self._on_disk(self.runs[-1]):
+            both = [np.concatenate(c) for c in zip(self.runs.pop(), run)]
+            order = np.argsort(both[0], kind="stable")
+            run = [c[order] for c in both]
+        self.runs.append(run)
+        if sum(len(r[0]) for r in self.runs if not self._on_disk(r)) > self.memory:
+            self.runs = [r if self._on_disk(r) else [held(c, 0) for c in r] for r in self.runs if len(r[0])]
+            self.spilled += 1
+
+    @staticmethod
+    def _on_disk(run: list) -> bool:
+        return isinstance(run[0], np.memmap)
+
+    def pop(self, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tuples of characters up to ``last``, merged; the first of each character has no common prefix."""
+        parts = []
+        for i, run in enumerate(self.runs):
+            if len(run[0]) and run[0][0] <= last:
+                at = int(np.searchsorted(run[0], last, "right"))
+                parts.append([np.asarray(c[:at]) for c in run])
+                self.runs[i] = [c[at:] for c in run]
+        self.runs = [r for r in self.runs if len(r[0])]
+        if not parts:
+            return (np.empty(0, np.int32),) * 3
+        char, place, lcp = (np.concatenate(c) for c in zip(*parts))
+        if len(parts) > 1:
+            order = np.argsort(char, kind="stable")
+            char, place, lcp = char[order], place[order], lcp[order]
+        lcp = lcp.copy()
+        lcp[firsts(char)] = 0
+        return char, place, lcp
+
+
+def firsts(char: np.ndarray) -> np.ndarray:
+    """Where each character's tuples begin."""
+    return np.flatnonzero(np.append(True, char[1:] != char[:-1])) if len(char) else np.empty(0, np.int64)
 
 
 def least_between(v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """min(v[i+1..j]) for each pair i < j."""
+    out = np.empty(len(i), np.int32)
     if not len(i):
-        return np.empty(0, np.int64)
-    size = j - i
-    level = np.floor(np.log2(size)).astype(np.int64)
-    out, now = np.empty(len(i), np.int32), v
+        return out
+    level = np.frexp(j - i)[1] - 1
+    now = v
     for k in range(int(level.max()) + 1):
         if k:
             half = 1 << (k - 1)
@@ -69,9 +98,29 @@ def least_between(v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+def classify(text: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place: whether its suffix is less than the next one, and the length of its run of one character."""
+    n, block = len(text), max(1024, min(memory, 1 << 22))
+    small, run = held(np.zeros(n, bool), memory), held(np.zeros(n, np.int32), memory)
+    for lo in range((n - 1) // block * block, -1, -block):
+        hi = min(n, lo + block)
+        part = np.append(text[lo:hi], text[hi] if hi < n else -1)
+        edge = np.flatnonzero(part[1:] != part[:-1])
+        if hi < n and (not len(edge) or edge[-1] != hi - lo - 1):
+            edge = np.append(edge, hi - lo - 1)  # this run goes on in the next block
+        size = np.diff(np.append(-1, edge))
+        last = np.repeat(edge, size)
+        run[lo:hi], small[lo:hi] = last - np.arange(hi - lo) + 1, part[last + 1] > part[:-1]
+        if hi < n and part[-1] == part[-2]:
+            tail = slice(hi - int(size[-1]), hi)
+            run[tail] += run[hi]
+            small[tail] = small[hi]
+    return small, run
+
+
+def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Common prefix of the suffixes at a and b, compared directly, ``most`` at most."""
-    out, live, k, n = np.zeros(len(a), np.int64), np.arange(len(a)), 0, len(text)
+    out, live, k, n = np.zeros(len(a), np.int32), np.arange(len(a)), 0, len(text)
     while len(live) and k < most:
         live = live[(a[live] + k < n) & (b[live] + k < n)]
         live = live[text[a[live] + k] == text[b[live] + k]]
@@ -80,158 +129,149 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.nda
     return out
 
 
-def _names(text: np.ndarray, small: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Dense ranks of the LMS substrings, each compared by (character, type)."""
-    n = len(text)
-    typed = np.append(2 * text.astype(np.uint64) + small + np.uint64(1), np.uint64(0))
+def names_of(text: np.ndarray, small: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Dense ranks of the substrings from one LMS place to the next, by (character, type), ``depth`` at most."""
+    n, bits = len(text), int(text.max()).bit_length() + 2
     size = np.append(np.diff(places) + 1, n - places[-1] + 1)
-    name = np.zeros(len(places), np.int64)
-    live, done = np.arange(len(places)), 0
-    while len(live):
-        key = np.zeros(len(live), np.uint64)
-        for k in range(done, done + 6):
-            at = np.minimum(places[live] + k, n)
-            key = (key << np.uint64(10)) | np.where(k < size[live], typed[at], np.uint64(0))
-        _, key = np.unique(key, return_inverse=True)
-        part = np.zeros(len(places), np.int64)
-        part[live] = key
-        _, name = np.unique(name * (len(places) + 1) + part, return_inverse=True)
-        done += 6
+    step = max(1, 62 // bits)
+    name, live, done = np.zeros(len(places), np.int64), np.arange(len(places)), 0
+    while len(live) and done < depth:
+        key = np.zeros(len(live), np.int64)
+        for k in range(done, done + step):
+            at = np.minimum(places[live] + k, n - 1)
+            unit = np.where((places[live] + k < n) & (k < size[live]), 2 * text[at].astype(np.int64) + small[at] + 1, 0)
+            key = (key << bits) | unit
+        if not done:
+            _, name = np.unique(key, return_inverse=True)
+        else:  # only groups that have longer members are refined
+            order = np.lexsort((key, name[live]))
+            at, head, tail = live[order], name[live][order], key[order]
+            new = np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))
+            fine = np.zeros(len(places), np.int64)
+            fine[at] = np.cumsum(new)  # members that ended come first, with 0
+            order = np.lexsort((fine, name))
+            new = np.append(True, (name[order][1:] != name[order][:-1]) | (fine[order][1:] != fine[order][:-1]))
+            name = name.copy()
+            name[order] = np.cumsum(new) - 1
+        done += step
         live = live[size[live] > done]
+        count = np.bincount(name)
+        live = live[count[name[live]] > 1]
     return name
 
 
-def _order_by_doubling(name: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes of a string of names by their first ``depth`` names, and common prefixes in names."""
-    # A rank is the place of a group's first suffix in the order so far, so a group is refined on its own.
-    n, size = len(name), 1
-    count = np.bincount(name, minlength=1)
-    ranks = [(np.cumsum(count) - count)[name].astype(np.int32)]
-    live = np.flatnonzero(count[name] > 1)
-    while size < depth and len(live):
-        rank = ranks[-1]
-        after = np.where(live + size < n, rank[np.minimum(live + size, n - 1)].astype(np.int64) + 1, 0)
-        key = rank[live].astype(np.int64) * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        live, key = live[order], key[order]
-        old = rank[live]
-        place, new, whole = np.arange(len(live)), np.append(True, key[1:] != key[:-1]), np.append(True, old[1:] != old[:-1])
-        shift = np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(whole, place, 0))
-        rank = rank.copy()
-        rank[live] = old + shift
-        ranks.append(rank)
-        live = live[~(new & np.append(new[1:], True))]
-        size *= 2
-    order = np.argsort(ranks[-1], kind="stable")
-    a, b = order[:-1].copy(), order[1:].copy()
-    lcp = np.zeros(max(0, n - 1), np.int64)
-    for k in range(len(ranks) - 1, -1, -1):
-        same = np.flatnonzero((a < n) & (b < n))
-        same = same[ranks[k][a[same]] == ranks[k][b[same]]]
-        lcp[same] += 1 << k
-        a[same] += 1 << k
-        b[same] += 1 << k
-    return order, np.append(0, lcp) if n else lcp
-
-
-def sort_suffixes(text: np.ndarray, depth: int, memory: int = 1 << 24) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and common prefixes, exact up to ``depth`` characters.
-
-    text: characters from 0 to 255. The end of the text is smaller than any of them.
+def blocks_of(chars: np.ndarray, to: np.ndarray) -> list[int]:
+    """Ends (indexes) of the blocks of ``chars`` between whose members no tuple is handed on; to: the least that each hands on to."""
+    ends, limit = [], np.inf
+    for i, (c, t) in enumerate(zip(chars.tolist(), to.tolist())):
+        if c >= limit:
+            ends.append(i)
+            limit = np.inf
+        limit = min(limit, t)
+    return [*ends, len(chars)]
+
+
+def induce(text, small, run, seeds, fixed, want_small, sign, memory):
+    """One scan: all suffixes of one type, and what was ``fixed``, in order of sign * character.
+
+    seeds: tuples to begin with. fixed: (sign * character, place, lcp) in order; within a character they come after
+    the suffixes that the scan finds. Yields (sign * character, place, lcp, is found) block by block.
     """
     n = len(text)
+    queue = SuffixQueue(memory)
+    queue.push(*seeds)
+    size = int(text.max()) + 1
+    present, hands = np.zeros(size, bool), np.full(size, np.iinfo(np.int64).max)
+    for lo in range(0, n, 1 << 22):
+        part = text[lo : lo + (1 << 22) + 1].astype(np.int64)
+        present[part] = True
+        at = np.flatnonzero((small[lo : lo + len(part) - 1] == want_small) & (part[1:] != part[:-1]))
+        np.minimum.at(hands, part[at + 1], sign * part[at])
+    chars = np.flatnonzero(present)
+    keys = (sign * chars)[::sign]
+    i = 0
+    for end in blocks_of(keys, hands[chars][::sign]):
+        last = int(keys[end - 1])
+        char, place, lcp = queue.pop(last)
+        found = [(char, place, lcp)]
+        while len(place):  # longer runs of the same character follow shorter ones
+            at = np.flatnonzero(place > 0)
+            left = place[at] - 1
+            own = (small[left] == want_small) & (text[left] == sign * char[at])
+            at, left = at[own], left[own]
+            if not len(at):
+                break
+            value = np.ones(len(at), np.int32)
+            value[1:] += least_between(lcp, at[:-1], at[1:])
+            char = char[at]
+            value[firsts(char)] = len(found)
+            place, lcp = left, value
+            found.append((char, place, lcp))
+        char, place, lcp = (np.concatenate(c) for c in zip(*found))
+        j = int(np.searchsorted(fixed[0], last, "right"))
+        order = np.argsort(np.concatenate([char, fixed[0][i:j]]), kind="stable")
+        n_found = len(char)
+        char, place, lcp = (np.concatenate([a, b[i:j]])[order] for a, b in zip((char, place, lcp), fixed))
+        i = j
+        is_found = order < n_found
+        edge = np.flatnonzero(is_found[:-1] & ~is_found[1:] & (char[1:] == char[:-1])) + 1
+        lcp[edge] = np.minimum(run[place[edge - 1]], run[place[edge]])
+        yield char, place, lcp, is_found
+        at = np.flatnonzero(place > 0)
+        left = place[at] - 1
+        to = sign * text[left].astype(np.int32)
+        on = (small[left] == want_small) & (to != char[at])
+        at, left, to = at[on], left[on], to[on]
+        if len(at):
+            order = np.argsort(to, kind="stable")
+            at, left, to = at[order], left[order], to[order]
+            value = np.ones(len(at), np.int32)
+            inner = np.flatnonzero(to[1:] == to[:-1]) + 1
+            value[inner] += least_between(lcp, at[inner - 1], at[inner])
+            queue.push(to, left.astype(np.int32), value)
+
+
+def sort_suffixes(text: np.ndarray, depth: int, memory: int = 1 << 24, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order and common prefixes with the suffix before, exact up to ``depth`` characters.
+
+    text: characters from 0 on. The end of the text is smaller than any of them. trace: gets the length of each
+    level of the recursion.
+    """
+    n = len(text)
+    if trace is not None:
+        trace.append(n)
     if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    text = text.astype(np.int16)
-    # A suffix is small if it is less than the next one; runs of one character share the type at their end.
-    edge = np.flatnonzero(np.append(text[1:] != text[:-1], True))
-    last = np.repeat(edge, np.diff(np.append(-1, edge)))
-    run = (last - np.arange(n) + 1).astype(np.int32)
-    following = np.append(text, -1)[last + 1]
-    small = following > text
-    places = np.flatnonzero(small & np.append(False, ~small[:-1]))
-    alphabet = 256
+        return np.empty(0, np.int32), np.empty(0, np.int32)
+    text = held(text, memory)
+    small, run = classify(text, memory)
+    places = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = lms_lcp = np.empty(0, np.int32)
     if len(places):
-        order, lcp = _order_by_doubling(_names(text, small, places), depth // 2 + 2)
+        name = names_of(text, small, places, depth)
+        if int(name.max()) + 1 == len(name):
+            order, lcp = np.argsort(name), np.zeros(len(name), np.int32)
+        else:  # a name stands for two characters at least
+            order, lcp = sort_suffixes(name.astype(np.int32), depth // 2 + 2, memory, trace)
+        del name
         lms, a = places[order], np.append(0, order[:-1])
-        lcp_text = np.zeros(len(lms), np.int64)
         skip_a, skip_b = np.minimum(a + lcp, len(places) - 1), np.minimum(order + lcp, len(places) - 1)
-        same = places[skip_b] - places[order]
-        lcp_text[1:] = (same + _common(text, places[skip_a], places[skip_b], depth))[1:]
-        lms, lms_lcp = lms.astype(np.int32), lcp_text.astype(np.int32)
-    else:
-        lms = lms_lcp = np.empty(0, np.int32)
-    by_char = np.searchsorted(text[lms], np.arange(alphabet + 1))
-    large, size = {}, np.bincount(text, minlength=alphabet)
-    queues = Queues(alphabet, memory)
-    queues.push(int(text[-1]), np.array([n - 1], np.int32), np.array([0], np.int32)) if not small[-1] else None
-
-    def induce(place, lcp, char, want_small, own):
-        """Entries that the sources ``place``, in order, give their left neighbours' queues; those of ``char`` itself."""
-        at = np.flatnonzero((place > 0) & (small[place - 1] == want_small))
-        left = place[at] - 1
-        to = text[left]
-        if own:
-            at, left = at[to == char], left[to == char]
-            to = to[to == char]
-        else:
-            at, left, to = at[to != char], left[to != char], to[to != char]
-        if not len(at):
-            return []
-        order = np.argsort(to, kind="stable")
-        at, left, to = at[order], left[order], to[order]
-        first = np.append(True, to[1:] != to[:-1])
-        value = np.ones(len(at), np.int32)
-        inner = np.flatnonzero(~first)
-        value[inner] = 1 + least_between(lcp, at[inner - 1], at[inner])
-        cut = np.flatnonzero(first).tolist()
-        return [(int(to[i]), left[i:j], value[i:j]) for i, j in zip(cut, [*cut[1:], len(at)])]
-
-    def closure(place, lcp, char, want_small):
-        """A queue's entries with those that they induce in it."""
-        places_, lcps = [place], [lcp]
-        now, value = place, lcp
-        while len(now):
-            got = induce(now, value, char, want_small, True)
-            if not got:
-                break
-            _, nxt, value = got[0]
-            value = value.copy()
-            value[0] = min(run[now[-1]], run[nxt[0]])
-            places_.append(nxt)
-            lcps.append(value)
-            now = nxt
-        return np.concatenate(places_), np.concatenate(lcps)
-
-    def push(entries):
-        for char, place, lcp in entries:
-            if not queues.filled[char]:
-                lcp[0] = 0
-            queues.push(char, place, lcp)
-
-    for char in np.flatnonzero(size).tolist():
-        place, lcp = queues.take(char)
-        place, lcp = closure(place, lcp, char, False)
-        large[char] = (place, lcp)
-        i, j = by_char[char], by_char[char + 1]
-        all_place, all_lcp = np.append(place, lms[i:j]), np.append(lcp, lms_lcp[i:j])
-        if i < j:
-            all_lcp[len(place)] = min(run[place[-1]], run[lms[i]]) if len(place) else 0
-        if len(all_place):
-            push(induce(all_place, all_lcp, char, False, False))
-    queues = Queues(alphabet, memory)
+        lms_lcp = places[skip_b] - lms + common_prefix(text, places[skip_a], places[skip_b], depth)
+        lms_lcp[0] = 0
+        lms, lms_lcp = lms.astype(np.int32), np.minimum(lms_lcp, n - lms).astype(np.int32)
+    large: list[list[np.ndarray]] = [[], [], []]
+    lms_char = text[lms].astype(np.int32)
+    seed = (np.array([text[-1]], np.int32), np.array([n - 1], np.int32), np.zeros(1, np.int32))
+    for char, place, lcp, is_found in induce(text, small, run, seed, (lms_char, lms, lms_lcp), False, 1, memory):
+        for out, c in zip(large, (char, place, lcp)):
+            out.append(held(c[is_found], memory))
+    char, place, lcp = (held(np.concatenate(c), memory) for c in large)
+    # From the largest character down, small suffixes before the large ones of their character; lcp with the one before.
+    down = np.append(lcp[:1] * 0, lcp[:0:-1])
+    none = (np.empty(0, np.int32),) * 3
     orders, lcps = [], []
-    # The same from the largest character down: small suffixes come after the large ones of their character.
-    for char in np.flatnonzero(size)[::-1].tolist():
-        place, lcp = queues.take(char)
-        place, lcp = closure(place, lcp, char, True)
-        big, big_lcp = large[char]
-        down = np.append(0, big_lcp[:0:-1]) if len(big) else big_lcp  # with the entry before it on the way down
-        all_place, all_lcp = np.append(place, big[::-1]), np.append(lcp, down)
-        if len(place) and len(big):
-            all_lcp[len(place)] = min(run[place[-1]], run[big[-1]])
-        push(induce(all_place, all_lcp, char, True, False))
-        orders.append(all_place)
-        lcps.append(np.append(0, all_lcp[1:]))
+    for _, place, lcp, _ in induce(text, small, run, none, (-char[::-1], place[::-1], down), True, -1, memory):
+        orders.append(place)
+        lcps.append(lcp)
     order, lcp = np.concatenate(orders)[::-1], np.concatenate(lcps)[::-1]
-    return order, np.append(0, lcp[:-1])
+    return order, np.append(np.int32(0), lcp[:-1])
+

@@ -9,17 +9,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from repolith.llm.common import NO_ID
+from repolith.llm.common import NO_ID, in_python
 from repolith.llm.induced import sort_suffixes
-from repolith.llm.superkmers import Kind, by_document, dealt, hot_spans, identified, merged, spans_of, unpack
+from repolith.llm.superkmers import Kind, by_document, dealt, hot_spans, identified, rows_of, spans_of, unpack
 
 #: Bytes of a repeated string; of the pieces that minimisers are chosen from.
 WIDTH, PROBE = 400, 32
 #: Super-k-mers of a shard, about 600 bytes each.
 PER_SHARD = 12_000
+#: Queue entries and characters of a shard in memory; what is beyond is on disk (a shard of 7 MB is).
+MEMORY = 1 << 20
+#: The character between strings is none of a text's bytes, so no string of a text reaches over it.
+BETWEEN = 256
 
 
-def repeated(packed: list[bytes], width: int, memory: int = 1 << 24) -> dict[str, np.ndarray]:
+def repeated(packed: list[bytes], width: int, memory: int = MEMORY) -> dict[str, np.ndarray]:
     """Spans of a shard's ``width``-byte strings that start at two places or more.
 
     Equal super-k-mers are sorted once: they repeat as a whole. Of the others, only those can repeat whose
@@ -42,8 +46,8 @@ def repeated(packed: list[bytes], width: int, memory: int = 1 << 24) -> dict[str
     whole = np.bincount(member) > 1
     length = np.array([len(t) for t in place], np.int64)
     begin = np.cumsum(np.append(0, length + 1))[:-1]
-    # The byte after each string keeps strings apart: a window that may match never reaches it.
-    shard = np.frombuffer(b"\x00".join(place) + b"\x00", np.uint8)
+    shard = np.full(int(length.sum()) + len(length), BETWEEN, np.int16)
+    shard[np.arange(length.sum()) + np.repeat(np.arange(len(length)), length)] = np.frombuffer(b"".join(place), np.uint8)
     order, lcp = sort_suffixes(shard, width, memory)
     twice = np.zeros(len(shard), bool)
     hit = np.flatnonzero(lcp >= width)
@@ -70,18 +74,19 @@ def _shard(width: int):
 
 
 def _kept(batches):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
     for batch in batches:
         out = []
-        for r in batch.to_pylist():
-            text, spans = r["text"], merged(r["spans"])
-            kept, at = [], 0
+        for id_, text, spans in rows_of(batch):
+            digest, at = hashlib.sha256(), 0
+            view = memoryview(text)
             for begin, end in spans:
-                kept.append(text[at:begin])
+                digest.update(view[at:begin])
                 at = end
-            kept = b"".join([*kept, text[at:]])
-            out.append((None if r["id"] == NO_ID else r["id"], len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"begin": b, "end": e} for b, e in spans]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+            digest.update(view[at:])
+            removed = sum(e - b for b, e in spans)
+            out.append((None if id_ == NO_ID else id_, len(text), removed, len(spans), digest.hexdigest(), [{"begin": b, "end": e} for b, e in spans]))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names)
 
 
@@ -98,6 +103,6 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, probe: int = PROBE, pe
     """
     texts = identified(docs)
     packed, hot = dealt(texts, Kind(False, width, probe), per_shard)
-    spans = packed.groupBy("bucket").applyInPandas(_shard(width), "id long, proof int, begin int, end int")
+    spans = packed.groupBy("bucket").applyInPandas(_shard(width), "id long, proof long, begin int, end int")
     out = by_document(texts, hot_spans(spans, hot, width, smaller=False))
-    return out.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin int, end int>>")
+    return in_python(out, _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin int, end int>>")

@@ -7,20 +7,26 @@ and consecutive windows with one minimiser travel as one packed string.
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm.common import NO_ID
+from repolith.llm.common import cut, in_python, tagged
 
 #: Bytes of text that a task packs at once.
 CHUNK = 4 << 20
+#: Minimisers that are hot, at most: one has to have more than a share of 1 / HOT_MOST of all super-k-mers (8 MB as a list).
+HOT_MOST = 1_000_000
+#: Words of more bytes are hashed by XXH64, shorter ones by a polynomial for all words at once.
+LONG_WORD = 64
 #: Low bits of a window's minimum hold the place of the minimiser, the rest its hash.
 PLACE = 24
 
@@ -82,11 +88,14 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, gap: np.ndarray, c: np.uint
     """Hash of each word; ``gap`` marks the separator that follows each word."""
     with np.errstate(over="ignore"):
         length = np.diff(np.append(begin, len(data)))
-        power = np.cumprod(np.full(int(length.max()), c, np.uint64))
-        place = np.arange(len(data)) - np.repeat(begin, length)
+        power = np.cumprod(np.full(LONG_WORD + 1, c, np.uint64))
+        place = np.minimum(np.arange(len(data)) - np.repeat(begin, length), LONG_WORD)
         value = (data.astype(np.uint64) + np.uint64(1)) * power[place]
         value[gap] = 0
-        return mix(np.add.reduceat(value, begin))
+        out = mix(np.add.reduceat(value, begin))
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[begin[i] : gap[i]], int(c) >> 1)
+    return out
 
 
 def chunk_of(texts: list[bytes], kind: Kind, c: np.uint64 = _C1) -> Chunk:
@@ -137,14 +146,14 @@ def chunks(batches: Iterator[pa.RecordBatch], kind: Kind):
         for i, p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             text = t.as_py() or b""
             if texts and size + len(text) > CHUNK:
-                yield np.array(ids, np.int64), np.array(proofs, np.int32), chunk_of(texts, kind)
+                yield np.array(ids, np.int64), np.array(proofs, np.int64), chunk_of(texts, kind)
                 ids, proofs, texts, size = [], [], [], 0
             ids.append(i)
             proofs.append(p)
             texts.append(text)
             size += len(text)
     if texts:
-        yield np.array(ids, np.int64), np.array(proofs, np.int32), chunk_of(texts, kind)
+        yield np.array(ids, np.int64), np.array(proofs, np.int64), chunk_of(texts, kind)
 
 
 def _count(kind: Kind):
@@ -157,7 +166,7 @@ def _count(kind: Kind):
     return run
 
 
-_PACKED = [("key", np.int64), ("id", np.int64), ("proof", np.int32), ("first", np.int32), ("size", np.int32)]
+_PACKED = [("key", np.int64), ("id", np.int64), ("proof", np.int64), ("first", np.int32), ("size", np.int32)]
 
 
 def pack(columns: list[np.ndarray], text: bytes) -> bytes:
@@ -178,11 +187,11 @@ def unpack(packed: bytes) -> tuple[list[np.ndarray], bytes]:
     return columns, data[at:]
 
 
-def _deal(kind: Kind, buckets: int, hot: np.ndarray):
+def _deal(kind: Kind, buckets: int, hot):
     def run(batches):
         for ids, proofs, chunk in chunks(batches, kind):
             key, at, n, doc, inside = runs(chunk, kind)
-            keep = ~np.isin(key, hot)
+            keep = ~np.isin(key, hot.value)
             key, at, n, doc, inside = (x[keep] for x in (key, at, n, doc, inside))
             if not len(key):
                 continue
@@ -203,59 +212,54 @@ def _deal(kind: Kind, buckets: int, hot: np.ndarray):
     return run
 
 
-def _hot_windows(kind: Kind, hot: np.ndarray):
-    """Windows with a hot minimiser, one by one, as two independent hashes."""
+def _hot_windows(kind: Kind, hot):
+    """Windows with a hot minimiser, one by one, as half of their SHA-256."""
 
     def run(batches):
         for ids, proofs, chunk in chunks(batches, kind):
             key, at, n, doc, _ = runs(chunk, kind)
-            keep = np.isin(key, hot)
+            keep = np.isin(key, hot.value)
             at, n, doc = at[keep], n[keep], doc[keep]
             if not len(at):
                 continue
             window = np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)
             doc = np.repeat(doc, n)
-            one, two = window_hashes(chunk, kind)
-            columns = [one[window].view(np.int64), two[window].view(np.int64), ids[doc], proofs[doc], (window - chunk.first[doc]).astype(np.int32)]
+            buffer, of = memoryview(chunk.buffer), hashlib.sha256
             for i in range(0, len(window), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], ["one", "two", "id", "proof", "first"])
+                w, d = window[i : i + 100_000], doc[i : i + 100_000]
+                spans = zip(chunk.begin[w].tolist(), chunk.end[w + kind.width - 1].tolist())
+                digest = pa.array([of(buffer[a:b]).digest()[:16] for a, b in spans], pa.binary())
+                columns = [digest, *(pa.array(c) for c in (ids[d], proofs[d], (w - chunk.first[d]).astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, ["window", "id", "proof", "first"])
 
     return run
 
 
-def window_hashes(chunk: Chunk, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the window at each unit."""
-    other = chunk.hashes
-    data = np.frombuffer(chunk.buffer, np.uint8)
-    if kind.words:
-        other = word_hashes(data, chunk.begin, chunk.end, _C2)
-    else:
-        other = mix(data.astype(np.uint64) * _C2 + _C1)
-    return span_hash(chunk.hashes, kind.width, _C2), span_hash(other, kind.width, _C1)
-
-
 def identified(docs: DataFrame) -> DataFrame:
     """(id, proof, text): rows with one doc_id but different texts differ in proof."""
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("proof"), text.alias("text"))
+    rows = tagged(docs.select("doc_id", "text"), "id", "proof")
+    return rows.select("id", "proof", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
 def dealt(texts: DataFrame, kind: Kind, per_bucket: int) -> tuple[DataFrame, DataFrame | None]:
     """(bucket, packed) of all super-k-mers but those with a hot minimiser; and the hot windows, or None.
 
     A first pass counts super-k-mers by minimiser over all texts. Their number gives the number of buckets, of
-    ``per_bucket`` super-k-mers on average. A minimiser with more than that is hot (there are at most
-    total / per_bucket, one key to each bucket): no bucket takes it, its windows go one by one instead
-    (one, two, id, proof, first) to grouped aggregates that combine before the shuffle.
+    ``per_bucket`` super-k-mers on average. A minimiser with more than that, and with more than one of HOT_MOST, is
+    hot: no bucket takes it, its windows go one by one instead (window, id, proof, first) to grouped aggregates that
+    combine before the shuffle. So the list of hot ones is bounded, and a bucket has at most ``per_bucket``
+    super-k-mers or one of HOT_MOST of all, for each of its minimisers.
     """
-    counts = texts.mapInArrow(_count(kind), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = counts.agg(F.sum("n"), F.collect_list(F.when(F.col("n") > per_bucket, F.col("key")))).first()
-    hot = np.array(sorted(counts[1]), np.int64)
-    buckets = max(1, -(-(counts[0] or 0) // per_bucket))
-    packed = texts.mapInArrow(_deal(kind, buckets, hot), "bucket long, packed binary")
-    if not len(hot):
+    counts = in_python(texts, _count(kind), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = cut(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(per_bucket, total // HOT_MOST)).select("key").collect()  # HOT_MOST rows at most
+    hot = texts.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in hot), np.int64))
+    buckets = max(1, -(-total // per_bucket))
+    packed = in_python(texts, _deal(kind, buckets, hot), "bucket long, packed binary")
+    if not len(hot.value):
         return packed, None
-    return packed, texts.mapInArrow(_hot_windows(kind, hot), "one long, two long, id long, proof int, first int")
+    return packed, in_python(texts, _hot_windows(kind, hot), "window binary, id long, proof long, first int")
 
 
 def spans_of(id_: np.ndarray, proof: np.ndarray, first: np.ndarray, width: int) -> dict[str, np.ndarray]:
@@ -272,8 +276,8 @@ def hot_spans(spans: DataFrame, hot: DataFrame | None, width: int, smaller: bool
     """``spans`` and those of repeated hot windows: repeats of a smaller id only, or of any other window."""
     if hot is None:
         return spans
-    known = hot.groupBy("one", "two").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    again = hot.join(known, ["one", "two"])
+    known = hot.groupBy("window").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    again = hot.join(known, "window")
     again = again.where("id > least") if smaller else again
     return spans.union(again.select("id", "proof", F.col("first").alias("begin"), (F.col("first") + width).alias("end")))
 
@@ -284,12 +288,21 @@ def by_document(texts: DataFrame, spans: DataFrame) -> DataFrame:
     return texts.join(spans, ["id", "proof"], "left")
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Sorted runs, with overlapping and touching ones joined."""
-    out: list[tuple[int, int]] = []
-    for s in spans or ():
-        if out and s["begin"] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], s["end"]))
-        else:
-            out.append((s["begin"], s["end"]))
-    return out
+def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Runs sorted by ``begin``, with overlapping and touching ones joined."""
+    if not len(begin):
+        return []
+    reach = np.maximum.accumulate(end)
+    new = np.flatnonzero(np.append(True, begin[1:] > reach[:-1]))
+    return list(zip(begin[new].tolist(), reach[np.append(new[1:], len(end)) - 1].tolist()))
+
+
+def rows_of(batch: pa.RecordBatch):
+    """(id, text, runs to remove) of rows of ``by_document``."""
+    ids, texts, spans = (batch.column(n) for n in ("id", "text", "spans"))
+    inner = spans.flatten()
+    begin, end = (inner.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    sizes = np.array([0 if s is None else s for s in spans.value_lengths().to_pylist()], np.int64)
+    heads = (np.cumsum(sizes) - sizes).tolist()
+    for i, text, head, size in zip(ids.to_pylist(), texts, heads, sizes.tolist()):
+        yield i, text.as_py(), merged(begin[head : head + size], end[head : head + size]) if size else []

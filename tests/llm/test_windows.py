@@ -1,7 +1,10 @@
 import hashlib
 import random
 
-from repolith.llm.window_dedup import dedup_windows
+import numpy as np
+
+from repolith.llm import window_dedup
+from repolith.llm.window_dedup import dedup_windows, equal_windows
 from tests.llm.data import docs
 
 
@@ -47,3 +50,26 @@ def test_windows_against_brute_force(spark):
             got = dedup_windows(docs(spark, pairs).repartition(3), width, probe, per_bucket)
             assert sorted((tuple(r)[:4] for r in got.collect()), key=repr) == brute_windows(pairs, width)
     assert dedup_windows(docs(spark, {})).count() == 0
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    same = " ".join(f"w{i}" for i in range(49))
+    pairs = [(1, f"{same} {thue_morse(2048, 'a', 'b')}"), (2, f"{same} {thue_morse(2048, 'b', 'a')}")]
+    for per_bucket in (20_000, 1):  # in a bucket, and as hot windows
+        got = dedup_windows(docs(spark, pairs), per_bucket=per_bucket)
+        assert sorted((tuple(r)[:4] for r in got.collect()), key=repr) == brute_windows(pairs, 50)
+
+
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(window_dedup, "span_hash", lambda h, width, c: (h[: len(h) - width + 1] % np.uint64(2)))
+    words = np.array([random.Random(4).randint(0, 2) for _ in range(300)])
+    at = np.arange(297)
+    group = equal_windows(words, at, 4)
+    shown = {}
+    for i, g in zip(at.tolist(), group.tolist()):
+        assert shown.setdefault(g, tuple(words[i : i + 4])) == tuple(words[i : i + 4])
+    assert len(shown) == len({tuple(words[i : i + 4]) for i in at.tolist()})
