@@ -28,7 +28,7 @@ def held(array: np.ndarray, memory: int) -> np.ndarray:
     with tempfile.TemporaryFile(dir=folder) as file:
         array.tofile(file)
         file.flush()
-        return np.memmap(file, array.dtype, "r+", shape=array.shape)
+        return np.memmap(file, array.dtype, "r+", shape=array.shape).view(np.ndarray)
 
 
 class SuffixQueue:
@@ -39,24 +39,21 @@ class SuffixQueue:
     """
 
     def __init__(self, memory: int):
-        self.memory, self.runs, self.spilled = memory, [], 0
+        self.memory, self.runs, self.on_disk, self.spilled = memory, [], 0, 0
 
     def push(self, char: np.ndarray, place: np.ndarray, lcp: np.ndarray) -> None:
         """Tuples in order of character and arrival, later than all that were pushed before."""
         run = [char, place, lcp]
-        while self.runs and isinstance(run[0], np.ndarray) and len(self.runs[-1][0]) <= 2 * len(run[0]) and not self._on_disk(self.runs[-1]):
+        while len(self.runs) > self.on_disk and len(self.runs[-1][0]) <= 2 * len(run[0]):
             both = [np.concatenate(c) for c in zip(self.runs.pop(), run)]
             order = np.argsort(both[0], kind="stable")
             run = [c[order] for c in both]
         self.runs.append(run)
-        if sum(len(r[0]) for r in self.runs if not self._on_disk(r)) > self.memory:
-            self.runs = [r if self._on_disk(r) else [held(c, 0) for c in r] for r in self.runs if len(r[0])]
+        if sum(len(r[0]) for r in self.runs[self.on_disk :]) > self.memory:
+            self.runs[self.on_disk :] = [[held(c, 0) for c in r] for r in self.runs[self.on_disk :] if len(r[0])]
+            self.on_disk = len(self.runs)
             self.spilled += 1
 
-    @staticmethod
-    def _on_disk(run: list) -> bool:
-        return isinstance(run[0], np.memmap)
-
     def pop(self, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All tuples of characters up to ``last``, merged; the first of each character has no common prefix."""
         parts = []
@@ -65,7 +62,9 @@ class SuffixQueue:
                 at = int(np.searchsorted(run[0], last, "right"))
                 parts.append([np.asarray(c[:at]) for c in run])
                 self.runs[i] = [c[at:] for c in run]
-        self.runs = [r for r in self.runs if len(r[0])]
+        left = [bool(len(r[0])) for r in self.runs]
+        self.on_disk = sum(left[: self.on_disk])
+        self.runs = [r for r, some in zip(self.runs, left) if some]
         if not parts:
             return (np.empty(0, np.int32),) * 3
         char, place, lcp = (np.concatenate(c) for c in zip(*parts))
@@ -98,10 +97,19 @@ def least_between(v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def classify(text: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each place: whether its suffix is less than the next one, and the length of its run of one character."""
+def classify(text: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place: whether its suffix is less than the next one, and how far its run of one character goes on to
+    the right and to the left, itself included.
+    """
     n, block = len(text), max(1024, min(memory, 1 << 22))
-    small, run = held(np.zeros(n, bool), memory), held(np.zeros(n, np.int32), memory)
+    small, run, back = held(np.zeros(n, bool), memory), held(np.zeros(n, np.int32), memory), held(np.zeros(n, np.int32), memory)
+    for lo in range(0, n, block):
+        part = text[lo : lo + block]
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        size = np.diff(np.append(begin, len(part)))
+        back[lo : lo + block] = np.arange(len(part)) - np.repeat(begin, size) + 1
+        if lo and part[0] == text[lo - 1]:
+            back[lo : lo + int(size[0])] += back[lo - 1]
     for lo in range((n - 1) // block * block, -1, -block):
         hi = min(n, lo + block)
         part = np.append(text[lo:hi], text[hi] if hi < n else -1)
@@ -115,7 +123,7 @@ def classify(text: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray]:
             tail = slice(hi - int(size[-1]), hi)
             run[tail] += run[hi]
             small[tail] = small[hi]
-    return small, run
+    return small, run, back
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -130,34 +138,35 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) ->
 
 
 def names_of(text: np.ndarray, small: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """Dense ranks of the substrings from one LMS place to the next, by (character, type), ``depth`` at most."""
+    """Dense ranks of the substrings from one LMS place to the next, by (character, type), ``depth`` at most.
+
+    A rank is the place of a group's first member in the order so far, so groups are refined on their own, a few
+    characters at a time, while they have several members. Equal members end together, for types are compared.
+    """
     n, bits = len(text), int(text.max()).bit_length() + 2
     size = np.append(np.diff(places) + 1, n - places[-1] + 1)
     step = max(1, 62 // bits)
-    name, live, done = np.zeros(len(places), np.int64), np.arange(len(places)), 0
+    rank, live, done = np.zeros(len(places), np.int64), np.arange(len(places)), 0
     while len(live) and done < depth:
-        key = np.zeros(len(live), np.int64)
+        key, start, most = np.zeros(len(live), np.int64), places[live], size[live]
         for k in range(done, done + step):
-            at = np.minimum(places[live] + k, n - 1)
-            unit = np.where((places[live] + k < n) & (k < size[live]), 2 * text[at].astype(np.int64) + small[at] + 1, 0)
+            at = np.minimum(start + k, n - 1)
+            unit = 2 * text[at].astype(np.int64) + small[at] + 1
+            unit[(start + k >= n) | (k >= most)] = 0
             key = (key << bits) | unit
-        if not done:
-            _, name = np.unique(key, return_inverse=True)
-        else:  # only groups that have longer members are refined
-            order = np.lexsort((key, name[live]))
-            at, head, tail = live[order], name[live][order], key[order]
-            new = np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))
-            fine = np.zeros(len(places), np.int64)
-            fine[at] = np.cumsum(new)  # members that ended come first, with 0
-            order = np.lexsort((fine, name))
-            new = np.append(True, (name[order][1:] != name[order][:-1]) | (fine[order][1:] != fine[order][:-1]))
-            name = name.copy()
-            name[order] = np.cumsum(new) - 1
+        order = np.lexsort((key, rank[live])) if done else np.argsort(key, kind="stable")
+        live, key = live[order], key[order]
+        old = rank[live]
+        whole = np.append(True, old[1:] != old[:-1])
+        new = whole | np.append(True, key[1:] != key[:-1])
+        place = np.arange(len(live))
+        rank[live] = old + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(whole, place, 0))
         done += step
+        live = live[~(new & np.append(new[1:], True))]
         live = live[size[live] > done]
-        count = np.bincount(name)
-        live = live[count[name[live]] > 1]
-    return name
+    used = np.zeros(len(places), np.int64)
+    used[rank] = 1
+    return (np.cumsum(used) - 1)[rank]
 
 
 def blocks_of(chars: np.ndarray, to: np.ndarray) -> list[int]:
@@ -171,7 +180,7 @@ def blocks_of(chars: np.ndarray, to: np.ndarray) -> list[int]:
     return [*ends, len(chars)]
 
 
-def induce(text, small, run, seeds, fixed, want_small, sign, memory):
+def induce(text, small, run, back, seeds, fixed, want_small, sign, memory):
     """One scan: all suffixes of one type, and what was ``fixed``, in order of sign * character.
 
     seeds: tuples to begin with. fixed: (sign * character, place, lcp) in order; within a character they come after
@@ -191,23 +200,21 @@ def induce(text, small, run, seeds, fixed, want_small, sign, memory):
     keys = (sign * chars)[::sign]
     i = 0
     for end in blocks_of(keys, hands[chars][::sign]):
-        last = int(keys[end - 1])
+        last = np.int32(keys[end - 1])
         char, place, lcp = queue.pop(last)
-        found = [(char, place, lcp)]
-        while len(place):  # longer runs of the same character follow shorter ones
-            at = np.flatnonzero(place > 0)
-            left = place[at] - 1
-            own = (small[left] == want_small) & (text[left] == sign * char[at])
-            at, left = at[own], left[own]
-            if not len(at):
-                break
-            value = np.ones(len(at), np.int32)
-            value[1:] += least_between(lcp, at[:-1], at[1:])
-            char = char[at]
-            value[firsts(char)] = len(found)
-            place, lcp = left, value
-            found.append((char, place, lcp))
-        char, place, lcp = (np.concatenate(c) for c in zip(*found))
+        extra = back[place] - 1
+        if extra.any():  # a run of the character goes on to the left: longer runs follow shorter ones
+            member = np.repeat(np.arange(len(place)), extra)
+            longer = np.arange(len(member)) - np.repeat(np.cumsum(extra) - extra, extra) + 1
+            order = np.lexsort((member, longer, char[member]))
+            member, longer = member[order], longer[order]
+            value = longer.astype(np.int32)
+            inner = np.flatnonzero((char[member[1:]] == char[member[:-1]]) & (longer[1:] == longer[:-1])) + 1
+            value[inner] += least_between(lcp, member[inner - 1], member[inner])
+            every = np.concatenate([char, char[member]])
+            order = np.argsort(every, kind="stable")
+            char, lcp = every[order], np.concatenate([lcp, value])[order]
+            place = np.concatenate([place, (place[member] - longer).astype(np.int32)])[order]
         j = int(np.searchsorted(fixed[0], last, "right"))
         order = np.argsort(np.concatenate([char, fixed[0][i:j]]), kind="stable")
         n_found = len(char)
@@ -243,7 +250,7 @@ def sort_suffixes(text: np.ndarray, depth: int, memory: int = 1 << 24, trace: li
     if not n:
         return np.empty(0, np.int32), np.empty(0, np.int32)
     text = held(text, memory)
-    small, run = classify(text, memory)
+    small, run, back = classify(text, memory)
     places = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     lms = lms_lcp = np.empty(0, np.int32)
     if len(places):
@@ -261,7 +268,7 @@ def sort_suffixes(text: np.ndarray, depth: int, memory: int = 1 << 24, trace: li
     large: list[list[np.ndarray]] = [[], [], []]
     lms_char = text[lms].astype(np.int32)
     seed = (np.array([text[-1]], np.int32), np.array([n - 1], np.int32), np.zeros(1, np.int32))
-    for char, place, lcp, is_found in induce(text, small, run, seed, (lms_char, lms, lms_lcp), False, 1, memory):
+    for char, place, lcp, is_found in induce(text, small, run, back, seed, (lms_char, lms, lms_lcp), False, 1, memory):
         for out, c in zip(large, (char, place, lcp)):
             out.append(held(c[is_found], memory))
     char, place, lcp = (held(np.concatenate(c), memory) for c in large)
@@ -269,7 +276,7 @@ def sort_suffixes(text: np.ndarray, depth: int, memory: int = 1 << 24, trace: li
     down = np.append(lcp[:1] * 0, lcp[:0:-1])
     none = (np.empty(0, np.int32),) * 3
     orders, lcps = [], []
-    for _, place, lcp, _ in induce(text, small, run, none, (-char[::-1], place[::-1], down), True, -1, memory):
+    for _, place, lcp, _ in induce(text, small, run, back, none, (-char[::-1], place[::-1], down), True, -1, memory):
         orders.append(place)
         lcps.append(lcp)
     order, lcp = np.concatenate(orders)[::-1], np.concatenate(lcps)[::-1]

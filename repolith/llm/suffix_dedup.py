@@ -16,8 +16,8 @@ from repolith.llm.superkmers import Kind, by_document, dealt, hot_spans, identif
 #: Bytes of a repeated string; of the pieces that minimisers are chosen from.
 WIDTH, PROBE = 400, 32
 #: Super-k-mers of a shard, about 600 bytes each.
-PER_SHARD = 12_000
-#: Queue entries and characters of a shard in memory; what is beyond is on disk (a shard of 7 MB is).
+PER_SHARD = 8_000
+#: Queue entries and characters of a shard in memory; what is beyond is on disk (a shard of 5 MB is).
 MEMORY = 1 << 20
 #: The character between strings is none of a text's bytes, so no string of a text reaches over it.
 BETWEEN = 256

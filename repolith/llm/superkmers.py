@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from repolith.llm.common import cut, in_python, tagged
 
-#: Bytes of text that a task packs at once.
-CHUNK = 4 << 20
+#: Bytes of text that a task packs at once; units of the documents whose minimisers it looks for at once.
+CHUNK, BLOCK = 4 << 20, 1 << 18
 #: Minimisers that are hot, at most: one has to have more than a share of 1 / HOT_MOST of all super-k-mers (8 MB as a list).
 HOT_MOST = 1_000_000
+#: Bits of the filter of minimisers that occur twice (a fixed 16 MB; a fuller one lets more through).
+TWICE_BITS = 27
 #: Words of more bytes are hashed by XXH64, shorter ones by a polynomial for all words at once.
 LONG_WORD = 64
 #: Low bits of a window's minimum hold the place of the minimiser, the rest its hash.
@@ -103,7 +105,7 @@ def chunk_of(texts: list[bytes], kind: Kind, c: np.uint64 = _C1) -> Chunk:
         first = np.cumsum([0, *map(len, texts)])
         data = np.frombuffer(buffer := b"".join(texts), np.uint8)
         at = np.arange(len(data))
-        return Chunk(buffer, mix(data.astype(np.uint64) + c), at, at + 1, first)
+        return Chunk(buffer, mix(np.arange(256, dtype=np.uint64) + c)[data], at, at + 1, first)
     split = [t.split() for t in texts]
     first = np.cumsum([0, *map(len, split)])
     buffer = b" ".join(b" ".join(w) for w in split if w) + b" "
@@ -123,20 +125,34 @@ def window_starts(first: np.ndarray, width: int) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(first[doc] - (np.cumsum(n) - n), n)
 
 
-def runs(chunk: Chunk, kind: Kind):
-    """Super-k-mers of a chunk: minimiser, first window, number of windows, document's place, repeats-inside."""
-    at = window_starts(chunk.first, kind.width)
+def runs(chunk: Chunk, kind: Kind) -> list[np.ndarray]:
+    """Super-k-mers of a chunk: minimiser, first window, number of windows, document's place, repeats-inside.
+
+    Documents are taken a few at a time, so that the arrays stay in the processor's cache.
+    """
+    parts, i, n = [], 0, len(chunk.first) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(chunk.first, chunk.first[i] + BLOCK, "right")) - 1)
+        parts.append(_runs(chunk.hashes[chunk.first[i] : chunk.first[j]], chunk.first[i : j + 1] - chunk.first[i], kind))
+        parts[-1][1] += chunk.first[i]
+        parts[-1][3] += i
+        i = j
+    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64)] * 5
+
+
+def _runs(hashes: np.ndarray, first: np.ndarray, kind: Kind) -> list[np.ndarray]:
+    at = window_starts(first, kind.width)
     if not len(at):
-        return [np.empty(0, np.int64)] * 5
-    pieces = mix(span_hash(chunk.hashes, kind.probe, _C2))
+        return [np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool)]
+    pieces = mix(span_hash(hashes, kind.probe, _C2))
     low = np.uint64((1 << PLACE) - 1)
     v = (pieces & ~low) | (np.arange(len(pieces), dtype=np.uint64) & low)
     least = sliding_min(v, kind.width - kind.probe + 1)[at]
     key = least >> np.uint64(PLACE)
     begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1))))
     end = np.append(begin[1:], len(at))
-    doc = np.searchsorted(chunk.first, at[begin], "right") - 1
-    return key[begin].astype(np.int64), at[begin], end - begin, doc, least[begin] != least[end - 1]
+    doc = np.searchsorted(first, at[begin], "right") - 1
+    return [key[begin].astype(np.int64), at[begin], end - begin, doc, least[begin] != least[end - 1]]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], kind: Kind):
@@ -187,11 +203,23 @@ def unpack(packed: bytes) -> tuple[list[np.ndarray], bytes]:
     return columns, data[at:]
 
 
-def _deal(kind: Kind, buckets: int, hot):
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (mix(key.view(np.uint64)) >> np.uint64(64 - TWICE_BITS)).astype(np.int64)
+
+
+def _slots_of(batches):
+    for batch in batches:
+        slot = _slot(batch.column(0).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(slot & 63)], ["word", "bit"])
+
+
+def _deal(kind: Kind, buckets: int, twice, hot):
     def run(batches):
         for ids, proofs, chunk in chunks(batches, kind):
             key, at, n, doc, inside = runs(chunk, kind)
-            keep = ~np.isin(key, hot.value)
+            slot = _slot(key)
+            again = (twice.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+            keep = (again | inside) & ~np.isin(key, hot.value)
             key, at, n, doc, inside = (x[keep] for x in (key, at, n, doc, inside))
             if not len(key):
                 continue
@@ -244,19 +272,26 @@ def identified(docs: DataFrame) -> DataFrame:
 def dealt(texts: DataFrame, kind: Kind, per_bucket: int) -> tuple[DataFrame, DataFrame | None]:
     """(bucket, packed) of all super-k-mers but those with a hot minimiser; and the hot windows, or None.
 
-    A first pass counts super-k-mers by minimiser over all texts. Their number gives the number of buckets, of
-    ``per_bucket`` super-k-mers on average. A minimiser with more than that, and with more than one of HOT_MOST, is
-    hot: no bucket takes it, its windows go one by one instead (window, id, proof, first) to grouped aggregates that
-    combine before the shuffle. So the list of hot ones is bounded, and a bucket has at most ``per_bucket``
-    super-k-mers or one of HOT_MOST of all, for each of its minimisers.
+    A first pass counts super-k-mers by minimiser over all texts. A minimiser that occurs once has no window that
+    repeats (but within its super-k-mer), so only the others travel: a filter of fixed size tells them. Their number
+    gives the number of buckets, of ``per_bucket`` super-k-mers on average. A minimiser with more than that, and with
+    more than one of HOT_MOST, is hot: no bucket takes it, its windows go one by one instead (window, id, proof, first)
+    to grouped aggregates that combine before the shuffle. So the list of hot ones is bounded, and a bucket has at most
+    ``per_bucket`` super-k-mers or one of HOT_MOST of all, for each of its minimisers.
     """
     counts = in_python(texts, _count(kind), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = cut(counts)
+    counts = cut(counts.where("n > 1"))
     total = counts.agg(F.sum("n")).first()[0] or 0
+    context = texts.sparkSession.sparkContext
     hot = counts.where(F.col("n") > max(per_bucket, total // HOT_MOST)).select("key").collect()  # HOT_MOST rows at most
-    hot = texts.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in hot), np.int64))
+    hot = context.broadcast(np.array(sorted(r[0] for r in hot), np.int64))
+    words = in_python(counts.select("key"), _slots_of, "word long, bit long").groupBy("word")
+    words = words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").cast("int"))).alias("bits")).toArrow()
+    twice = np.zeros(1 << (TWICE_BITS - 6), np.uint64)
+    twice[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    twice = context.broadcast(twice)
     buckets = max(1, -(-total // per_bucket))
-    packed = in_python(texts, _deal(kind, buckets, hot), "bucket long, packed binary")
+    packed = in_python(texts, _deal(kind, buckets, twice, hot), "bucket long, packed binary")
     if not len(hot.value):
         return packed, None
     return packed, in_python(texts, _hot_windows(kind, hot), "window binary, id long, proof long, first int")

@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm.common import broadcast_if_small, crc_bucket, cut
+from repolith.llm.common import broadcast_if_small, crc_bucket, cut, in_python, schema_of
 
 # What a written character may stand for.
 LEET = {
@@ -21,21 +21,20 @@ LEET = {
 SEPARATORS = set(".-_*'~^`·,/\\")
 #: Channel costs (negative log): a substitution, a separator within a word, a repeated letter dropped or kept.
 SUBSTITUTE, SEPARATE, REPEAT, KEEP_REPEAT = 1.0, 0.5, 0.5, 1.5
-#: Beam of the decoder; letters of the longest token it decodes; words that a task counts or caches at once.
-BEAM, LONGEST, HELD = 24, 40, 200_000
-#: Letters of the longest piece of a word in two pieces.
-PIECE = 4
-#: Features of a word are the word and its beginnings of these lengths; the model keeps the best FEATURES of those
-#: that are at least LEAST_ODDS likelier (natural log) in toxic documents, by a likelihood-ratio test whose statistic
-#: is at least LEAST_PROOF (a chance of 1 in 10**6 a feature).
-BEGINNINGS, FEATURES, LEAST_ODDS, LEAST_PROOF = (4, 5, 6), 5000, 2.0, 24.0
-
-_SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,}\S(?!\w)")
+#: Words that a task counts or remembers at once.
+HELD = 200_000
+#: Letters that the model tells apart: Latin ones, as fixed ranges of code points. All others count as one letter, for
+#: the channel never writes them. This bounds the trigrams, whatever scripts the corpus holds.
+LETTERS, OTHER = frozenset(map(chr, [*range(0x61, 0x7B), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x180)])), "\u00a4"
+#: Features of a word are the word and its beginnings of these lengths; the model keeps those that are at least
+#: LEAST_ODDS likelier (natural log) in toxic documents, by a likelihood-ratio test whose statistic is at least
+#: LEAST_PROOF (a chance of 1 in 10**6 a feature).
+BEGINNINGS, LEAST_ODDS, LEAST_PROOF = (4, 5, 6), 2.0, 24.0
+
 _EDGE = "\"'()[]{}<>«»“”‘’.,;:!?%&*#$…-–—_/\\|"
 _OPENING = "\"'()[]{}<>«»“”‘’.,;:?%&*#…-–—_/\\"
-_TRIPLE = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"(.)\1+")
 _DOUBLE = re.compile(r"(.)\1")
-_NOISY = re.compile(r"[^\W\d_].*[\d@$!|+(€£.\-_*'~^`·,/\\]|[\d@$!|+(€£].*[^\W\d_]|(.)\1\1")
 
 
 @dataclass
@@ -45,6 +44,15 @@ class LanguageModel:
     three: dict[str, float]
     one: dict[str, float]
 
+    @staticmethod
+    def from_counts(counts: dict[str, int]) -> LanguageModel:
+        """counts: letter trigrams of padded words and how often they occur."""
+        two, one, total = Counter(), Counter(), sum(counts.values())
+        for g, n in counts.items():
+            two[g[:2]] += n
+            one[g[2]] += n
+        return LanguageModel({g: math.log(n / two[g[:2]]) for g, n in counts.items()}, {c: math.log(n / total) for c, n in one.items()})
+
     def cost(self, before: str, letter: str) -> float:
         got = self.three.get(before + letter)
         return -got if got is not None else 4.0 - self.one.get(letter, -12.0)
@@ -67,52 +75,35 @@ def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
+def _trigrams(batches):
+    """Letter trigrams of words, each counted as often as its word occurs."""
+    for batch in batches:
+        counts: Counter = Counter()
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            padded = f"^^{''.join(c if c in LETTERS else OTHER for c in word)}$"
+            for i in range(len(padded) - 2):
+                counts[padded[i : i + 3]] += n
+        yield _counted(counts)
+
+
 def language_model(docs: DataFrame) -> LanguageModel:
-    """Letter trigrams of the words of every document. The result is bounded by the letters used.
+    """Letter trigrams of the words of every document, at most len(LETTERS) + 3 cubed.
 
     Words with anything but letters are left out: they are what the channel makes of words.
     """
-    words = docs.select(F.lower("text")).mapInArrow(word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    plain = words.withColumn("word", F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", "")).where(F.col("word").rlike(r"^\p{L}{1,40}$"))
-    padded = F.concat(F.lit("^^"), F.col("word"), F.lit("$"))
-    threes = plain.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: padded.substr(i, F.lit(3)))).alias("g"), "n")
-    threes = threes.groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(100_000).collect()
-    two, one, total = Counter(), Counter(), 0
-    for r in threes:
-        two[r["g"][:2]] += r["n"]
-        one[r["g"][2]] += r["n"]
-        total += r["n"]
-    return LanguageModel(
-        {r["g"]: math.log(r["n"] / two[r["g"][:2]]) for r in threes},
-        {c: math.log(n / total) for c, n in one.items()},
-    )
-
-
-def decode(token: str, model: LanguageModel) -> str:
-    """Likeliest letters behind a token: Viterbi over its lattice, a state being the last two letters."""
-    states = {"^^": (0.0, "")}
-    previous = ""
-    for char in token[:LONGEST]:
-        readings = [(x, SUBSTITUTE) for x in LEET.get(char, "")]
-        readings += [(char, 0.0)] if char.isalpha() else []
-        drop = SEPARATE if char in SEPARATORS else REPEAT if char == previous else None if readings else 3 * SEPARATE
-        after: dict[str, tuple[float, str]] = {}
-        for state, (cost, text) in states.items():
-            if drop is not None and (c := cost + drop) < after.get(state, (math.inf,))[0]:
-                after[state] = (c, text)
-            for letter, channel in readings:
-                c = cost + channel + model.cost(state, letter) + (KEEP_REPEAT if char == previous else 0.0)
-                key = state[1] + letter
-                if c < after.get(key, (math.inf,))[0]:
-                    after[key] = (c, text + letter)
-        states = dict(sorted(after.items(), key=lambda s: (s[1][0], s[1][1]))[:BEAM])
-        previous = char
-    return min((cost + model.cost(state, "$"), text) for state, (cost, text) in states.items())[1] + token[LONGEST:]
+    words = in_python(docs.select(F.lower("text")), word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    plain = words.select(F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("word"), "n").where(F.col("word").rlike(r"^\p{L}+$"))
+    threes = in_python(plain, _trigrams, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    return LanguageModel.from_counts({r["word"]: r["n"] for r in sorted(threes)})
 
 
-def decode_run(written: str, model: LanguageModel) -> list[str]:
-    """Likeliest words behind letters or pieces that blanks part: Viterbi as in ``decode``, but a blank either lies
-    within a word, as a separator, or ends one. A path is a chain (before, letter); $ ends a word.
+def decode(written: str, model: LanguageModel) -> list[str]:
+    """Likeliest words behind letters, signs and blanks: Viterbi over the lattice of what each may stand for.
+
+    A state is the last two letters of the current word. A sign may be a letter, or a separator within a word, or the
+    repeat of the sign before. A blank lies within a word, as a separator, or ends one. There are at most as many
+    states as pairs of letters, so the work is in proportion to the length; none is dropped. A path is a chain
+    (before, letter); $ ends a word.
     """
     states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
     previous = ""
@@ -120,6 +111,7 @@ def decode_run(written: str, model: LanguageModel) -> list[str]:
         readings = [(x, SUBSTITUTE) for x in LEET.get(char, "")]
         readings += [(char, 0.0)] if char.isalpha() else []
         drop = SEPARATE if char == " " or char in SEPARATORS else REPEAT if char == previous else None if readings else 3 * SEPARATE
+        keep = KEEP_REPEAT if char == previous else 0.0
         after: dict[str, tuple[float, tuple | None]] = {}
         for state, (cost, path) in states.items():
             if drop is not None and (c := cost + drop) < after.get(state, (math.inf,))[0]:
@@ -127,11 +119,12 @@ def decode_run(written: str, model: LanguageModel) -> list[str]:
             if char == " " and state != "^^" and (c := cost + model.cost(state, "$")) < after.get("^^", (math.inf,))[0]:
                 after["^^"] = (c, (path, "$"))
             for letter, channel in readings:
-                c = cost + channel + model.cost(state, letter) + (KEEP_REPEAT if char == previous else 0.0)
-                key = state[1] + letter
+                known = letter if letter in LETTERS else OTHER
+                c = cost + channel + keep + model.cost(state, known)
+                key = state[1] + known
                 if c < after.get(key, (math.inf,))[0]:
                     after[key] = (c, (path, letter))
-        states = dict(sorted(after.items(), key=lambda s: (s[1][0], s[0]))[:BEAM])
+        states = after
         previous = char if char != " " else previous
     _, _, path = min((cost + (model.cost(state, "$") if state != "^^" else 0.0), state, path) for state, (cost, path) in states.items())
     letters = []
@@ -141,77 +134,141 @@ def decode_run(written: str, model: LanguageModel) -> list[str]:
     return [w for w in "".join(reversed(letters)).split("$") if w]
 
 
+class _Skeleton(dict):
+    """Signs to the letter they may stand for (i and l are one), letters to themselves, all else to nothing."""
+
+    def __missing__(self, code: int):
+        char = chr(code)
+        read = LEET.get(char, char if char.isalpha() else "")[:1].replace("l", "i")
+        self[code] = read or None
+        return self[code]
+
+
+_SKELETON = _Skeleton()
+
+
+def skeleton(written: str) -> str:
+    """What all readings of the decoder have in common: letters without repeats. If ``decode`` of a run of signs can
+    give a word, their skeletons are equal; so where no wanted skeleton is found nothing needs to be decoded.
+    """
+    return _RUN.sub(r"\1", written.translate(_SKELETON))
+
+
 def features(word: str) -> tuple[str, ...]:
     return (word, *[word[:n] + "*" for n in BEGINNINGS if len(word) >= n])
 
 
-@dataclass
+def bare(token: str) -> str:
+    return token.rstrip(_EDGE).lstrip(_OPENING)
+
+
 class Restorer:
-    """Restores the words of texts. What each token stands for is remembered, as features of ``wanted`` (None: all)."""
-
-    model: LanguageModel
-    wanted: set[str] | None = None
-    known: dict[str, tuple[str, ...]] = field(default_factory=dict)
-
-    def word(self, token: str) -> str:
-        written = token.rstrip(_EDGE).lstrip(_OPENING)
-        if 2 < len(written) <= LONGEST and (_TRIPLE if written.isalpha() else _NOISY).search(written):
-            return decode(written, self.model)
-        return written.lstrip(_EDGE)
-
-    def readings(self, token: str) -> list[str]:
-        """Words that a token of ``tokens`` stands for. A word with a doubled letter is also read as the channel's."""
-        if " " in token:
-            return decode_run(token, self.model)
-        word = self.word(token)
-        if word.isalpha() and _DOUBLE.search(word) and 2 < len(word) <= LONGEST and (other := decode(word, self.model)) != word:
-            return [word, other]
-        return [word] if word else []
-
-    def tokens(self, text: str) -> set[str]:
-        """Distinct tokens of a text, runs of letters spelt apart, and neighbours that may be pieces of a word."""
-        text = text.lower()
-        split = text.split()
-        tokens = set(split)
-        tokens.update(re.sub(r"[.\-_*]", " ", spelt) for spelt in _SPACED.findall(text))
-        short = [t if len(t) <= PIECE and t.isalpha() else "" for t in split]
-        tokens.update([f"{a} {b}" for a, b in zip(short, short[1:]) if a and b and len(a) + len(b) > PIECE])
-        return tokens
-
-    def words(self, text: str) -> set[str]:
-        """Distinct restored words of a text."""
-        return {w for t in self.tokens(text) for w in self.readings(t)}
-
-    def features(self, text: str) -> set[str]:
-        """Distinct features of a text."""
+    """Finds the wanted features of texts, in words as written and as restored.
+
+    What a token stands for is remembered. Tokens, runs of single signs, and neighbours that together may spell a
+    wanted word go to the decoder if their skeleton has that of a wanted feature.
+    """
+
+    def __init__(self, model: LanguageModel, wanted):
+        self.model, self.wanted = model, frozenset(wanted)
+        self.words = {skeleton(f) for f in self.wanted if f[-1] != "*"}
+        self.stems = {skeleton(f[:-1]) for f in self.wanted if f[-1] == "*"} - {""}
+        self.lengths = sorted({len(s) for s in self.stems})
+        self.least = min(map(len, self.words | self.stems), default=0)
+        self.heads = {s[: self.least] for s in self.words | self.stems}
+        #: Beginnings of wanted skeletons: what more signs can complete.
+        self.open = {s[:n] for s in self.words | self.stems for n in range(1, len(s))}
+        any_of = "|".join(sorted(map(re.escape, self.words | self.stems)))
+        self.inside = re.compile(any_of) if any_of else None
+        self.known: dict[str, tuple[str, ...]] = {}
+        self.signs: set[str] = set()
+        self.special: set[str] = set()
+
+    def may_be(self, bones: str) -> bool:
+        if bones[: self.least] not in self.heads:
+            return False
+        return bones in self.words or any(bones[:n] in self.stems for n in self.lengths)
+
+    def of_words(self, words: list[str]) -> tuple[str, ...]:
+        return tuple(f for w in words for f in features(w) if f in self.wanted)
+
+    def token(self, token: str) -> tuple[str, ...]:
+        """Features of a token. A word with a doubled letter is also read as the channel's."""
+        written = bare(token)
+        bones = skeleton(written)
+        if len(token) == 1 or len(written) == 1:
+            self.signs.add(token)
+        if token in self.signs or bones in self.open:
+            self.special.add(token)
+        if not self.may_be(bones):
+            return ()
+        plain = written.isalpha()
+        found = self.of_words([written]) if plain else ()
+        if not plain or _DOUBLE.search(written):
+            found += self.of_words(decode(written, self.model))
+        return found
+
+    def pieces(self, tokens: list[str], special: list[int]) -> list[str]:
+        """Features of runs of single signs, and of a token with those after it that complete a wanted skeleton."""
+        found: list[str] = []
+        done = -1
+        for i in special:
+            if i < done:
+                continue
+            j = i
+            while j < len(tokens) and tokens[j] in self.signs:
+                j += 1
+            if j - i > 2:
+                done = j
+                run = " ".join(t if len(t) == 1 else bare(t) for t in tokens[i:j])
+                if self.inside and self.inside.search(skeleton(run)):
+                    found += self.of_words(decode(run, self.model))
+                continue
+            bones, j = skeleton(bare(tokens[i])), i + 1
+            while bones in self.open and j < len(tokens):
+                bones = skeleton(bones + bare(tokens[j]))
+                j += 1
+            if j > i + 1 and self.may_be(bones):
+                found += self.of_words(decode(" ".join(map(bare, tokens[i:j])), self.model))
+        return found
+
+    def features(self, text: str | None) -> set[str]:
+        """Distinct wanted features of a text."""
         found: set[str] = set()
-        known = self.known
-        for token in self.tokens(text):
+        tokens, known = (text or "").lower().split(), self.known
+        for token in set(tokens):
             got = known.get(token)
             if got is None:
-                got = tuple(f for word in self.readings(token) for f in features(word))
-                if self.wanted is not None:
-                    got = tuple(f for f in got if f in self.wanted)
-                if len(known) > HELD:
-                    known.clear()
-                known[token] = got
+                got = known[token] = self.token(token)
             if got:
                 found.update(got)
+        held = self.special
+        found.update(self.pieces(tokens, [i for i, t in enumerate(tokens) if t in held]))
+        if len(known) > HELD:
+            for memory in (held, self.signs, known):
+                memory.clear()
         return found
 
 
-def _feature_counts(model: LanguageModel):
-    def run(batches):
-        restorer, counts = Restorer(model), (Counter(), Counter())
-        for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts[toxic].update(restorer.features(text.as_py() or ""))
-                if len(counts[0]) + len(counts[1]) > HELD:
-                    yield _pairs(*counts)
-                    counts = (Counter(), Counter())
-        yield _pairs(*counts)
-
-    return run
+def _feature_counts(batches):
+    """Documents of either label by feature of their words as written."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    known: dict[str, tuple[str, ...]] = {}
+    for batch in batches:
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found: set[str] = set()
+            for token in set((text.as_py() or "").lower().split()):
+                got = known.get(token)
+                if got is None:
+                    if len(known) > HELD:
+                        known.clear()
+                    got = known[token] = features(word) if (word := bare(token)).isalpha() else ()
+                found.update(got)
+            counts[toxic].update(found)
+            if len(counts[0]) + len(counts[1]) > HELD:
+                yield _pairs(*counts)
+                counts = (Counter(), Counter())
+    yield _pairs(*counts)
 
 
 def _pairs(clean: Counter, toxic: Counter) -> pa.RecordBatch:
@@ -220,82 +277,64 @@ def _pairs(clean: Counter, toxic: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["feature", "clean", "toxic"])
 
 
-@dataclass
-class Model:
-    language: LanguageModel
-    weights: dict[str, float]
-    slope: float = 1.0
-    offset: float = 0.0
+def odds(clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> Column:
+    """Log ratio of a feature's document rates in toxic and clean texts."""
+    return F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
 
-    def strength(self, restorer: Restorer, text: str | None) -> float:
-        """Sum of the weights of the text's distinct features."""
-        return sum(self.weights[f] for f in sorted(restorer.features(text or "")))
 
-    def score(self, strength: float) -> float:
-        x = max(-30.0, min(30.0, self.slope * strength + self.offset))
-        return 1 / (1 + math.exp(-x))
+def wanted_features(labelled: DataFrame, clean: int, toxic: int) -> list[str]:
+    """Features of words as written that tell toxic texts from clean ones. labelled: (toxic, text)."""
+    counts = in_python(labelled, _feature_counts, "feature string, clean long, toxic long")
+    counts = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    rate = (toxic + 1) / (toxic + clean + 2)
+    seen = F.col("toxic") + F.col("clean")
+    part = lambda k, r: F.when(k > 0, k * F.log(k / (seen * r))).otherwise(0.0)
+    proof = 2 * (part(F.col("toxic"), rate) + part(F.col("clean"), 1 - rate))
+    best = counts.where((F.col("toxic") > 0) & (odds(F.col("clean"), F.col("toxic"), clean, toxic) >= LEAST_ODDS) & (proof >= LEAST_PROOF))
+    return sorted(r["feature"] for r in best.select("feature").collect())
 
 
-def _strengths(model: Model):
+def _restored(model: LanguageModel, wanted: list[str], text: str):
     def run(batches):
-        restorer = Restorer(model.language, set(model.weights))
+        restorer, place = Restorer(model, wanted), {f: i for i, f in enumerate(wanted)}
         for batch in batches:
-            strength = [model.strength(restorer, t.as_py()) for t in batch.column("_text")]
-            keep = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(strength, pa.float64())], [*keep, "strength"])
+            found = [sorted(place[f] for f in restorer.features(t.as_py())) for t in batch.column(text)]
+            keep = [n for n in batch.schema.names if n != text]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(found, pa.list_(pa.int32()))], [*keep, "found"])
 
     return run
 
 
-def strengths(texts: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``texts`` but ``_text``, and strength: the sum of the weights of its features."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.drop("_text").schema)
-    return texts.mapInArrow(_strengths(model), f"{schema}, strength double")
+def restored(texts: DataFrame, model: LanguageModel, wanted: list[str], text: str = "text") -> DataFrame:
+    """The columns of ``texts`` but the text, and found: the places in ``wanted`` of its distinct features."""
+    return in_python(texts, _restored(model, wanted, text), f"{schema_of(texts.drop(text))}, found array<int>")
 
 
-def fit(docs: DataFrame, labelled: DataFrame) -> Model:
-    """docs: all documents (for the language model). labelled: (toxic, text).
-
-    A feature's weight is the log ratio of its document rates in toxic and clean texts; the strengths that the
-    weights give the labelled texts are then mapped to probabilities by a logistic curve.
-    """
-    language = language_model(docs)
-    labelled = labelled.where("toxic is not null and text is not null").select(F.col("toxic").cast("int").alias("toxic"), "text")
-    totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    clean, toxic = totals.get(0, 0), totals.get(1, 0)
-    counts = labelled.mapInArrow(_feature_counts(language), "feature string, clean long, toxic long")
-    counts = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    rate = (toxic + 1) / (toxic + clean + 2)
-    seen = F.col("toxic") + F.col("clean")
-    part = lambda k, r: F.when(k > 0, k * F.log(k / (seen * r))).otherwise(0.0)
-    proof = 2 * (part(F.col("toxic"), rate) + part(F.col("clean"), 1 - rate))
-    best = counts.where("toxic > 0").withColumn("odds", odds).withColumn("proof", proof)
-    best = best.where((F.col("odds") >= LEAST_ODDS) & (F.col("proof") >= LEAST_PROOF))
-    best = best.orderBy(F.desc("proof"), "feature").limit(FEATURES).collect()
-    model = Model(language, {r["feature"]: r["odds"] for r in best})
-    known = cut(strengths(labelled.select("toxic", F.col("text").alias("_text")), model))
-    model.slope, model.offset = _logistic(known)
-    return model
-
-
-def _logistic(known: DataFrame, steps: int = 12) -> tuple[float, float]:
-    """Slope and offset by Newton's method on a histogram of strengths (at most 2001 bins)."""
+def _logistic(known: DataFrame, steps: int = 25) -> tuple[float, float]:
+    """Slope and offset by Newton's method with step halving, on a histogram of strengths (at most 2001 bins)."""
     bins = known.groupBy(F.least(F.round(F.col("strength") * 4), F.lit(2000)).alias("b"), "toxic").count().collect()
     data = [(r["b"] / 4, r["toxic"], r["count"]) for r in bins]
     if len({t for _, t, _ in data}) < 2:
         return 1.0, -3.0
+    def loss(w: float, b: float) -> float:
+        out = 0.05 * w * w + 0.005 * b * b
+        for x, t, n in data:
+            z = (w * x + b) * (-1 if t else 1)
+            out += n * (z if z > 30 else math.log1p(math.exp(z)))
+        return out
+
     w, b = 0.5, -1.0
     for _ in range(steps):
         gw = gb = hww = hwb = hbb = 0.0
         for x, t, n in data:
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, w * x + b))))
-            e, h = n * (p - t), n * max(p * (1 - p), 1e-6)
+            e, h = n * (p - t), n * p * (1 - p)
             gw, gb, hww, hwb, hbb = gw + e * x, gb + e, hww + h * x * x, hwb + h * x, hbb + h
-        gw, hww, hbb = gw + 0.1 * w, hww + 0.1, hbb + 0.01
+        gw, gb, hww, hbb = gw + 0.1 * w, gb + 0.01 * b, hww + 0.1, hbb + 0.01
         det = hww * hbb - hwb * hwb
-        dw, db = (hbb * gw - hwb * gb) / det, (hww * gb - hwb * gw) / det
-        scale = min(1.0, 2 / max(abs(dw), abs(db), 1e-9))
+        dw, db, scale = (hbb * gw - hwb * gb) / det, (hww * gb - hwb * gw) / det, 1.0
+        while scale > 1e-6 and loss(w - scale * dw, b - scale * db) >= loss(w, b):
+            scale /= 2
         w, b = w - scale * dw, b - scale * db
     return max(w, 1e-3), b
 
@@ -307,14 +346,29 @@ def held_out(folds: int = 5, fold: int = 0):
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every whole text: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on).
 
-    Labels are learned only from rows that are not held out. Null and empty texts are scored as texts without
-    words. Rows that repeat a doc_id are scored each by its own text. Without labels of both kinds nothing is
-    predicted toxic. An empty table gives an empty result; other columns are ignored.
+    The letters' model counts the words of all documents. Labels are learned only from rows that are not held out:
+    features that tell toxic texts are chosen among words as written, then all texts are restored and searched for
+    them; a feature's weight is the log ratio of its document rates in restored labelled texts, and a logistic curve
+    maps a text's sum of weights to a probability.
+
+    Null and empty texts are scored as texts without words. Rows that repeat a doc_id are scored each by its own
+    text. Without labels of both kinds nothing is predicted toxic. An empty table gives an empty result; other
+    columns are ignored.
     """
-    labels = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.where(~held_out()).select("doc_id", "text").join(broadcast_if_small(labels), "doc_id").select("toxic", "text")
-    model = fit(docs, known)
-    found = strengths(docs.select("doc_id", held_out().alias("held_out"), F.col("text").alias("_text")), model)
-    x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("strength") * model.slope + model.offset))
+    labels = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    labels = broadcast_if_small(labels)
+    known = docs.where(~held_out()).select("doc_id", "text").where("text is not null").join(labels, "doc_id").select("toxic", "text")
+    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    clean, toxic = totals.get(0, 0), totals.get(1, 0)
+    wanted = wanted_features(known, clean, toxic) if clean and toxic else []
+    language = language_model(docs) if wanted else LanguageModel({}, {})
+    found = cut(restored(docs.select("doc_id", held_out().alias("held_out"), F.col("text").isNotNull().alias("written"), "text"), language, wanted))
+    known = found.where(~F.col("held_out") & F.col("written")).join(labels, "doc_id")
+    counts = known.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.count(F.when(F.col("toxic") == 0, 1)).alias("clean"), F.count(F.when(F.col("toxic") == 1, 1)).alias("toxic"))
+    weights = {r["f"]: r["w"] for r in counts.select("f", odds(F.col("clean"), F.col("toxic"), clean, toxic).alias("w")).collect()}
+    table = F.array(*[F.lit(max(0.0, weights.get(i, 0.0))) for i in range(len(wanted))] or [F.lit(0.0)])
+    strength = F.aggregate("found", F.lit(0.0), lambda s, i: s + F.element_at(table, i + 1))
+    slope, offset = _logistic(known.select("toxic", strength.alias("strength")))
+    x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), strength * slope + offset))
     score = 1 / (1 + F.exp(-x))
     return found.select("doc_id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))

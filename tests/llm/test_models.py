@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from repolith.llm import language_id, toxicity
 from repolith.llm.common import table
@@ -28,23 +30,64 @@ def test_language_id_held_out(spark):
     assert {r["lang_pred"] for r in language_id.identify(odd, empty, ["doc_id"]).collect()} == {"und"}
 
 
-def test_decode():
-    words = {"idiot": 50, "stupid": 50, "the": 500, "loser": 50, "trash": 40, "moron": 40}
-    three, two, one = {}, {}, {}
+def model_of(words):
+    counts = {}
     for w, n in words.items():
         w = "^^" + w + "$"
         for i in range(len(w) - 2):
-            three[w[i : i + 3]] = three.get(w[i : i + 3], 0) + n
-            two[w[i : i + 2]] = two.get(w[i : i + 2], 0) + n
-            one[w[i + 2]] = one.get(w[i + 2], 0) + n
-    import math
+            counts[w[i : i + 3]] = counts.get(w[i : i + 3], 0) + n
+    return toxicity.LanguageModel.from_counts(counts)
+
 
-    model = toxicity.LanguageModel({g: math.log(n / two[g[:2]]) for g, n in three.items()}, {c: math.log(n / 4000) for c, n in one.items()})
-    for noisy, plain in {"1d10t": "idiot", "st00pid": "stoopid", "$tup1d": "stupid", "l.o.s.e.r": "loser", "trrrash": "trash", "m0r0n": "moron", "idiot": "idiot"}.items():
-        if plain != "stoopid":
-            assert toxicity.decode(noisy, model) == plain
-    restorer = toxicity.Restorer(model)
-    assert {"idiot", "moron", "loser"} <= restorer.words("you 1D10T!! m o r o n, l.o.s.e.r the")
+WORDS = {"idiot": 50, "stupid": 50, "the": 500, "loser": 50, "trash": 40, "moron": 40, "dumb": 50, "such": 90, "a": 500, "today": 90, "i": 300, "good": 60}
+
+
+def test_decode():
+    model = model_of(WORDS)
+    shown = {"1d10t": "idiot", "$tup1d": "stupid", "l.o.s.e.r": "loser", "trrrash": "trash", "m0r0n": "moron", "idiot": "idiot"}
+    shown |= {"i" * 40 + "diot": "idiot", "..........".join("idiot"): "idiot", "i" * 3000 + "diot": "idiot"}
+    for noisy, plain in shown.items():
+        assert toxicity.decode(noisy, model) == [plain], noisy
+        assert toxicity.skeleton(noisy) == toxicity.skeleton(plain)
+    restorer = toxicity.Restorer(model, ["idiot", "moron", "los*"])
+    assert restorer.features("you 1D10T!! m o r o n, l.o.s.e.r the") == {"idiot", "moron"}
+    assert toxicity.Restorer(model, ["lose*"]).features("l.o.s.e.r the") == {"lose*"}
+    assert toxicity.Restorer(model, []).features("idiot m o r o n") == set()
+
+
+def readings(written):
+    """Every path of the lattice: (words joined by $, cost of the channel)."""
+    paths, previous = [("", 0.0)], ""
+    for char in written:
+        out = []
+        letters = [(x, toxicity.SUBSTITUTE) for x in toxicity.LEET.get(char, "")] + ([(char, 0.0)] if char.isalpha() else [])
+        for text, cost in paths:
+            if char == " " or char in toxicity.SEPARATORS:
+                out.append((text, cost + toxicity.SEPARATE))
+            elif char == previous:
+                out.append((text, cost + toxicity.REPEAT))
+            elif not letters:
+                out.append((text, cost + 3 * toxicity.SEPARATE))
+            if char == " " and text and text[-1] != "$":
+                out.append((text + "$", cost))
+            out += [(text + x, cost + c + (toxicity.KEEP_REPEAT if char == previous else 0.0)) for x, c in letters]
+        paths, previous = out, char if char != " " else previous
+    return paths
+
+
+def test_viterbi_against_all_paths():
+    r, model = random.Random(6), model_of(WORDS)
+    for _ in range(150):
+        written = "".join(r.choice("idot10m.- sr$") for _ in range(r.randint(1, 8))).strip() or "x"
+        total = {}
+        for text, cost in readings(written):
+            for word in [w for w in text.split("$") if w] if text else []:
+                padded = "^^" + word + "$"
+                cost += sum(model.cost(padded[i : i + 2], padded[i + 2]) for i in range(len(padded) - 2))
+            total[text.rstrip("$")] = min(cost, total.get(text.rstrip("$"), 1e9))
+        got = "$".join(toxicity.decode(written, model))
+        assert abs(total[got] - min(total.values())) < 1e-9, (written, got)
+        assert toxicity.skeleton("".join(got.split("$"))) == toxicity.skeleton(written)
 
 
 @pytest.mark.parametrize("noise", [False, True])
@@ -52,8 +95,6 @@ def test_toxicity_held_out(spark, noise):
     frame, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     if noise:  # obfuscated copies of held-out documents
-        from pyspark.sql import functions as F
-
         spoiled = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "idiot", "1d10t"), "moron", "m0r0n"), "clown", "c.l.o.w.n")
         frame = frame.withColumn("text", F.when(toxicity.held_out(), spoiled).otherwise(F.col("text")))
     out = [r for r in toxicity.score_toxicity(frame, labels).collect() if r["held_out"] and r["doc_id"] in truth]
@@ -70,21 +111,69 @@ def test_toxicity_odd_rows(spark):
 
 
 def test_spelt_words_beside_others():
-    """Blanks are part of the lattice: spelt-out words beside others, words in two pieces; and doubled letters."""
-    import math
-
-    words = {"idiot": 50, "dumb": 50, "such": 90, "a": 500, "today": 90, "moron": 40, "i": 300, "good": 60}
-    three, two, one = {}, {}, {}
-    for w, n in words.items():
-        w = "^^" + w + "$"
-        for i in range(len(w) - 2):
-            three[w[i : i + 3]] = three.get(w[i : i + 3], 0) + n
-            two[w[i : i + 2]] = two.get(w[i : i + 2], 0) + n
-            one[w[i + 2]] = one.get(w[i + 2], 0) + n
-    model = toxicity.LanguageModel({g: math.log(n / two[g[:2]]) for g, n in three.items()}, {c: math.log(n / 4000) for c, n in one.items()})
-    found = lambda text: toxicity.Restorer(model).words(text)
+    """Blanks are part of the lattice: spelt-out words beside others, words in pieces; and doubled letters."""
+    restorer = toxicity.Restorer(model_of(WORDS), ["a", "dumb", "idiot", "moron"])
+    found = restorer.features
     assert {"a", "moron"} <= found("such a m o r o n today")
     assert {"a", "dumb", "idiot"} <= found("a d u m b i d i o t")
     assert "moron" in found("i m 0 r o n")
-    assert "moron" in found("such mor on today") and "idiot" in found("idi ot")
-    assert {"idiot", "idiiot"} <= found("idiiot") and "good" in found("good")
+    assert "moron" in found("such mor on today") and "idiot" in found("idi ot") and "idiot" in found("id io t")
+    assert found("idiiot") == {"idiot"} and found("good") == set()
+
+
+def test_toxicity_ties_and_repeated_rows(spark):
+    pairs = [(i, f"you moron {i}") for i in range(40)] + [(100 + i, f"good day {i}") for i in range(60)]
+    pairs += [(7, "good day"), (7, "you moron 7"), (7, "you moron 7"), (300, "such a m o r o n"), (301, "m0r0n"), (302, None)]
+    labels = spark.createDataFrame([(i, int(i < 100), 1) for i, _ in pairs[:100]] + [(7, 1, 0)], "doc_id long, toxic int, quality int")
+    frame = docs(spark, pairs).withColumnsRenamed({"size": "score", "mark": "found"})
+    got = toxicity.score_toxicity(frame, labels).collect()
+    assert len(got) == len(pairs)
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r["doc_id"], []).append((r["score"], r["predicted"]))
+    assert [p for _, p in sorted(by_text[7])] == [0, 1, 1, 1] and by_text[300][0][1] == by_text[301][0][1] == 1 and by_text[302][0][1] == 0
+
+
+def test_language_filter_against_exact_sets(spark):
+    """Shares by the filter are those by exact sets of n-grams, but for false positives."""
+    frame = table(spark, SF, "documents").limit(300).cache()
+    rows = frame.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    model = language_id.fit(rows, fit_rows=10**9)
+    counts = {}
+    for r in rows.select("lang", F.lower("text").alias("t")).distinct().collect():
+        for g in language_id.grams([r["t"].encode()])[0].tolist():
+            counts.setdefault(r["lang"], {}).setdefault(g, 0)
+            counts[r["lang"]][g] += 1
+    sets = {k: {g for g, n in v.items() if n > 1} for k, v in counts.items()}
+    assert model.languages == sorted(sets)
+    texts = [r["t"].encode() for r in rows.select(F.lower("text").alias("t")).collect()]
+    got = language_id.shares(model, texts)
+    for i, t in enumerate(texts):
+        have = language_id.grams([t])[0].tolist()
+        exact = [sum(g in sets[k] for g in have) / max(1, len(have)) for k in model.languages]
+        assert max(abs(a - b) for a, b in zip(got[i], exact)) < 0.15
+        if len(have) > 300:
+            top = sorted(exact)[-2:]
+            assert max(abs(a - b) for a, b in zip(got[i], exact)) < 0.03
+            assert top[1] - top[0] < 0.06 or got[i].argmax() == exact.index(top[1])
+
+
+def test_many_languages_repeated_ids_and_clashing_names(spark):
+    r = random.Random(8)
+    words = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(140)}
+    pairs = [(k, " ".join(r.choice(words[k]) for _ in range(60)), k) for k in words for _ in range(3)]
+    shape = "doc_id long, text string, lang string, score int, lang_pred string, _text string"
+    frame = spark.createDataFrame([(i % 50, t, k, 1, "x", "y") for i, (_, t, k) in enumerate(pairs)] * 2, shape)
+    model = language_id.fit(frame.select("doc_id", "text", "lang"))
+    assert len(model.languages) == 140 and model.slots.shape[1] == 3
+    got = language_id.identify(frame.select("doc_id", "text", "lang", "_text"), model, ["lang", "_text"]).collect()
+    assert len(got) == 840 and all(x["lang"] == x["lang_pred"] for x in got)
+    kept = language_id.accepted(frame, model)
+    assert kept.columns == frame.columns and kept.count() == 840
+
+
+def test_language_sample_is_bounded(spark):
+    frame = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") < 19_000, "a").otherwise("b").alias("lang"))
+    hot = frame.limit(1).crossJoin(spark.range(5000)).select(frame.columns)
+    sizes = {r["lang"]: r["count"] for r in language_id.sampled(frame.union(hot), 500).groupBy("lang").count().collect()}
+    assert 300 < sizes["a"] < 620 and 400 < sizes["b"] < 600
