@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.llm.common import NO_ID, broadcast_if_small, components, cut, saved
+from repolith.llm.common import BROADCAST_ROWS, broadcast_if_small, components, cut, fresh, quoted, saved, tagged
 
-#: Characters of a shingle, one from each word start and each place of a longer word; lines with fewer than LEAST_CHARS are left alone.
+#: Characters of a shingle, one at every place of a line; lines with fewer than LEAST_CHARS are left alone.
 SHINGLE, LEAST_CHARS = 12, 20
+#: Places of a line that are cut out at once, so that the work stays in proportion to the length of a line.
+STRETCH = 48
 #: Jaccard similarity from which lines are linked.
 SIMILARITY = 0.8
-#: Hashes of a signature. Bands are its pairs: lines of similarity 0.8 share one with a chance of 99 %.
+#: Hashes of a signature. Bands are its pairs.
 SIGNATURE = 4
 #: Bands of at most this many lines have all pairs of different components verified; others use finer bands, each
 #: three of the FINER smallest hashes, and then the prefix filter.
@@ -21,17 +23,22 @@ BITMAP, BLOCK = 4, 1000
 
 
 def normalised(line: Column) -> Column:
-    """Lower case; runs of white space and control characters become one blank."""
-    low = F.lower(line)
-    odd = low.contains("  ") | low.rlike(r"[\x00-\x1F\x7F]")
-    return F.trim(F.when(odd, F.regexp_replace(low, r"[\s\p{Cntrl}]+", " ")).otherwise(low))
+    """A lower-case line with runs of white space as one blank."""
+    odd = line.contains("  ")
+    for c in "\t\r\x0b\x0c":
+        odd = odd | line.contains(c)
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r\x0B\f]+", " ")).otherwise(line))
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(id, proof, raw): the lower-case lines of whole texts."""
+    rows = tagged(docs.select("doc_id", "text"), "id", "proof")
+    return rows.select("id", "proof", F.split(F.lower(F.coalesce("text", F.lit(""))), "\n").alias("raw"))
 
 
 def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
     """(id, proof, pos, line): the lines of whole texts, normalised. Short and blank ones are left out."""
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select(ids.alias("id"), F.hash(text).alias("proof"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
+    lines = texts_of(docs).select("id", "proof", F.posexplode("raw").alias("pos", "raw"))
     lines = lines.where(F.char_length(F.trim("raw")) >= least_chars)
     return lines.select("id", "proof", "pos", normalised(F.col("raw")).alias("line"))
 
@@ -42,12 +49,22 @@ def keys_of(line: Column) -> list[Column]:
 
 
 def shingles(line: Column, width: int = SHINGLE) -> Column:
-    """Sorted distinct hashes of the ``width`` characters (fewer at the end) that begin at each word, and of all
-    ``width`` characters in a row inside words that are longer, so that every character is seen.
+    """Sorted distinct 32-bit hashes of all ``width`` characters in a row (of a shorter line, the line)."""
+    stretches = F.regexp_extract_all(line, F.lit("(?s)(?=(.{1,%d})).{1,%d}" % (STRETCH + width - 1, STRETCH)), F.lit(1))
+    places = lambda x: F.sequence(F.lit(1), F.greatest(F.char_length(x) - (width - 1), F.lit(1)))
+    cut_out = lambda x: F.transform(places(x), lambda i: F.hash(F.substring(x, i, width)))
+    # The last stretch of a longer line may be too short for a shingle of its own.
+    whole = F.filter(stretches, lambda x, i: (i == 0) | (F.char_length(x) >= width))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(whole, cut_out))))
+
+
+def signature(line: Column, size: int, width: int = SHINGLE) -> Column:
+    """The ``size`` smallest hashes among the shingles (shorter at the end) that begin at words, and at all places of
+    words that are longer: a sample of the line's shingles that its content decides, so like lines have like samples.
     """
     pattern = r"(?s)(?=(.{1,%d}))(?:[^ ]{1,%d}+(?: |\z)|[^ ])" % (width, width)
     found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))), 1, size)
 
 
 def bands(low: Column, size: int = SIGNATURE) -> Column:
@@ -58,6 +75,7 @@ def bands(low: Column, size: int = SIGNATURE) -> Column:
 
 
 def finer_bands(low: Column, size: int = FINER) -> Column:
+    """Band keys of three each of the ``size`` smallest hashes."""
     at = lambda i: F.try_element_at(low, F.lit(i))
     threes = [F.when(at(k).isNotNull(), F.xxhash64(at(i), at(j), at(k))) for k in range(3, size + 1) for j in range(2, k) for i in range(1, j)]
     return F.array_compact(F.array(*threes))
@@ -117,7 +135,7 @@ def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float) -> DataFr
 
 def signed(lines: DataFrame) -> DataFrame:
     """(id, proof, pos, k1, k2, low): each line's place, the bits that stand for it, and its signature."""
-    return lines.select("id", "proof", "pos", *keys_of(F.col("line")), F.slice(shingles(F.col("line")), 1, SIGNATURE).alias("low"))
+    return lines.select("id", "proof", "pos", *keys_of(F.col("line")), signature(F.col("line"), SIGNATURE).alias("low"))
 
 
 def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -139,13 +157,12 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     shared = cut(banded.join(shared, "band"))
     edges = shared.where("lid <> rep").select(F.col("lid").alias("a"), F.col("rep").alias("b")).distinct()
 
-    wanted = shared.select("lid").distinct().join(distinct.select("lid", "first"), "lid")
-    wanted = wanted.select("lid", "first.*").groupBy("id", "proof").agg(F.collect_list(F.struct("pos", "lid")).alias("wanted"))
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select(ids.alias("id"), F.hash(text).alias("proof"), text.alias("text"))
-    sets = texts.join(broadcast_if_small(wanted), ["id", "proof"]).withColumn("lines", F.split("text", "\n"))
-    sets = sets.select(F.explode(F.transform("wanted", lambda w: F.struct(w["lid"].alias("lid"), F.col("lines")[w["pos"]].alias("raw")))).alias("w"))
+    places = cut(shared.select("lid").distinct().join(distinct.select("lid", "first"), "lid").select("lid", "first.*"))
+    wanted = places.groupBy("id", "proof").agg(F.collect_list(F.struct("pos", "lid")).alias("wanted"))
+    if places.count() <= BROADCAST_ROWS:  # of a few dozen bytes each
+        wanted = F.broadcast(wanted)
+    sets = texts_of(docs).join(wanted, ["id", "proof"])
+    sets = sets.select(F.explode(F.transform("wanted", lambda w: F.struct(w["lid"].alias("lid"), F.col("raw")[w["pos"]].alias("raw")))).alias("w"))
     sets = sets.select("w.lid", shingles(normalised(F.col("w.raw"))).alias("hashes")).dropDuplicates(["lid"])
     sets = cut(sets)
 
@@ -177,31 +194,33 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(id, proof, drop): places of the lines to remove from each document that has any."""
+    """(id, proof, pos): the lines to remove."""
     lines = saved(signed(lines_of(docs, least_chars)), "lines")
     repeated = cut(groups(lines, docs, similarity))
     places = lines.drop("low")
     gone = places.join(repeated.select("k1", "k2", "keep"), ["k1", "k2"]).where(F.struct("id", "proof", "pos") != F.col("keep"))
-    return gone.groupBy("id", "proof").agg(F.collect_set("pos").alias("drop"))
+    return cut(gone.select("id", "proof", "pos"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The documents, all columns, with text reduced to lines that stay, and _n_lines and _n_removed.
 
     Lines (parted by line feeds) are compared lower-cased with white space collapsed. Of each component of lines
-    whose shingle sets are similar, the first by (doc_id, place) stays, everywhere else its members go. Lines
-    of fewer than ``least_chars`` characters between blanks at their ends are left alone. Null text stays null and has no lines. A null doc_id
-    is larger than any other; rows that repeat doc_id and text share their fate. An empty table gives an empty
-    result. Columns named _id, _proof, _drop, _n_lines or _n_removed are replaced.
+    whose sets of character shingles are similar, the first by (doc_id, place) stays, everywhere else its members go.
+    Lines of fewer than ``least_chars`` characters between blanks at their ends are left alone. Null text stays null
+    and has no lines. A null doc_id is larger than any other; rows that repeat doc_id and text share their fate. An
+    empty table gives an empty result. Columns named _n_lines or _n_removed are replaced.
     """
-    drop = broadcast_if_small(removals(docs, similarity, least_chars)).withColumnsRenamed({"id": "_id", "proof": "_proof", "drop": "_drop"})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_proof": F.hash(text)})
-    joined = marked.join(drop, ["_id", "_proof"], "left")
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_drop", i))
-    out = joined.withColumns({
-        "_n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long"),
-        "_n_removed": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long"),
-        "text": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-    })
-    return out.select(*docs.columns, "_n_lines", "_n_removed")
+    docs = docs.drop("_n_lines", "_n_removed")
+    gone = removals(docs, similarity, least_chars)
+    id_, proof, dropped = fresh(docs.columns, "_id", "_proof", "_drop")
+    drop = gone.groupBy(F.col("id").alias(id_), F.col("proof").alias(proof)).agg(F.collect_set("pos").alias(dropped))
+    if gone.count() <= BROADCAST_ROWS:  # of a few dozen bytes each
+        drop = F.broadcast(drop)
+    joined = tagged(docs, id_, proof).join(drop, [id_, proof], "left")
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(dropped, i))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).cast("long")
+    n_removed = F.when(F.col(dropped).isNull(), 0).otherwise(F.size(dropped)).cast("long")
+    text = F.when(F.col(dropped).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = joined.select("*", n_lines.alias("_n_lines"), n_removed.alias("_n_removed")).withColumn("text", text)
+    return out.select(*quoted(docs.columns), "_n_lines", "_n_removed")

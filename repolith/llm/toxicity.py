@@ -28,8 +28,8 @@ HELD = 200_000
 LETTERS, OTHER = frozenset(map(chr, [*range(0x61, 0x7B), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x180)])), "\u00a4"
 #: Features of a word are the word and its beginnings of these lengths; the model keeps those that are at least
 #: LEAST_ODDS likelier (natural log) in toxic documents, by a likelihood-ratio test whose statistic is at least
-#: LEAST_PROOF (a chance of 1 in 10**6 a feature).
-BEGINNINGS, LEAST_ODDS, LEAST_PROOF = (4, 5, 6), 2.0, 24.0
+#: LEAST_PROOF (copies of a few documents give their words no more than that).
+BEGINNINGS, LEAST_ODDS, LEAST_PROOF = (4, 5, 6), 2.0, 100.0
 
 _EDGE = "\"'()[]{}<>«»“”‘’.,;:!?%&*#$…-–—_/\\|"
 _OPENING = "\"'()[]{}<>«»“”‘’.,;:?%&*#…-–—_/\\"
@@ -174,15 +174,15 @@ class Restorer:
         self.words = {skeleton(f) for f in self.wanted if f[-1] != "*"}
         self.stems = {skeleton(f[:-1]) for f in self.wanted if f[-1] == "*"} - {""}
         self.lengths = sorted({len(s) for s in self.stems})
-        self.least = min(map(len, self.words | self.stems), default=0)
+        self.least = min(3, min(map(len, self.words | self.stems), default=0))
         self.heads = {s[: self.least] for s in self.words | self.stems}
-        #: Beginnings of wanted skeletons: what more signs can complete.
-        self.open = {s[:n] for s in self.words | self.stems for n in range(1, len(s))}
+        #: Beginnings of the skeletons of wanted words: what more pieces can complete.
+        self.open = {s[:n] for s in self.words for n in range(1, len(s))}
         any_of = "|".join(sorted(map(re.escape, self.words | self.stems)))
         self.inside = re.compile(any_of) if any_of else None
         self.known: dict[str, tuple[str, ...]] = {}
         self.signs: set[str] = set()
-        self.special: set[str] = set()
+        self.special: dict[str, str] = {}
 
     def may_be(self, bones: str) -> bool:
         if bones[: self.least] not in self.heads:
@@ -194,12 +194,15 @@ class Restorer:
 
     def token(self, token: str) -> tuple[str, ...]:
         """Features of a token. A word with a doubled letter is also read as the channel's."""
+        head = token[:3].replace("l", "i")
+        if self.least > 2 and len(head) == 3 and head.isalpha() and head[0] != head[1] != head[2] and head not in self.heads:
+            return ()
         written = bare(token)
         bones = skeleton(written)
         if len(token) == 1 or len(written) == 1:
             self.signs.add(token)
         if token in self.signs or bones in self.open:
-            self.special.add(token)
+            self.special[token] = bones
         if not self.may_be(bones):
             return ()
         plain = written.isalpha()
@@ -224,11 +227,17 @@ class Restorer:
                 if self.inside and self.inside.search(skeleton(run)):
                     found += self.of_words(decode(run, self.model))
                 continue
-            bones, j = skeleton(bare(tokens[i])), i + 1
+            bones, j = self.special[tokens[i]], i + 1
+            if not bones:
+                continue
+            if j < len(tokens) and (head := tokens[j][0]).isalpha():  # most neighbours do not go on as a wanted word does
+                more = bones + ("i" if head == "l" else head)
+                if more[-1] != more[-2] and more not in self.open and more not in self.words:
+                    continue
             while bones in self.open and j < len(tokens):
                 bones = skeleton(bones + bare(tokens[j]))
                 j += 1
-            if j > i + 1 and self.may_be(bones):
+            if j > i + 1 and bones in self.words:
                 found += self.of_words(decode(" ".join(map(bare, tokens[i:j])), self.model))
         return found
 
