@@ -26,13 +26,14 @@ HELD = 200_000
 #: Letters that the model tells apart: Latin ones, as fixed ranges of code points. All others count as one letter, for
 #: the channel never writes them. This bounds the trigrams, whatever scripts the corpus holds.
 LETTERS, OTHER = frozenset(map(chr, [*range(0x61, 0x7B), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x180)])), "\u00a4"
-#: Features of a word are the word and its beginnings of these lengths; the model keeps those that are at least
-#: LEAST_ODDS likelier (natural log) in toxic documents, by a likelihood-ratio test whose statistic is at least
-#: LEAST_PROOF (copies of a few documents give their words no more than that).
-BEGINNINGS, LEAST_ODDS, LEAST_PROOF = (4, 5, 6), 2.0, 100.0
+#: Features of a word are the word and its beginnings of these lengths. The model keeps those that are in LEAST_SHARE of
+#: the toxic documents (else copies of a few documents give their words), at least LEAST_ODDS likelier (natural log) in
+#: toxic documents, by a likelihood-ratio test whose statistic is at least LEAST_PROOF (a chance of 1 in 10**6 a feature).
+BEGINNINGS, LEAST_SHARE, LEAST_ODDS, LEAST_PROOF = (4, 5, 6), 0.02, 2.0, 24.0
 
 _EDGE = "\"'()[]{}<>«»“”‘’.,;:!?%&*#$…-–—_/\\|"
 _OPENING = "\"'()[]{}<>«»“”‘’.,;:?%&*#…-–—_/\\"
+_AROUND = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _RUN = re.compile(r"(.)\1+")
 _DOUBLE = re.compile(r"(.)\1")
 
@@ -58,43 +59,37 @@ class LanguageModel:
         return -got if got is not None else 4.0 - self.one.get(letter, -12.0)
 
 
-def word_counts(batches):
-    """Words of all texts, letters only, counted in each task."""
-    counts: Counter = Counter()
+def _trigrams(batches):
+    """Letter trigrams of the words of all texts. Each task counts its words first, and then the letters of each once."""
+    words: Counter = Counter()
     for batch in batches:
         for t in batch.column(0):
-            counts.update((t.as_py() or "").split())
-            if len(counts) > HELD:
-                yield _counted(counts)
-                counts = Counter()
-    if counts:
-        yield _counted(counts)
-
-
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            words.update((t.as_py() or "").lower().split())
+            if len(words) > HELD:
+                yield _letters(words)
+                words = Counter()
+    yield _letters(words)
 
 
-def _trigrams(batches):
-    """Letter trigrams of words, each counted as often as its word occurs."""
-    for batch in batches:
-        counts: Counter = Counter()
-        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            padded = f"^^{''.join(c if c in LETTERS else OTHER for c in word)}$"
-            for i in range(len(padded) - 2):
-                counts[padded[i : i + 3]] += n
-        yield _counted(counts)
+def _letters(words: Counter) -> pa.RecordBatch:
+    counts: Counter = Counter()
+    for token, n in words.items():
+        word = token if token.isalpha() else _AROUND.sub("", token)
+        if not word.isalpha():
+            continue
+        padded = f"^^{word}$" if LETTERS.issuperset(word) else f"^^{''.join(c if c in LETTERS else OTHER for c in word)}$"
+        for i in range(len(padded) - 2):
+            counts[padded[i : i + 3]] += n
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["three", "n"])
 
 
 def language_model(docs: DataFrame) -> LanguageModel:
     """Letter trigrams of the words of every document, at most len(LETTERS) + 3 cubed.
 
-    Words with anything but letters are left out: they are what the channel makes of words.
+    Words with anything but letters inside are left out: they are what the channel makes of words.
     """
-    words = in_python(docs.select(F.lower("text")), word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    plain = words.select(F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("word"), "n").where(F.col("word").rlike(r"^\p{L}+$"))
-    threes = in_python(plain, _trigrams, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return LanguageModel.from_counts({r["word"]: r["n"] for r in sorted(threes)})
+    threes = in_python(docs.select("text"), _trigrams, "three string, n long").groupBy("three").agg(F.sum("n").alias("n"))
+    return LanguageModel.from_counts({r["three"]: r["n"] for r in sorted(threes.collect())})
 
 
 def decode(written: str, model: LanguageModel) -> list[str]:
@@ -259,31 +254,38 @@ class Restorer:
         return found
 
 
-def _feature_counts(batches):
-    """Documents of either label by feature of their words as written."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    known: dict[str, tuple[str, ...]] = {}
-    for batch in batches:
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found: set[str] = set()
-            for token in set((text.as_py() or "").lower().split()):
-                got = known.get(token)
-                if got is None:
-                    if len(known) > HELD:
-                        known.clear()
-                    got = known[token] = features(word) if (word := bare(token)).isalpha() else ()
-                found.update(got)
-            counts[toxic].update(found)
-            if len(counts[0]) + len(counts[1]) > HELD:
-                yield _pairs(*counts)
-                counts = (Counter(), Counter())
-    yield _pairs(*counts)
+def _feature_counts(among):
+    """Documents by feature of their words as written. among: broadcast set of features that count (None: all)."""
 
+    def run(batches):
+        counts: Counter = Counter()
+        known: dict[str, tuple[str, ...]] = {}
+        wanted = among.value if among else None
+        for batch in batches:
+            for text in batch.column(0):
+                found: set[str] = set()
+                for token in set((text.as_py() or "").lower().split()):
+                    got = known.get(token)
+                    if got is None:
+                        if len(known) > HELD:
+                            known.clear()
+                        got = features(word) if (word := bare(token)).isalpha() else ()
+                        if wanted is not None:
+                            got = tuple(f for f in got if f in wanted)
+                        known[token] = got
+                    if got:
+                        found.update(got)
+                counts.update(found)
+                if len(counts) > HELD:
+                    yield _counted(counts)
+                    counts = Counter()
+        yield _counted(counts)
 
-def _pairs(clean: Counter, toxic: Counter) -> pa.RecordBatch:
-    found = list(clean.keys() | toxic.keys())
-    columns = [pa.array(found, pa.string()), *(pa.array([c[f] for f in found], pa.int64()) for c in (clean, toxic))]
-    return pa.RecordBatch.from_arrays(columns, ["feature", "clean", "toxic"])
+    return run
+
+
+def _counted(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["feature", "n"])
 
 
 def odds(clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> Column:
@@ -292,15 +294,24 @@ def odds(clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> Column:
 
 
 def wanted_features(labelled: DataFrame, clean: int, toxic: int) -> list[str]:
-    """Features of words as written that tell toxic texts from clean ones. labelled: (toxic, text)."""
-    counts = in_python(labelled, _feature_counts, "feature string, clean long, toxic long")
-    counts = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    """Features of words as written that tell toxic texts from clean ones. labelled: (toxic, text).
+
+    Features of toxic documents are counted first; those of clean ones only where enough toxic documents have them.
+    """
     rate = (toxic + 1) / (toxic + clean + 2)
-    seen = F.col("toxic") + F.col("clean")
-    part = lambda k, r: F.when(k > 0, k * F.log(k / (seen * r))).otherwise(0.0)
-    proof = 2 * (part(F.col("toxic"), rate) + part(F.col("clean"), 1 - rate))
-    best = counts.where((F.col("toxic") > 0) & (odds(F.col("clean"), F.col("toxic"), clean, toxic) >= LEAST_ODDS) & (proof >= LEAST_PROOF))
-    return sorted(r["feature"] for r in best.select("feature").collect())
+    count = lambda label, among: (
+        in_python(labelled.where(F.col("toxic") == label).select("text"), _feature_counts(among), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    )
+    often = count(1, None).where((F.col("n") >= toxic * LEAST_SHARE) & (F.col("n") * (-2 * math.log(rate)) >= LEAST_PROOF))
+    often = {r["feature"]: r["n"] for r in often.collect()}
+    among = labelled.sparkSession.sparkContext.broadcast(frozenset(often))
+    in_clean = {r["feature"]: r["n"] for r in count(0, among).collect()}
+
+    def tells(t: int, c: int) -> bool:
+        proof = 2 * sum(k * math.log(k / ((t + c) * r)) for k, r in ((t, rate), (c, 1 - rate)) if k)
+        return proof >= LEAST_PROOF and math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)) >= LEAST_ODDS
+
+    return sorted(f for f, t in often.items() if tells(t, in_clean.get(f, 0)))
 
 
 def _restored(model: LanguageModel, wanted: list[str], text: str):
