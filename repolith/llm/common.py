@@ -118,3 +118,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows, cut from their lineage and marked for broadcast if there are at most ``rows``; else joins shuffle."""
     df = cut(df)
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def once(docs: DataFrame, id_: str, proof: str) -> DataFrame:
+    """``docs`` tagged with ``id_`` and ``proof``; of rows that repeat both, one. Only such rows are shuffled."""
+    rows = tagged(docs, id_, proof)
+    again = broadcast_if_small(rows.groupBy(id_, proof).count().where("count > 1").select(id_, proof))
+    if again.isEmpty():
+        return rows
+    repeated = rows.join(again, [id_, proof], "left_semi").dropDuplicates([id_, proof])
+    return rows.join(again, [id_, proof], "left_anti").unionByName(repeated)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm.common import NO_ID, broadcast_if_small
+from repolith.llm.common import NO_ID, broadcast_if_small, fresh, in_python, quoted, tagged
 from repolith.llm.superkmers import _C1, _C2, identified, mix, span_hash, window_starts, word_hashes
 
-#: Words of a template window; an item with fewer words is one window, of LEAST_WORDS or more.
-WIDTH, LEAST_WORDS = 8, 4
+#: Words of a template window; an item with fewer words is one window. Items of fewer than WHOLE_LINE words can not be told
+#: from chance within a text, so they are looked for as whole lines.
+WIDTH, WHOLE_LINE = 8, 4
 #: A document leaks an item when windows in consistent places cover this share of the item's, or so many words in a row.
 COVERAGE, RUN = 0.5, 20
 #: Bits of the filter of benchmark windows (a fixed 2 MB, whatever the benchmark's size).
@@ -106,6 +108,10 @@ def _some(ids, proofs, hashes, kind, tokens, first, widths, width, least, bits):
     for w in widths or sorted({int(min(width, n)) for n in size if n >= least}):
         value = mix(span_hash(hashes, w, _C2) + np.uint64(w))
         at = window_starts(first, w)
+        filled = np.append(0, np.cumsum(kind > 0))
+        bare = at[filled[at + w] - filled[at] == w]
+        for k in bare.tolist():  # without a word of its own a template would match anything: its fillers count
+            value[k] = xxhash.xxh64_intdigest(b" ".join(tokens[k : k + w]), w)
         if bits is None:
             doc = np.searchsorted(first, at, "right") - 1
             at = at[np.minimum(size[doc], width) == w]
@@ -120,15 +126,15 @@ def _some(ids, proofs, hashes, kind, tokens, first, widths, width, least, bits):
             [(k - a, tokens[k].decode(errors="replace"), int(kind[k])) for k in range(a, a + w) if kind[k]] if typed[a + w] > typed[a] else []
             for a in at.tolist()
         ]
-        columns = [pa.array(value[at].view(np.int64)), pa.array(ids[doc]), pa.array(proofs[doc].astype(np.int32)), pa.array((at - first[doc]).astype(np.int32)), pa.array(np.maximum(size[doc] - w + 1, 1).astype(np.int32))]
+        columns = [pa.array(value[at].view(np.int64)), pa.array(ids[doc]), pa.array(proofs[doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(np.maximum(size[doc] - w + 1, 1).astype(np.int32))]
         slots = pa.array([[{"place": p, "token": t, "kind": k} for p, t, k in s] for s in slots], pa.list_(pa.struct([("place", pa.int32()), ("token", pa.string()), ("kind", pa.int32())])))
         yield pa.RecordBatch.from_arrays([*columns, slots], ["window", "id", "proof", "at", "n", "slots"])
 
 
-_SCHEMA = "window long, id long, proof int, at int, n int, slots array<struct<place int, token string, kind int>>"
+_SCHEMA = "window long, id long, proof long, at int, n int, slots array<struct<place int, token string, kind int>>"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = LEAST_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = WHOLE_LINE) -> DataFrame:
     """(id, proof, item_id, windows, coverage, words) of documents and items that share template windows.
 
     Windows of both sides are joined by hash. Those of documents pass a filter of fixed size first, so that few
@@ -137,9 +143,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int
     of the item meets one name in the whole alignment (document place minus item place). The coverage is the share
     of the item's distinct windows that count; words is the longest run of words that they cover in one alignment.
     """
-    items = benchmark.where("text is not null").groupBy("item_id", "text").agg(F.lit(0).alias("proof"))
+    items = benchmark.where("text is not null").groupBy("item_id", "text").agg(F.lit(0).cast("long").alias("proof"))
     items = items.select(F.col("item_id").cast("long").alias("id"), "proof", F.col("text").cast("binary").alias("text"))
-    items = items.mapInArrow(_windows(None, width, least, None), _SCHEMA)
+    items = in_python(items, _windows(None, width, least, None), _SCHEMA)
     place = F.shiftrightunsigned("window", 64 - FILTER_BITS)
     byte = F.shiftright(place, 3)
     used = items.groupBy(byte.alias("byte")).agg(F.bit_or(F.expr(f"1 << cast(shiftrightunsigned(window, {64 - FILTER_BITS}) & 7 as int)")).alias("bits"))
@@ -152,8 +158,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int
     widths = tuple(sorted(r["w"] for r in found))
     if not widths:
         return items.select("id", "proof", F.col("id").alias("item_id"), F.lit(0).alias("windows"), F.lit(0.0).alias("coverage"), F.lit(0).alias("words")).where("false")
-    here = identified(docs).mapInArrow(_windows(widths, width, least, bits), _SCHEMA)
-    there = items.select("window", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n").alias("n_item"), F.col("slots").alias("item_slots"))
+    here = in_python(identified(docs), _windows(widths, width, least, bits), _SCHEMA)
+    # A window that an item has at many places counts once, at the first, so equal places never meet as pairs.
+    first = F.min(F.struct("at", "slots")).alias("first")
+    there = items.groupBy("window", F.col("id").alias("item_id")).agg(first)
+    sizes = there.groupBy("item_id").agg(F.count("*").alias("n_item"))
+    there = there.join(sizes, "item_id").select("window", "item_id", F.col("first.at").alias("item_at"), "n_item", F.col("first.slots").alias("item_slots"))
     both = here.join(there, "window")
     zipped = F.arrays_zip(F.col("slots.token").alias("d"), F.col("item_slots.token").alias("i"), F.col("slots.kind").alias("k"))
     pairs = lambda wanted: F.array_distinct(F.transform(F.filter("pairs", wanted), lambda s: F.struct(s["d"].alias("d"), s["i"].alias("i"))))
@@ -178,6 +188,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int
     return covered.select(*keys, "windows", (F.col("windows") / F.col("n_item")).alias("coverage"), (F.col("run") + (width - 1)).alias("words"))
 
 
+def line_key(text):
+    """A line without case, ASCII punctuation and extra blanks."""
+    bare = F.regexp_replace(F.lower(text), r"""["'()\[\]{}<>.,;:!?*_`~]+""", "")
+    return F.trim(F.regexp_replace(bare, r"[\x20\x09-\x0D]+", " "))
+
+
+def whole_lines(docs: DataFrame, benchmark: DataFrame, least: int = WHOLE_LINE) -> DataFrame:
+    """(id, proof, item_id) of documents of which a line is an item of fewer than ``least`` words."""
+    short = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), line_key(F.col("text")).alias("key"))
+    short = short.where((F.col("key") != "") & (F.size(F.split("key", " ")) < least)).distinct()
+    short = broadcast_if_small(short)
+    lines = identified(docs).select("id", "proof", F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line"))
+    lines = lines.select("id", "proof", line_key(F.col("line")).alias("key"))
+    return lines.join(short, "key").select("id", "proof", "item_id").distinct()
+
+
 def _leaked(coverage: float, width: int = WIDTH):
     return (F.col("coverage") >= coverage) | (F.col("words") >= max(RUN, width))
 
@@ -187,10 +213,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     coverage (of that item, 0 if no window matches), proof.
 
     Null and empty texts are clean; so is every document if the benchmark is empty. Items of fewer than
-    LEAST_WORDS words can not be told from chance and are not looked for. Rows that repeat a doc_id are judged by
+    WHOLE_LINE words are leaked by a document of which they are a line. Rows that repeat a doc_id are judged by
     their own text. Other columns are ignored.
     """
-    found = leaks(docs, benchmark, width)
+    short = whole_lines(docs, benchmark).select("id", "proof", "item_id", F.lit(1).alias("windows"), F.lit(1.0).alias("coverage"), F.lit(1).alias("words"))
+    found = leaks(docs, benchmark, width).union(short)
     best = F.max_by("item_id", F.struct("coverage", -F.col("item_id"))).alias("item_id")
     found = found.groupBy("id", "proof").agg(F.count(F.when(_leaked(coverage, width), 1)).alias("n_items"), best, F.max("coverage").alias("coverage"))
     rows = identified(docs).select("id", "proof").join(found, ["id", "proof"], "left")
@@ -207,7 +234,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents, all columns, that leak no item."""
     leaked = leaks(docs, benchmark).where(_leaked(coverage)).select("id", "proof").distinct()
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_proof": F.hash(text)})
-    leaked = broadcast_if_small(leaked).withColumnsRenamed({"id": "_id", "proof": "_proof"})
-    return marked.join(leaked, ["_id", "_proof"], "left_anti").select(*docs.columns)
+    leaked = leaked.union(whole_lines(docs, benchmark).select("id", "proof")).distinct()
+    id_, proof = fresh(docs.columns, "_id", "_proof")
+    leaked = broadcast_if_small(leaked.select(F.col("id").alias(id_), F.col("proof").alias(proof)))
+    return tagged(docs, id_, proof).join(leaked, [id_, proof], "left_anti").select(*quoted(docs.columns))

@@ -18,11 +18,16 @@ SIGNATURE = 4
 #: Smallest hashes of a line's set that tell whether two lines are worth the exact comparison, and the share of them that
 #: they must have in common: lines of similarity 0.8 have 0.8 on average and fail with a chance of less than 1 in 10**5.
 SKETCH, PLAUSIBLE = 32, 0.5
+#: Hashes of all sets together that a broadcast may hold, 16 MB.
+BROADCAST_HASHES = 4_000_000
+#: Share of their smallest hashes that similar lines have in common in the prefix filter: of 32, lines of similarity 0.8
+#: have 27 on average, and fewer than 20 with a chance of about 1 in 1000.
+COMMON = 0.625
 #: Bands of at most this many lines have all pairs of different components verified; others use finer bands, each
 #: three of the FINER smallest hashes, and then the prefix filter.
 SMALL_BAND, FINER = 8, 6
 #: 64-bit words of a line's bitmap in the prefix filter; lines of one shingle that a block of its join takes.
-BITMAP, BLOCK = 4, 1000
+BITMAP, BLOCK = 16, 1000
 
 
 def normalised(line: Column) -> Column:
@@ -95,6 +100,8 @@ def similar(edges: DataFrame, sets: DataFrame, sketches: DataFrame, similarity:
     edges = cut(both.where(F.size(F.array_intersect("la", "lb")) >= least).select("a", "b"))
     needed = edges.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     sets = sets.join(broadcast_if_small(needed), "lid", "left_semi")
+    if (sets.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_HASHES:
+        sets = F.broadcast(sets)
     left = sets.select(F.col("lid").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("lid").alias("b"), F.col("hashes").alias("hb"))
     both = edges.join(left, "a").join(right, "b")
@@ -117,31 +124,30 @@ def bitmap(hashes: Column) -> list[Column]:
     return [F.aggregate(word(k), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h))).alias(f"b{k}") for k in range(BITMAP)]
 
 
-def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ``lines`` (lid, root) with different roots, among them all whose similarity is reached.
+def prefix_pairs(lines: DataFrame, sets: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``lines`` (lid, root) with different roots, among them those whose similarity is reached.
 
-    Two lines of similarity s share one of the (1 - s) share of their shingles that are rarest among ``lines``. At
-    the first one that they share, their sizes and the shingles that follow bound what they have in common; so do
-    their bitmaps. Pairs that fail are never rows. The lines of a frequent shingle meet in blocks.
+    The sketches of two such lines have at least COMMON of their hashes in common (see there), so the lines share one of
+    the other hashes, and one more, that are rarest among ``lines``. Their sizes and bitmaps bound what they can have
+    in common at most. Pairs that fail are never rows. The lines of a frequent hash meet in blocks.
     """
-    own = cut(sets.join(broadcast_if_small(lines), "lid"))
-    words = own.select("lid", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    lines = broadcast_if_small(lines)
+    words = sketches.join(lines, "lid").select("lid", F.size("low").alias("k"), F.explode("low").alias("h"))
     often = words.groupBy("h").agg(F.count("*").alias("often"))
     rarest = Window.partitionBy("lid").orderBy("often", "h")
     prefix = words.join(often, "h").withColumn("place", F.row_number().over(rarest))
-    prefix = prefix.where((F.col("often") > 1) & (F.col("place") <= F.floor(F.col("n") * (1 - similarity) + 1e-9) + 1))
-    maps = own.select("lid", *bitmap(F.col("hashes")))
-    prefix = cut(prefix.select("h", "lid", "root", "n", "place").join(maps, "lid"))
+    prefix = prefix.where((F.col("often") > 1) & (F.col("place") <= F.floor(F.col("k") * (1 - COMMON)) + 1))
+    maps = sets.join(lines, "lid").select("lid", "root", F.size("hashes").alias("n"), *bitmap(F.col("hashes")))
+    prefix = cut(prefix.select("h", "lid").join(maps, "lid"))
     blocks = prefix.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
     prefix = prefix.join(blocks, "h")
     left = prefix.withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long")).cast("int"))
     right = prefix.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", "place", *(f"b{k}" for k in range(BITMAP)))))
+    right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", *(f"b{k}" for k in range(BITMAP)))))
     both = F.col("n") + F.col("n_b")
     least = similarity / (1 + similarity) * both - 1e-9
     apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(BITMAP)), F.lit(0))
-    after = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
-    near = (F.col("root") < F.col("root_b")) & (F.least("n", "n_b") >= F.greatest("n", "n_b") * similarity - 1e-9) & (after >= least) & (both - apart >= 2 * least)
+    near = (F.col("root") < F.col("root_b")) & (F.least("n", "n_b") >= F.greatest("n", "n_b") * similarity - 1e-9) & (both - apart >= 2 * least)
     same = (left["h"] == right["h"]) & (left["block"] == right["block"])
     return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b")).distinct()
 
@@ -195,7 +201,7 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     large = cut(open_bands(shared.where(F.col("size") > SMALL_BAND), roots).select("lid", "root").distinct())
     if not large.isEmpty():
         found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        found = found.union(similar(prefix_pairs(large, sets, similarity), sets, sketches, similarity))
+        found = found.union(similar(prefix_pairs(large, sets, sketches, similarity), sets, sketches, similarity))
         roots = components(found, "a", "b")
 
     rooted = distinct.drop("bands").join(roots, F.col("lid") == F.col("node"), "left").drop("node")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.llm.common import cut, word_count
+from repolith.llm.common import cut, fresh, once, quoted, word_count
 
 #: No document is taken more often than this.
 MAX_REPEATS = 3
@@ -60,7 +60,7 @@ def running_sum(rows: DataFrame, order: list[Column], group: list[str], value: s
     return ranged.withColumn(out, F.col("_in") + F.col("_before")).drop(*keys, "_in", "_before")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """Choose how often each document is taken, so that sources meet their target shares.
 
     Each source's documents are shuffled by a hash of their identifier and repeated up to ``max_repeats`` times,
@@ -68,11 +68,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
     All copies are range-sorted by that time and cut where the running size passes the budget (the sum of all
     sizes). Sources thus proceed at rates in proportion to their targets and all end within one document of them.
 
-    Returns doc_id, source, size, source_size, target, copies, taken (= copies * size). Sizes count words; null
+    Returns doc_id, source, size, source_size, target, copies, taken (= copies * size) and the columns of ``carry``. Sizes count words; null
     text has size 0. Null sources form one source, the last. Ties of the shuffle key are ordered by size;
     rows equal in all of that are interchangeable. An empty table gives an empty result.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = cut(docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size")))
     sized = sized.withColumn("shuffle", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(seed)).cast("binary")))
     place = [F.col("shuffle"), F.col("doc_id"), F.col("size")]
     sized = running_sum(sized, place, ["source"], "size", "sofar").withColumn("row", F.monotonically_increasing_id())
@@ -91,5 +91,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
     taken = queued.where(F.col("total") <= F.lit(budget)).groupBy("row").agg(F.count("*").alias("copies"))
     copies = F.coalesce("copies", F.lit(0))
     return joined.join(taken, "row", "left").select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry
     )
+
+
+def taken_copies(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, that the mix takes, with size, source_size, target, copies and taken.
+
+    Names of these that ``docs`` has already get underscores in front. Rows that repeat doc_id and text are one document.
+    """
+    id_, proof, *names = fresh(docs.columns, "_id", "_proof", "size", "source_size", "target", "copies", "taken")
+    rows = once(docs, id_, proof)
+    taken = mix(rows.select(F.col(id_).alias("doc_id"), "source", "text", F.col(proof).alias("_proof")), carry=("_proof",)).where("copies > 0")
+    values = [F.col(a).alias(b) for a, b in zip(("size", "source_size", "target", "copies", "taken"), names)]
+    taken = taken.select(F.col("doc_id").alias(id_), F.col("_proof").alias(proof), *values)
+    return rows.join(taken, [id_, proof]).select(*quoted(docs.columns), *names)

@@ -11,10 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm.common import components, cut
-
-#: Fingerprints that differ in at most this many of 64 bits are linked.
-BUDGET = 3
+from repolith.llm.common import components, cut, in_python, tagged
+from repolith.llm.superkmers import mix
+
+#: Fingerprints that differ in at most BUDGET of 64 bits are linked. Of so many bits at most BUDGET // PARTS are in one of PARTS
+#: equal parts, so as many tries, each with another part first, find every link.
+BUDGET, PARTS = 3, 2
+#: Near copies: words of a shingle, bits that differ in one of two fingerprints, parts, and bits that differ in both. Of
+#: texts with a Jaccard similarity of 0.8, 15 % of the bits differ on average.
+NEAR_WIDTH, NEAR_BUDGET, NEAR_PARTS, NEAR_BITS = 5, 7, 4, 24
 #: Fingerprints of a trie that one task joins, on average, and those beyond which its trie is dealt to more tasks.
 TRIE_SIZE, HOT_TRIE = 8192, 100_000
 #: Node pairs with at most this many leaf pairs are compared directly.
@@ -37,9 +42,8 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.fromiter(hashes, np.uint64, len(starts))
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """Bit i is 1 if it is set in over half of the shingle hashes; 0 for a text without words."""
-    hashes = shingle_hashes(text or b"", width)
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes; 0 without hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -49,19 +53,30 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0])
 
 
-def _fingerprints(width: int):
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    return majority(shingle_hashes(text or b"", width))
+
+
+def _fingerprints(width: int, words: int):
     def run(batches):
         for batch in batches:
-            marks = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["doc_id", "mark"])
+            marks = np.zeros((words, batch.num_rows), np.uint64)
+            for i, t in enumerate(batch.column("text")):
+                hashes = shingle_hashes(t.as_py() or b"", width)
+                for k in range(words):
+                    marks[k, i] = majority(mix(hashes + np.uint64(k)) if k else hashes)
+            names = ["mark", "more"][:words]
+            keep = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], *(pa.array(m.view(np.int64)) for m in marks)], [*keep, *names])
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, mark): the fingerprint's 64 bits as a signed long."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(_fingerprints(width), "doc_id long, mark long")
+def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
+    """(doc_id, proof, mark[, more]): fingerprints of 64 bits as signed longs; proof tells texts of one doc_id apart."""
+    texts = tagged(docs.select("doc_id", "text"), "id", "proof")
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "id", "proof", F.col("text").cast("binary").alias("text"))
+    return in_python(texts, _fingerprints(width, words), "doc_id long, id long, proof long, mark long" + ", more long" * (words - 1))
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
@@ -79,20 +94,23 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray, start: np.ndarray | None = Non
         label = new
 
 
-def trie_join(marks: np.ndarray, depth: int, used: np.ndarray, half: int = 32, budget: int = BUDGET) -> np.ndarray:
-    """Labels (index of each item's representative) of the links among sorted distinct ``marks``.
+def trie_join(marks, depth: int, used, parts: int = PARTS, budget: int = BUDGET, more=None, most_bits: int = 0) -> np.ndarray:
+    """Labels (index of each item's representative) of the links among sorted ``marks``.
 
     The marks share their first ``depth`` bits, but for those with used = 1 (visitors), which differ from the
     others in one of them; two visitors are not compared. Pairs of trie nodes, each a range of the sorted array,
     are traversed together from the top. Each step goes down one bit to the child pairs and adds 1 where they
-    differ; a pair is dropped when it exceeds the budget: 1 bit in the first half, ``budget`` in all. Pairs whose
-    leaves are all in one component already are dropped too.
+    differ; a pair is dropped when it exceeds the budget: its share in the first part, ``budget`` in all. Pairs whose
+    leaves are all in one component already are dropped too. Where the items have ``more`` bits, leaves are linked only
+    if at most ``most_bits`` of all their bits differ.
     """
-    n = len(marks)
+    n, half = len(marks), 64 // parts
+    more = np.zeros(n, np.uint64) if (exact := more is None) else more
+    limits = (half, budget // parts, budget, 64 if exact else most_bits)
     sides = [np.flatnonzero(used == 0), np.flatnonzero(used == 1)]
     label = np.arange(n)
     home = marks[sides[0]]
-    if len(home) > 1:  # links of one bit first: they join dense groups cheaply
+    if exact and len(home) > 1:  # links of one bit first: they join dense groups cheaply
         a, b = [], []
         for bit in range(64 - depth):
             other = home ^ np.uint64(1 << bit)
@@ -113,11 +131,11 @@ def trie_join(marks: np.ndarray, depth: int, used: np.ndarray, half: int = 32, b
         for bit in range(63 - depth, -1, -1):
             if not pairs.shape[1]:
                 break
-            most = 1 if bit >= 64 - half else budget
+            most = budget // parts if bit >= 64 - half else budget
             pairs = _step(x, y, pairs, bit, most, second == 0)
             area = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2])
             few = (area <= LEAVES) | (bit == 0)
-            label = _compare(x, y, left, right, pairs[:, few], label, half, budget)
+            label = _compare(x, y, left, right, pairs[:, few], label, more, limits)
             pairs = pairs[:, ~few]
             pairs = pairs[:, ~_joined(pairs, label[left], label[right])]
     return label
@@ -146,7 +164,7 @@ def _joined(pairs, xl, yl):
     return whole & (xl[pairs[0]] == yl[pairs[2]])
 
 
-def _compare(x, y, left, right, pairs, label, half, budget, block=1 << 20):
+def _compare(x, y, left, right, pairs, label, more, limits, block=1 << 20):
     """Labels after the links among the leaf pairs of ``pairs``."""
     area = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2])
     cuts = np.searchsorted(np.cumsum(area), np.arange(block, area.sum() + block, block), "left") + 1
@@ -158,50 +176,55 @@ def _compare(x, y, left, right, pairs, label, half, budget, block=1 << 20):
         k = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
         width = (part[3] - part[2])[pair]
         a, b = part[0][pair] + k // width, part[2][pair] + k % width
-        d = x[a] ^ y[b]
-        hit = np.flatnonzero((np.bitwise_count(d) <= budget) & (np.bitwise_count(d >> np.uint64(64 - half)) <= 1))
+        d, (half, first, budget, all_bits) = x[a] ^ y[b], limits
+        bits = np.bitwise_count(d)
+        hit = np.flatnonzero((bits <= budget) & (np.bitwise_count(d >> np.uint64(64 - half)) <= first))
+        hit = hit[bits[hit] + np.bitwise_count(more[left[a[hit]]] ^ more[right[b[hit]]]) <= all_bits]
         label = _labels(len(label), left[a[hit]], right[b[hit]], label)
     return label
 
 
-def _join_trie(depth: int):
+def _join_trie(depth: int, parts: int, budget: int, most_bits: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["mark", "used"])
-        marks, used, turn = group["mark"].to_numpy().view(np.uint64), group["used"].to_numpy(), int(group["turn"].iloc[0])
+        group = group.drop_duplicates(["id", "used"])
+        marks, used, ids = group["mark"].to_numpy().view(np.uint64), group["used"].to_numpy(), group["id"].to_numpy()
         order = np.lexsort((marks, used))
-        marks, used = marks[order], used[order]
-        label = trie_join(marks, depth, used)
-        back = ((marks << np.uint64(32)) | (marks >> np.uint64(32))) if turn else marks
-        back, linked = back.view(np.int64), np.flatnonzero(label != np.arange(len(marks)))
-        return pd.DataFrame({"a": back[linked], "b": back[label[linked]]})
+        marks, used, ids = marks[order], used[order], ids[order]
+        more = group["more"].to_numpy().view(np.uint64)[order] if most_bits else None
+        label = trie_join(marks, depth, used, parts, budget, more, most_bits)
+        linked = np.flatnonzero(ids[label] != ids)
+        return pd.DataFrame({"a": ids[linked], "b": ids[label[linked]]})
 
     return run
 
 
-def links(marks: DataFrame, trie_size: int = TRIE_SIZE, hot: int = HOT_TRIE) -> DataFrame:
-    """Links (a, b) among distinct fingerprints ``mark`` that connect all that are within the budget.
+def links(nodes: DataFrame, budget: int = BUDGET, parts: int = PARTS, most_bits: int = 0, trie_size: int = TRIE_SIZE, hot: int = HOT_TRIE) -> DataFrame:
+    """Links (a, b) among fingerprints (id, mark[, more]) that connect all that are within the budget.
 
-    Of three differing bits at most one is in one half of the 64. So two tries, over the bits as they are and
-    with the halves swapped, find every link with an error budget of one in the first half. A trie is dealt out
-    by its top bits: each fingerprint goes to its own subtree and visits those whose prefix differs in one bit
-    and is larger. Each task emits links to representatives (fewer than it has rows), not all pairs. A subtree
-    with too many rows is dealt out once more in blocks, each pair of blocks to a task.
+    The tries are over the bits as they are and with each other part of them first (and, with ``more``, over both
+    fingerprints); ``budget // parts``, the errors in the first part, has to be one. A trie is dealt out by its top
+    bits: each fingerprint goes to its own subtree and visits those whose prefix differs in one bit and is larger.
+    Each task emits links to representatives (fewer than it has rows), not all pairs. A subtree with too many rows
+    is dealt out once more in blocks, each pair of blocks to a task.
     """
-    depth = min(30, max(0, math.ceil(math.log2(max(1, marks.count()) / trie_size))))
-    turned = F.shiftleft("mark", 32).bitwiseOR(F.shiftrightunsigned("mark", 32))
-    rows = marks.select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("mark")), F.struct(F.lit(1).alias("turn"), turned.alias("mark")))).alias("r")).select("r.*")
+    assert budget // parts == 1
+    depth = min(64 // parts - 2, max(0, math.ceil(math.log2(max(1, nodes.count()) / trie_size))))
+    words = ["mark", "more"] if most_bits else ["mark"]
+    turn = lambda c, k: F.shiftleft(c, k).bitwiseOR(F.shiftrightunsigned(c, 64 - k)) if k else F.col(c)
+    turns = [(turn(w, k * 64 // parts), F.col(words[-1 - i])) for i, w in enumerate(words) for k in range(parts)]
+    turns = F.array(*[F.struct(F.lit(i).alias("turn"), mark.alias("mark"), more.alias("more")) for i, (mark, more) in enumerate(turns)])
+    rows = nodes.select("id", F.explode(turns).alias("r")).select("id", "r.*")
     prefix = F.shiftrightunsigned("mark", 64 - depth) if depth else F.lit(0).cast("long")
     visits = [F.when(prefix.bitwiseAND(F.lit(1 << i)) == 0, prefix.bitwiseOR(F.lit(1 << i))) for i in range(depth)]
     rows = rows.withColumn("to", F.array(F.struct(prefix.alias("tree"), F.lit(0).alias("used")), *[F.struct(v.cast("long").alias("tree"), F.lit(1).alias("used")) for v in visits]))
-    rows = rows.select("turn", "mark", F.explode("to").alias("to")).select("turn", "mark", "to.*").where("tree is not null")
+    rows = rows.select("turn", "id", "mark", *(["more"] if most_bits else []), F.explode("to").alias("to")).select("*", "to.*").drop("to").where("tree is not null")
     sizes = rows.groupBy("turn", "tree").count().where(F.col("count") > hot)
     sizes = sizes.select("turn", "tree", F.ceil(F.col("count") / hot * 2).cast("int").alias("blocks"))
     rows = rows.join(sizes, ["turn", "tree"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["turn", "tree", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    rows = rows.select(*keys, "mark", "used")
-    return rows.groupBy("turn", "tree", "i", "j").applyInPandas(_join_trie(depth), "a long, b long")
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("block", "other", "blocks")
+    return rows.groupBy("turn", "tree", "i", "j").applyInPandas(_join_trie(depth, parts, budget, most_bits), "a long, b long")
 
 
 def simhash_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -212,10 +235,28 @@ def simhash_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     reachable; a null doc_id takes part in links but names no component. Repeated rows share their component.
     An empty table gives an empty result; other columns are ignored.
     """
-    marked = cut(fingerprints(docs, width))
+    marked = cut(fingerprints(docs, width).select("doc_id", "mark"))
     nodes = cut(marked.groupBy("mark").agg(F.min("doc_id").alias("doc_id")))
-    roots = components(links(nodes.select("mark")), "a", "b")
+    roots = components(links(nodes.select(F.col("mark").alias("id"), "mark")), "a", "b")
     nodes = nodes.join(roots, nodes["mark"] == roots["node"], "left")
     nodes = nodes.select("mark", "doc_id", F.coalesce("root", "mark").alias("root"))
     least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return marked.join(nodes.join(least, "root").select("mark", "component_id"), "mark").select("doc_id", "mark", "component_id")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(id, proof, keep_id, keep_proof) of each document, tagged as by ``common.tagged``: the one of its group that stays.
+
+    Groups are components of fingerprints of NEAR_WIDTH words that are within NEAR_BUDGET in one of two independent
+    fingerprints and within NEAR_BITS in both. The smallest (id, proof) stays. Rows that repeat both are one document.
+    """
+    marked = cut(fingerprints(docs, NEAR_WIDTH, 2).drop("doc_id").distinct())
+    nodes = marked.groupBy("mark", "more").agg(F.min(F.struct("id", "proof")).alias("first"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    found = links(nodes.select(F.col("node").alias("id"), "mark", "more"), NEAR_BUDGET, NEAR_PARTS, NEAR_BITS)
+    roots = components(found, "a", "b").select("node", "root")
+    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = nodes.groupBy("root").agg(F.min("first").alias("keep"))
+    nodes = nodes.join(least, "root").select("mark", "more", "keep")
+    out = marked.join(nodes, ["mark", "more"])
+    return out.select("id", "proof", F.col("keep.id").alias("keep_id"), F.col("keep.proof").alias("keep_proof"))

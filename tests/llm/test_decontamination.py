@@ -37,7 +37,11 @@ def brute(pairs, items, width=8, least=4, coverage=0.5):
         d, leaked = tokens(text), set()
         for item, t in items:
             q = tokens(t)
-            if t is None or len(q) < least:
+            if t is None:
+                continue
+            if len(q) < least:
+                if any([x[0] for x in tokens(line)] == [x[0] for x in q] for line in (text or "").split("\n") if q):
+                    leaked.add(item)
                 continue
             w = min(width, len(q))
             aligned = {}
@@ -76,9 +80,9 @@ def test_contamination(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = contamination(docs(spark, pairs), items)
     assert rows(got, "doc_id", "contaminated", "n_items") == brute(pairs, ITEMS)
-    assert {r["doc_id"] for r in got.where("contaminated").collect()} == {1, 2, 5, 9, None, 10, 11}
+    assert {r["doc_id"] for r in got.where("contaminated").collect()} == {1, 2, 5, 8, 9, None, 10, 11}
     kept = decontaminated(docs(spark, pairs), items)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 6, 7, 8, 10]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 6, 7, 10]
     assert kept.columns == docs(spark, {}).columns
     assert contamination(docs(spark, {}), items).count() == 0
     assert contamination(docs(spark, pairs), items.where("false")).where("contaminated").count() == 0
@@ -104,3 +108,12 @@ def test_conflicts_and_excerpts(spark):
     got = contamination(docs(spark, pairs), items)
     assert {r["doc_id"] for r in got.where("contaminated").collect()} == {1, 2, 3, 4, 5, 8}
     assert {r["doc_id"] for r in decontaminated(docs(spark, pairs), items).collect()} == {6, 7}
+
+
+def test_number_tables_and_repeated_rows(spark):
+    """Windows of slots only are matched by their fillers, so tables of numbers do not meet each other everywhere."""
+    table = " ".join(str(i % 10) for i in range(30_000))
+    items = [(1, " ".join(str(i * i) for i in range(40))), (2, "0 " * 300), (3, "Pick 4 of 9 cards")]
+    pairs = [(1, table), (2, "zero " + "0 " * 20_000), (3, items[0][1] + " end"), (4, "text " + items[2][1]), (4, "text " + items[2][1]), (5, None)]
+    got = contamination(docs(spark, pairs), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(got, "doc_id", "contaminated") == [(1, False), (2, True), (3, True), (4, True), (4, True), (5, False)]

@@ -6,10 +6,17 @@ import xxhash
 
 from repolith.llm.exact_dedup import exact_dedup
 from repolith.llm.mixing import mix
+import corpus_pipeline
+from pyspark.sql import functions as F
+from repolith.llm import simhash
+from repolith.llm.common import components
 from repolith.llm.simhash import fingerprint, links, simhash_dedup, trie_join
 from tests.llm.data import docs, rows
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def test_exact_dedup(spark):
     got = rows(exact_dedup(docs(spark, {1: "a", 2: "a", 3: None, 4: "", 5: "b", None: "b", 7: "x" * 100_000}), fan_in=2), "doc_id", "keep_id", "group_size", "kept")
     assert got == sorted([(1, 2, 2, False), (2, 2, 2, True), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 2, True), (None, 5, 2, False), (7, 7, 1, True)], key=repr)
@@ -95,7 +102,7 @@ def test_links_dealt_out(spark):
     from repolith.llm.common import components
 
     for trie_size, hot in ((16, 10_000), (16, 40)):
-        edges = links(spark.createDataFrame([(v,) for v in set(signed)], "mark long"), trie_size, hot)
+        edges = links(spark.createDataFrame([(v, v) for v in set(signed)], "id long, mark long"), trie_size=trie_size, hot=hot)
         got = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in components(edges, "a", "b").collect()}
         groups, expected = {}, {}
         for v, r in brute_components(sorted(set(values))).items():
@@ -155,3 +162,52 @@ def test_mix(spark):
 
 def rows_of(got):
     return sorted((x["doc_id"], x["taken"]) for x in got)
+
+
+def test_links_of_two_fingerprints(spark):
+    """Near copies: within the budget in one of two fingerprints and within all bits in both."""
+    r = random.Random(31)
+    flip = lambda v, n: v ^ sum(1 << b for b in r.sample(range(64), n))
+    nodes = []
+    for _ in range(60):
+        a, b = r.getrandbits(64), r.getrandbits(64)
+        nodes += [(a, b)] + [(flip(a, r.randint(0, 10)), flip(b, r.randint(0, 14))) for _ in range(3)]
+    nodes += [(0, 0), (0, (1 << 64) - 1), (0, 7)]
+    root = list(range(len(nodes)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, b) in enumerate(nodes):
+        for j, (c, d) in enumerate(nodes[:i]):
+            x, y = (a ^ c).bit_count(), (b ^ d).bit_count()
+            if min(x, y) <= simhash.NEAR_BUDGET and x + y <= simhash.NEAR_BITS:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    frame = spark.createDataFrame([(i, signed(a), signed(b)) for i, (a, b) in enumerate(nodes)], "id long, mark long, more long")
+    for trie_size, hot in ((8192, 100_000), (16, 10_000), (16, 60)):
+        edges = simhash.links(frame, simhash.NEAR_BUDGET, simhash.NEAR_PARTS, simhash.NEAR_BITS, trie_size, hot)
+        got = {x["node"]: x["root"] for x in components(edges, "a", "b").collect()}
+        assert [got.get(i, i) for i in range(len(nodes))] == [find(i) for i in range(len(nodes))]
+
+
+def test_near_copies_and_mix_of_odd_rows(spark):
+    text = " ".join(f"word{i}" for i in range(300))
+    pairs = [(5, "another text that is not near any"), (5, text), (3, text), (3, text), (9, text.replace("word7 ", "other ")), (None, text), (None, None), (8, ""), (7, "x")]
+    frame = docs(spark, pairs).withColumn("_id", F.lit("mine"))
+    kept = corpus_pipeline.dedup_near_copies(spark, frame, "")
+    assert kept.columns == frame.columns
+    rows = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert rows == sorted([(5, pairs[0][1]), (3, text), (7, "x"), (8, "")], key=repr)
+    assert corpus_pipeline.dedup_near_copies(spark, frame.where("false"), "").count() == 0
+    clash = frame.withColumnsRenamed({"row": "target"})
+    mixed = corpus_pipeline.mix_sources(spark, clash, "")
+    assert mixed.columns == [*clash.columns, "_size", "source_size", "_target", "copies", "taken"]
+    taken = mixed.collect()
+    assert len({(r["doc_id"], r["text"]) for r in taken}) == len(taken) >= 6
+    assert corpus_pipeline.mix_sources(spark, clash.where("false"), "").count() == 0
+    assert corpus_pipeline.dedup_document_lines(spark, clash, "").columns == clash.columns
+    assert corpus_pipeline.decontaminate(spark, clash, SF).columns == clash.columns
+    assert corpus_pipeline.identify_language(spark, clash.withColumn("score", F.lit(1)), SF).columns == [*clash.columns, "score"]
