@@ -22,7 +22,8 @@ from repolith.llm.window_dedup import dedup_windows
 
 def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = link_quotations(table(spark, sf_dir, "conversations"))
-    return linked.withColumn("plain_sha256", F.sha2("plain", 256)).drop("plain")
+    origins = F.transform("links", lambda x: F.concat_ws(":", x["level"], x["from_conv"], x["from_turn"]))
+    return linked.withColumns({"plain_sha256": F.sha2("plain", 256), "links": F.array_join(origins, " ")}).drop("plain")
 
 
 def op2_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

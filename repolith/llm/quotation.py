@@ -24,8 +24,12 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
-def hashed(parts: Column) -> Column:
-    return F.explode(F.transform(parts, lambda s: F.struct(F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"))))
+def units(parts: Column, wholes: Column) -> Column:
+    """What is hashed of a text: its sentences, and passages as a whole, as arrays of sentences."""
+    joined = F.transform(F.filter(wholes, lambda w: F.size(w) > 1), lambda w: F.struct(F.array_join(w, " ").alias("s"), F.size(F.array_distinct(w)).alias("n")))
+    single = F.transform(parts, lambda s: F.struct(s.alias("s"), F.lit(0).alias("n")))
+    both = F.transform(F.concat(single, joined), lambda u: F.struct(F.xxhash64(u["s"]).alias("h1"), F.xxhash64(F.lit(1), u["s"]).alias("h2"), (u["n"] + 1).alias("weight")))
+    return F.explode(F.array_distinct(both))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -52,39 +56,75 @@ def passages(rows: DataFrame) -> DataFrame:
     return quoted.select(*message, "passage", "level", F.array_join("s.s", " ").alias("quoted"))
 
 
+def latest_before(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """(conv_id, h1, h2, turn, from_turn): the latest turn before each asked one of its conversation that holds the hash.
+
+    Turns are range-partitioned by conversation, hash and turn; each range takes over what the ranges before it
+    found. So neither a long conversation nor a sentence that it repeats all the time is in one task.
+    """
+    keys = ["conv_id", "h1", "h2"]
+    turns = held.select(*keys, F.col("from_turn").alias("turn"), F.lit(1).alias("holds"))
+    turns = turns.union(asked.select(*keys, "turn", F.lit(0).alias("holds")).distinct())
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns = cut(turns.repartitionByRange(parts, *keys, "turn", "holds").withColumn("part", F.spark_partition_id()))
+    holder = F.when(F.col("holds") == 1, F.col("turn"))
+    ends = turns.groupBy(*keys, "part").agg(F.max(holder).alias("last"))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("before", F.max("last").over(before)).drop("last")
+    inside = Window.partitionBy(*keys, "part").orderBy("turn", "holds").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = turns.withColumn("inside", F.max(holder).over(inside)).where("holds = 0").join(ends, [*keys, "part"])
+    return turns.select(*keys, "turn", F.coalesce("inside", "before").alias("from_turn")).where("from_turn is not null")
+
+
+def first_holders(held: DataFrame) -> DataFrame:
+    """(h1, h2, first, other): the first message of all that holds a hash, and the first of another conversation."""
+    keys = ["h1", "h2"]
+    each = held.groupBy(*keys, "conv_id").agg(F.min("from_turn").alias("from_turn")).select(*keys, F.struct("conv_id", "from_turn").alias("at"))
+    first = each.groupBy(*keys).agg(F.min("at").alias("first"))
+    other = each.join(first, keys).where("at.conv_id <> first.conv_id").groupBy(*keys).agg(F.min("at").alias("other"))
+    return first.join(other, keys, "left")
+
+
 def links(rows: DataFrame, quoted: DataFrame) -> DataFrame:
     """(conv_id, turn, proof, passage, level, from_conv, from_turn, matched, n_sentences) of each quoted passage.
 
-    A passage comes from the earlier message of its conversation that holds most of its sentences (the latest of
-    equals), else from the first message anywhere that holds one of them (null if none does). Originals are
-    reduced to one row a sentence and conversation, or a sentence, before the joins, so a sentence that very
-    many messages share is one row on that side, and the join is never many to many.
+    The hashes of a passage's sentences and, with more weight than all of these, that of the passage as a whole each
+    vote for the latest message before in the conversation that holds them; the message with most votes (the latest
+    of equals) is where the passage comes from. If there is none, the first messages of other conversations get the
+    votes. matched is the number of sentences that the winner's votes stand for. Originals are reduced to one row a
+    hash before the joins, so no join is many to many.
     """
     key = ["conv_id", "turn", "proof", "passage", "level"]
-    asked = cut(quoted.select(*key, F.size(sentences(F.col("quoted"))).alias("n_sentences"), hashed(sentences(F.col("quoted"))).alias("h")).select(*key, "n_sentences", "h.*").distinct())
-    held = rows.select("conv_id", F.col("turn").alias("from_turn"), hashed(sentences(F.col("plain"))).alias("h"))
-    held = held.select("conv_id", "from_turn", "h.*").join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").distinct()
+    parts = sentences(F.col("quoted"))
+    known = quoted.where("conv_id is not null and turn is not null")
+    asked = known.select(*key, F.explode(F.array(parts)).alias("parts"))
+    asked = cut(asked.select(*key, units(F.array_distinct("parts"), F.array("parts")).alias("h")).select(*key, "h.*").distinct())
+    wholes = F.concat(F.array(sentences(F.col("plain"))), F.transform(F.split("plain", "\n"), sentences))
+    held = rows.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").alias("from_turn"), units(sentences(F.col("plain")), wholes).alias("h"))
+    held = held.select("conv_id", "from_turn", "h.h1", "h.h2").join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").distinct()
     held = cut(held)
-    near = asked.join(held, ["conv_id", "h1", "h2"]).where("from_turn < turn")
-    near = near.groupBy(*key, "from_turn").agg(F.count("*").alias("matched"))
-    best = F.max(F.struct("matched", "from_turn")).alias("best")
-    near = near.groupBy(*key).agg(best).select(*key, F.col("conv_id").alias("from_conv"), "best.from_turn", "best.matched")
-    first = held.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", "from_turn")).alias("first"))
-    far = asked.join(first, ["h1", "h2"]).where((F.col("first.conv_id") != F.col("conv_id")) | F.col("conv_id").isNull())
-    far = far.groupBy(*key).agg(F.min("first").alias("first"), F.count("*").alias("matched"))
-    far = far.select(*key, F.col("first.conv_id").alias("far_conv"), F.col("first.from_turn").alias("far_turn"), F.col("matched").alias("far_matched"))
-    out = quoted.select(*key, F.size(sentences(F.col("quoted"))).alias("n_sentences")).join(near, key, "left").join(far, key, "left")
+    near = asked.join(latest_before(held, asked), ["conv_id", "h1", "h2", "turn"])
+    near = near.groupBy(*key, "from_turn").agg(F.sum("weight").alias("votes"))
+    near = near.groupBy(*key).agg(F.max(F.struct("votes", "from_turn")).alias("best"))
+    near = near.select(*key, F.col("conv_id").alias("from_conv"), "best.from_turn", "best.votes")
+    far = asked.join(first_holders(held), ["h1", "h2"])
+    far = far.withColumn("at", F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("other"))).where("at is not null")
+    far = far.groupBy(*key, "at").agg(F.sum("weight").alias("votes"))
+    most = F.max_by("at", F.struct("votes", -F.col("at.conv_id"), -F.col("at.from_turn"))).alias("at")
+    far = far.groupBy(*key).agg(most, F.max("votes").alias("far_votes")).select(*key, F.col("at.conv_id").alias("far_conv"), F.col("at.from_turn").alias("far_turn"), "far_votes")
+    n = F.size(F.array_distinct(parts)).alias("n_sentences")
+    out = quoted.select(*key, n).join(near, key, "left").join(far, key, "left")
     return out.select(
         *key,
         F.coalesce("from_conv", "far_conv").alias("from_conv"),
         F.when(F.col("from_conv").isNotNull(), F.col("from_turn")).otherwise(F.col("far_turn")).alias("from_turn"),
-        F.coalesce("matched", "far_matched", F.lit(0)).alias("matched"),
+        F.least(F.coalesce("votes", "far_votes", F.lit(0)), F.col("n_sentences")).cast("int").alias("matched"),
         "n_sentences",
     )
 
 
 def previous_turns(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, previous): the turn before each in its conversation.
+    """(conv_id, turn, previous, place): the turn before each in its conversation, and how many there are before it.
 
     Turns are range-partitioned, so a conversation of any length is spread over tasks; the first of each range
     takes the last turn of the ranges before it.
@@ -92,20 +132,21 @@ def previous_turns(rows: DataFrame) -> DataFrame:
     turns = rows.select("conv_id", "turn").where("conv_id is not null and turn is not null").distinct()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turns = cut(turns.repartitionByRange(parts, "conv_id", "turn").withColumn("part", F.spark_partition_id()))
-    ends = turns.groupBy("conv_id", "part").agg(F.max("turn").alias("last"))
+    ends = turns.groupBy("conv_id", "part").agg(F.max("turn").alias("last"), F.count("*").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("before", F.max("last").over(before)).drop("last")
+    ends = ends.select("conv_id", "part", F.max("last").over(before).alias("before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
     inside = Window.partitionBy("conv_id", "part").orderBy("turn")
-    turns = turns.withColumn("inside", F.lag("turn").over(inside)).join(ends, ["conv_id", "part"])
-    return turns.select("conv_id", "turn", F.coalesce("inside", "before").alias("previous"))
+    turns = turns.withColumns({"inside": F.lag("turn").over(inside), "row": F.row_number().over(inside) - 1}).join(ends, ["conv_id", "part"])
+    return turns.select("conv_id", "turn", F.coalesce("inside", "before").alias("previous"), (F.col("n") + F.col("row")).alias("place"))
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:
-    """One row per message: conv_id, turn, role, reply_to, n_passages, max_level, n_linked, plain.
+    """One row per message: conv_id, turn, role, place, reply_to, n_passages, max_level, n_linked, links, plain.
 
     reply_to is the turn that the message's first passage of level 1 comes from, if that is in the conversation,
     else the turn before (null for the first). Replies come after what they answer, so (conv_id, turn) is reply
-    order. Null text has no quotes and an empty plain text; a message with a null conv_id or turn replies to none
+    order, and place the message's place in it. links has a passage, level, from_conv, from_turn and matched for each
+    linked passage, in order. Null text has no quotes and an empty plain text; a message with a null conv_id or turn replies to none
     and its passages are counted but not linked.
     Repeated rows each get a row. An empty table gives an empty result; other columns are ignored.
     """
@@ -113,15 +154,18 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     message = ["conv_id", "turn", "proof"]
     found = cut(links(rows, passages(rows)))
     answered = F.when((F.col("level") == 1) & (F.col("from_conv") == F.col("conv_id")), F.struct("passage", "from_turn"))
-    found = found.groupBy(*message).agg(F.count("*").alias("n_passages"), F.max("level").alias("max_level"), F.count("from_turn").alias("n_linked"), F.min(answered)["from_turn"].alias("answered"))
+    found = found.groupBy(*message).agg(F.count("*").alias("n_passages"), F.max("level").alias("max_level"), F.count("from_turn").alias("n_linked"), F.min(answered)["from_turn"].alias("answered"), F.array_sort(F.collect_list(F.when(F.col("from_turn").isNotNull(), F.struct("passage", "level", "from_conv", "from_turn", "matched")))).alias("links"))
     out = rows.drop("lines").join(previous_turns(rows), ["conv_id", "turn"], "left").alias("r")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in message]
     out = out.join(found.alias("f"), same[0] & same[1] & same[2], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("r.conv_id", "r.turn", "role", F.coalesce("answered", "previous").alias("reply_to"), zero("n_passages"), zero("max_level"), zero("n_linked"), "plain")
+    none = F.array().cast("array<struct<passage:int,level:int,from_conv:bigint,from_turn:bigint,matched:int>>")
+    return out.select(
+        "r.conv_id", "r.turn", "role", "place", F.coalesce("answered", "previous").alias("reply_to"), zero("n_passages"), zero("max_level"), zero("n_linked"),
+        F.coalesce("links", none).alias("links"), "plain",
+    )
 
 
 def conversations(linked: DataFrame) -> DataFrame:
-    """(conv_id, messages): the messages of each conversation in reply order, for export."""
-    message = F.struct("turn", "role", "reply_to", "plain")
-    return linked.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    """The messages in order of conversation and reply, for export: range-partitioned, so long ones are spread."""
+    return linked.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")

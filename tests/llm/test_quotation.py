@@ -24,29 +24,44 @@ def brute(rows):
             if n and k and levels[k - 1] == n:
                 runs[-1][1].append(MARKS.sub("", lines[k]))
             elif n:
-                runs.append((n, [MARKS.sub("", lines[k])]))
-        parsed.append((conv, turn, role, plain, [(n, set(sentences(" ".join(r)))) for n, r in runs]))
+                runs.append((n, [MARKS.sub("", lines[k])], k))
+        parsed.append((conv, turn, role, plain, [(n, " ".join(r), k) for n, r, k in runs]))
+    holds = [(c, t, units(p, [p, *p.split("\n")])) for c, t, _, p, _ in parsed]
     out = []
     for conv, turn, role, plain, runs in parsed:
-        linked, answered = 0, None
-        for n, asked in runs:
-            near = {}
-            for c, t, _, p, _ in parsed:
-                if c == conv and t is not None and t < turn and (got := len(asked & set(sentences(p)))):
-                    near[t] = max(near.get(t, 0), got)
-            far = [(c, t) for c, t, _, p, _ in parsed if asked & set(sentences(p))]
-            firsts = [min((c, t) for c, t in [(c, t) for c, t, _, p, _ in parsed if s in sentences(p)]) for s in asked if any(s in sentences(p) for *_, p, _ in parsed)]
+        answered, links = None, []
+        for n, asked, at in runs:
+            near, far = {}, {}
+            for unit, weight in units(asked, [asked]).items():
+                earlier = [t for c, t, h in holds if c == conv and t < turn and unit in h]
+                if earlier:
+                    near[max(earlier)] = near.get(max(earlier), 0) + weight
+                others = [(c, t) for c, t, h in holds if c != conv and unit in h]
+                if others:
+                    far[min(others)] = far.get(min(others), 0) + weight
+            size = len(set(sentences(asked)))
             if near:
-                linked += 1
+                best = max(near, key=lambda t: (near[t], t))
+                links.append((at, n, conv, best, min(size, near[best])))
                 if n == 1 and answered is None:
-                    answered = max(near, key=lambda t: (near[t], t))
-            elif far and any(c != conv for c, _ in firsts):
-                linked += 1
-        before = [t for c, t, *_ in parsed if c == conv and t < turn]
-        out.append((conv, turn, role, answered if answered is not None else max(before, default=None), len(runs), max([n for n, _ in runs], default=0), linked, plain))
+                    answered = best
+            elif far:
+                best = min(far, key=lambda x: (-far[x], x))
+                links.append((at, n, *best, min(size, far[best])))
+        before = sorted({t for c, t, *_ in parsed if c == conv and t < turn})
+        reply = answered if answered is not None else max(before, default=None)
+        out.append((conv, turn, role, len(before), reply, len(runs), max([n for n, *_ in runs], default=0), len(links), links, plain))
     return sorted(out, key=repr)
 
 
+def units(text, wholes):
+    out = {s: 1 for s in sentences(text)}
+    for w in wholes:
+        if len(s := sentences(w)) > 1:
+            out[" ".join(s)] = len(set(s)) + 1
+    return out
+
+
 def test_quotations_against_brute_force(spark):
     r = random.Random(2)
     say = lambda: " ".join("".join(r.choice("abcdeé") for _ in range(4)) for _ in range(5)).capitalize() + r.choice(".!?")
@@ -64,11 +79,21 @@ def test_quotations_against_brute_force(spark):
             rows.append((conv, turn, r.choice(["user", "assistant"]), texts[-1]))
     rows += [(50, 0, "user", ""), (50, 3, "user", ">" * 30 + " deep\n\n\n\nok"), (50, 4, None, "word " * 20_000)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
-    got = [tuple(x) for x in link_quotations(frame).collect()]
+    got = [(*x[:8], [tuple(y) for y in x[8]], x[9]) for x in link_quotations(frame).collect()]
     assert sorted(got, key=repr) == brute(rows)
-    assert any(x[6] for x in got) and any(x[5] > 1 for x in got)
-    chat = {x["conv_id"]: x["messages"] for x in conversations(link_quotations(frame)).collect()}
-    assert all([m["turn"] for m in ms] == sorted(m["turn"] for m in ms) and not any(x.startswith(">") for m in ms for x in m["plain"].split("\n")) for ms in chat.values())
+    assert any(x[7] for x in got) and any(x[6] > 1 for x in got)
+    chat = conversations(link_quotations(frame)).collect()
+    assert [(x["conv_id"], x["turn"]) for x in chat] == sorted((x["conv_id"], x["turn"]) for x in chat)
+    assert not any(line.startswith(">") for x in chat for line in x["plain"].split("\n"))
+
+
+def test_a_sentence_that_all_turns_repeat(spark):
+    rows = [(1, t, "user", "ok then.\n> ok then.") for t in range(300)] + [(2, 5, "user", "> ok then.")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {(x["conv_id"], x["turn"]): x for x in link_quotations(frame).collect()}
+    assert all(got[1, t]["reply_to"] == t - 1 and got[1, t]["place"] == t for t in range(1, 300))
+    assert got[2, 5]["reply_to"] is None and [tuple(x)[2:4] for x in got[2, 5]["links"]] == [(1, 0)]
+    assert got[1, 0]["n_linked"] == 0
 
 
 def test_odd_rows(spark):
