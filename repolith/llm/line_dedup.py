@@ -117,6 +117,14 @@ def open_bands(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(split.select("band"), "band")
 
 
+def central(sketches: DataFrame) -> DataFrame:
+    """(lid, low, rank): how often a line's hashes occur among all the lines: a line in the middle of its kin ranks high."""
+    words = sketches.select("lid", F.explode("low").alias("h"))
+    often = words.groupBy("h").agg(F.count("*").alias("often"))
+    rank = words.join(often, "h").groupBy("lid").agg(F.sum("often").alias("rank"))
+    return sketches.select("lid", "low").join(rank, "lid")
+
+
 def bitmap(hashes: Column) -> list[Column]:
     """Parity bits of a set: two sets differ in at least as many elements as their bitmaps differ in bits."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
@@ -134,22 +142,23 @@ def prefix_pairs(lines: DataFrame, sets: DataFrame, sketches: DataFrame, similar
     lines = broadcast_if_small(lines)
     words = sketches.join(lines, "lid").select("lid", F.size("low").alias("k"), F.explode("low").alias("h"))
     often = words.groupBy("h").agg(F.count("*").alias("often"))
-    rarest = Window.partitionBy("lid").orderBy("often", "h")
-    prefix = words.join(often, "h").withColumn("place", F.row_number().over(rarest))
-    prefix = prefix.where((F.col("often") > 1) & (F.col("place") <= F.floor(F.col("k") * (1 - COMMON)) + 1))
+    ranked = words.join(often, "h").groupBy("lid").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("all"), F.first("k").alias("k"))
+    rarest = F.slice("all", 1, F.floor(F.col("k") * (1 - COMMON)).cast("int") + 1)
+    ranked = ranked.select("lid", F.transform(F.filter(rarest, lambda x: x["often"] > 1), lambda x: x["h"]).alias("pre"))
     maps = sets.join(lines, "lid").select("lid", "root", F.size("hashes").alias("n"), *bitmap(F.col("hashes")))
-    prefix = cut(prefix.select("h", "lid").join(maps, "lid"))
+    prefix = cut(ranked.join(maps, "lid").withColumn("h", F.explode("pre")))
     blocks = prefix.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
     prefix = prefix.join(blocks, "h")
     left = prefix.withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long")).cast("int"))
     right = prefix.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", *(f"b{k}" for k in range(BITMAP)))))
+    right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", "pre", *(f"b{k}" for k in range(BITMAP)))))
     both = F.col("n") + F.col("n_b")
     least = similarity / (1 + similarity) * both - 1e-9
     apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(BITMAP)), F.lit(0))
     near = (F.col("root") < F.col("root_b")) & (F.least("n", "n_b") >= F.greatest("n", "n_b") * similarity - 1e-9) & (both - apart >= 2 * least)
+    near = near & (F.array_min(F.array_intersect("pre", "pre_b")) == left["h"])  # a pair meets once
     same = (left["h"] == right["h"]) & (left["block"] == right["block"])
-    return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b")).distinct()
+    return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b"))
 
 
 def signed(lines: DataFrame) -> DataFrame:
@@ -164,8 +173,9 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     Equal lines become one row before anything else, so a very common line costs what any line does. In each
     band, lines are linked to the smallest one and verified. Where that leaves a band of three or more lines in
     several components, small bands have their other pairs verified, and the lines of all such bands are linked
-    to the largest one of finer bands, of three hashes each. The lines of larger bands that are in several
-    components even then go through an exact prefix filter: of lines that share a band, no link is missed.
+    to the most central one of their band and of finer bands, of three hashes each. The lines of larger bands that are
+    in several components even then go through a prefix filter, which finds every pair among them but with the small
+    chance at COMMON; each is compared exactly.
     """
     place = F.struct("id", "proof", "pos")
     distinct = lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("low").alias("low"))
@@ -192,9 +202,12 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     few = open_.where(F.col("size") <= SMALL_BAND)
     other = few.select("band", F.col("lid").alias("b"), F.col("root").alias("root_b"))
     pairs = few.join(other, "band").where("root < root_b").select(F.col("lid").alias("a"), "b")
-    finer = sketches.join(open_.select("lid").distinct(), "lid").select("lid", F.explode(finer_bands(F.slice("low", 1, FINER))).alias("band"))
-    last = finer.groupBy("band").agg(F.max("lid").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    pairs = pairs.union(finer.join(last, "band").where("lid <> rep").select("lid", "rep")).distinct()
+    ranks = cut(central(sketches.join(open_.select("lid").distinct(), "lid")))
+    finer = ranks.select("lid", "rank", F.explode(finer_bands(F.slice("low", 1, FINER))).alias("band"))
+    finer = finer.union(open_.where(F.col("size") > SMALL_BAND).join(ranks, "lid").select("lid", "rank", "band"))
+    middle = finer.groupBy("band").agg(F.max_by("lid", F.struct("rank", "lid")).alias("rep"), F.count("*").alias("size")).where("size > 1")
+    stars = finer.join(middle, "band").where("lid <> rep").select(F.greatest("lid", "rep").alias("a"), F.least("lid", "rep").alias("b"))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(stars).distinct()
     found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     found = found.union(similar(pairs, sets, sketches, similarity))
     roots = components(found, "a", "b")
