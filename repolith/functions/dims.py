@@ -5,7 +5,6 @@ SEVERITY_WEIGHT = {"critical": 15.0, "high": 7.0, "medium": 3.0, "low": 1.0, "in
 SARIF_LEVEL = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "none"}
 CERTAINTIES = ["unknown", "dynamic", "inferred", "resolved", "direct"]
 CERTAINTY_CONFIDENCE = {"direct": 0.85, "resolved": 0.75, "inferred": 0.55, "dynamic": 0.35, "unknown": 0.2}
-RELATIONS = ["IMPORTS", "EXPORTS", "DECLARES", "REFERENCES", "CALLS", "EXTENDS", "IMPLEMENTS", "DEPENDS_ON", "FLOWS_TO"]
 CATEGORIES = ["architecture", "quality", "security", "secrets", "dependency", "performance", "infrastructure"]
 PROFILES = {
     "minimal": ["architecture"],
@@ -14,10 +13,6 @@ PROFILES = {
     "full": CATEGORIES,
     "enterprise": CATEGORIES,
 }
-SCAN_EVENTS = [
-    "scan:started", "scan:completed", "scan:failed", "scan:cancelled", "stage:started", "stage:progress",
-    "stage:completed", "analyzer:started", "analyzer:completed", "finding:emitted", "diagnostic",
-]
 
 LANGUAGE_BY_EXTENSION = {
     ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",

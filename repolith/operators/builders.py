@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from repolith.functions import dims
 from repolith.functions.columns import dirname, is_relative, matches_signature, normalise_path
-from repolith.operators.graph import first_paths, shortest_paths, unique_edges
-from repolith.operators.lineage import cut
+from repolith.operators.graph import first_paths, paths_between, unique_edges
+from repolith.operators.lineage import cut, numbered
 
 
 def candidates(path: Column, specifier: Column) -> Column:
@@ -50,7 +50,7 @@ def ordered(edges: DataFrame, *order) -> DataFrame:
     """Edges with seq by the given order, the first of each id kept."""
     place = Window.partitionBy("id").orderBy(*order)
     kept = edges.withColumn("_n", F.row_number().over(place)).where("_n = 1").drop("_n")
-    return kept.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    return numbered(kept, *order)
 
 
 def module_graph(modules: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -178,13 +178,12 @@ def ordered_sanitizers(points: DataFrame, key: str) -> DataFrame:
 def taint_graph(functions: DataFrame, call_sites: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """FLOWS_TO edges from functions with a source to functions with a sink that they reach through CALLS."""
     found = cut(classified(call_sites))
-    first = lambda role, p: found.where(F.col("role") == role).groupBy("function_id").agg(F.min_by("kind", F.struct("site_pos", "ord")).alias(f"{p}_kind"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("site_pos", "ord", "signature"))), lambda x: x["signature"])).alias(f"{p}_signatures"))
+    first = lambda role, p: found.where(F.col("role") == role).groupBy("function_id").agg(F.min_by("kind", F.struct("site_pos", "ord")).alias(f"{p}_kind"), F.transform(F.array_sort(F.collect_list(F.struct("site_pos", "ord", "signature"))), lambda x: x["signature"]).alias(f"{p}_signatures"))
     sources, sinks = cut(first("source", "source")), cut(first("sink", "sink"))
     clean = found.where("role = 'sanitizer'").select(node("function", "function_id").alias("n")).distinct()
     local = ordered_sanitizers(found.where("end is not null").select("function_id", "role", F.col("end").alias("at")), "function_id").withColumn("local", F.lit(True))
-    a, b = sources.select(node("function", "function_id").alias("source")), sinks.select(node("function", "function_id").alias("target"))
-    # The pairs are few: functions that call a source times functions that call a sink; paths come from one frontier.
-    paths = cut(first_paths(shortest_paths(calls, a.join(b, F.lit(True)))))
+    ends = lambda rows: rows.select(node("function", "function_id").alias("id"))
+    paths = cut(first_paths(paths_between(calls, ends(sources), ends(sinks))))
     dirty = paths.select("source", "target", F.explode("nodes").alias("n")).join(clean, "n").select("source", "target").distinct().withColumn("crossed", F.lit(True))
     out = paths.join(dirty, ["source", "target"], "left")
     cutoff = lambda c: F.expr(f"substring({c}, length('function:') + 1)")

@@ -1,15 +1,36 @@
-"""Cutting lineage between the rounds of iterative operators."""
+"""Cutting lineage between the rounds of iterative operators, and numbering rows without a task that holds all."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``, or in one of our own where that is unset."""
+    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; in local mode, in one of our own if that is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
+
+
+def numbered(rows: DataFrame, *order, name: str = "seq") -> DataFrame:
+    """rows with their place in a total order, from 0, as a long.
+
+    Rows are range-partitioned by the order and counted inside each range; a range begins where the ranges before it
+    end (one row a range). A column of that name is replaced.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = cut(rows.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    out = ranged.withColumn("__in", inside).join(F.broadcast(sizes), "__part")
+    return out.withColumn(name, F.col("__before") + F.col("__in") - 1).drop("__part", "__before", "__in")

@@ -54,10 +54,26 @@ def shares(rows: DataFrame, key: str) -> DataFrame:
 
 def summary(findings: DataFrame) -> DataFrame:
     """Counts by severity, by category and in all, as grouping sets: (severity, category, n)."""
-    by = lambda c: findings.groupBy(c).agg(F.count("*").alias("n"))
-    none = F.lit(None).cast("string")
-    out = by("severity").select("severity", none.alias("category"), "n").union(by("category").select(none, "category", "n"))
-    return out.union(findings.agg(F.count("*").alias("n")).select(none, none, "n"))
+    severity, category = F.col("severity"), F.col("category")
+    return findings.groupingSets([[severity], [category], []], severity, category).agg(F.count("*").alias("n")).select("severity", "category", "n")
+
+
+def count_maps(findings: DataFrame) -> DataFrame:
+    """One row: by_severity and by_category, maps of counts, and total."""
+    counts = summary(findings)
+    as_map = lambda key: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(key).isNotNull(), F.struct(key, "n"))))).alias(f"by_{key}")
+    total = F.sum(F.when(F.col("severity").isNull() & F.col("category").isNull(), F.col("n"))).alias("total")
+    return counts.agg(as_map("severity"), as_map("category"), total)
+
+
+def grouped(findings: DataFrame, key: str, none: str) -> DataFrame:
+    """(group, n, worst): findings by rule, category or primary file, the largest groups first, then by name.
+
+    worst is the most severe of a group; findings without the key form the group ``none``.
+    """
+    rank = F.array_position(F.array(*map(F.lit, dims.SEVERITIES)), F.col("severity"))
+    out = findings.groupBy(F.coalesce(key, F.lit(none)).alias("group")).agg(F.count("*").alias("n"), F.min_by("severity", rank).alias("worst"))
+    return out.orderBy(F.desc("n"), "group")
 
 
 def report(findings: DataFrame, group: list[str]) -> DataFrame:

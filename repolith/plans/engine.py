@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from repolith.functions import dims
 from repolith.operators import metrics
-from repolith.plans.rules import RULES, Context, Rule
+from repolith.plans.rules import RULES, Context, Rule, diagnostics
 
 
 class ScanCancelled(Exception):
@@ -39,6 +39,7 @@ class ScanResult:
     evidence: DataFrame | None
     analyzers_run: list[str]
     summary: DataFrame | None
+    diagnostics: DataFrame | None = None
 
 
 @dataclass
@@ -52,7 +53,7 @@ class Engine:
             listener(kind, data)
 
     def scan(self, ctx: Context, profile: str = "standard", ids: list[str] | None = None) -> ScanResult:
-        """Findings of all rules that support the context, as one lazy plan."""
+        """Findings of all rules that support the context, with diagnostics of those that do not."""
         self.emit("scan:started")
         findings = evidence = None
         ran = []
@@ -77,4 +78,4 @@ class Engine:
             self.emit("scan:failed", error=str(e))
             raise
         self.emit("scan:completed")
-        return ScanResult(findings, evidence, ran, metrics.summary(findings) if findings is not None else None)
+        return ScanResult(findings, evidence, ran, metrics.summary(findings) if findings is not None else None, diagnostics(ctx, self.registry.chosen(profile, ids)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repolith.functions import dims
 from repolith.functions.columns import by_name, certainty_name, classification, language, maintainability_index
 from repolith.operators import builders, graph, metrics
+from repolith.operators.lineage import numbered
 from repolith.plans import rules
 from repolith.sources import repository, sinks
 
@@ -386,3 +387,187 @@ def scan_delta(spark, sf_dir):
     before = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.min("l_suppkey").alias("content_hash"))
     now = read(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("content_hash"))
     return repository.delta(now, before)
+
+
+def code(spark, sf_dir) -> dict[str, DataFrame]:
+    """Entity tables made of the order tables: suppliers are modules, parts their functions (each in the module of its
+    least supplier), and each line of an order imports from, and calls, what the next line holds.
+    """
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    following = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    line = line.withColumns({"part": F.lead("l_partkey").over(following), "supp": F.lead("l_suppkey").over(following), "n": F.row_number().over(following)})
+    line = line.withColumn("pos", F.col("l_orderkey") * 100 + F.col("n"))
+    module = lambda c: F.concat(F.lit("src/s"), F.col(c).cast("string"), F.lit(".ts"))
+    name = lambda c: F.concat(F.lit("f"), F.col(c).cast("string"))
+    after = line.where("part is not null")
+    home = line.groupBy("l_partkey").agg(F.min("l_suppkey").alias("home"))
+    lines = F.col("p_size") * 3
+    shape = F.array(F.struct(F.col("p_type").alias("type_text")))
+    functions = read(spark, sf_dir, "part").join(home, F.col("p_partkey") == F.col("l_partkey")).select(
+        name("p_partkey").alias("id"), module("home").alias("module_id"), F.lit(None).cast("string").alias("owner_class_id"), name("p_partkey").alias("name"),
+        F.col("p_brand").alias("flavor"), shape.alias("parameters"), F.lit(None).cast("string").alias("return_type_text"), (F.col("p_size") > 25).alias("is_exported"),
+        F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(1).alias("start_line"), lines.alias("end_line"), F.col("p_partkey").alias("seq"),
+    )
+    none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
+    return {
+        "modules": read(spark, sf_dir, "supplier").select(module("s_suppkey").alias("id"), F.col("s_suppkey").alias("seq")),
+        "imports": after.select(module("l_suppkey").alias("module_id"), "pos", F.concat(F.lit("./s"), F.col("supp").cast("string")).alias("specifier"), F.lit("import").alias("kind"), none("imported_name"), name("part").alias("local_name")),
+        "functions": functions,
+        "classes": spark.createDataFrame([], "id string, symbol_id string, module_id string, name string, extends_symbol_id string, implements_symbol_ids array<string>, is_exported boolean, seq long"),
+        "symbols": spark.createDataFrame([], "id string, module_id string, exported boolean, seq long"),
+        "call_sites": after.select(
+            name("l_partkey").alias("function_id"), F.col("pos").alias("site_pos"), F.lit("identifier").alias("callee_kind"), name("part").alias("callee_name"), none("receiver_text"),
+            none("call_apply_bind_kind"), F.lit(False).alias("is_new"), F.lit(False).alias("has_function_argument"), F.col("pos").alias("start"), F.col("pos").alias("end"),
+            module("l_suppkey").alias("path"), F.col("n").alias("line"), F.lit(0).alias("col"),
+        ),
+    }
+
+
+_CODE = """
+l AS (SELECT *, l_orderkey * 100 + n AS pos FROM (
+  SELECT l_orderkey, l_partkey, l_suppkey, lead(l_partkey) OVER w AS part, lead(l_suppkey) OVER w AS supp, row_number() OVER w AS n
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))),
+home AS (SELECT l_partkey AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1),
+fn AS (SELECT part.*, home.s FROM part JOIN home ON p = p_partkey)"""
+
+
+@query(f"""
+WITH {_CODE}
+SELECT DISTINCT 'module:src/s' || l_suppkey || '.ts' AS src, 'module:src/s' || supp || '.ts' AS dst, 'resolved' AS certainty
+FROM l WHERE part IS NOT NULL AND supp IN (SELECT s_suppkey FROM supplier) AND l_suppkey IN (SELECT s_suppkey FROM supplier)""")
+def module_edges(spark, sf_dir):
+    """The module graph: one edge for each pair of modules of which one imports the other."""
+    t = code(spark, sf_dir)
+    return builders.module_graph(t["modules"], t["imports"])[1].select("src", "dst", "certainty")
+
+
+@query(f"""
+WITH {_CODE}, bind AS (
+  SELECT l_suppkey AS s, part AS p, arg_min(supp, pos) AS t FROM l WHERE part IS NOT NULL GROUP BY 1, 2
+), site AS (
+  SELECT DISTINCT a.p_partkey AS p, l.part AS np, a.s AS here, b.s AS there, bind.t
+  FROM l JOIN fn a ON a.p_partkey = l.l_partkey LEFT JOIN fn b ON b.p_partkey = l.part LEFT JOIN bind ON bind.s = a.s AND bind.p = l.part
+  WHERE l.part IS NOT NULL
+)
+SELECT 'function:f' || p AS src, CASE WHEN there = here OR there = t THEN 'function:f' || np ELSE 'module:src/s' || t || '.ts' END AS dst,
+       CASE WHEN there = here THEN 'direct' WHEN there = t THEN 'resolved' ELSE 'unknown' END AS certainty
+FROM site WHERE there = here OR t IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY np) = 1""")
+def call_edges(spark, sf_dir):
+    """The call graph: names resolve in the module, through its imports, or to the module that they come from."""
+    t = code(spark, sf_dir)
+    edges = builders.call_graph(t["modules"], t["imports"], t["functions"], t["classes"], t["call_sites"])[1]
+    return edges.select("src", "dst", "certainty")
+
+
+@query(f"""
+WITH {_CODE}
+SELECT 'module:src/s' || s || '.ts' AS src, 'function:f' || p_partkey AS dst, 'DECLARES' AS type FROM fn WHERE s IN (SELECT s_suppkey FROM supplier)""")
+def symbol_edges(spark, sf_dir):
+    """The symbol graph: modules declare their functions."""
+    t = code(spark, sf_dir)
+    return builders.symbol_graph(t["modules"], t["symbols"], t["functions"], t["classes"])[1].select("src", "dst", "type")
+
+
+def _found(rule, spark, sf_dir, *graphs):
+    t = code(spark, sf_dir)
+    made = {"module": lambda: builders.module_graph(t["modules"], t["imports"])}
+    findings, evidence = rule(rules.Context(t, {g: made[g]() for g in graphs}))
+    facts = evidence.groupBy("finding_id").agg(F.count("*").alias("facts"))
+    return findings.join(facts, F.col("id") == F.col("finding_id"), "left").select("id", "rule_id", "severity", "confidence", "title", "path", "facts")
+
+
+@query(f"""
+WITH {_CODE}, c AS (SELECT *, 1 + (p_size * 3) // 10 AS complexity FROM fn WHERE 1 + (p_size * 3) // 10 > 10)
+SELECT 'quality/cyclomatic-complexity' AS rule_id,
+       CASE WHEN complexity > 20 THEN 'medium' ELSE 'low' END AS severity, 0.45::DOUBLE AS confidence,
+       'f' || p_partkey || ' has an estimated complexity of ' || complexity AS title, 'src/s' || s || '.ts' AS path, 1::BIGINT AS facts FROM c""")
+def complexity_findings(spark, sf_dir):
+    return _found(rules.complexity, spark, sf_dir).drop("id")
+
+
+@query(f"""
+WITH {_CODE}, m AS (SELECT *, floor(greatest(0.0, (171.0::DOUBLE - 0.23::DOUBLE * (1 + (p_size * 3) // 10) - 16.2::DOUBLE * ln((p_size * 3)::DOUBLE)) * 100.0::DOUBLE / 171.0::DOUBLE) * 10 + 0.5) / 10 AS mi FROM fn)
+SELECT 'src/s' || s || '.ts' AS path, CASE WHEN mi < 32.5 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n FROM m WHERE mi < 65 GROUP BY ALL""")
+def maintainability_findings(spark, sf_dir):
+    return _found(rules.maintainability, spark, sf_dir).groupBy("path", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {_CODE}, g AS (
+  SELECT p_brand || '|1|' || p_type || '|unknown|' || (floor(p_size * 3 / 5.0 + 0.5) * 5)::BIGINT AS signature, count(DISTINCT s) AS modules
+  FROM fn WHERE p_size * 3 >= 3 GROUP BY 1 HAVING count(DISTINCT s) >= 2)
+SELECT 'quality/duplication-' || (row_number() OVER (ORDER BY signature) - 1) AS id, 'low' AS severity, modules FROM g""")
+def duplication_findings(spark, sf_dir):
+    found = _found(rules.duplication, spark, sf_dir)
+    return found.select("id", "severity", F.regexp_extract("title", r" in (\d+) modules", 1).cast("long").alias("modules"))
+
+
+@query("""
+SELECT 'c' || c_custkey || '.ts' AS path, 'low' AS severity, 0.35::DOUBLE AS confidence FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)""")
+def unused_export_findings(spark, sf_dir):
+    """Customers as modules that export one function; large orders import them."""
+    named = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"), F.lit(".ts"))
+    c = read(spark, sf_dir, "customer")
+    modules = c.select(named("c_custkey").alias("id"), F.col("c_custkey").alias("seq")).union(spark.createDataFrame([("index.ts", -1)], "id string, seq long"))
+    o = read(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    imports = o.select(F.lit("index.ts").alias("module_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("./c"), F.col("o_custkey").cast("string")).alias("specifier"), F.lit("import").alias("kind"))
+    functions = c.select(named("c_custkey").alias("module_id"), F.lit(True).alias("is_exported"))
+    none = spark.createDataFrame([], "module_id string, exported boolean, is_exported boolean")
+    ctx = rules.Context({"modules": modules, "functions": functions, "symbols": none, "classes": none}, {"module": builders.module_graph(modules, imports)})
+    return rules.unused_export(ctx)[0].select("path", "severity", "confidence")
+
+
+@query(f"""
+WITH {_CODE}
+SELECT 'src/s' || l_suppkey || '.ts' AS path, './s' || supp AS specifier, count(*) AS n FROM l
+WHERE part IS NOT NULL AND supp % 10 = 0 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 0) GROUP BY ALL""")
+def unresolved_import_findings(spark, sf_dir):
+    """Every tenth module is taken away, so what imports it does not resolve."""
+    t = code(spark, sf_dir)
+    modules = t["modules"].where("seq % 10 <> 0")
+    findings, _ = rules.unresolved_import(rules.Context({**t, "modules": modules}))
+    return findings.groupBy("path", F.substring_index("title", ": ", -1).alias("specifier")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey - c_custkey % 5 AS ring, count(*) AS n FROM customer GROUP BY 1)
+SELECT 'm' || ring || '.ts' AS path, n AS facts FROM c WHERE n = 5""")
+def circular_import_findings(spark, sf_dir):
+    """Customers as modules that import the next one of their five in a ring: whole rings are cycles."""
+    c = read(spark, sf_dir, "customer").select("c_custkey")
+    key = F.col("c_custkey")
+    goal = key - key % 5 + (key + 1) % 5
+    named = lambda k: F.concat(F.lit("m"), k.cast("string"), F.lit(".ts"))
+    imports = c.select(named(key).alias("module_id"), key.alias("pos"), F.concat(F.lit("./m"), goal.cast("string")).alias("specifier"), F.lit("import").alias("kind"), F.lit(None).cast("string").alias("imported_name"), F.lit(None).cast("string").alias("local_name"))
+    graphs = {"module": builders.module_graph(c.select(named(key).alias("id"), key.alias("seq")), imports)}
+    findings, evidence = rules.circular_import(rules.Context({}, graphs))
+    facts = evidence.groupBy("finding_id").agg(F.count("*").alias("facts"))
+    return findings.join(facts, F.col("id") == F.col("finding_id")).select("path", "facts")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey),
+s AS (SELECT s_suppkey FROM supplier WHERE s_nationkey = 7)
+SELECT s_suppkey AS source, e.b AS target, 1 AS depth, 1::BIGINT AS paths FROM s JOIN e ON e.a = s_suppkey
+UNION ALL
+SELECT s_suppkey, y.b, 2, count(*) FROM s JOIN e x ON x.a = s_suppkey JOIN e y ON y.a = x.b
+WHERE y.b <> s_suppkey AND NOT EXISTS (SELECT 1 FROM e WHERE e.a = s_suppkey AND e.b = y.b) GROUP BY ALL""")
+def supply_paths(spark, sf_dir):
+    """All shortest paths of at most two edges among suppliers that share a part, from those of one nation."""
+    own = read(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("src")).distinct()
+    edges = own.join(own.withColumnRenamed("src", "dst"), "l_partkey").where("src <> dst").select("src", "dst").distinct()
+    edges = numbered(edges, "src", "dst").withColumn("certainty", F.lit("direct"))
+    s = read(spark, sf_dir, "supplier")
+    sources = s.where("s_nationkey = 7").select(F.col("s_suppkey").alias("id"))
+    paths = graph.paths_between(edges, sources, s.select(F.col("s_suppkey").alias("id")), max_depth=2)
+    return paths.where("source <> target").groupBy("source", "target", "depth").agg(F.count("*").alias("paths"))
+
+
+@query(f"""
+WITH f AS (SELECT {_CASE} AS severity, event_type AS g FROM events)
+SELECT g AS "group", count(*) AS n, any_value(severity) AS worst FROM f GROUP BY g""")
+def report_groups(spark, sf_dir):
+    """Findings by category, the largest groups first."""
+    return metrics.grouped(events_as_findings(spark, sf_dir), "category", "(none)")

@@ -1,13 +1,14 @@
-"""The nine rules. Each takes the entity tables and graphs and returns (findings, evidence, diagnostics).
+"""The nine rules. Each takes the entity tables and graphs and returns (findings, evidence).
 
-A rule's rows come from ``_emit``: one finding a row, in the order given, with its positional id.
+A rule's rows come from ``_emit``: one finding a row, in the order given, with its positional id. ``diagnostics`` tells
+what a scan of a context leaves out.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolith.functions import dims
@@ -15,11 +16,20 @@ from repolith.functions.columns import by_name, is_relative, round_half_up
 from repolith.operators import metrics
 from repolith.operators.builders import resolve_imports
 from repolith.operators.graph import cycles
+from repolith.operators.lineage import numbered
 
-FINDING = ["id", "rule_id", "category", "severity", "confidence", "status", "title", "path", "evidence_ids", "cwe", "owasp", "seq"]
 MAX_COMPLEXITY, LEAST_MI, MAX_PARAMETERS, MAX_BYTES, MAX_EXPORTS, LEAST_LINES = 10, 65.0, 5, 20_000, 15, 3
 
 
+#: What a finding of each category means, and what to do about it.
+ADVICE = {
+    "architecture": ("Modules depend on each other in a way that the project cannot honour.", "Change the imports so that every one has a target and none leads back."),
+    "quality": ("Code that is hard to read, to test or to change.", "Split, remove or simplify it."),
+    "security": ("Data from outside reaches a place that trusts it.", "Check it or bind it as a parameter before it gets there."),
+    "secrets": ("A text looks like a credential.", "Revoke it and keep it outside the repository."),
+}
+
+
 @dataclass
 class Context:
     """Entity tables by name, and graphs by name as (nodes, edges)."""
@@ -42,18 +52,20 @@ class Rule:
         return ctx.has(*self.needs)
 
 
-def _emit(rows: DataFrame, rule: str, category: str, severity, confidence, title: Column, path, order: list, evidence: list[Column], cwe=None, owasp=None, status="detected") -> tuple[DataFrame, DataFrame]:
+def _emit(rows: DataFrame, rule: str, category: str, severity, confidence, title: Column, path, order: list, evidence: list[Column] | Column, cwe=None, owasp=None, status="detected") -> tuple[DataFrame, DataFrame]:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     rule_id = lit(rule)
-    rows = rows.withColumn("seq", F.row_number().over(Window.orderBy(*order)) - 1)
-    ident = F.concat(rule_id, F.lit("-"), F.col("seq").cast("string"))
-    rows = rows.withColumns({"id": ident, "_e": F.array(*evidence).cast("array<string>")})
+    facts = (F.array(*evidence) if isinstance(evidence, list) else evidence).cast("array<string>")
+    columns = {"_e": facts, "_title": title, "_path": lit(path).cast("string"), "_rule": rule_id, "_severity": lit(severity), "_confidence": lit(confidence).cast("double")}
+    rows = numbered(rows.withColumns(columns), *order).withColumn("id", F.concat("_rule", F.lit("-"), F.col("seq").cast("string")))
+    description, remedy = ADVICE[category]
     ids = F.transform("_e", lambda _, i: F.concat(F.col("id"), F.lit("-e"), i.cast("string")))
     findings = rows.select(
-        "id", rule_id.alias("rule_id"), F.lit(category).alias("category"), lit(severity).alias("severity"),
-        lit(confidence).cast("double").alias("confidence"), F.lit(status).alias("status"), title.alias("title"),
-        lit(path).cast("string").alias("path"), ids.alias("evidence_ids"), lit(cwe).cast("string").alias("cwe"),
-        lit(owasp).cast("string").alias("owasp"), F.col("seq").cast("long").alias("seq"),
+        "id", F.col("_rule").alias("rule_id"), F.lit(category).alias("category"), F.col("_severity").alias("severity"),
+        F.col("_confidence").alias("confidence"), F.lit(status).alias("status"), F.col("_title").alias("title"),
+        F.lit(description).alias("description"), F.lit(remedy).alias("remediation"),
+        F.col("_path").alias("path"), ids.alias("evidence_ids"), lit(cwe).cast("string").alias("cwe"),
+        lit(owasp).cast("string").alias("owasp"), F.array().cast("array<string>").alias("correlated_ids"), F.col("seq").cast("long").alias("seq"),
     )
     facts = rows.select("id", F.posexplode("_e").alias("n", "summary"))
     facts = facts.select(F.concat("id", F.lit("-e"), F.col("n").cast("string")).alias("id"), "summary", F.col("id").alias("finding_id"))
@@ -62,9 +74,11 @@ def _emit(rows: DataFrame, rule: str, category: str, severity, confidence, title
 
 def circular_import(ctx: Context):
     _, edges = ctx.graphs["module"]
-    found = cycles(edges)
-    name = F.array_join(F.transform("nodes", lambda n: F.regexp_replace(n, "^module:", "")), " -> ")
-    return _emit(found, "architecture/circular-import", "architecture", "medium", 0.9, F.concat(F.lit("Import cycle: "), name), F.regexp_replace(F.col("nodes")[0], "^module:", ""), ["seq"], [name])
+    found = cycles(edges).withColumn("modules", F.transform("nodes", lambda n: F.regexp_replace(n, "^module:", "")))
+    name = F.array_join("modules", " -> ")
+    after = F.concat(F.slice("modules", 2, F.size("modules")), F.slice("modules", 1, 1))  # one fact for each import, the last leads back
+    facts = F.transform(F.arrays_zip(F.col("modules").alias("a"), after.alias("b")), lambda p: F.concat(p["a"], F.lit(" imports "), p["b"]))
+    return _emit(found, "architecture/circular-import", "architecture", "medium", 0.9, F.concat(F.lit("Import cycle: "), name), F.col("modules")[0], ["seq"], facts)
 
 
 def unresolved_import(ctx: Context):
@@ -156,3 +170,13 @@ RULES = [
     Rule("quality/lint-style-rules", "quality", ("functions", "files", "exports", "modules"), lint),
     Rule("security/sql-injection", "security", ("taint", "functions"), sql_injection),
 ]
+
+
+def diagnostics(ctx: Context, chosen: list[Rule]) -> DataFrame | None:
+    """(code, severity, message, source): rules without their tables, and the reach of the SQL rule; None without a table."""
+    frames = [*ctx.tables.values(), *(edges for _, edges in ctx.graphs.values())]
+    if not frames:
+        return None
+    rows = [("RULE_UNSUPPORTED", "info", f"{r.id} needs {', '.join(n for n in r.needs if not ctx.has(n))}", r.id) for r in chosen if not r.supports(ctx)]
+    rows += [("SCAN_SCOPE", "info", "flows are followed between functions along calls, not through values", r.id) for r in chosen if r.run is sql_injection and r.supports(ctx)]
+    return frames[0].sparkSession.createDataFrame(rows, "code string, severity string, message string, source string")

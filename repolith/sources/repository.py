@@ -101,14 +101,6 @@ def parseable(described: DataFrame) -> tuple[DataFrame, DataFrame]:
     return wanted.where(F.col("size_bytes") <= MAX_PARSED), said
 
 
-def vcs(root: str) -> tuple[str, str | None]:
-    head = f"{root}/.git/HEAD"
-    if not os.path.isfile(head):
-        return "none", None
-    found = re.match(r"ref:\s*refs/heads/(.+)$", open(head).read().strip())
-    return "git", found and found.group(1)
-
-
 def package_json(text: str | None) -> dict | None:
     try:
         got = json.loads(text or "")
@@ -153,5 +145,26 @@ def frameworks(manifests: DataFrame) -> DataFrame:
     return node.union(F.broadcast(dim).join(names, "package", "left_semi").select("ord", "framework")).orderBy("ord")
 
 
-def content_hash(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+#: Bytes of the largest text that rules read.
+MAX_TEXT = 5 << 20
+
+
+def texts(files: DataFrame) -> DataFrame:
+    """(path, text, skipped) of files (path, content): why a text is left out (unreadable, too-large, binary), or null."""
+    size = F.octet_length("content")
+    skipped = F.when(F.col("content").isNull(), "unreadable").when(size > MAX_TEXT, "too-large").when(F.instr(F.hex("content"), "00") % 2 == 1, "binary")
+    skipped = F.coalesce(skipped, F.when(~F.is_valid_utf8("content"), "binary")) if hasattr(F, "is_valid_utf8") else skipped
+    return files.select("path", F.when(skipped.isNull(), F.col("content").cast("string")).alias("text"), skipped.alias("skipped"))
+
+
+def workspace_packages(manifests: DataFrame, globs: DataFrame) -> DataFrame:
+    """(path, name): the manifests (path, text) of packages in folders that a workspace's globs (glob) name.
+
+    ``*`` is one folder, ``**`` any. The globs are those of one manifest, a few.
+    """
+    folder = F.regexp_replace("path", "/?package\\.json$", "")
+    plain = F.regexp_replace(F.regexp_replace("glob", "/+$", ""), r"([.+^$(){}\[\]|])", r"\\$1")
+    pattern = F.concat(F.lit("^"), F.replace(F.replace(F.replace(plain, F.lit("**"), F.lit("\x01")), F.lit("*"), F.lit("[^/]+")), F.lit("\x01"), F.lit(".+")), F.lit("$"))
+    found = manifests.where(F.col("path").rlike(r"(^|/)package\.json$")).withColumn("folder", folder)
+    named = found.join(F.broadcast(globs.select(pattern.alias("pattern")).distinct()), F.expr("folder rlike pattern"), "left_semi")
+    return named.select("path", F.get_json_object("text", "$.name").alias("name"))

@@ -1,15 +1,16 @@
-"""Exporters of a scan: JSON, SARIF 2.1.0 and HTML, and the server-sent event frame."""
+"""Exporters of a scan as lines in order: JSON, SARIF 2.1.0 and HTML. ``write`` stores them as text, in parts."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolith.functions import dims
 from repolith.functions.columns import by_name, severity_ordinal
 from repolith.operators import metrics
+from repolith.operators.lineage import numbered
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
@@ -21,44 +22,74 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select("id", "rule_id", "title", "path", by_name(F.col("severity"), dims.SARIF_LEVEL).alias("level"), "seq")
 
 
-def to_json(findings: DataFrame, evidence: DataFrame) -> str:
-    rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
-    found = rows(findings)
-    counts = {s: sum(f["severity"] == s for f in found) for s in dims.SEVERITIES}
-    return json.dumps({"schemaVersion": "0.1.0", "findings": found, "evidence": rows(evidence), "summary": {"totalFindings": len(found), "findingsBySeverity": counts}}, indent=2)
+def _listed(rows: DataFrame, part: int, order: list, value: Column, comma: bool = True) -> DataFrame:
+    """(part, at, value): one line a row in the given order, with a comma before all but the first."""
+    rows = numbered(rows.select(value.alias("value"), *[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)]), *[f"o{i}" for i in range(len(order))])
+    line = F.when(F.col("seq") > 0, F.concat(F.lit(","), F.col("value"))).otherwise(F.col("value")) if comma else F.col("value")
+    return rows.select(F.lit(part).alias("part"), F.col("seq").alias("at"), line.alias("value"))
 
 
-def to_sarif(findings: DataFrame, tool: str = "repolith") -> str:
-    results = sarif_results(findings).orderBy("rule_id", "seq").collect()
-    rules = [{"id": r["rule_id"], "shortDescription": {"text": r["title"]}} for r in sarif_rules(findings).orderBy("rule_id").collect()]
-    place = lambda p: [{"physicalLocation": {"artifactLocation": {"uri": p}}}] if p else []
-    out = [{"ruleId": r["rule_id"], "level": r["level"], "message": {"text": r["title"]}, "locations": place(r["path"])} for r in results]
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": out}]}, indent=2)
+def _one(frame: DataFrame, part: int, text: str) -> DataFrame:
+    return frame.sparkSession.createDataFrame([(part, 0, text)], "part int, at long, value string")
 
 
-def escape(text) -> str:
+def to_json(findings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The lines, (part, at, value), of one JSON document with all findings, evidence and the summary."""
+    maps = metrics.count_maps(findings).select(F.struct(F.col("total").alias("totalFindings"), F.col("by_severity").alias("findingsBySeverity"), F.col("by_category").alias("findingsByCategory")).alias("s"))
+    out = _one(findings, 0, '{"schemaVersion": "0.1.0", "findings": [').union(_listed(findings, 1, ["rule_id", "seq"], F.to_json(F.struct(*findings.columns))))
+    out = out.union(_one(findings, 2, '], "evidence": [')).union(_listed(evidence, 3, ["id"], F.to_json(F.struct(*evidence.columns))))
+    return out.union(maps.select(F.lit(4), F.lit(0).cast("long"), F.concat(F.lit('], "summary": '), F.to_json("s"), F.lit("}"))))
+
+
+def to_sarif(findings: DataFrame, tool: str = "repolith") -> DataFrame:
+    """The lines, (part, at, value), of one SARIF document."""
+    head = {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"}
+    rule = F.to_json(F.struct(F.col("rule_id").alias("id"), F.struct(F.col("title").alias("text")).alias("shortDescription")))
+    place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))
+    places = F.filter(F.array(F.when(F.col("path").isNotNull(), place)), lambda p: p.isNotNull())
+    result = F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("title").alias("text")).alias("message"), places.alias("locations")))
+    out = _one(findings, 0, json.dumps(head)[:-1] + f', "runs": [{{"tool": {{"driver": {{"name": {json.dumps(tool)}, "rules": [')
+    out = out.union(_listed(sarif_rules(findings), 1, ["rule_id"], rule)).union(_one(findings, 2, ']}}, "results": ['))
+    return out.union(_listed(sarif_results(findings), 3, ["rule_id", "seq"], result)).union(_one(findings, 4, "]}]}"))
+
+
+def escape(text) -> Column | str:
+    """Text, or a column of text, for HTML."""
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
-        text = str(text).replace(a, b)
+        text = F.replace(text, F.lit(a), F.lit(b)) if isinstance(text, Column) else str(text).replace(a, b)
     return text
 
 
-def to_html(findings: DataFrame, evidence: DataFrame) -> str:
-    """A self-contained report: score, gate, severities, riskiest files and all findings with their evidence."""
+def to_html(findings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The lines, (part, at, value), of a self-contained report: score, gate, severities, groups by rule, category and
+    file, riskiest files and all findings with their evidence.
+    """
     report = metrics.report(findings, []).first() if not findings.isEmpty() else None
     score, grade, gate = (report["score"], report["grade"], report["gate"]) if report else (100.0, "A", "passed")
-    counts = {r["severity"]: (r["n"], r["pct_round"]) for r in metrics.shares(findings, "severity").collect()}
-    facts: dict[str, list[str]] = {}
-    for r in evidence.orderBy("id").collect():
-        facts.setdefault(r["finding_id"], []).append(r["summary"])
+    counts = {r["severity"]: (r["n"], r["pct_round"]) for r in metrics.shares(findings, "severity").collect()}  # five rows at most
     located = findings.withColumn("path", F.coalesce("path", F.lit("(unlocated)")))
-    risky = metrics.riskiest(located, "path").collect()
-    body = [f"<h1>Score {score:.0f} ({grade}), gate: {escape(gate)}</h1>"]
-    body += [f"<p>{s}: {counts.get(s, (0, 0))[0]} ({counts.get(s, (0, 0))[1]} %)</p>" for s in dims.SEVERITIES]
-    body += ["<ol>", *[f"<li>{escape(r['path'])}: {r['weight']}</li>" for r in risky], "</ol>"]
-    for f in located.orderBy(severity_ordinal(F.col("severity")), "rule_id", "seq").collect():
-        search = escape(f"{f['title']} {f['path']}".lower())
-        body.append(f'<article data-severity="{f["severity"]}" data-category="{f["category"]}" data-search="{search}"><h2>{escape(f["title"])}</h2><p>{escape(f["path"])}</p>{"".join(f"<li>{escape(x)}</li>" for x in facts.get(f["id"], []))}</article>')
-    return "<!doctype html><meta charset=utf-8><title>Report</title>" + "\n".join(body)
+    head = ["<!doctype html><meta charset=utf-8><title>Report</title>", f"<h1>Score {score:.0f} ({grade}), gate: {escape(gate)}</h1>"]
+    head += [f"<p>{s}: {counts.get(s, (0, 0))[0]} ({counts.get(s, (0, 0))[1]} %)</p>" for s in dims.SEVERITIES]
+    out = _one(findings, 0, "\n".join(head))
+    risky = metrics.riskiest(located, "path").withColumn("n", -F.col("weight"))
+    out = out.union(_listed(risky, 1, ["n", "first_seq"], F.concat(F.lit("<li>"), escape(F.col("path")), F.lit(": "), F.col("weight").cast("string"), F.lit("</li>")), False))
+    for part, key in ((2, "rule_id"), (3, "category"), (4, "path")):
+        groups = metrics.grouped(located, key, "(none)").withColumn("n_", -F.col("n"))
+        line = F.concat(F.lit(f'<p data-group="{key}">'), escape(F.col("group")), F.lit(": "), F.col("n").cast("string"), F.lit("</p>"))
+        out = out.union(_listed(groups, part, ["n_", "group"], line, False))
+    facts = evidence.groupBy(F.col("finding_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "summary"))).alias("facts"))
+    facts = F.transform(F.coalesce("facts", F.array()), lambda x: F.concat(F.lit("<li>"), escape(x["summary"]), F.lit("</li>"))), located.join(facts, "id", "left")
+    search = escape(F.lower(F.concat_ws(" ", "title", "path")))
+    article = F.concat(
+        F.lit('<article data-severity="'), F.col("severity"), F.lit('" data-category="'), F.col("category"), F.lit('" data-search="'), search, F.lit('"><h2>'),
+        escape(F.col("title")), F.lit("</h2><p>"), escape(F.col("path")), F.lit("</p>"), F.array_join(facts[0], ""), F.lit("</article>"),
+    )
+    return out.union(_listed(facts[1], 5, [severity_ordinal(F.col("severity")), "rule_id", "seq"], article, False))
+
+
+def write(lines: DataFrame, path: str) -> None:
+    """Store lines as text: the parts of the folder, in order of name, make up the document."""
+    lines.orderBy("part", "at").select("value").write.text(path)
 
 
 #: Lines of a snippet on either side of its line; bytes of the largest file that has snippets.
@@ -86,13 +117,6 @@ def location_text(path: Column, start_line: Column) -> Column:
     return F.concat(path, F.coalesce(F.concat(F.lit(":"), (start_line + 1).cast("string")), F.lit("")))
 
 
-EXPORTERS = {"json": to_json, "sarif": lambda f, e: to_sarif(f), "html": to_html}
-
-
-def sse_frame(event: str, data) -> str:
-    return f"event: {event}\ndata: {json.dumps(data)}\n\n"
-
-
 def search(findings: DataFrame, term: str = "", **facets) -> DataFrame:
     """Findings that meet all facets and hold ``term`` in title or path, whatever the case."""
     for column, value in facets.items():
@@ -102,4 +126,11 @@ def search(findings: DataFrame, term: str = "", **facets) -> DataFrame:
 
 def positional(rows: DataFrame, prefix: str, order: list) -> DataFrame:
     """rows with id: the prefix and the place in a total order, from 0."""
-    return rows.withColumn("id", F.concat(F.lit(f"{prefix}-"), (F.row_number().over(Window.orderBy(*order)) - 1).cast("string")))
+    return numbered(rows, *order, name="id").withColumn("id", F.concat(F.lit(f"{prefix}-"), F.col("id").cast("string")))
+
+
+def read_findings(spark, path: str) -> DataFrame:
+    """Findings of a document that ``write`` stored from ``to_json``, one row each."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r'^,?\{"id":.*"rule_id":'))
+    shape = "id string, rule_id string, category string, severity string, confidence double, status string, title string, path string, evidence_ids array<string>, cwe string, owasp string, seq long"
+    return lines.select(F.from_json(F.regexp_replace("value", "^,", ""), shape).alias("f")).select("f.*")

@@ -4,6 +4,9 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+from repolith.operators.lineage import numbered
+from repolith.operators import metrics
 from repolith.operators import builders, graph
 from repolith.plans.engine import Engine, Registry, ScanCancelled
 from repolith.plans.rules import RULES, Context
@@ -152,7 +155,7 @@ def ctx(spark):
     return Context(tables, {"module": builders.module_graph(m, i), "call": call, "taint": builders.taint_graph(f, s, e)})
 
 
-def test_rules_and_engine(spark, ctx):
+def test_rules_and_engine(spark, ctx, tmp_path):
     seen = []
     result = Engine(listeners=[lambda kind, data: seen.append(kind)]).scan(ctx, profile="full")
     found = {}
@@ -171,10 +174,21 @@ def test_rules_and_engine(spark, ctx):
     assert ids == {r["id"] for r in result.evidence.collect()}
     total = {(r["severity"], r["category"]): r["n"] for r in result.summary.collect()}
     assert total[(None, None)] == sum(map(len, found.values()))
-    sarif = json.loads(sinks.to_sarif(result.findings))
+    whole = lambda lines: "\n".join(r["value"] for r in lines.orderBy("part", "at").collect())
+    sarif = json.loads(whole(sinks.to_sarif(result.findings)))
     assert sarif["version"] == "2.1.0" and len(sarif["runs"][0]["results"]) == total[(None, None)]
-    assert json.loads(sinks.to_json(result.findings, result.evidence))["summary"]["findingsBySeverity"]["critical"] == 1
-    page = sinks.to_html(result.findings, result.evidence)
+    document = json.loads(whole(sinks.to_json(result.findings, result.evidence)))
+    assert document["summary"]["findingsBySeverity"]["critical"] == 1 and len(document["findings"]) == total[(None, None)] == document["summary"]["totalFindings"]
+    assert all(f["description"] and f["remediation"] for f in document["findings"])
+    sinks.write(sinks.to_json(result.findings, result.evidence), str(tmp_path / "report"))
+    assert {r["id"] for r in sinks.read_findings(spark, str(tmp_path / "report")).collect()} == {f["id"] for f in document["findings"]}
+    none = result.findings.where("false")
+    assert json.loads(whole(sinks.to_json(none, result.evidence.where("false"))))["findings"] == []
+    cycle = found["architecture/circular-import"][0]
+    assert len(cycle["evidence_ids"]) == cycle["title"].count(" -> ") + 1
+    assert [r["code"] for r in result.diagnostics.collect()] == ["SCAN_SCOPE"]
+    page = whole(sinks.to_html(result.findings, result.evidence))
+    assert 'data-group="rule_id"' in page
     assert "&#39;" in sinks.escape("'") and page.startswith("<!doctype html>") and "SQL sink" in page
     assert sinks.search(result.findings, "LIB.TS", severity="low").count() == 2
 
@@ -190,3 +204,19 @@ def test_profiles_ids_and_cancelling(spark, ctx):
     engine.cancelled.set()
     with pytest.raises(ScanCancelled):
         engine.scan(ctx)
+
+
+def test_numbered_rows(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), F.lit(0).alias("seq")).repartition(7)
+    got = numbered(rows, F.col("v").desc()).collect()
+    assert len(got) == 5000 and all(r["seq"] == 4999 - r["v"] for r in got)
+    assert numbered(rows.where("false"), "v").count() == 0
+
+
+def test_report_groups_and_maps(spark):
+    rows = [("r1", "high", "a", "f1"), ("r1", "low", "a", "f2"), ("r2", "low", "b", None)]
+    findings = spark.createDataFrame(rows, "rule_id string, severity string, category string, path string")
+    maps = metrics.count_maps(findings).first()
+    assert (maps["by_severity"], maps["by_category"], maps["total"]) == ({"high": 1, "low": 2}, {"a": 2, "b": 1}, 3)
+    assert [tuple(r) for r in metrics.grouped(findings, "rule_id", "-").collect()] == [("r1", 2, "high"), ("r2", 1, "low")]
+    assert [r["group"] for r in metrics.grouped(findings, "path", "(unlocated)").collect()] == ["(unlocated)", "f1", "f2"]

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from repolith.sources import coverage, repository, sinks
@@ -21,7 +22,7 @@ def test_walk_and_files(spark, tmp_path):
     assert role["README.md"] == "documentation" and role["Dockerfile"] == "infrastructure" and role[".github/ci.yml"] == "infrastructure"
     assert role["logo.png"] == "asset" and role["tsconfig.json"] == "config" and role["vendor/v.js"] == "vendored" and role["test_a.py"] == "test"
     assert role["LICENSE"] == "documentation" and role["requirements.txt"] == "config" and role["keep.log"] == "unknown"
-    assert rows["nul.ts"]["encoding"] == "binary" and rows["src/app.ts"]["content_hash"] == repository.content_hash(b"export {}")
+    assert rows["nul.ts"]["encoding"] == "binary" and rows["src/app.ts"]["content_hash"] == hashlib.sha256(b"export {}").hexdigest()
     wanted, said = repository.parseable(repository.files(repository.read_files(spark, str(tmp_path), paths)))
     assert said.count() == 0 and {r["path"] for r in wanted.collect()}.isdisjoint({"logo.png", "nul.ts", "dist/x.js"})
 
@@ -83,3 +84,12 @@ def test_coverage(spark):
         assert [r["code"] for r in said.collect()] == ["COVERAGE_UNMAPPED_FILE"]
         if kind == "lcov":
             assert [tuple(r) for r in branches.collect()] == [("src/covered.ts", 1, "0:0", True)]
+
+
+def test_texts_and_workspaces(spark):
+    files = spark.createDataFrame([("a", b"plain"), ("b", b"x\x00y"), ("c", None), ("d", b"z" * (repository.MAX_TEXT + 1))], "path string, content binary")
+    assert {r["path"]: (r["text"], r["skipped"]) for r in repository.texts(files).collect()} == {"a": ("plain", None), "b": (None, "binary"), "c": (None, "unreadable"), "d": (None, "too-large")}
+    paths = ["package.json", "packages/a/package.json", "packages/a/b/package.json", "apps/x/y/package.json", "other/package.json", "packages.x/a/package.json"]
+    manifests = spark.createDataFrame([(p, json.dumps({"name": p})) for p in paths], "path string, text string")
+    globs = spark.createDataFrame([("packages/*",), ("apps/**",)], "glob string")
+    assert sorted(r["name"] for r in repository.workspace_packages(manifests, globs).collect()) == ["apps/x/y/package.json", "packages/a/package.json"]
