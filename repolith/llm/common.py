@@ -75,6 +75,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Narrow rows that a task of an iterative operator takes at least.
+TASK_ROWS = 50_000
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """``cut``, in no more partitions than its rows need: small frames then shuffle as few files."""
+    df = cut(df)
+    return df.coalesce(1 + df.coalesce(16).count() // TASK_ROWS)
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -95,19 +105,20 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     neighbours is no bottleneck. Nulls and self-loops are ignored.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges = cut(edges.where("u is not null and v is not null and u <> v").distinct())
+    edges = compact(edges.where("u is not null and v is not null and u <> v").distinct())
     before = None
     while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now[0] == 0 or now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        before, tasks = now, 1 + now[0] // TASK_ROWS  # no more tasks, and files, than the edges need
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = large.coalesce(tasks).distinct().coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(small.union(low.select("u", "m")).distinct())
+        edges = cut(small.coalesce(tasks).union(low.select("u", "m").coalesce(tasks)).distinct().coalesce(tasks))
 
 
 #: Narrow rows (of a few dozen bytes) that a broadcast may hold, about 10 MB.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.llm.common import BROADCAST_ROWS, broadcast_if_small, components, cut, fresh, quoted, saved, tagged
+from repolith.llm.common import BROADCAST_ROWS, broadcast_if_small, compact, components, cut, fresh, quoted, saved, tagged
 
 #: Characters of a shingle, one at every place of a line; lines with fewer than LEAST_CHARS are left alone.
 SHINGLE, LEAST_CHARS = 12, 20
@@ -97,7 +97,7 @@ def similar(edges: DataFrame, sets: DataFrame, sketches: DataFrame, similarity:
     both = edges.join(sketches.select(F.col("lid").alias("a"), F.col("low").alias("la")), "a")
     both = both.join(sketches.select(F.col("lid").alias("b"), F.col("low").alias("lb")), "b")
     least = F.least(F.size("la"), F.size("lb")) * PLAUSIBLE
-    edges = cut(both.where(F.size(F.array_intersect("la", "lb")) >= least).select("a", "b"))
+    edges = compact(both.where(F.size(F.array_intersect("la", "lb")) >= least).select("a", "b"))
     needed = edges.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     sets = sets.join(broadcast_if_small(needed), "lid", "left_semi")
     if (sets.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_HASHES:
@@ -146,7 +146,7 @@ def prefix_pairs(lines: DataFrame, sets: DataFrame, sketches: DataFrame, similar
     rarest = F.slice("all", 1, F.floor(F.col("k") * (1 - COMMON)).cast("int") + 1)
     ranked = ranked.select("lid", F.transform(F.filter(rarest, lambda x: x["often"] > 1), lambda x: x["h"]).alias("pre"))
     maps = sets.join(lines, "lid").select("lid", "root", F.size("hashes").alias("n"), *bitmap(F.col("hashes")))
-    prefix = cut(ranked.join(maps, "lid").withColumn("h", F.explode("pre")))
+    prefix = compact(ranked.join(maps, "lid").withColumn("h", F.explode("pre")))
     blocks = prefix.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
     prefix = prefix.join(blocks, "h")
     left = prefix.withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long")).cast("int"))
@@ -184,9 +184,9 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     banded = distinct.select("lid", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("lid").alias("rep"), F.count("*").alias("size")).where("size > 1")
     shared = cut(banded.join(shared, "band"))
-    edges = shared.where("lid <> rep").select(F.col("lid").alias("a"), F.col("rep").alias("b")).distinct()
+    edges = compact(shared.where("lid <> rep").select(F.col("lid").alias("a"), F.col("rep").alias("b")).distinct())
 
-    places = cut(shared.select("lid").distinct().join(distinct.select("lid", "first"), "lid").select("lid", "first.*"))
+    places = compact(shared.select("lid").distinct().join(distinct.select("lid", "first"), "lid").select("lid", "first.*"))
     wanted = places.groupBy("id", "proof").agg(F.collect_list(F.struct("pos", "lid")).alias("wanted"))
     if places.count() <= BROADCAST_ROWS:  # of a few dozen bytes each
         wanted = F.broadcast(wanted)
@@ -196,22 +196,23 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     sets = cut(sets)
     sketches = cut(sets.select("lid", F.slice("hashes", 1, SKETCH).alias("low")))
 
-    found = cut(similar(edges, sets, sketches, similarity))
+    found = compact(similar(edges, sets, sketches, similarity))
     roots = components(found, "a", "b")
-    open_ = cut(open_bands(shared.where("size > 2"), roots))
+    open_ = compact(open_bands(shared.where("size > 2"), roots))
     few = open_.where(F.col("size") <= SMALL_BAND)
     other = few.select("band", F.col("lid").alias("b"), F.col("root").alias("root_b"))
     pairs = few.join(other, "band").where("root < root_b").select(F.col("lid").alias("a"), "b")
-    ranks = cut(central(sketches.join(open_.select("lid").distinct(), "lid")))
+    ranks = compact(central(sketches.join(open_.select("lid").distinct(), "lid")))
     finer = ranks.select("lid", "rank", F.explode(finer_bands(F.slice("low", 1, FINER))).alias("band"))
     finer = finer.union(open_.where(F.col("size") > SMALL_BAND).join(ranks, "lid").select("lid", "rank", "band"))
     middle = finer.groupBy("band").agg(F.max_by("lid", F.struct("rank", "lid")).alias("rep"), F.count("*").alias("size")).where("size > 1")
     stars = finer.join(middle, "band").where("lid <> rep").select(F.greatest("lid", "rep").alias("a"), F.least("lid", "rep").alias("b"))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(stars).distinct()
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(stars)
+    pairs = compact(pairs.distinct())
     found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     found = found.union(similar(pairs, sets, sketches, similarity))
     roots = components(found, "a", "b")
-    large = cut(open_bands(shared.where(F.col("size") > SMALL_BAND), roots).select("lid", "root").distinct())
+    large = compact(open_bands(shared.where(F.col("size") > SMALL_BAND), roots).select("lid", "root").distinct())
     if not large.isEmpty():
         found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         found = found.union(similar(prefix_pairs(large, sets, sketches, similarity), sets, sketches, similarity))
@@ -221,7 +222,7 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     rooted = rooted.withColumn("root", F.coalesce("root", "lid"))
     many = roots.select(F.col("root").alias("lid")).distinct().withColumn("many", F.lit(True))
     rooted = rooted.join(many, "lid", "left").where((F.col("n") > 1) | (F.col("root") != F.col("lid")) | F.col("many"))
-    rooted = cut(rooted.drop("many"))
+    rooted = compact(rooted.drop("many"))
     keep = rooted.groupBy("root").agg(F.min("first").alias("keep"))
     return rooted.join(keep, "root").select("k1", "k2", "n", "first", "keep")
 
@@ -232,7 +233,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, least_chars: int =
     repeated = cut(groups(lines, docs, similarity))
     places = lines.drop("low")
     gone = places.join(repeated.select("k1", "k2", "keep"), ["k1", "k2"]).where(F.struct("id", "proof", "pos") != F.col("keep"))
-    return cut(gone.select("id", "proof", "pos"))
+    return compact(gone.select("id", "proof", "pos"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_chars: int = LEAST_CHARS) -> DataFrame:
