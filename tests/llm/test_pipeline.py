@@ -1,13 +1,36 @@
+import numpy as np
+
 import __spark_entry__
 import corpus_pipeline
+from repolith.llm import simhash
 from repolith.llm.common import cut, table
+from repolith.llm.superkmers import mix
 from tests.llm.test_decontamination import brute as brute_leaks
-from tests.llm.test_exact_simhash_mix import brute_components, brute_fingerprint, brute_targets
+from tests.llm.test_exact_simhash_mix import brute_targets
 from tests.llm.test_lines import brute as brute_lines
 
 SF = "/root/testdata/sf0.001"
 
 
+def near_groups(texts):
+    """The smallest doc_id of each group of near copies, by all pairs of fingerprints."""
+    hashes = {i: simhash.shingle_hashes((t or "").encode(), simhash.NEAR_WIDTH) for i, t in texts.items()}
+    marks = {i: (simhash.majority(h), simhash.majority(mix(h + np.uint64(1)))) for i, h in hashes.items()}
+    root = {i: i for i in marks}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, b) in marks.items():
+        for j, (c, d) in marks.items():
+            x, y = (a ^ c).bit_count(), (b ^ d).bit_count()
+            if j < i and min(x, y) <= simhash.NEAR_BUDGET and x + y <= simhash.NEAR_BITS:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {find(i): find(i) for i in marks}
+
+
 def test_stages_against_brute_force(spark):
     docs = table(spark, SF, "documents")
     columns, before = docs.columns, {r["doc_id"]: r for r in docs.collect()}
@@ -30,11 +53,7 @@ def test_stages_against_brute_force(spark):
     assert len(got.keys() ^ expected.keys()) <= 1 and sum(got[i] != expected[i] for i in got.keys() & expected.keys()) <= 2
     assert all(r["n_chars"] == len(r["text"]) for r in rows if r["text"] != before[r["doc_id"]]["text"])
 
-    marks = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows}
-    roots = brute_components(sorted(set(marks.values())))
-    first = {}
-    for i, m in marks.items():
-        first[roots[m]] = min(i, first.get(roots[m], i))
+    first = near_groups({r["doc_id"]: r["text"] for r in rows})
     docs, rows = step(docs)
     assert docs.columns == columns and sorted(r["doc_id"] for r in rows) == sorted(first.values())
 
