@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.llm import language_id
-from repolith.llm.common import table
+from repolith.llm.common import crc_bucket, table
 from repolith.llm.decontamination import contamination
 from repolith.llm.exact_dedup import exact_dedup
 from repolith.llm.line_dedup import dedup_lines
+from repolith.llm.merkle import tamper_check
 from repolith.llm.mixing import mix
+from repolith.llm.page_text import main_text
 from repolith.llm.quotation import link_quotations
+from repolith.llm.ranked_search import search
 from repolith.llm.simhash import simhash_dedup
 from repolith.llm.suffix_dedup import dedup_substrings
 from repolith.llm.toxicity import score_toxicity
@@ -68,6 +71,18 @@ def op10_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_check(table(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id"), 3) == 0)
+
+
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op13_pair_bound_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_template_decontamination,
         op9_bloom_language_id,
         op10_induced_suffixes,
+        op11_merkle_manifest,
+        op12_page_text,
+        op13_pair_bound_search,
     )
 }
 
@@ -147,4 +165,68 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE bits AS (
+  SELECT b::BIGINT AS b, b::BIGINT AS v, 0 AS s FROM range(256) r(b)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, s + 1 FROM bits WHERE s < 8
+), tab AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE s = 8),
+d AS (
+  SELECT *, coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                             lambda x, y: xor(x >> 8, t[xor(x & 255, y) + 1])), 4294967295) % 3 = 0, false) AS tampered
+  FROM documents, tab
+), e AS (
+  SELECT doc_id, lang, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+         coalesce(octet_length(encode(text)) || ':' || text, '-') AS body,
+         coalesce(octet_length(encode(text)) || ':' || CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-') AS other
+  FROM d
+), leaves AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, sha256(head || body)) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n, sha256(head || body) AS h, sha256(head || other) AS a
+  FROM e
+), low AS (
+  SELECT 0 AS lvl, g, pos, n, h FROM leaves
+  UNION ALL
+  SELECT lvl + 1, g, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lvl, g, pos // 8
+), sub AS (SELECT g, lvl AS height, h FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, g AS pos, count(*) OVER () AS n, h FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lvl, pos // 8
+), lows AS (
+  SELECT x.lvl, x.g, x.pos, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS l, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS r
+  FROM low x JOIN low y ON x.lvl = y.lvl AND x.g = y.g AND x.pos // 8 = y.pos // 8 WHERE x.n > 1 GROUP BY ALL
+), highs AS (
+  SELECT x.lvl, x.pos, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS l, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS r
+  FROM high x JOIN high y ON x.lvl = y.lvl AND x.pos // 8 = y.pos // 8 WHERE x.n > 1 GROUP BY ALL
+), steps AS (
+  SELECT f.g, f.pos, s.lvl, l, r FROM leaves f JOIN lows s ON s.g = f.g AND s.pos = f.pos // (8 ** s.lvl)::BIGINT
+  UNION ALL
+  SELECT f.g, f.pos, sub.height + s.lvl, l, r FROM leaves f JOIN sub USING (g) JOIN highs s ON s.pos = f.g // (8 ** s.lvl)::BIGINT
+), walk AS (
+  SELECT g, pos, 0 AS lvl, a AS h FROM leaves
+  UNION ALL
+  SELECT w.g, w.pos, w.lvl + 1, sha256(l || w.h || r) FROM walk w JOIN steps USING (g, pos, lvl)
+), ends AS (SELECT g, pos, arg_max(h, lvl) AS folded FROM walk GROUP BY ALL),
+proof AS (SELECT g, pos, string_agg(l || r, '' ORDER BY lvl) AS p FROM steps GROUP BY ALL)
+SELECT doc_id, leaves.h AS leaf, sub.h AS subroot, root.h AS root, sha256(coalesce(p, '')) AS proof_sha256, folded AS folded_root, folded = root.h AS verified
+FROM leaves JOIN sub USING (g) JOIN ends USING (g, pos) LEFT JOIN proof USING (g, pos), (SELECT h FROM high WHERE n = 1) root""",
+    "op13_pair_bound_search": r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), d AS (SELECT row_number() OVER () AS r, doc_id, ws, len(ws)::BIGINT AS n FROM t WHERE len(ws) > 0),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), p AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, total GROUP BY term, n_docs
+), m AS (SELECT r, doc_id, 100 - 90 + ((90 * n * n_docs) // n_terms) AS m FROM d, total),
+s AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10""",
 }
