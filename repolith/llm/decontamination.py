@@ -25,19 +25,19 @@ UNITS = (
     "dollar dollars cent cents euro euros usd eur percent % degrees °c °f mph kmh km/h watt watts volt volts"
 ).split()
 
-#: The kind of a name among slot types.
-NAMED = 2
+#: The kind of a name among slot types; ways to tell names.
+NAMED, READINGS = 2, 3
 NUMBER, NAME, UNIT = (np.uint64(0xF00000000000000 + k) for k in (1, 2, 3))
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PUNCTUATION = b"\"'()[]{}<>.,;:!?*_`~"
 _CHUNK = 2 << 20
 
 
 def template(texts: list[bytes]):
-    """(token hashes, slot type of each token, tokens, first token of each text).
+    """(token hashes, slot type of each token) under each of READINGS, tokens, first token of each text.
 
-    Tokens lose ASCII punctuation and case. A token with a digit is a number; a unit of measure is a unit; a
-    capitalised word that does not begin a sentence is a name. All of a type share one hash.
+    Tokens lose ASCII punctuation and case. A token with a digit is a number; a unit of measure is a unit. What is a name
+    depends on the reading: a capitalised word that does not begin a sentence, any capitalised word, or none, so that a
+    change of case or a quotation within a sentence leaves one reading that fits. All of a type share one hash.
     """
     first = [0]
     raw: list[bytes] = []
@@ -46,7 +46,7 @@ def template(texts: list[bytes]):
         first.append(len(raw))
     first = np.array(first)
     if not raw:
-        return np.empty(0, np.uint64), np.empty(0, np.int8), [], first
+        return [(np.empty(0, np.uint64), np.empty(0, np.int8))] * READINGS, [], first
     buffer = b" ".join(raw) + b" "
     data = np.frombuffer(buffer, np.uint8)
     gap = np.flatnonzero(data == 32)
@@ -55,20 +55,27 @@ def template(texts: list[bytes]):
     opens = np.append(True, stop[:-1])
     opens[first[:-1][first[:-1] < len(raw)]] = True
     digit = np.add.reduceat(((data >= 48) & (data <= 57)).astype(np.int32), begin) > 0
-    two = np.append(data, 0)[begin + 1]
-    capital = ((data[begin] >= 65) & (data[begin] <= 90)) | ((data[begin] == 0xC3) & (two >= 0x80) & (two <= 0x9E))
-    bare = buffer.translate(_LOWER, _PUNCTUATION)
+    lower = buffer.decode(errors="replace").lower().encode()
+    bare = lower.translate(None, _PUNCTUATION)
+    words = bare.split(b" ")[: len(raw)]
+    low = np.frombuffer(lower, np.uint8)
+    low_begin = np.append(0, np.flatnonzero(low == 32)[:-1] + 1)
+    capital = (data[begin] >= 65) & (data[begin] <= 90)
+    for i in np.flatnonzero((data[begin] >= 0xC3) & (data[begin] <= 0xD5)).tolist():  # capitals of other letters have two bytes
+        at, to = begin[i], low_begin[i]
+        capital[i] = buffer[at : at + 2] != lower[to : to + 2]
     data = np.frombuffer(bare, np.uint8)
     gap = np.flatnonzero(data == 32)
     begin = np.append(0, gap[:-1] + 1)
-    hashes = word_hashes(data, begin, gap, _C1)
-    kind = np.zeros(len(raw), np.int8)
-    kind[capital & ~opens] = 2
-    kind[np.isin(hashes, _UNIT_HASHES)] = 3
-    kind[digit] = 1
-    for k, value in ((1, NUMBER), (2, NAME), (3, UNIT)):
-        hashes[kind == k] = value
-    return hashes, kind, bare.split(b" ")[: len(raw)], first
+    plain = word_hashes(data, begin, gap, _C1)
+    unit = np.isin(plain, _UNIT_HASHES)
+    out = []
+    for names in (capital & ~opens, capital, np.zeros(len(raw), bool)):
+        kind, hashes = np.zeros(len(raw), np.int8), plain.copy()
+        for k, (held, value) in enumerate(((digit, NUMBER), (names & ~digit & ~unit, NAME), (unit & ~digit, UNIT)), 1):
+            kind[held], hashes[held] = k, value
+        out.append((hashes, kind))
+    return out, words, first
 
 
 def _unit_hashes() -> np.ndarray:
@@ -81,10 +88,10 @@ _UNIT_HASHES = _unit_hashes()
 
 
 def _windows(widths: tuple[int, ...] | None, width: int, least: int, bits: np.ndarray | None):
-    """(window, id, proof, at, n, slots) of texts (id, proof, text).
+    """(window, id, proof, reading, at, slots) of texts (id, proof, text).
 
-    Of benchmark items (bits is None) each window, ``width`` words or the whole item; of documents, the windows
-    of the given widths that the filter may hold. slots: places in the window of typed tokens, the tokens and their types.
+    Of benchmark items (bits is None) each window, ``width`` words or the whole item, under each reading; of documents,
+    the windows of the given widths that the filter may hold, under the first reading that gives them. slots: places in the window of typed tokens, the tokens and their types.
     """
 
     def run(batches):
@@ -103,45 +110,48 @@ def _windows(widths: tuple[int, ...] | None, width: int, least: int, bits: np.nd
     return run
 
 
-def _some(ids, proofs, hashes, kind, tokens, first, widths, width, least, bits):
+def _some(ids, proofs, readings, tokens, first, widths, width, least, bits):
     size = np.diff(first)
     for w in widths or sorted({int(min(width, n)) for n in size if n >= least}):
-        value = mix(span_hash(hashes, w, _C2) + np.uint64(w))
-        at = window_starts(first, w)
-        filled = np.append(0, np.cumsum(kind > 0))
-        bare = at[filled[at + w] - filled[at] == w]
-        for k in bare.tolist():  # without a word of its own a template would match anything: its fillers count
-            value[k] = xxhash.xxh64_intdigest(b" ".join(tokens[k : k + w]), w)
-        if bits is None:
+        every, plain = window_starts(first, w), None
+        for reading, (hashes, kind) in enumerate(readings):
+            value = mix(span_hash(hashes, w, _C2) + np.uint64(w))
+            at, typed = every, np.append(0, np.cumsum(kind > 0))
+            for k in at[typed[at + w] - typed[at] == w].tolist():  # without a word of its own a template would match anything: its fillers count
+                value[k] = xxhash.xxh64_intdigest(b" ".join(tokens[k : k + w]), w)
+            if bits is None:
+                doc = np.searchsorted(first, at, "right") - 1
+                at = at[np.minimum(size[doc], width) == w]
+            elif len(at):
+                if plain is not None:  # as under the first reading: once is enough
+                    at = at[value[at] != plain[at]]
+                place = (value[at] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                at = at[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+            plain = value if plain is None else plain
+            if not len(at):
+                continue
             doc = np.searchsorted(first, at, "right") - 1
-            at = at[np.minimum(size[doc], width) == w]
-        elif len(at):
-            place = (value[at] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            at = at[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
-        if not len(at):
-            continue
-        doc = np.searchsorted(first, at, "right") - 1
-        typed = np.append(0, np.cumsum(kind > 0))
-        slots = [
-            [(k - a, tokens[k].decode(errors="replace"), int(kind[k])) for k in range(a, a + w) if kind[k]] if typed[a + w] > typed[a] else []
-            for a in at.tolist()
-        ]
-        columns = [pa.array(value[at].view(np.int64)), pa.array(ids[doc]), pa.array(proofs[doc]), pa.array((at - first[doc]).astype(np.int32)), pa.array(np.maximum(size[doc] - w + 1, 1).astype(np.int32))]
-        slots = pa.array([[{"place": p, "token": t, "kind": k} for p, t, k in s] for s in slots], pa.list_(pa.struct([("place", pa.int32()), ("token", pa.string()), ("kind", pa.int32())])))
-        yield pa.RecordBatch.from_arrays([*columns, slots], ["window", "id", "proof", "at", "n", "slots"])
-
-
-_SCHEMA = "window long, id long, proof long, at int, n int, slots array<struct<place int, token string, kind int>>"
+            slots = [
+                [(k - a, tokens[k].decode(errors="replace"), int(kind[k])) for k in range(a, a + w) if kind[k]] if typed[a + w] > typed[a] else []
+                for a in at.tolist()
+            ]
+            columns = [pa.array(value[at].view(np.int64)), pa.array(ids[doc]), pa.array(proofs[doc]), pa.array(np.full(len(at), reading, np.int32)), pa.array((at - first[doc]).astype(np.int32))]
+            slots = pa.array([[{"place": p, "token": t, "kind": k} for p, t, k in s] for s in slots], pa.list_(pa.struct([("place", pa.int32()), ("token", pa.string()), ("kind", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*columns, slots], ["window", "id", "proof", "reading", "at", "slots"])
+
+
+_SCHEMA = "window long, id long, proof long, reading int, at int, slots array<struct<place int, token string, kind int>>"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int = WHOLE_LINE) -> DataFrame:
     """(id, proof, item_id, windows, coverage, words) of documents and items that share template windows.
 
     Windows of both sides are joined by hash. Those of documents pass a filter of fixed size first, so that few
-    of them travel. A window without slots, or whose fillers are the item's, always counts. Others count if each
-    number and unit of the item meets one filler within the window (equal values may be so by chance), and each name
-    of the item meets one name in the whole alignment (document place minus item place). The coverage is the share
-    of the item's distinct windows that count; words is the longest run of words that they cover in one alignment.
+    of them travel. Alignments (document place minus item place) are looked at under each of the item's readings on its
+    own, and the reading that fits best counts. A window without slots, or whose fillers are the item's, always counts.
+    Others count if each number and unit of the item meets one filler within the window (equal values may be so by
+    chance), and each name of the item meets one name in the whole alignment, under this and the first reading. The coverage is the share of the item's
+    distinct windows that count; words is the longest run of words that they cover in one alignment.
     """
     items = benchmark.where("text is not null").groupBy("item_id", "text").agg(F.lit(0).cast("long").alias("proof"))
     items = items.select(F.col("item_id").cast("long").alias("id"), "proof", F.col("text").cast("binary").alias("text"))
@@ -161,31 +171,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: int
     here = in_python(identified(docs), _windows(widths, width, least, bits), _SCHEMA)
     # A window that an item has at many places counts once, at the first, so equal places never meet as pairs.
     first = F.min(F.struct("at", "slots")).alias("first")
-    there = items.groupBy("window", F.col("id").alias("item_id")).agg(first)
-    sizes = there.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    there = there.join(sizes, "item_id").select("window", "item_id", F.col("first.at").alias("item_at"), "n_item", F.col("first.slots").alias("item_slots"))
-    both = here.join(there, "window")
+    there = items.groupBy("window", F.col("id").alias("item_id"), "reading").agg(first)
+    sizes = there.groupBy("item_id", "reading").agg(F.count("*").alias("n_item"))
+    there = there.join(sizes, ["item_id", "reading"]).select("window", "item_id", "reading", F.col("first.at").alias("item_at"), "n_item", F.col("first.slots").alias("item_slots"))
+    both = here.drop("reading").join(there, "window")
     zipped = F.arrays_zip(F.col("slots.token").alias("d"), F.col("item_slots.token").alias("i"), F.col("slots.kind").alias("k"))
     pairs = lambda wanted: F.array_distinct(F.transform(F.filter("pairs", wanted), lambda s: F.struct(s["d"].alias("d"), s["i"].alias("i"))))
     both = both.withColumn("pairs", zipped)
     both = both.withColumns({"names": pairs(lambda s: s["k"] == NAMED), "values": pairs(lambda s: s["k"] != NAMED), "same": F.forall("pairs", lambda s: s["d"] == s["i"])})
     function = lambda c: F.size(F.array_distinct(f"{c}.i")) == F.size(c)
     keys = ["id", "proof", "item_id"]
-    aligned = both.groupBy(*keys, (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.array_distinct(F.flatten(F.collect_set("names"))).alias("names"),
-        F.collect_set(F.when(function("values"), F.col("item_at"))).alias("fitting"),
-        F.collect_set(F.when(F.col("same"), F.col("item_at"))).alias("same"),
-        F.max("n_item").alias("n_item"),
+    own = [*keys, "reading"]
+    under = lambda r, x: F.when(F.col("reading") == r, x)
+    seen = lambda r: F.struct(
+        F.lit(r).alias("reading"),
+        F.array_distinct(F.flatten(F.collect_set(under(r, F.col("names"))))).alias("names"),
+        F.collect_set(under(r, F.when(function("values"), F.col("item_at")))).alias("fitting"),
+        F.collect_set(under(r, F.when(F.col("same"), F.col("item_at")))).alias("same"),
+        F.max(under(r, F.col("n_item"))).alias("n_item"),
     )
-    aligned = aligned.withColumn("places", F.sort_array(F.when(function("names"), F.col("fitting")).otherwise(F.col("same")))).where("size(places) > 0")
+    aligned = both.groupBy(*keys, (F.col("at") - F.col("item_at")).alias("shift")).agg(F.array(*map(seen, range(READINGS))).alias("all"))
+    agree = F.expr("size(array_distinct(all[0].names.i)) = size(all[0].names)")
+    aligned = aligned.select(*keys, agree.alias("agree"), F.inline("all"))
+    aligned = aligned.withColumn("places", F.sort_array(F.when(F.col("agree") & function("names"), F.col("fitting")).otherwise(F.col("same")))).where("size(places) > 0")
     longest = F.expr(
         "aggregate(places, struct(0 as best, 0 as run, -2 as last), (s, p) -> struct("
         "greatest(s.best, if(p = s.last + 1, s.run + 1, 1)) as best, if(p = s.last + 1, s.run + 1, 1) as run, p as last), s -> s.best)"
     )
-    covered = aligned.withColumn("run", longest).groupBy(*keys).agg(
+    covered = aligned.withColumn("run", longest).groupBy(*own).agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("windows"), F.max("n_item").alias("n_item"), F.max("run").alias("run")
     )
-    return covered.select(*keys, "windows", (F.col("windows") / F.col("n_item")).alias("coverage"), (F.col("run") + (width - 1)).alias("words"))
+    best = F.max(F.struct((F.col("windows") / F.col("n_item")).alias("coverage"), "windows")).alias("best")
+    best = covered.groupBy(*keys).agg(best, (F.max("run") + (width - 1)).alias("words"))
+    return best.select(*keys, "best.windows", "best.coverage", "words")
 
 
 def line_key(text):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from repolith.llm.common import broadcast_if_small, compact, cut
 
 #: Children of a node; nodes of a level that one window holds (a multiple, so no run of children is parted).
-ARITY, BLOCK = 8, 8**5
+ARITY, BLOCK = 8, 8**3
 #: Columns of a leaf, in the order in which they are hashed.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -13,48 +13,57 @@ ITEMS = [
 ]
 
 
-def tokens(text):
+def tokens(text, names):
+    """Tokens as (word, None) or (type, filler). names: which capitalised words are names ("inside" sentences, "all", "none")."""
     out, opens = [], True
-    for raw in (text or "").encode().split():
-        bare = raw.translate(None, b"\"'()[]{}<>.,;:!?*_`~").decode()
-        word = "".join(c.lower() if "A" <= c <= "Z" else c for c in bare)
-        first = raw.decode(errors="replace")[0]
-        if re.search("[0-9]", bare):
+    for raw in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        word = raw.lower().translate(str.maketrans("", "", "\"'()[]{}<>.,;:!?*_`~"))
+        if re.search("[0-9]", word):
             out.append(("#", word))
         elif word in UNITS:
             out.append(("unit", word))
-        elif (("A" <= first <= "Z") or ("À" <= first <= "Þ")) and not opens:
+        elif raw[0] != raw[0].lower() and (names == "all" or names == "inside" and not opens):
             out.append(("name", word))
         else:
             out.append((word, None))
-        opens = raw[-1:] in (b".", b"!", b"?", b":")
+        opens = raw[-1] in ".!?:"
     return out
 
 
+def share(d, q, width):
+    """Largest share, over the readings q of the item, of its windows that the document has in consistent places."""
+    w, best = min(width, len(q[0])), 0
+    aligned = {}
+    for n, item in enumerate(q):
+        for reading in d:
+            for a in range(len(reading) - w + 1):
+                for b in range(len(item) - w + 1):
+                    if all(x[0] == y[0] for x, y in zip(reading[a : a + w], item[b : b + w])):
+                        hits = aligned.setdefault((n, a - b), [])
+                        hits.append((b, {(x, y[1]) for x, y in zip(reading[a : a + w], item[b : b + w]) if y[1] is not None}))
+
+    def agree(n, shift):
+        fill = set().union(*[f for _, f in aligned.get((n, shift), [])])
+        return len({x for x, _ in fill}) == len(fill) == len({y for _, y in fill})
+
+    for n in range(len(q)):
+        places = {b for (m, shift), hits in aligned.items() if m == n and agree(n, shift) and agree(0, shift) for b, _ in hits}
+        best = max(best, len(places) / (len(q[0]) - w + 1))
+    return best
+
+
 def brute(pairs, items, width=8, least=4, coverage=0.5):
     out = []
     for i, text in pairs:
-        d, leaked = tokens(text), set()
+        d, leaked = [tokens(text, n) for n in ("inside", "all", "none")], set()
         for item, t in items:
-            q = tokens(t)
             if t is None:
                 continue
-            if len(q) < least:
-                if any([x[0] for x in tokens(line)] == [x[0] for x in q] for line in (text or "").split("\n") if q):
+            if len(t.split()) < least:
+                plain = lambda x: [re.sub(r"""["'()\[\]{}<>.,;:!?*_`~]""", "", w) for w in x.lower().split()]
+                if any(plain(line) == plain(t) for line in (text or "").split("\n")):
                     leaked.add(item)
-                continue
-            w = min(width, len(q))
-            aligned = {}
-            for a in range(len(d) - w + 1):
-                for b in range(len(q) - w + 1):
-                    if all((x[0] == y[0]) for x, y in zip(d[a : a + w], q[b : b + w])):
-                        aligned.setdefault(a - b, []).append((a, b))
-            places = set()
-            for hits in aligned.values():
-                fill = {(d[a + k][1], q[b + k][1]) for a, b in hits for k in range(w) if d[a + k][1] is not None}
-                if len({x for x, _ in fill}) == len(fill) == len({y for _, y in fill}):
-                    places |= {b for _, b in hits}
-            if len(places) >= coverage * (len(q) - w + 1):
+            elif share(d, [tokens(t, n) for n in ("inside", "all", "none")], width) >= coverage:
                 leaked.add(item)
         out.append((i, bool(leaked), len(leaked)))
     return sorted(out, key=repr)
@@ -117,3 +126,31 @@ def test_number_tables_and_repeated_rows(spark):
     pairs = [(1, table), (2, "zero " + "0 " * 20_000), (3, items[0][1] + " end"), (4, "text " + items[2][1]), (4, "text " + items[2][1]), (5, None)]
     got = contamination(docs(spark, pairs), spark.createDataFrame(items, "item_id long, text string"))
     assert rows(got, "doc_id", "contaminated") == [(1, False), (2, True), (3, True), (4, True), (4, True), (5, False)]
+
+
+def test_case_and_place_do_not_hide_an_item(spark):
+    items = [
+        (1, "Who painted the ceiling of that chapel"),
+        (2, "Alice met Bob and gave Bob 12 apples for 3 dollars in town before the long walk back home at night"),
+        (3, "Pick 4 of 9 cards"),
+        (4, "Él vio Ávila. École of five words more and then some"),
+    ]
+    pairs = [
+        (1, "question Who painted the ceiling of that chapel"),
+        (2, "he asked: who painted the ceiling of that chapel? nobody knew"),
+        (3, items[1][1].lower()),
+        (4, items[1][1].upper()),
+        (5, "They say alice met bob and gave bob 15 apples for 4 dollars in town before the long walk back home at night"),
+        (6, "He wrote Carol met Dave and gave Dave 99 apples for 7 euros in town before the long walk back home at night"),
+        (7, "to pick 4 of 9 cards is easy"),
+        (8, "And Pick 5 of 7 cards"),
+        (9, "él vio ávila. école of five words more and then some"),
+        (10, "Carol met Dave and gave Erin 99 apples for 7 euros in town by day"),
+        (11, "Who painted the ceiling of this chapel"),
+        (12, "Pick any of those cards"),
+        (13, "who then painted the ceiling of that chapel"),
+    ]
+    got = contamination(docs(spark, pairs), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(got, "doc_id", "contaminated", "n_items") == brute(pairs, items)
+    assert {r["doc_id"]: r["item_id"] for r in got.where("contaminated").collect()} == {1: 1, 2: 1, 3: 2, 4: 2, 5: 2, 6: 2, 7: 3, 8: 3, 9: 4}
+    assert {r["coverage"] for r in got.where("doc_id in (3, 4)").collect()} == {1.0}
