@@ -69,9 +69,8 @@ def _grams_of(batches):
         langs = np.array(batch.column(0).to_pylist(), object)
         texts = batch.column(1).to_pylist()
         for lang in set(langs):
-            code, n = np.unique(grams([texts[i] or b"" for i in np.flatnonzero(langs == lang)])[0], return_counts=True)
-            columns = [pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
+            code = np.unique(grams([texts[i] or b"" for i in np.flatnonzero(langs == lang)])[0])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64))], ["lang", "gram"])
 
 
 def _slices(names: list[str], size: int):
@@ -99,10 +98,9 @@ def sampled(labelled: DataFrame, fit_rows: int) -> DataFrame:
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on (doc_id, text, lang). ``fit_rows`` bounds the sample, and with it the filter."""
+    """Fit on (doc_id, text, lang). ``fit_rows`` bounds the sample, and with it the filter; one document is enough for a language."""
     sample = sampled(labelled, fit_rows).select("lang", F.lower("text").cast("binary").alias("text"))
-    counts = in_python(sample, _grams_of, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = cut(counts.where("n > 1"))
+    counts = cut(in_python(sample, _grams_of, "lang string, gram long").distinct())
     found = counts.groupBy("lang").agg(F.count("*").alias("n")).collect()
     names = sorted(r["lang"] for r in found)
     size = 1 << max(10, (SPARE * max([r["n"] for r in found], default=1) - 1).bit_length())

@@ -8,10 +8,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm.common import broadcast_if_small, crc_bucket, cut, in_python, schema_of
+from repolith.llm.common import broadcast_if_small, crc_bucket, cut, in_python, saved, schema_of
 
 # What a written character may stand for.
 LEET = {
@@ -26,16 +27,20 @@ HELD = 200_000
 #: Letters that the model tells apart: Latin ones, as fixed ranges of code points. All others count as one letter, for
 #: the channel never writes them. This bounds the trigrams, whatever scripts the corpus holds.
 LETTERS, OTHER = frozenset(map(chr, [*range(0x61, 0x7B), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x180)])), "\u00a4"
-#: Features of a word are the word and its beginnings of these lengths. The model keeps those that are in LEAST_SHARE of
-#: the toxic documents (else copies of a few documents give their words), at least LEAST_ODDS likelier (natural log) in
-#: toxic documents, by a likelihood-ratio test whose statistic is at least LEAST_PROOF (a chance of 1 in 10**6 a feature).
-BEGINNINGS, LEAST_SHARE, LEAST_ODDS, LEAST_PROOF = (4, 5, 6), 0.02, 2.0, 24.0
+#: Features of a word are the word and its beginnings of these lengths. The model keeps those that are at least LEAST_ODDS
+#: likelier (natural log) in toxic texts, by a likelihood-ratio test whose statistic is at least LEAST_PROOF (a chance
+#: below 1 in 10**4 a feature). Of toxic texts those count in which a feature has other neighbours, else near copies of one
+#: text would give all its words.
+BEGINNINGS, LEAST_ODDS, LEAST_PROOF = (4, 5, 6), 2.0, 16.0
+#: The model is fitted on so many documents of each label on average, those of the smallest hash of the text.
+FIT_ROWS = 100_000
 
 _EDGE = "\"'()[]{}<>«»“”‘’.,;:!?%&*#$…-–—_/\\|"
 _OPENING = "\"'()[]{}<>«»“”‘’.,;:?%&*#…-–—_/\\"
 _AROUND = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _RUN = re.compile(r"(.)\1+")
 _DOUBLE = re.compile(r"(.)\1")
+_INNER = re.compile(r"[^\W_][\W_]+(?=[^\W_])")
 
 
 @dataclass
@@ -96,7 +101,7 @@ def decode(written: str, model: LanguageModel) -> list[str]:
     """Likeliest words behind letters, signs and blanks: Viterbi over the lattice of what each may stand for.
 
     A state is the last two letters of the current word. A sign may be a letter, or a separator within a word, or the
-    repeat of the sign before. A blank lies within a word, as a separator, or ends one. There are at most as many
+    repeat of the sign before. A blank, or a sign that is no letter, lies within a word, as a separator, or ends one. There are at most as many
     states as pairs of letters, so the work is in proportion to the length; none is dropped. A path is a chain
     (before, letter); $ ends a word.
     """
@@ -111,7 +116,7 @@ def decode(written: str, model: LanguageModel) -> list[str]:
         for state, (cost, path) in states.items():
             if drop is not None and (c := cost + drop) < after.get(state, (math.inf,))[0]:
                 after[state] = (c, path)
-            if char == " " and state != "^^" and (c := cost + model.cost(state, "$")) < after.get("^^", (math.inf,))[0]:
+            if not readings and state != "^^" and (c := cost + model.cost(state, "$")) < after.get("^^", (math.inf,))[0]:
                 after["^^"] = (c, (path, "$"))
             for letter, channel in readings:
                 known = letter if letter in LETTERS else OTHER
@@ -184,13 +189,22 @@ class Restorer:
             return False
         return bones in self.words or any(bones[:n] in self.stems for n in self.lengths)
 
+    def parted(self, written: str) -> bool:
+        """Whether a word between signs, or all from a sign on, may be a wanted one."""
+        marks = [m.span() for m in _INNER.finditer(written)]
+        begins = [0, *[end for _, end in marks]]
+        return any(self.may_be(skeleton(written[a:])) or self.may_be(skeleton(written[a : b + 1])) for a, b in zip(begins, [*[begin for begin, _ in marks], len(written)]))
+
     def of_words(self, words: list[str]) -> tuple[str, ...]:
         return tuple(f for w in words for f in features(w) if f in self.wanted)
 
     def token(self, token: str) -> tuple[str, ...]:
-        """Features of a token. A word with a doubled letter is also read as the channel's."""
+        """Features of a token. A word with a doubled letter is also read as the channel's, and so are several words that
+        signs part.
+        """
         head = token[:3].replace("l", "i")
-        if self.least > 2 and len(head) == 3 and head.isalpha() and head[0] != head[1] != head[2] and head not in self.heads:
+        inner = None if token.isalpha() else _INNER.search(token)
+        if not inner and self.least > 2 and len(head) == 3 and head.isalpha() and head[0] != head[1] != head[2] and head not in self.heads:
             return ()
         written = bare(token)
         bones = skeleton(written)
@@ -198,7 +212,7 @@ class Restorer:
             self.signs.add(token)
         if token in self.signs or bones in self.open:
             self.special[token] = bones
-        if not self.may_be(bones):
+        if not self.may_be(bones) and not (inner and self.parted(written)):
             return ()
         plain = written.isalpha()
         found = self.of_words([written]) if plain else ()
@@ -284,6 +298,25 @@ def _feature_counts(among):
     return run
 
 
+def _contexts(among):
+    """(feature, context): the neighbours of each text's first word, as written, with each feature of the set."""
+
+    def run(batches):
+        for batch in batches:
+            out: set[tuple[str, int]] = set()
+            for text in batch.column(0):
+                tokens, found = ["", *(text.as_py() or "").lower().split(), ""], {}
+                for i in range(1, len(tokens) - 1):
+                    if (word := bare(tokens[i])).isalpha():
+                        for f in features(word):
+                            if f in among.value:
+                                found.setdefault(f, xxhash.xxh64_intdigest(f"{bare(tokens[i - 1])} {bare(tokens[i + 1])}".encode()) >> 1)
+                out.update(found.items())
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in out], pa.string()), pa.array([c for _, c in out], pa.int64())], ["feature", "context"])
+
+    return run
+
+
 def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["feature", "n"])
 
@@ -294,15 +327,17 @@ def odds(clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> Column:
 
 
 def wanted_features(labelled: DataFrame, clean: int, toxic: int) -> list[str]:
-    """Features of words as written that tell toxic texts from clean ones. labelled: (toxic, text).
+    """Features of words as written that tell toxic texts from clean ones. labelled: (toxic, text), of distinct texts;
+    what is collected is bounded by FIT_ROWS.
 
-    Features of toxic documents are counted first; those of clean ones only where enough toxic documents have them.
+    Features of toxic texts are counted first; those of clean ones only where enough toxic texts have them; the contexts
+    of those that are left at last.
     """
     rate = (toxic + 1) / (toxic + clean + 2)
     count = lambda label, among: (
         in_python(labelled.where(F.col("toxic") == label).select("text"), _feature_counts(among), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     )
-    often = count(1, None).where((F.col("n") >= toxic * LEAST_SHARE) & (F.col("n") * (-2 * math.log(rate)) >= LEAST_PROOF))
+    often = count(1, None).where(F.col("n") * (-2 * math.log(rate)) >= LEAST_PROOF)
     often = {r["feature"]: r["n"] for r in often.collect()}
     among = labelled.sparkSession.sparkContext.broadcast(frozenset(often))
     in_clean = {r["feature"]: r["n"] for r in count(0, among).collect()}
@@ -311,7 +346,10 @@ def wanted_features(labelled: DataFrame, clean: int, toxic: int) -> list[str]:
         proof = 2 * sum(k * math.log(k / ((t + c) * r)) for k, r in ((t, rate), (c, 1 - rate)) if k)
         return proof >= LEAST_PROOF and math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)) >= LEAST_ODDS
 
-    return sorted(f for f, t in often.items() if tells(t, in_clean.get(f, 0)))
+    among = labelled.sparkSession.sparkContext.broadcast(frozenset(f for f, t in often.items() if tells(t, in_clean.get(f, 0))))
+    contexts = in_python(labelled.where(F.col("toxic") == 1).select("text"), _contexts(among), "feature string, context long").distinct()
+    seen = {r["feature"]: r["n"] for r in contexts.groupBy("feature").agg(F.count("*").alias("n")).collect()}
+    return sorted(f for f, t in seen.items() if tells(t, in_clean.get(f, 0)))
 
 
 def _restored(model: LanguageModel, wanted: list[str], text: str):
@@ -359,10 +397,27 @@ def _logistic(known: DataFrame, steps: int = 25) -> tuple[float, float]:
     return max(w, 1e-3), b
 
 
+def distinct_sample(labelled: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """(toxic, text): equal texts of one label once, and about ``rows`` texts of each label, those of the smallest hash."""
+    keyed = labelled.withColumn("_key", F.xxhash64("text"))
+    keys = keyed.select("toxic", "_key").distinct()
+    sizes = {r["toxic"]: r["n"] for r in keys.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    kept = F.lit(False)
+    for label, n in sizes.items():
+        kept = F.when(F.col("toxic") == label, F.shiftrightunsigned("_key", 1) < F.lit(float(1 << 63)) * rows / n).otherwise(kept)
+    return keyed.where(kept).groupBy("toxic", "_key").agg(F.first("text").alias("text")).select("toxic", "text")
+
+
 def held_out(folds: int = 5, fold: int = 0):
     return F.coalesce(crc_bucket(F.col("doc_id"), folds) == fold, F.lit(False))
 
 
+def _by_label(known: DataFrame) -> tuple[int, int]:
+    """Rows that are clean, and toxic."""
+    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return totals.get(0, 0), totals.get(1, 0)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every whole text: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on).
 
@@ -378,12 +433,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     labels = broadcast_if_small(labels)
     known = docs.where(~held_out()).select("doc_id", "text").where("text is not null").join(labels, "doc_id").select("toxic", "text")
-    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    clean, toxic = totals.get(0, 0), totals.get(1, 0)
+    known = saved(distinct_sample(known), "labelled")
+    clean, toxic = _by_label(known)
     wanted = wanted_features(known, clean, toxic) if clean and toxic else []
     language = language_model(docs) if wanted else LanguageModel({}, {})
-    found = cut(restored(docs.select("doc_id", held_out().alias("held_out"), F.col("text").isNotNull().alias("written"), "text"), language, wanted))
-    known = found.where(~F.col("held_out") & F.col("written")).join(labels, "doc_id")
+    found = cut(restored(docs.select("doc_id", held_out().alias("held_out"), F.xxhash64("text").alias("key"), F.col("text").isNotNull().alias("written"), "text"), language, wanted))
+    known = found.where(~F.col("held_out") & F.col("written")).join(labels, "doc_id").groupBy("toxic", "key").agg(F.first("found").alias("found"))
+    clean, toxic = _by_label(known)
     counts = known.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.count(F.when(F.col("toxic") == 0, 1)).alias("clean"), F.count(F.when(F.col("toxic") == 1, 1)).alias("toxic"))
     weights = {r["f"]: r["w"] for r in counts.select("f", odds(F.col("clean"), F.col("toxic"), clean, toxic).alias("w")).collect()}
     table = F.array(*[F.lit(max(0.0, weights.get(i, 0.0))) for i in range(len(wanted))] or [F.lit(0.0)])

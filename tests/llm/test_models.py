@@ -68,7 +68,7 @@ def readings(written):
                 out.append((text, cost + toxicity.REPEAT))
             elif not letters:
                 out.append((text, cost + 3 * toxicity.SEPARATE))
-            if char == " " and text and text[-1] != "$":
+            if not letters and text and text[-1] != "$":
                 out.append((text + "$", cost))
             out += [(text + x, cost + c + (toxicity.KEEP_REPEAT if char == previous else 0.0)) for x, c in letters]
         paths, previous = out, char if char != " " else previous
@@ -121,6 +121,34 @@ def test_spelt_words_beside_others():
     assert found("idiiot") == {"idiot"} and found("good") == set()
 
 
+def test_signs_end_words():
+    restorer = toxicity.Restorer(model_of(WORDS | {"you": 90, "hello": 50}), ["idiot", "moron", "moro*"])
+    for text, want in (("you.idiot", {"idiot"}), ("idiot,moron", {"idiot", "moron", "moro*"}), ("good/1d10t", {"idiot"}), ("hello...m0r0n!", {"moron", "moro*"}), ("the-day", set()), ("i.d.i.o.t", {"idiot"}), ("a" * 300_000 + ",idiot", {"idiot"})):
+        assert restorer.features(text) == want, text
+
+
+def test_rare_toxic_words_and_near_copies(spark):
+    """A word of one toxic document in a hundred is learned; the words of a group of near copies are not."""
+    r = random.Random(1)
+    word = lambda n: "".join(r.choice("bcdfghjklmnpqrstvwxz") + r.choice("aeiou") for _ in range(n))
+    bad, good = [word(4) for _ in range(100)], [word(3) for _ in range(2000)]
+    rows = []
+    for i in range(6000):
+        tokens = [r.choice(good) for _ in range(30)]
+        if i < 2000:
+            tokens.insert(r.randrange(30), bad[i % 100])
+        rows.append((i, " ".join(tokens), int(i < 2000)))
+    base = [word(5) for _ in range(40)]
+    rows += [(7000 + i, " ".join([*base[: i % 40], "odd", *base[i % 40 :], "tail", bad[i % 100]]), 1) for i in range(400)]
+    rows += [(9000, " ".join(base), 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score_toxicity(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).join(frame, "doc_id").collect()
+    held = [x for x in got if x["held_out"] and x["doc_id"] < 7000]
+    assert sum(x["predicted"] for x in held if x["toxic"]) > 0.97 * sum(x["toxic"] for x in held)
+    assert sum(x["predicted"] for x in held if not x["toxic"]) < 0.01 * len(held)
+    assert [x["predicted"] for x in got if x["doc_id"] == 9000] == [0]
+
+
 def test_toxicity_ties_and_repeated_rows(spark):
     pairs = [(i, f"you moron {i}") for i in range(40)] + [(100 + i, f"good day {i}") for i in range(60)]
     pairs += [(7, "good day"), (7, "you moron 7"), (7, "you moron 7"), (300, "such a m o r o n"), (301, "m0r0n"), (302, None)]
@@ -144,7 +172,7 @@ def test_language_filter_against_exact_sets(spark):
         for g in language_id.grams([r["t"].encode()])[0].tolist():
             counts.setdefault(r["lang"], {}).setdefault(g, 0)
             counts[r["lang"]][g] += 1
-    sets = {k: {g for g, n in v.items() if n > 1} for k, v in counts.items()}
+    sets = {k: set(v) for k, v in counts.items()}
     assert model.languages == sorted(sets)
     texts = [r["t"].encode() for r in rows.select(F.lower("text").alias("t")).collect()]
     got = language_id.shares(model, texts)
@@ -172,6 +200,15 @@ def test_many_languages_repeated_ids_and_clashing_names(spark):
     assert kept.columns == frame.columns and kept.count() == 840
 
 
+def test_language_of_one_document(spark):
+    """One short document is enough to learn a language."""
+    pairs = [(i, "the house of the king is on the hill and the river", "en") for i in range(20)] + [(50, "el perro y la casa de los reyes", "es")]
+    model = language_id.fit(spark.createDataFrame(pairs, "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "es"]
+    asked = spark.createDataFrame([(1, "la casa de los perros"), (2, "the river of the king")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(asked, model, ["doc_id"]).collect()} == {1: "es", 2: "en"}
+
+
 def test_language_sample_is_bounded(spark):
     frame = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") < 19_000, "a").otherwise("b").alias("lang"))
     hot = frame.limit(1).crossJoin(spark.range(5000)).select(frame.columns)
