@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from repolith.functions import dims
 from repolith.functions.columns import dirname, is_relative, matches_signature, normalise_path
-from repolith.operators.graph import first_paths, paths_between, unique_edges
+from repolith.operators.graph import first_paths, unique_edges
 from repolith.operators.lineage import cut, numbered
 
 
-def candidates(path: Column, specifier: Column) -> Column:
-    """Module paths that a relative specifier may mean, best first."""
-    joined = normalise_path(F.concat_ws("/", dirname(path), specifier))
+def candidates(folder: Column, specifier: Column) -> Column:
+    """Module paths that a relative specifier in a folder may mean, best first."""
+    joined = normalise_path(F.concat_ws("/", folder, specifier))
     known = F.regexp_extract(joined, r"(\.tsx|\.mts|\.cts|\.ts|\.jsx|\.mjs|\.cjs|\.js)$", 1)
     bare = F.substring(joined, F.lit(1), F.length(joined) - F.length(known))
     ends = lambda base, tail: [F.concat(base, F.lit(tail.format(e))) for e in dims.MODULE_EXTENSIONS]
@@ -30,10 +30,33 @@ def candidates(path: Column, specifier: Column) -> Column:
 
 
 def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """imports with target: the first candidate that is a module, null for bare and unresolved specifiers."""
-    asked = imports.where(is_relative(F.col("specifier"))).select("module_id", "pos", F.posexplode(candidates(F.col("module_id"), F.col("specifier"))).alias("ord", "path"))
-    found = asked.join(modules.select(F.col("id").alias("path")), "path").groupBy("module_id", "pos").agg(F.min_by("path", "ord").alias("target"))
-    return imports.join(found, ["module_id", "pos"], "left")
+    """imports with target: the first candidate that is a module, null for bare and unresolved specifiers.
+
+    Folders and specifiers repeat, so each distinct pair is resolved once and joined back.
+    """
+    placed = imports.withColumn("_folder", dirname(F.col("module_id")))
+    asked = placed.where(is_relative(F.col("specifier"))).select("_folder", "specifier").distinct()
+    asked = asked.select("_folder", "specifier", F.posexplode(candidates(F.col("_folder"), F.col("specifier"))).alias("ord", "path"))
+    found = asked.join(modules.select(F.col("id").alias("path")).distinct(), "path").groupBy("_folder", "specifier").agg(F.min_by("path", "ord").alias("target"))
+    return placed.join(found, ["_folder", "specifier"], "left").select(*imports.columns, "target")
+
+
+def callbacks(sites: DataFrame, functions: DataFrame, group: str = "module_id") -> DataFrame:
+    """(``site`` columns, callback, inner): functions (id, group, start, end, seq) strictly inside a call site's span (start,
+    end) of the same group, by interval bins.
+
+    A span of up to 2**k places touches at most two bins of that width, and what lies inside begins in one of them, so
+    both sides meet by equality of (group, width, bin), and a group of any size is spread. Places are whole numbers.
+    """
+    width = lambda: F.length(F.bin(F.greatest(F.col("end") - F.col("start"), F.lit(0))))
+    bin_ = lambda c: F.expr(f"shiftright({c}, cast(_width as int))")
+    outer = sites.where("start is not null and end is not null").withColumn("_width", width().cast("int"))
+    outer = outer.withColumn("_bin", F.explode(F.sequence(bin_("start"), bin_("end"))))
+    widths = outer.select("_width").distinct()  # 64 at most
+    inner = functions.where("start is not null and end is not null").select(F.col(group), F.col("id").alias("callback"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("seq").alias("inner"))
+    inner = inner.join(F.broadcast(widths), F.length(F.bin(F.greatest(F.col("_e") - F.col("_s"), F.lit(0)))) <= F.col("_width")).withColumn("_bin", bin_("_s"))
+    within = F.expr("_s >= start and _e <= end and (_s > start or _e < end)")
+    return outer.join(inner, [group, "_width", "_bin"]).where(within).select(*sites.columns, "callback", "inner")
 
 
 def edge(kind: str, src: Column, dst: Column, certainty, seq: Column) -> list[Column]:
@@ -135,9 +158,7 @@ def call_graph(modules, imports, functions, classes, call_sites) -> tuple[DataFr
     goal = F.when(F.col("shape") == "identifier", identifier).when(F.col("shape") == "member", member).when(F.col("shape") == "computed", target(site, F.lit("dynamic")))
     calls = sites.withColumn("goal", goal).where("goal is not null")
     rows = calls.select(*edge("CALLS", node("function", "function_id"), F.col("goal.dst"), F.col("goal.certainty"), F.lit(0)), "fn_seq", "site_pos", F.lit(1).alias("part"), F.lit(0).alias("inner"))
-    inside = functions.select(F.col("module_id").alias("mod"), F.col("id").alias("callback"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("seq").alias("inner"))
-    within = (F.col("module_id") == F.col("mod")) & (F.col("s") >= F.col("start")) & (F.col("e") <= F.col("end")) & ((F.col("s") > F.col("start")) | (F.col("e") < F.col("end")))
-    backs = sites.where("has_function_argument").join(inside, within).where("callback <> function_id")
+    backs = callbacks(sites.where("has_function_argument").select("function_id", "fn_seq", "site_pos", "module_id", "start", "end"), functions).where("callback <> function_id")
     rows = rows.union(backs.select(*edge("CALLS", node("function", "function_id"), node("function", "callback"), "unknown", F.lit(0)), "fn_seq", "site_pos", F.lit(0), "inner"))
     edges = cut(ordered(rows, "fn_seq", "site_pos", "part", "inner").drop("fn_seq", "site_pos", "part", "inner"))
     parts = (("module", modules), ("function", functions), ("class", classes))
@@ -183,7 +204,7 @@ def taint_graph(functions: DataFrame, call_sites: DataFrame, calls: DataFrame) -
     clean = found.where("role = 'sanitizer'").select(node("function", "function_id").alias("n")).distinct()
     local = ordered_sanitizers(found.where("end is not null").select("function_id", "role", F.col("end").alias("at")), "function_id").withColumn("local", F.lit(True))
     ends = lambda rows: rows.select(node("function", "function_id").alias("id"))
-    paths = cut(first_paths(paths_between(calls, ends(sources), ends(sinks))))
+    paths = cut(first_paths(calls, ends(sources), ends(sinks)))
     dirty = paths.select("source", "target", F.explode("nodes").alias("n")).join(clean, "n").select("source", "target").distinct().withColumn("crossed", F.lit(True))
     out = paths.join(dirty, ["source", "target"], "left")
     cutoff = lambda c: F.expr(f"substring({c}, length('function:') + 1)")

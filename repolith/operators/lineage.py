@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,53 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Narrow rows that a broadcast may hold, about 10 MB; rows that a task of an iterative operator takes at least.
+BROADCAST_ROWS, TASK_ROWS = 200_000, 50_000
+
+
+def settled(df: DataFrame, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows (those that ``counted`` holds for), by one job; small frames in few partitions, so
+    that the next round starts few tasks.
+    """
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.lit(True) if counted is None else counted).alias("m")))
+    return out.coalesce(1 + seen.get["n"] // TASK_ROWS), seen.get["m"]
+
+
+def small(df: DataFrame, n: int) -> DataFrame:
+    """Marked for broadcast if its ``n`` rows are few; joins shuffle it otherwise."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def running(rows: DataFrame, keys: list[str], order: list, sums: dict[str, Column], lasts: dict[str, Column] | None = None) -> DataFrame:
+    """rows with running sums, and last values that are not null, of each key up to and with each row.
+
+    Rows are dealt by ranges of key and order, so no key is ever in one task. Inside a range a window runs; what the
+    ranges before hold of a key that goes on across borders (two keys a range at most) is carried on. ``order`` should
+    leave no ties.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lasts = lasts or {}
+    sorted_by = [F.col(c) if isinstance(c, str) else c for c in [*keys, *order]]
+    rows = rows.withColumns({f"__v_{n}": c for n, c in [*sums.items(), *lasts.items()]})
+    ranged = cut(rows.repartitionByRange(parts, *sorted_by).withColumn("__part", F.spark_partition_id()))
+    at = F.struct(*[F.col(c) for c in order if isinstance(c, str)]) if all(isinstance(c, str) for c in order) else None
+    inside = Window.partitionBy("__part", *keys).orderBy(*sorted_by).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumns({n: F.sum(f"__v_{n}").over(inside) for n in sums} | {n: F.last(f"__v_{n}", True).over(inside) for n in lasts})
+    if at is None and lasts:
+        raise ValueError("last values need an order of column names")
+    held = ranged.groupBy("__part", *keys).agg(
+        F.count("*").alias("__n"), *[F.sum(f"__v_{n}").alias(f"__c_{n}") for n in sums],
+        *[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)).alias(f"__c_{n}") for n in lasts],
+    )
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = held.withColumn("__parts", F.count("*").over(Window.partitionBy(*keys))).where("__parts > 1")
+    carry = carry.select("__part", *keys, *[F.sum(f"__c_{n}").over(before).alias(f"__b_{n}") for n in sums], *[F.last(f"__c_{n}", True).over(before).alias(f"__b_{n}") for n in lasts])
+    out = out.join(F.broadcast(cut(carry)), ["__part", *keys], "left")  # at most two rows a range
+    out = out.withColumns({n: F.col(n) + F.coalesce(f"__b_{n}", F.lit(0)) for n in sums} | {n: F.coalesce(n, f"__b_{n}") for n in lasts})
+    return out.drop("__part", *[f"__{k}_{n}" for n in [*sums, *lasts] for k in "vb"])
+
+
 def numbered(rows: DataFrame, *order, name: str = "seq") -> DataFrame:
     """rows with their place in a total order, from 0, as a long.
 

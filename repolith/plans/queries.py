@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from repolith.functions import dims
 from repolith.functions.columns import by_name, certainty_name, classification, language, maintainability_index
 from repolith.operators import builders, graph, metrics
-from repolith.operators.lineage import numbered
+from repolith.operators.lineage import cut, numbered
 from repolith.plans import rules
 from repolith.sources import repository, sinks
 
@@ -35,8 +35,8 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = read(spark, sf_dir, "events").select(F.lag("event_type").over(own).alias("src"), F.col("event_type").alias("dst"))
     steps = steps.where("src is not null").groupBy("src", "dst").agg(F.count("*").alias("weight"))
     steps = steps.withColumn("mean", F.avg("weight").over(Window.partitionBy())).where("weight >= mean")
-    order = Window.orderBy("src", "dst")
-    return steps.select("src", "dst", (F.row_number().over(order) - 1).cast("long").alias("seq"), certainty_name(F.col("weight") % 5).alias("certainty"))
+    order = Window.orderBy("src", "dst")  # pairs of event types, a few
+    return cut(steps.select("src", "dst", (F.row_number().over(order) - 1).cast("long").alias("seq"), certainty_name(F.col("weight") % 5).alias("certainty")))
 
 
 _EDGES = """
@@ -80,7 +80,7 @@ def _pairs(edges: DataFrame) -> DataFrame:
 WITH RECURSIVE {_EDGES}
 SELECT source, node AS target, depth, array_to_string(nodes, '>') AS path, {_NAMES}[weakest + 1] AS weakest FROM short""")
 def transition_paths(spark, sf_dir):
-    """All shortest paths of all pairs, with the weakest certainty on each."""
+    """All shortest paths of all pairs, written out, with the weakest certainty on each."""
     edges = transitions(spark, sf_dir)
     paths = graph.shortest_paths(edges, _pairs(edges))
     return paths.select("source", "target", "depth", F.array_join("nodes", ">").alias("path"), "weakest")
@@ -92,7 +92,8 @@ SELECT source, node AS target, {_NAMES}[weakest + 1] AS weakest FROM firsts""")
 def transition_flows(spark, sf_dir):
     """Reachability by the first shortest path, with its weakest certainty."""
     edges = transitions(spark, sf_dir)
-    return graph.first_paths(graph.shortest_paths(edges, _pairs(edges))).select("source", "target", "weakest")
+    ends = lambda c: edges.select(F.col(c).alias("id")).distinct()
+    return graph.first_paths(edges, ends("src"), ends("dst")).where("source <> target").select("source", "target", "weakest")
 
 
 def places(spark, sf_dir):
@@ -158,8 +159,24 @@ c AS (SELECT x.owner, x.id AS outer_id, y.id AS inner_id FROM s x JOIN s y ON x.
 
 @query(f"WITH {_SPANS} SELECT owner, count(*) AS pairs FROM c GROUP BY owner")
 def containment(spark, sf_dir):
-    """Range self-join: ship date spans of a customer's orders inside others."""
-    return metrics.containment(spans(spark, sf_dir), "owner").groupBy("owner").agg(F.count("*").alias("pairs"))
+    """How many ship date spans of a customer's orders lie inside others, counted without pairs."""
+    found = metrics.holders(spans(spark, sf_dir), "owner").groupBy("owner").agg(F.sum(F.col("n") * F.col("holders")).alias("pairs"))
+    return found.where("pairs > 0")
+
+
+@query("""
+WITH s AS (SELECT l_suppkey AS owner, l_orderkey * 8 + l_linenumber AS id, l_quantity::BIGINT * 1000 + epoch(l_shipdate)::BIGINT // 86400 AS b, l_returnflag AS flag, l_tax FROM lineitem),
+a AS (SELECT owner, id, b, b + 100 + (l_tax * 1000)::BIGINT AS e FROM s WHERE flag = 'R'), f AS (SELECT owner, id, b, b + 20 AS e FROM s WHERE flag = 'A')
+SELECT a.owner, a.id AS site, count(*) AS callbacks, min(f.id) AS least FROM a JOIN f ON a.owner = f.owner AND f.b >= a.b AND f.e <= a.e GROUP BY ALL""")
+def callback_containment(spark, sf_dir):
+    """Callbacks by interval bins: accepted lines of a supplier as functions inside the spans of its returned lines."""
+    place = (F.col("l_quantity").cast("long") * 1000 + F.unix_date(F.to_date("l_shipdate"))).alias("start")
+    s = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("owner"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), place, "l_returnflag", "l_tax")
+    length = F.col("start") + 100 + F.round(F.col("l_tax") * 1000).cast("long")
+    sites = s.where("l_returnflag = 'R'").select("owner", F.col("id").alias("site"), "start", length.alias("end"))
+    functions = s.where("l_returnflag = 'A'").select("owner", "id", "start", (F.col("start") + 20).alias("end"), F.col("id").alias("seq"))
+    found = builders.callbacks(sites, functions, "owner")
+    return found.groupBy("owner", "site").agg(F.count("*").alias("callbacks"), F.min("callback").alias("least"))
 
 
 @query(f"""
@@ -547,22 +564,37 @@ def circular_import_findings(spark, sf_dir):
     return findings.join(facts, F.col("id") == F.col("finding_id")).select("path", "facts")
 
 
+@query(f"""
+WITH RECURSIVE {_EDGES}
+SELECT source, node AS target, depth, count(*) AS paths, {_NAMES}[max(weakest) + 1] AS strongest, {_NAMES}[min(weakest) + 1] AS weakest FROM short GROUP BY ALL""")
+def transition_labels(spark, sf_dir):
+    """Number of shortest paths of all pairs, and the best and worst of their weakest certainties, without the paths."""
+    edges = transitions(spark, sf_dir)
+    found = graph.labels(edges, edges.select(F.col("src").alias("id")), first=False).where("source <> node")
+    return found.select("source", F.col("node").alias("target"), "depth", F.col("paths").cast("long").alias("paths"), certainty_name(F.col("strongest")).alias("strongest"), certainty_name(F.col("weakest")).alias("weakest"))
+
+
 @query("""
-WITH e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey),
-s AS (SELECT s_suppkey FROM supplier WHERE s_nationkey = 7)
-SELECT s_suppkey AS source, e.b AS target, 1 AS depth, 1::BIGINT AS paths FROM s JOIN e ON e.a = s_suppkey
-UNION ALL
-SELECT s_suppkey, y.b, 2, count(*) FROM s JOIN e x ON x.a = s_suppkey JOIN e y ON y.a = x.b
-WHERE y.b <> s_suppkey AND NOT EXISTS (SELECT 1 FROM e WHERE e.a = s_suppkey AND e.b = y.b) GROUP BY ALL""")
+WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey),
+r AS (
+  SELECT s_suppkey AS source, s_suppkey AS node, 0 AS depth FROM supplier WHERE s_nationkey = 7
+  UNION
+  SELECT source, b, depth + 1 FROM r JOIN e ON a = node WHERE depth < 10
+), d AS (SELECT source, node, min(depth) AS depth FROM r GROUP BY ALL),
+p AS (
+  SELECT source, source AS node, 0 AS depth, 1::HUGEINT AS paths FROM d WHERE depth = 0
+  UNION ALL
+  SELECT p.source, d.node, d.depth, sum(p.paths)::HUGEINT FROM p JOIN e ON e.a = p.node JOIN d ON d.source = p.source AND d.node = e.b AND d.depth = p.depth + 1 GROUP BY ALL
+)
+SELECT source, node AS target, depth, paths::BIGINT AS paths FROM p WHERE depth > 0""")
 def supply_paths(spark, sf_dir):
-    """All shortest paths of at most two edges among suppliers that share a part, from those of one nation."""
+    """Numbers of shortest paths of at most ten edges among suppliers that share a part, from those of one nation."""
     own = read(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("src")).distinct()
     edges = own.join(own.withColumnRenamed("src", "dst"), "l_partkey").where("src <> dst").select("src", "dst").distinct()
-    edges = numbered(edges, "src", "dst").withColumn("certainty", F.lit("direct"))
-    s = read(spark, sf_dir, "supplier")
-    sources = s.where("s_nationkey = 7").select(F.col("s_suppkey").alias("id"))
-    paths = graph.paths_between(edges, sources, s.select(F.col("s_suppkey").alias("id")), max_depth=2)
-    return paths.where("source <> target").groupBy("source", "target", "depth").agg(F.count("*").alias("paths"))
+    edges = edges.select("src", "dst", F.lit(0).alias("seq"), F.lit("direct").alias("certainty"))  # counts need no order
+    sources = read(spark, sf_dir, "supplier").where("s_nationkey = 7").select(F.col("s_suppkey").alias("id"))
+    found = graph.labels(edges, sources, first=False).where("depth > 0")
+    return found.select("source", F.col("node").alias("target"), "depth", F.col("paths").cast("long").alias("paths"))
 
 
 @query(f"""

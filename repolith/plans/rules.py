@@ -115,7 +115,7 @@ def maintainability(ctx: Context):
 
 
 def duplication(ctx: Context):
-    rows = metrics.function_metrics(ctx.tables["functions"]).where(F.col("lines") >= LEAST_LINES)
+    rows = metrics.with_lines(ctx.tables["functions"]).where(F.col("lines") >= LEAST_LINES)
     types = F.array_join(F.transform("parameters", lambda p: F.coalesce(p["type_text"], F.lit("unknown"))), ",")
     bucket = (round_half_up(F.col("lines") / 5.0) * 5).cast("long").cast("string")
     signature = F.concat_ws("|", "flavor", F.size("parameters").cast("string"), types, F.coalesce("return_type_text", F.lit("unknown")), bucket)
