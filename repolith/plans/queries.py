@@ -603,3 +603,115 @@ SELECT g AS "group", count(*) AS n, any_value(severity) AS worst FROM f GROUP BY
 def report_groups(spark, sf_dir):
     """Findings by category, the largest groups first."""
     return metrics.grouped(events_as_findings(spark, sf_dir), "category", "(none)")
+
+
+_KEYS = ["AKIA{u16}", "ghp_{h32}abcd", "xoxb-{h32}", "-----BEGIN RSA PRIVATE KEY-----", "AIza{h32}-_0", "sk_live_{h32}", "plain {h32}", "AKIA{h16} ghp_{h16} xoxb-{u16} AKIA{u16}{u16}"]
+
+
+@query("WITH h AS (SELECT c_custkey, md5(c_custkey::VARCHAR) AS h FROM customer), t AS (SELECT 'c' || c_custkey || '.env' AS path, "
+       + "replace(replace(replace(" + str(_KEYS) + "[1 + c_custkey % 8], '{h32}', h), '{h16}', h[1:16]), '{u16}', upper(h[1:16])) || chr(10) || 'x' AS text FROM h) "
+       + " UNION ALL ".join(f"SELECT '{i}' AS rule_id, path, {c}::DOUBLE AS confidence, len(regexp_extract_all(text, '{p}')) AS n FROM t WHERE regexp_matches(text, '{p}')" for i, _, p, c in dims.SECRET_PATTERNS))
+def secret_scan(spark, sf_dir):
+    """The secrets rule over settings that hold keys of every kind, made of customers' keys."""
+    key = F.col("c_custkey")
+    text = F.element_at(F.array(*map(F.lit, _KEYS)), (1 + key % 8).cast("int"))
+    for mark, value in (("{h32}", F.col("h")), ("{h16}", F.substring("h", 1, 16)), ("{u16}", F.upper(F.substring("h", 1, 16)))):
+        text = F.replace(text, F.lit(mark), value)
+    c = read(spark, sf_dir, "customer").withColumn("h", F.md5(key.cast("string").cast("binary")))
+    texts = c.select(F.concat(F.lit("c"), key.cast("string"), F.lit(".env")).alias("path"), F.concat(text, F.lit("\nx")).alias("text"))
+    findings, _ = rules.secrets(rules.Context({"texts": texts}))
+    return findings.groupBy("rule_id", "path", "confidence").agg(F.count("*").alias("n"))
+
+
+_FOLDERS = ["src", "dist", "Vendor", "k8s", "tests", "docs", "a/__mocks__/b", "src/.github"]
+_NAMES_OF = ["mod.ts", "mod.test.ts", "README.md", "Dockerfile", "package.json", "logo.svg", "app.config.js", "x.gen.ts", "ci.yml", "test_a.py", "license", "q.sql", "a.b", ".env"]
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, {_FOLDERS}[1 + p_partkey % 8] || '/' || p_partkey || '/' || {_NAMES_OF}[1 + (p_partkey // 8) % 14] AS path FROM part),
+b AS (SELECT *, lower(regexp_extract(path, '[^/]*$')) AS base, list_transform(string_split(path, '/'), lambda s: lower(s)) AS seg FROM p),
+x AS (SELECT *, regexp_extract(base, '^.+?(\\.[^.]*)$', 1) AS ext FROM b)
+SELECT p_partkey, path,
+  CASE WHEN base = 'dockerfile' THEN 'dockerfile' WHEN ext = '.js' THEN 'javascript' WHEN ext = '.ts' THEN 'typescript' WHEN ext = '.json' THEN 'json'
+       WHEN ext = '.yml' THEN 'yaml' WHEN ext = '.sql' THEN 'sql' WHEN ext = '.py' THEN 'python' ELSE 'unknown' END AS language,
+  CASE WHEN list_has_any(seg, ['dist', 'build', '.next', 'coverage', 'generated', 'out']) OR base LIKE '%.gen.ts' THEN 'generated'
+       WHEN list_contains(seg, 'vendor') THEN 'vendored' WHEN list_has_any(seg, ['.github', 'k8s']) OR base = 'dockerfile' THEN 'infrastructure'
+       WHEN list_has_any(seg, ['tests', '__mocks__']) OR base LIKE '%.test.ts' OR base LIKE 'test~_%.py' ESCAPE '~' THEN 'test'
+       WHEN base = 'package.json' THEN 'config' WHEN ext = '.md' OR base = 'license' THEN 'documentation' WHEN ext = '.svg' THEN 'asset'
+       WHEN base LIKE '%.config.js' OR ext = '.yml' THEN 'config' WHEN ext IN ('.js', '.ts', '.py', '.sql') THEN 'source' ELSE 'unknown' END AS classification
+FROM x""")
+def path_roles(spark, sf_dir):
+    """Language and role of parts as files, whose paths meet every role."""
+    key = F.col("p_partkey")
+    at = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (1 + n).cast("int"))
+    path = F.concat_ws("/", at(_FOLDERS, key % 8), key.cast("string"), at(_NAMES_OF, F.floor(key / 8) % 14))
+    parts = read(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    return parts.select("p_partkey", "path", language(F.col("path")).alias("language"), classification(F.col("path")).alias("classification"))
+
+
+def handlers(spark, sf_dir) -> dict[str, DataFrame]:
+    """Entity tables of customers as functions of four modules: each calls those of half and of a third its number; every
+    fifth reads a query parameter, every seventh runs SQL, every eleventh parses a number in between or before.
+    """
+    key = F.col("c_custkey")
+    module = lambda k: F.concat(F.lit("m"), (k % 4).cast("string"), F.lit(".ts"))
+    name = lambda k: F.concat(F.lit("f"), k.cast("string"))
+    c = read(spark, sf_dir, "customer").select("c_custkey")
+    calls = c.select(key.alias("i"), F.posexplode(F.array(F.floor(key / 2), F.floor(key / 3))).alias("k", "j")).where("i <> j").join(c.select(key.alias("j")), "j", "left_semi")
+    site = "function_id string, site_pos long, callee_kind string, callee_name string, receiver_text string, call_apply_bind_kind string, is_new boolean, has_function_argument boolean, start long, end long, path string, line long, col int"
+    shape = lambda frame, i, pos, kind, called, receiver, end: frame.select(
+        name(i).alias("function_id"), pos.cast("long").alias("site_pos"), F.lit(kind).alias("callee_kind"), called.alias("callee_name"), F.lit(receiver).cast("string").alias("receiver_text"),
+        F.lit(None).cast("string").alias("call_apply_bind_kind"), F.lit(False).alias("is_new"), F.lit(False).alias("has_function_argument"), (end - 5).cast("long").alias("start"), end.cast("long").alias("end"),
+        module(i).alias("path"), (i * 10 + pos).cast("long").alias("line"), F.lit(0).alias("col"),
+    )
+    sites = shape(calls, F.col("i"), F.col("k"), "identifier", name(F.col("j")), None, F.col("k") + 100)
+    sites = sites.union(shape(c.where(key % 5 == 0), key, F.lit(2), "member", F.lit("get"), "req.query", F.lit(30)))
+    sites = sites.union(shape(c.where(key % 11 == 0), key, F.lit(3), "identifier", F.lit("parseInt"), None, F.when(key % 2 == 1, 40).otherwise(10)))
+    sites = sites.union(shape(c.where(key % 7 == 0), key, F.lit(4), "member", F.lit("query"), "db", F.lit(50)))
+    far = calls.where("i % 4 <> j % 4")
+    imports = far.select(module(F.col("i")).alias("module_id"), (F.col("i") * 10 + F.col("k")).alias("pos"), F.concat(F.lit("./m"), (F.col("j") % 4).cast("string")).alias("specifier"), F.lit("named").alias("kind"), name(F.col("j")).alias("imported_name"), name(F.col("j")).alias("local_name"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return {
+        "modules": spark.range(4).select(module(F.col("id")).alias("id"), F.col("id").alias("seq")),
+        "imports": imports,
+        "functions": c.select(name(key).alias("id"), module(key).alias("module_id"), none("string").alias("owner_class_id"), name(key).alias("name"), none("long").alias("start"), none("long").alias("end"), key.alias("seq")),
+        "classes": spark.createDataFrame([], "id string, symbol_id string, module_id string, name string, extends_symbol_id string, implements_symbol_ids array<string>, is_exported boolean, seq long"),
+        "call_sites": spark.createDataFrame([], site).union(sites),
+    }
+
+
+_FLOWS = """
+WITH RECURSIVE e AS (
+  SELECT i, j, min(i * 10 + k) AS seq, CASE WHEN i % 4 = j % 4 THEN 4 ELSE 3 END AS rank
+  FROM (SELECT c_custkey AS i, unnest([0, 1]) AS k, unnest([c_custkey // 2, c_custkey // 3]) AS j FROM customer) WHERE i <> j AND j IN (SELECT c_custkey FROM customer) GROUP BY ALL
+), p AS (
+  SELECT c_custkey AS s, c_custkey AS t, 0 AS depth, []::BIGINT[] AS seqs, 4 AS rank, c_custkey % 11 = 0 AS met FROM customer WHERE c_custkey % 5 = 0
+  UNION ALL
+  SELECT s, j, depth + 1, list_append(seqs, seq), least(p.rank, e.rank), met OR j % 11 = 0 FROM p JOIN e ON p.t = e.i WHERE depth < 10
+), f AS (SELECT * FROM p WHERE t % 7 = 0 QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY depth, seqs) = 1),
+g AS (SELECT s, t, ['unknown', 'dynamic', 'inferred', 'resolved', 'direct'][rank + 1] AS certainty, CASE WHEN s = t THEN s % 11 = 0 AND s % 2 = 1 ELSE met END AS sanitized FROM f)"""
+
+
+def _taint(spark, sf_dir):
+    t = handlers(spark, sf_dir)
+    calls = builders.call_graph(t["modules"], t["imports"], t["functions"], t["classes"], t["call_sites"])[1]
+    return t, builders.taint_graph(t["functions"], t["call_sites"], calls)
+
+
+@query(f"""{_FLOWS}
+SELECT 'function:f' || s AS src, 'function:f' || t AS dst, certainty, 'query-parameter' AS source_kind, 'sql' AS sink_kind, 'req.query' AS sources, 'db-client.query' AS sinks, sanitized FROM g""")
+def taint_flows(spark, sf_dir):
+    """The taint graph: flows from functions that read a parameter to those that run SQL, along calls."""
+    _, (_, edges) = _taint(spark, sf_dir)
+    lists = [F.array_join(f"data.{c}_signatures", ",").alias(f"{c}s") for c in ("source", "sink")]
+    return edges.select("src", "dst", "certainty", "data.source_kind", "data.sink_kind", *lists, "data.sanitized")
+
+
+@query(f"""{_FLOWS}
+SELECT 'security/sql-injection' AS rule_id, CASE WHEN sanitized THEN 'low' ELSE 'critical' END AS severity,
+       CASE certainty WHEN 'direct' THEN 0.85 ELSE 0.75 END::DOUBLE - CASE WHEN sanitized THEN 0.5 ELSE 0 END::DOUBLE AS confidence,
+       CASE WHEN sanitized THEN 'Sanitized flow' ELSE 'Flow' END || ' into a SQL sink: f' || s || ' -> f' || t AS title, 'm' || t % 4 || '.ts' AS path, 'CWE-89' AS cwe FROM g""")
+def sql_injection_findings(spark, sf_dir):
+    t, taint = _taint(spark, sf_dir)
+    findings, _ = rules.sql_injection(rules.Context(t, {"taint": taint}))
+    return findings.select("rule_id", "severity", "confidence", "title", "path", "cwe")

@@ -135,12 +135,18 @@ def lint(ctx: Context):
 
 
 def secrets(ctx: Context):
-    """texts: (path, text). Severity is our choice: high; the evidence never quotes the secret."""
-    rows = None
-    for n, (ident, name, pattern, confidence) in enumerate(dims.SECRET_PATTERNS):
-        hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        part = ctx.tables["texts"].where(F.col("text").rlike(pattern)).select("path", F.posexplode(hits).alias("at", "hit"), F.lit(n).alias("p"), F.lit(ident).alias("rule"), F.lit(name).alias("name"), F.lit(confidence).alias("c"))
-        rows = part if rows is None else rows.union(part)
+    """texts: (path, text). Severity is our choice: high; the evidence never quotes the secret.
+
+    One alternation of all patterns, read once over each text, tells which texts have any; only those are searched for
+    each pattern.
+    """
+    either = "|".join(f"(?:{pattern})" for _, _, pattern, _ in dims.SECRET_PATTERNS)
+    each = [
+        F.struct(F.lit(n).alias("p"), F.lit(ident).alias("rule"), F.lit(name).alias("name"), F.lit(confidence).alias("c"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits"))
+        for n, (ident, name, pattern, confidence) in enumerate(dims.SECRET_PATTERNS)
+    ]
+    rows = ctx.tables["texts"].where(F.col("text").rlike(either)).select("path", F.inline(F.array(*each)))
+    rows = rows.select("path", "p", "rule", "name", "c", F.posexplode("hits").alias("at", "hit")).drop("hit")
     title = F.concat(F.col("name"), F.lit(" in "), F.col("path"))
     return _emit(rows, F.col("rule"), "secrets", "high", F.col("c"), title, F.col("path"), ["path", "p", "at"], [title], cwe="CWE-798")
 

