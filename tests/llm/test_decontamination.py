@@ -35,12 +35,15 @@ def share(d, q, width):
     w, best = min(width, len(q[0])), 0
     aligned = {}
     for n, item in enumerate(q):
+        places = {}
+        for b in range(len(item) - w + 1):
+            places.setdefault(tuple(x[0] for x in item[b : b + w]), []).append(b)
         for reading in d:
-            for a in range(len(reading) - w + 1):
-                for b in range(len(item) - w + 1):
-                    if all(x[0] == y[0] for x, y in zip(reading[a : a + w], item[b : b + w])):
-                        hits = aligned.setdefault((n, a - b), [])
-                        hits.append((b, {(x, y[1]) for x, y in zip(reading[a : a + w], item[b : b + w]) if y[1] is not None}))
+            words = [x[0] for x in reading]
+            for a in range(len(words) - w + 1):
+                for b in places.get(tuple(words[a : a + w]), ()):
+                    hits = aligned.setdefault((n, a - b), [])
+                    hits.append((b, {(x, y[1]) for x, y in zip(reading[a : a + w], item[b : b + w]) if y[1] is not None}))
 
     def agree(n, shift):
         fill = set().union(*[f for _, f in aligned.get((n, shift), [])])
