@@ -123,3 +123,14 @@ def matches_signature(site: str, signature: str) -> Column:
     for t in tests[1:]:
         out = out & t
     return out
+
+
+def place(path: Column, line: Column | None = None, col: Column | None = None) -> Column:
+    """A location: (path, line, col), both counted from 0 and null where they are not known."""
+    number = lambda c: (F.lit(None) if c is None else c).cast("int")
+    return F.struct(path.alias("path"), number(line).alias("line"), number(col).alias("col"))
+
+
+def badge(severity: Column) -> Column:
+    """The badge of a diagnostic: that of a finding's severity."""
+    return F.when(severity == "error", "high").when(severity == "warning", "medium").otherwise("info")

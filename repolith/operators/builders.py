@@ -41,6 +41,14 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     return placed.join(found, ["_folder", "specifier"], "left").select(*imports.columns, "target")
 
 
+def import_bindings(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """(src, dst, line, col): where the first import, by pos, that binds one module to another is."""
+    at = [F.col(c) if c in imports.columns else F.lit(None).cast("int").alias(c) for c in ("line", "col")]
+    found = resolve_imports(imports, modules).where("target is not null").withColumn("_first", F.struct("pos", "specifier", *at))
+    found = found.groupBy(F.col("module_id").alias("src"), F.col("target").alias("dst")).agg(F.min("_first").alias("_first"))
+    return found.select("src", "dst", "_first.line", "_first.col")
+
+
 def callbacks(sites: DataFrame, functions: DataFrame, group: str = "module_id") -> DataFrame:
     """(``site`` columns, callback, inner): functions (id, group, start, end, seq) strictly inside a call site's span (start,
     end) of the same group, by interval bins.

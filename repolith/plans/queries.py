@@ -564,6 +564,25 @@ def circular_import_findings(spark, sf_dir):
     return findings.join(facts, F.col("id") == F.col("finding_id")).select("path", "facts")
 
 
+@query("""
+WITH c AS (SELECT c_custkey, count(*) OVER (PARTITION BY c_custkey - c_custkey % 5) AS n FROM customer)
+SELECT 'm' || c_custkey || '.ts' AS path, (c_custkey * 7 + 3) % 100 AS line, c_custkey % 9 AS col FROM c WHERE n = 5""")
+def cycle_locations(spark, sf_dir):
+    """Where the imports of the customers' rings are: each module imports the next one twice, and the first import counts."""
+    key = F.col("c_custkey")
+    goal, named = key - key % 5 + (key + 1) % 5, lambda k: F.concat(F.lit("m"), k.cast("string"), F.lit(".ts"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    specifier = F.concat(F.lit("./m"), goal.cast("string"), F.when(F.col("i") == 1, ".js").otherwise(""))
+    imports = c.select(
+        named(key).alias("module_id"), (key * 2 + 1 - F.col("i")).alias("pos"), specifier.alias("specifier"), F.lit("import").alias("kind"), F.lit(None).cast("string").alias("imported_name"),
+        F.lit(None).cast("string").alias("local_name"), ((key * 7 + F.col("i") * 3) % 100).alias("line"), (key % 9).alias("col"),
+    )
+    modules = c.where("i = 0").select(named(key).alias("id"), key.alias("seq"))
+    context = rules.Context({"imports": imports, "modules": modules}, {"module": builders.module_graph(modules, imports)})
+    places = rules.circular_import(context)[0].select(F.explode("locations").alias("p")).select("p.*")
+    return places.select("path", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"))
+
+
 @query(f"""
 WITH RECURSIVE {_EDGES}
 SELECT source, node AS target, depth, count(*) AS paths, {_NAMES}[max(weakest) + 1] AS strongest, {_NAMES}[min(weakest) + 1] AS weakest FROM short GROUP BY ALL""")

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolith.functions import dims
-from repolith.functions.columns import by_name, is_relative, round_half_up
+from repolith.functions.columns import by_name, is_relative, place, round_half_up
 from repolith.operators import metrics
-from repolith.operators.builders import resolve_imports
+from repolith.operators.builders import import_bindings, resolve_imports
 from repolith.operators.graph import cycles
-from repolith.operators.lineage import numbered
+from repolith.operators.lineage import cut, numbered
 
 MAX_COMPLEXITY, LEAST_MI, MAX_PARAMETERS, MAX_BYTES, MAX_EXPORTS, LEAST_LINES = 10, 65.0, 5, 20_000, 15, 3
 
@@ -52,11 +52,12 @@ class Rule:
         return ctx.has(*self.needs)
 
 
-def _emit(rows: DataFrame, rule: str, category: str, severity, confidence, title: Column, path, order: list, evidence: list[Column] | Column, cwe=None, owasp=None, status="detected") -> tuple[DataFrame, DataFrame]:
+def _emit(rows: DataFrame, rule: str, category: str, severity, confidence, title: Column, path, order: list, evidence: list[Column] | Column, cwe=None, owasp=None, status="detected", locations: Column | None = None) -> tuple[DataFrame, DataFrame]:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     rule_id = lit(rule)
     facts = (F.array(*evidence) if isinstance(evidence, list) else evidence).cast("array<string>")
-    columns = {"_e": facts, "_title": title, "_path": lit(path).cast("string"), "_rule": rule_id, "_severity": lit(severity), "_confidence": lit(confidence).cast("double")}
+    located = F.filter(F.array(place(lit(path).cast("string"))), lambda p: p["path"].isNotNull()) if locations is None else locations
+    columns = {"_at": located, "_e": facts, "_title": title, "_path": lit(path).cast("string"), "_rule": rule_id, "_severity": lit(severity), "_confidence": lit(confidence).cast("double")}
     rows = numbered(rows.withColumns(columns), *order).withColumn("id", F.concat("_rule", F.lit("-"), F.col("seq").cast("string")))
     description, remedy = ADVICE[category]
     ids = F.transform("_e", lambda _, i: F.concat(F.col("id"), F.lit("-e"), i.cast("string")))
@@ -64,7 +65,7 @@ def _emit(rows: DataFrame, rule: str, category: str, severity, confidence, title
         "id", F.col("_rule").alias("rule_id"), F.lit(category).alias("category"), F.col("_severity").alias("severity"),
         F.col("_confidence").alias("confidence"), F.lit(status).alias("status"), F.col("_title").alias("title"),
         F.lit(description).alias("description"), F.lit(remedy).alias("remediation"),
-        F.col("_path").alias("path"), ids.alias("evidence_ids"), lit(cwe).cast("string").alias("cwe"),
+        F.col("_path").alias("path"), F.col("_at").alias("locations"), ids.alias("evidence_ids"), lit(cwe).cast("string").alias("cwe"),
         lit(owasp).cast("string").alias("owasp"), F.array().cast("array<string>").alias("correlated_ids"), F.col("seq").cast("long").alias("seq"),
     )
     facts = rows.select("id", F.posexplode("_e").alias("n", "summary"))
@@ -72,20 +73,35 @@ def _emit(rows: DataFrame, rule: str, category: str, severity, confidence, title
     return findings, facts
 
 
+def known(frame: DataFrame, column: str) -> Column:
+    return F.col(column) if column in frame.columns else F.lit(None)
+
+
 def circular_import(ctx: Context):
+    """Each import of a cycle is a fact, located at its first binding where the context has imports and modules.
+
+    A cycle of which no import has a location is then not reported. Cycles are as long as searches are deep, at most.
+    """
     _, edges = ctx.graphs["module"]
     found = cycles(edges).withColumn("modules", F.transform("nodes", lambda n: F.regexp_replace(n, "^module:", "")))
-    name = F.array_join("modules", " -> ")
+    name, fact = F.array_join("modules", " -> "), lambda p: F.concat(p["a"], F.lit(" imports "), p["b"])
     after = F.concat(F.slice("modules", 2, F.size("modules")), F.slice("modules", 1, 1))  # one fact for each import, the last leads back
-    facts = F.transform(F.arrays_zip(F.col("modules").alias("a"), after.alias("b")), lambda p: F.concat(p["a"], F.lit(" imports "), p["b"]))
-    return _emit(found, "architecture/circular-import", "architecture", "medium", 0.9, F.concat(F.lit("Import cycle: "), name), F.col("modules")[0], ["seq"], facts)
+    steps, locations = F.arrays_zip(F.col("modules").alias("a"), after.alias("b")), None
+    if ctx.has("imports", "modules"):
+        found = cut(found)
+        each = found.select("seq", F.posexplode(steps).alias("n", "p")).select("seq", "n", F.col("p.a").alias("src"), F.col("p.b").alias("dst"))
+        bound = each.join(import_bindings(ctx.tables["imports"], ctx.tables["modules"]), ["src", "dst"])
+        bound = bound.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("n", F.col("src").alias("a"), F.col("dst").alias("b"), "line", "col"))).alias("bound"))
+        found, steps, locations = found.join(bound, "seq"), F.col("bound"), F.transform("bound", lambda p: place(p["a"], p["line"], p["col"]))
+    return _emit(found, "architecture/circular-import", "architecture", "medium", 0.9, F.concat(F.lit("Import cycle: "), name), F.col("modules")[0], ["seq"], F.transform(steps, fact), locations=locations)
 
 
 def unresolved_import(ctx: Context):
     asked = resolve_imports(ctx.tables["imports"], ctx.tables["modules"]).where(is_relative(F.col("specifier")) & F.col("target").isNull())
     asked = asked.join(ctx.tables["modules"].select(F.col("id").alias("module_id"), F.col("seq").alias("module_seq")), "module_id")
     title = F.concat(F.col("module_id"), F.lit(" imports what no module provides: "), F.col("specifier"))
-    return _emit(asked, "architecture/unresolved-import", "architecture", "medium", 0.85, title, F.col("module_id"), ["module_seq", "pos"], [title])
+    places = F.array(place(F.col("module_id"), known(asked, "line"), known(asked, "col")))
+    return _emit(asked, "architecture/unresolved-import", "architecture", "medium", 0.85, title, F.col("module_id"), ["module_seq", "pos"], [title], locations=places)
 
 
 def unused_export(ctx: Context):
@@ -104,14 +120,14 @@ def complexity(ctx: Context):
     rows = metrics.function_metrics(ctx.tables["functions"]).where(F.col("complexity") > MAX_COMPLEXITY)
     severity = F.when(F.col("complexity") > 2 * MAX_COMPLEXITY, "medium").otherwise("low")
     title = F.concat(F.col("name"), F.lit(" has an estimated complexity of "), F.col("complexity").cast("string"))
-    return _emit(rows.drop("seq").withColumn("at", F.col("start")), "quality/cyclomatic-complexity", "quality", severity, 0.45, title, F.col("module_id"), ["module_id", "at"], [title])
+    return _emit(rows.drop("seq").withColumn("at", F.col("start")), "quality/cyclomatic-complexity", "quality", severity, 0.45, title, F.col("module_id"), ["module_id", "at"], [title], locations=F.array(place(F.col("module_id"), F.col("start_line"))))
 
 
 def maintainability(ctx: Context):
     rows = metrics.function_metrics(ctx.tables["functions"]).where(F.col("mi") < LEAST_MI)
     severity = F.when(F.col("mi") < LEAST_MI / 2, "medium").otherwise("low")
     title = F.concat(F.col("name"), F.lit(" has a maintainability index of "), F.col("mi").cast("string"))
-    return _emit(rows.drop("seq").withColumn("at", F.col("start")), "quality/maintainability-index", "quality", severity, 0.4, title, F.col("module_id"), ["module_id", "at"], [title])
+    return _emit(rows.drop("seq").withColumn("at", F.col("start")), "quality/maintainability-index", "quality", severity, 0.4, title, F.col("module_id"), ["module_id", "at"], [title], locations=F.array(place(F.col("module_id"), F.col("start_line"))))
 
 
 def duplication(ctx: Context):
@@ -127,11 +143,11 @@ def duplication(ctx: Context):
 def lint(ctx: Context):
     t = ctx.tables
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) and not p.startswith("$") else F.col(p[1:]).cast("string") for p in parts])
-    a = t["functions"].where(F.size("parameters") > MAX_PARAMETERS).select(F.lit(0).alias("part"), F.col("seq").alias("at"), F.col("module_id").alias("path"), text("$name", " takes many parameters").alias("t"), F.lit(0.7).alias("c"))
-    b = t["files"].where(F.col("size_bytes") > MAX_BYTES).select(F.lit(1), F.col("seq"), "path", text("$path", " is large: ", "$size_bytes", " bytes"), F.lit(0.6))
+    a = t["functions"].where(F.size("parameters") > MAX_PARAMETERS).select(F.lit(0).alias("part"), F.col("seq").alias("at"), F.col("module_id").alias("path"), text("$name", " takes many parameters").alias("t"), F.lit(0.7).alias("c"), F.col("start_line").cast("int").alias("l"))
+    b = t["files"].where(F.col("size_bytes") > MAX_BYTES).select(F.lit(1), F.col("seq"), "path", text("$path", " is large: ", "$size_bytes", " bytes"), F.lit(0.6), F.lit(None).cast("int"))
     n = t["exports"].groupBy("module_id").agg(F.count("*").alias("n")).where(F.col("n") > MAX_EXPORTS).join(t["modules"].select(F.col("id").alias("module_id"), "seq"), "module_id")
-    c = n.select(F.lit(2), F.col("seq"), "module_id", text("$module_id", " exports ", "$n", " names"), F.lit(0.5))
-    return _emit(a.union(b).union(c), "quality/lint-style-rules", "quality", "low", F.col("c"), F.col("t"), F.col("path"), ["part", "at"], [F.col("t")])
+    c = n.select(F.lit(2), F.col("seq"), "module_id", text("$module_id", " exports ", "$n", " names"), F.lit(0.5), F.lit(None).cast("int"))
+    return _emit(a.union(b).union(c), "quality/lint-style-rules", "quality", "low", F.col("c"), F.col("t"), F.col("path"), ["part", "at"], [F.col("t")], locations=F.array(place(F.col("path"), F.col("l"))))
 
 
 def secrets(ctx: Context):
@@ -154,15 +170,16 @@ def secrets(ctx: Context):
 def sql_injection(ctx: Context):
     _, edges = ctx.graphs["taint"]
     rows = edges.where("type = 'FLOWS_TO' and data.sink_kind = 'sql'")
-    fn = ctx.tables["functions"].select(F.concat(F.lit("function:"), "id").alias("node"), "name", "module_id")
-    side = lambda c, p: fn.select(F.col("node").alias(c), F.col("name").alias(f"{p}_name"), F.col("module_id").alias(f"{p}_path"))
+    fn = ctx.tables["functions"].select(F.concat(F.lit("function:"), "id").alias("node"), "name", "module_id", known(ctx.tables["functions"], "start_line").cast("int").alias("start_line"))
+    side = lambda c, p: fn.select(F.col("node").alias(c), F.col("name").alias(f"{p}_name"), F.col("module_id").alias(f"{p}_path"), F.col("start_line").alias(f"{p}_line"))
     rows = rows.join(side("src", "source"), "src").join(side("dst", "sink"), "dst")
     base = by_name(F.col("certainty"), dims.CERTAINTY_CONFIDENCE)
     clean = F.col("data.sanitized")
     confidence = F.when(clean, F.greatest(F.lit(0.0), base - 0.5)).otherwise(base)
     title = F.concat(F.when(clean, "Sanitized flow").otherwise("Flow"), F.lit(" into a SQL sink: "), F.col("source_name"), F.lit(" -> "), F.col("sink_name"))
     facts = [F.concat(F.lit("source "), F.array_join("data.source_signatures", ", "), F.lit(" in "), F.col("source_name")), F.concat(F.lit("sink "), F.array_join("data.sink_signatures", ", "), F.lit(" in "), F.col("sink_name"))]
-    return _emit(rows, "security/sql-injection", "security", F.when(clean, "low").otherwise("critical"), confidence, title, F.col("sink_path"), ["seq"], facts, cwe="CWE-89", owasp="A03:2021")
+    places = F.array(place(F.col("source_path"), F.col("source_line")), place(F.col("sink_path"), F.col("sink_line")))
+    return _emit(rows, "security/sql-injection", "security", F.when(clean, "low").otherwise("critical"), confidence, title, F.col("sink_path"), ["seq"], facts, cwe="CWE-89", owasp="A03:2021", locations=places)
 
 
 RULES = [

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.functions import dims
-from repolith.functions.columns import by_name, severity_ordinal
+from repolith.functions.columns import by_name, place, severity_ordinal
 from repolith.operators import metrics
 from repolith.operators.lineage import numbered
 
@@ -19,7 +19,15 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
-    return findings.select("id", "rule_id", "title", "path", by_name(F.col("severity"), dims.SARIF_LEVEL).alias("level"), "seq")
+    places = F.col("locations") if "locations" in findings.columns else F.filter(F.array(place(F.col("path"))), lambda p: p["path"].isNotNull())
+    return findings.select("id", "rule_id", "title", "path", by_name(F.col("severity"), dims.SARIF_LEVEL).alias("level"), places.alias("locations"), "seq")
+
+
+def sarif_result(results: DataFrame) -> Column:
+    """The JSON of a row of ``sarif_results``. Regions count lines and columns from 1; places without a line have none."""
+    region = lambda p: F.when(p["line"].isNotNull(), F.struct((p["line"] + 1).alias("startLine"), (p["col"] + 1).alias("startColumn")))
+    physical = lambda p: F.struct(F.struct(F.struct(p["path"].alias("uri")).alias("artifactLocation"), region(p).alias("region")).alias("physicalLocation"))
+    return F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("title").alias("text")).alias("message"), F.transform("locations", physical).alias("locations")))
 
 
 def _listed(rows: DataFrame, part: int, order: list, value: Column, comma: bool = True) -> DataFrame:
@@ -44,13 +52,11 @@ def to_json(findings: DataFrame, evidence: DataFrame) -> DataFrame:
 def to_sarif(findings: DataFrame, tool: str = "repolith") -> DataFrame:
     """The lines, (part, at, value), of one SARIF document."""
     head = {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"}
+    results = sarif_results(findings)
     rule = F.to_json(F.struct(F.col("rule_id").alias("id"), F.struct(F.col("title").alias("text")).alias("shortDescription")))
-    place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))
-    places = F.filter(F.array(F.when(F.col("path").isNotNull(), place)), lambda p: p.isNotNull())
-    result = F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("title").alias("text")).alias("message"), places.alias("locations")))
     out = _one(findings, 0, json.dumps(head)[:-1] + f', "runs": [{{"tool": {{"driver": {{"name": {json.dumps(tool)}, "rules": [')
     out = out.union(_listed(sarif_rules(findings), 1, ["rule_id"], rule)).union(_one(findings, 2, ']}}, "results": ['))
-    return out.union(_listed(sarif_results(findings), 3, ["rule_id", "seq"], result)).union(_one(findings, 4, "]}]}"))
+    return out.union(_listed(results, 3, ["rule_id", "seq"], sarif_result(results))).union(_one(findings, 4, "]}]}"))
 
 
 def escape(text) -> Column | str:
@@ -129,8 +135,55 @@ def positional(rows: DataFrame, prefix: str, order: list) -> DataFrame:
     return numbered(rows, *order, name="id").withColumn("id", F.concat(F.lit(f"{prefix}-"), F.col("id").cast("string")))
 
 
-def read_findings(spark, path: str) -> DataFrame:
+#: The columns of findings and evidence in a document that ``write`` stored.
+FINDING = (
+    "id string, rule_id string, category string, severity string, confidence double, status string, title string, description string, remediation string, path string, "
+    "locations array<struct<path: string, line: int, col: int>>, evidence_ids array<string>, cwe string, owasp string, correlated_ids array<string>, seq long"
+)
+EVIDENCE = "id string, summary string, finding_id string"
+SUMMARY = "totalFindings long, findingsBySeverity map<string, long>, findingsByCategory map<string, long>"
+_ID = r'"id":"(?:[^"\\]|\\.)*"'
+
+
+def read_scan(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Findings, evidence and summary of a document that ``write`` stored from ``to_json``; its lines are read in parallel."""
+    lines = spark.read.text(path)
+    kept = lambda pattern, text, shape: lines.where(F.col("value").rlike(pattern)).select(F.from_json(F.regexp_extract("value", text, 1), shape).alias("r")).select("r.*")
+    return {
+        "findings": kept(rf"^,?\{{{_ID},\"rule_id\":", "^,?(.*)$", FINDING),
+        "evidence": kept(rf"^,?\{{{_ID},\"summary\":", "^,?(.*)$", EVIDENCE),
+        "summary": kept(r'^\], "summary": ', r'^\], "summary": (.*)\}$', SUMMARY),
+    }
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
     """Findings of a document that ``write`` stored from ``to_json``, one row each."""
-    lines = spark.read.text(path).where(F.col("value").rlike(r'^,?\{"id":.*"rule_id":'))
-    shape = "id string, rule_id string, category string, severity string, confidence double, status string, title string, path string, evidence_ids array<string>, cwe string, owasp string, seq long"
-    return lines.select(F.from_json(F.regexp_replace("value", "^,", ""), shape).alias("f")).select("f.*")
+    return read_scan(spark, path)["findings"]
+
+
+_PLACES = "array<struct<path: string, range: struct<start: struct<line: int, column: int>>>>"
+#: A scan's result as one JSON document with the names of its fields in camel case.
+RESULT = (
+    "findings array<struct<id: string, ruleId: string, category: string, severity: string, confidence: double, status: string, title: string, description: string, "
+    f"locations: {_PLACES}, evidenceIds: array<string>, remediation: struct<summary: string>, cwe: string, owasp: string, correlatedFindingIds: array<string>>>, "
+    "evidence array<struct<id: string, summary: string>>"
+)
+
+
+def read_results(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Findings and evidence of JSON documents in camel case, one document a file, with the file in ``source``.
+
+    Fields are not validated, missing ones are null; a file that is no JSON fails. A document is one record of one task,
+    its findings are dealt from there.
+    """
+    whole = spark.read.schema(RESULT).json(path, multiLine=True, mode="FAILFAST").withColumn("source", F.input_file_name())
+    each = whole.select("source", F.posexplode("findings").alias("seq", "f"))
+    places = F.transform("f.locations", lambda p: place(p["path"], p["range"]["start"]["line"], p["range"]["start"]["column"]))
+    findings = each.select(
+        "source", "f.id", F.col("f.ruleId").alias("rule_id"), "f.category", "f.severity", "f.confidence", "f.status", "f.title", "f.description",
+        F.col("f.remediation.summary").alias("remediation"), F.try_element_at(places, F.lit(1))["path"].alias("path"), places.alias("locations"),
+        F.col("f.evidenceIds").alias("evidence_ids"), "f.cwe", "f.owasp", F.col("f.correlatedFindingIds").alias("correlated_ids"), F.col("seq").cast("long").alias("seq"),
+    )
+    owners = findings.select("source", F.col("id").alias("finding_id"), F.explode("evidence_ids").alias("id"))
+    facts = whole.select("source", F.inline("evidence"))
+    return {"findings": findings, "evidence": facts.join(owners, ["source", "id"], "left").select("source", "id", "summary", "finding_id")}
