@@ -2,9 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from repolith.llm.exact_dedup import exact_dedup
+from repolith.llm.exact_dedup import collapsed, exact_dedup, packed, pieces, unpacked, width
 from repolith.llm.mixing import mix
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -35,6 +36,37 @@ def test_exact_dedup_repeated_rows_and_many_runs(spark):
     assert exact_dedup(docs(spark, {})).count() == 0
 
 
+def test_exact_dedup_in_pieces(spark):
+    """Any fan-in and size of pieces, a text that a third of all rows share, and identifiers of any type."""
+    pairs = [(i, "hot" if i % 3 == 0 else f"text {i % 211}" if i % 3 == 1 else f"own {i}") for i in range(1500)] + [(None, "hot"), (None, None), (7, "")]
+    groups = {}
+    for i, t in pairs:
+        groups.setdefault(t or "", []).append(i)
+    for keep, best in (("largest", max), ("smallest", min)):
+        want = {t: best(g, key=lambda i: (i is not None, i or 0)) for t, g in groups.items()}
+        expected = sorted([(i, want[t or ""], len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in pairs], key=repr)
+        for fan_in, piece in ((2, 10), (4, 100), (16, 20_000)):
+            got = exact_dedup(docs(spark, pairs).repartition(11), keep=keep, fan_in=fan_in, piece=piece).cache()
+            assert rows(got, "doc_id", "keep_id", "group_size", "text_sha256") == expected
+            assert got.where("kept").count() == len(groups) and got.where("kept and not doc_id <=> keep_id").count() == 0
+    named = docs(spark, pairs[:90]).selectExpr("concat('d', doc_id) as doc_id", "text", "1 as run", "2 as n")
+    got = {r["text_sha256"]: r["keep_id"] for r in exact_dedup(named).collect()}
+    assert got[hashlib.sha256(b"hot").hexdigest()] == "d9"
+
+
+def test_runs_are_sorted_and_merged():
+    """Pieces are cut at digests' leading bits; a merge keeps the order and one entry a key."""
+    entry = lambda h, i, n=1: ((h * 64, 1, 0), i, i or 0, n)
+    assert list(collapsed([entry("0", 1), entry("0", 5, 2), entry("0", None), entry("f", None)], True)) == [entry("0", 5, 4), entry("f", None)]
+    assert [e[1] for e in collapsed([entry("0", 1), entry("0", None), entry("f", 2), entry("f", 1)], False)] == [None, 1]
+    run = [entry(h, i) for i, h in enumerate("0123789abf")]
+    assert [(b, len(p)) for _, b, p in pieces(3, run, 2)] == [(0, 4), (1, 1), (2, 4), (3, 1)]
+    assert [(b, len(p)) for _, b, p in pieces(3, run, 0)] == [(0, 10)]
+    batches = list(packed(pieces(3, run, 2), pa.int64(), 4))
+    assert [e for b in batches for p in b.column("entries") for e in unpacked(p.values)] == run
+    assert [width(n, 100) for n in (0, 1, 100, 101, 200, 201, 400, 401)] == [0, 0, 0, 1, 1, 2, 2, 3]
+
+
 def brute_fingerprint(text):
     table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = text.translate(table).encode().split()
