@@ -477,6 +477,84 @@ def call_edges(spark, sf_dir):
     return edges.select("src", "dst", "certainty")
 
 
+def objects(spark, sf_dir) -> dict[str, DataFrame]:
+    """Entity tables with classes: suppliers, in the module of their nation, whose methods are numbers of their parts.
+
+    A third of the classes extend the one before, a third one of a library. A line of an order calls a method of the next
+    line's part: of its own class, of the next line's class by name, by a computed name, or by ``call``, in turn.
+    """
+    following = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 50).alias("k"), *[F.lead(c).over(following).alias(n) for c, n in (("l_suppkey", "t"), ("l_partkey", "p"))], F.row_number().over(following).alias("n"))
+    line = line.withColumn("pos", F.col("l_orderkey") * 100 + F.col("n"))
+    text = lambda *parts: F.concat(*[F.col(x[1:]).cast("string") if x.startswith("$") else F.lit(x) for x in parts])
+    none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
+    home = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), text("src/n", "$s_nationkey", ".ts").alias("module_id"), F.col("s_nationkey").alias("nation"))
+    base = F.when(F.col("s") % 3 == 1, F.concat(F.lit("sK"), (F.col("s") - 1).cast("string"))).when(F.col("s") % 3 == 2, "slib")
+    classes = home.select(
+        text("K", "$s").alias("id"), text("sK", "$s").alias("symbol_id"), "module_id", text("K", "$s").alias("name"), base.alias("extends_symbol_id"),
+        F.when(F.col("s") % 5 == 0, F.array(F.lit("slib"))).otherwise(F.array().cast("array<string>")).alias("implements_symbol_ids"), F.lit(True).alias("is_exported"), F.col("s").alias("seq"),
+    )
+    methods = line.select("s", "k").distinct().join(home, "s").select(text("K", "$s", ".m", "$k").alias("id"), "module_id", text("K", "$s").alias("owner_class_id"), text("m", "$k").alias("name"), none("start", "long"), none("end", "long"), (F.col("s") * 50 + F.col("k")).alias("seq"))
+    calls = line.where("t is not null").withColumns({"m": F.col("p") % 50, "shape": F.col("pos") % 4}).join(home, "s")
+    there = home.select(F.col("s").alias("t"), F.col("nation").alias("far"))
+    bound = calls.where("shape = 1").join(there, "t").where("nation <> far")
+    shape = lambda *values: F.element_at(F.array(*[v if not isinstance(v, str) else F.lit(v) for v in values]), (F.col("shape") + 1).cast("int"))
+    missing = F.lit(None).cast("string")
+    symbols = classes.select(F.col("symbol_id").alias("id"), "module_id", F.lit(True).alias("exported"), "seq")
+    return {
+        "modules": home.select(F.col("module_id").alias("id"), F.col("nation").alias("seq")).distinct(),
+        "imports": bound.select("module_id", "pos", text("./n", "$far").alias("specifier"), F.lit("named").alias("kind"), none("imported_name"), text("K", "$t").alias("local_name")),
+        "functions": methods,
+        "classes": classes,
+        "symbols": symbols.union(symbols.where("id = 'sK1'").select(F.lit("slib"), "module_id", "exported", F.lit(0).cast("long"))),
+        "call_sites": calls.select(
+            text("K", "$s", ".m", "$k").alias("function_id"), F.col("pos").alias("site_pos"), shape("member", "member", "computed-member", "call-apply-bind").alias("callee_kind"),
+            shape(text("m", "$m"), text("m", "$m"), missing, "call").alias("callee_name"), shape("this", text("K", "$t"), "list", text("this.m", "$m")).alias("receiver_text"),
+            shape(missing, missing, missing, "call").alias("call_apply_bind_kind"), F.lit(False).alias("is_new"), F.lit(False).alias("has_function_argument"), F.col("pos").alias("start"), F.col("pos").alias("end"),
+            F.col("module_id").alias("path"), F.col("pos").alias("line"), F.lit(0).alias("col"),
+        ),
+    }
+
+
+_OBJECTS = """
+l AS (
+  SELECT l_suppkey AS s, l_partkey % 50 AS k, l_orderkey * 100 + row_number() OVER w AS pos, lead(l_suppkey) OVER w AS t, (lead(l_partkey) OVER w) % 50 AS m
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)
+), c AS (
+  SELECT s_suppkey AS s, s_nationkey AS n, CASE s_suppkey % 3 WHEN 1 THEN s_suppkey - 1 END AS base, CASE s_suppkey % 3 WHEN 1 THEN 'K' || (s_suppkey - 1) WHEN 2 THEN 'lib' END AS symbol FROM supplier
+), methods AS (SELECT DISTINCT s, k FROM l)"""
+
+
+@query(f"""
+WITH {_OBJECTS}, site AS (
+  SELECT l.*, l.pos % 4 AS shape, a.n AS here, o.s AS owner, o.n AS there, o.base, o.symbol, own.k IS NOT NULL AS has, up.k IS NOT NULL AND x.s IS NOT NULL AS inherits,
+         'call-site:K' || l.s || '.m' || l.k || ':src/n' || a.n || '.ts:' || l.pos || ':0' AS place
+  FROM l JOIN c a ON a.s = l.s LEFT JOIN c o ON o.s = CASE l.pos % 4 WHEN 1 THEN l.t WHEN 2 THEN NULL ELSE l.s END
+  LEFT JOIN methods own ON own.s = o.s AND own.k = l.m LEFT JOIN c x ON x.s = o.base LEFT JOIN methods up ON up.s = o.base AND up.k = l.m
+  WHERE l.t IS NOT NULL
+)
+SELECT 'function:K' || s || '.m' || k AS src,
+       CASE WHEN has THEN 'function:K' || owner || '.m' || m WHEN inherits THEN 'function:K' || base || '.m' || m WHEN symbol IS NOT NULL THEN 'symbol:s' || symbol ELSE place END AS dst,
+       CASE WHEN has THEN CASE WHEN shape <> 1 OR here = there THEN 'direct' ELSE 'resolved' END WHEN inherits THEN 'inferred' WHEN symbol IS NOT NULL THEN 'unknown' WHEN shape IN (2, 3) THEN 'dynamic' ELSE 'unknown' END AS certainty
+FROM site QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY pos) = 1""")
+def member_call_edges(spark, sf_dir):
+    """The call graph of classes: own and inherited methods, methods of imported classes, computed names, ``call``."""
+    t = objects(spark, sf_dir)
+    edges = builders.call_graph(t["modules"], t["imports"], t["functions"], t["classes"], t["call_sites"])[1]
+    return edges.select("src", "dst", "certainty")
+
+
+@query("""
+SELECT 'class:K' || s_suppkey AS src, 'symbol:sK' || (s_suppkey - 1) AS dst, 'EXTENDS' AS type FROM supplier WHERE s_suppkey % 3 = 1 AND s_suppkey - 1 IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT 'class:K' || s_suppkey, 'symbol:slib', 'EXTENDS' FROM supplier WHERE s_suppkey % 3 = 2
+UNION ALL SELECT 'class:K' || s_suppkey, 'symbol:slib', 'IMPLEMENTS' FROM supplier WHERE s_suppkey % 5 = 0""")
+def inheritance_edges(spark, sf_dir):
+    """The symbol graph's edges from classes to what they extend and implement."""
+    t = objects(spark, sf_dir)
+    edges = builders.symbol_graph(t["modules"], t["symbols"], t["functions"], t["classes"])[1]
+    return edges.where("type in ('EXTENDS', 'IMPLEMENTS')").select("src", "dst", "type")
+
+
 @query(f"""
 WITH {_CODE}
 SELECT 'module:src/s' || s || '.ts' AS src, 'function:f' || p_partkey AS dst, 'DECLARES' AS type FROM fn WHERE s IN (SELECT s_suppkey FROM supplier)""")
