@@ -9,7 +9,7 @@ import os
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.functions import dims
@@ -168,3 +168,46 @@ def workspace_packages(manifests: DataFrame, globs: DataFrame) -> DataFrame:
     found = manifests.where(F.col("path").rlike(r"(^|/)package\.json$")).withColumn("folder", folder)
     named = found.join(F.broadcast(globs.select(pattern.alias("pattern")).distinct()), F.expr("folder rlike pattern"), "left_semi")
     return named.select("path", F.get_json_object("text", "$.name").alias("name"))
+
+
+def package_managers(files: DataFrame) -> DataFrame:
+    """(root, manager) of repositories' files (root, path, text): by the first lock file known, else by the manifest."""
+    names = [*dims.LOCKFILES, ("package.json", "npm"), ("pyproject.toml", "poetry"), ("requirements.txt", "pip")]
+    known = F.create_map(*[F.lit(x) for n, (name, kind) in reversed([*enumerate(names)]) for x in (name, f"{n:02d}{kind}")])
+    rank = F.when((F.col("path") != "package.json") | is_object(F.col("text")), F.try_element_at(known, F.col("path")))
+    best = files.groupBy("root").agg(F.min(rank).alias("best"))
+    return best.select("root", F.coalesce(F.substring("best", 3, 20), F.lit("unknown")).alias("manager"))
+
+
+def is_object(text: Column) -> Column:
+    """Whether a text is a JSON object."""
+    return F.coalesce(F.get_json_object(text, "$").startswith("{"), F.lit(False))
+
+
+def packages(files: DataFrame) -> DataFrame:
+    """(root, path, name, manifest, manager) of the packages of repositories' files (root, path, text), one row a root and path.
+
+    The globs of a pnpm workspace file come before those of the root's package.json. ``dir/*`` names the folders in
+    ``dir``, anything else one folder; a folder that two globs name comes twice. Without globs the root is the one
+    package, of its package.json or, by manager, of pyproject.toml or requirements.txt. Packages are found by equality
+    of folder and glob, so repositories of any number and size are spread by root and folder.
+    """
+    item = r"""(?m)^\s*-\s*["']?([^"'#\r\n]+?)["']?[^\S\n]*(?:#.*)?$"""
+    block = F.regexp_extract("text", r"(?m)^packages:[^\S\n]*\n((?:[^\S\n]*(?:[-#][^\n]*)?(?:\n|\z))*+)", 1)
+    pnpm = files.where("path = 'pnpm-workspace.yaml'").select("root", F.transform(F.regexp_extract_all(block, F.lit(item), F.lit(1)), F.trim).alias("pnpm"))
+    valid = files.where(F.col("path").rlike(r"(^|/)package\.json$") & is_object(F.col("text")))
+    spaces = F.get_json_object("text", "$.workspaces")
+    npm = F.when(spaces.startswith("["), F.from_json(spaces, "array<string>")).when(spaces.startswith("{"), F.from_json(spaces, "struct<packages: array<string>>")["packages"])
+    own = valid.where("path = 'package.json'").select("root", F.get_json_object("text", "$.name").alias("own_name"), npm.alias("npm"), F.lit(True).alias("own"))
+    roots = package_managers(files).join(pnpm, "root", "left").join(own, "root", "left").withColumn("globs", F.coalesce("pnpm", "npm"))
+    has = files.where("path in ('pyproject.toml', 'requirements.txt')").groupBy("root").agg(F.collect_set("path").alias("python"))  # two at most
+    single = F.when(F.col("own"), "package.json").when((F.col("manager") == "poetry") & F.array_contains("python", "pyproject.toml"), "pyproject.toml")
+    single = single.when((F.col("manager") == "pip") & F.array_contains("python", "requirements.txt"), "requirements.txt")
+    alone = roots.where("globs is null").join(has, "root", "left").withColumn("manifest", single).where("manifest is not null")
+    alone = alone.select("root", F.lit(".").alias("path"), F.coalesce("own_name", F.substring_index(F.rtrim(F.col("root"), F.lit("/")), "/", -1)).alias("name"), "manifest", "manager")
+    plain = F.rtrim(F.regexp_replace("glob", r"^\./(?!\*$)", ""), F.lit("/"))
+    wanted = roots.where("globs is not null").select("root", "manager", F.explode("globs").alias("glob")).withColumn("key", plain)
+    folder = F.regexp_replace("path", r"/?package\.json$", "")
+    inside = F.when(folder.contains("/"), F.concat(F.regexp_replace(folder, "/[^/]*$", ""), F.lit("/*"))).when(folder != "", "./*")
+    found = valid.select("root", F.when(folder == "", ".").otherwise(folder).alias("path"), F.get_json_object("text", "$.name").alias("name"), F.col("path").alias("manifest"), F.explode(F.array_compact(F.array(F.when(folder == "", ".").otherwise(folder), inside))).alias("key"))
+    return alone.union(found.join(wanted, ["root", "key"]).select("root", "path", F.coalesce("name", "path").alias("name"), "manifest", "manager"))

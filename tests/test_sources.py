@@ -93,3 +93,28 @@ def test_texts_and_workspaces(spark):
     manifests = spark.createDataFrame([(p, json.dumps({"name": p})) for p in paths], "path string, text string")
     globs = spark.createDataFrame([("packages/*",), ("apps/**",)], "glob string")
     assert sorted(r["name"] for r in repository.workspace_packages(manifests, globs).collect()) == ["apps/x/y/package.json", "packages/a/package.json"]
+
+
+def test_packages_of_repositories(spark):
+    """Precedence of globs, what they name, and the packages of roots without any."""
+    js = lambda **kw: json.dumps(kw)
+    files = {
+        "x/pnpm": {"pnpm-workspace.yaml": "packages:\n  # all\n\n  - 'packages/*' # here\n  - ./apps/web/\n  - '!packages/b'\nother:\n  - no", "package.json": js(name="top", workspaces=["no"]), "pnpm-lock.yaml": "",
+                   "packages/a/package.json": js(name="@x/a"), "packages/b/package.json": "{}", "packages/c/package.json": "{bad", "packages/a/deep/package.json": js(name="deep"), "apps/web/package.json": js(name="web"), "no/package.json": "{}"},
+        "x/npm": {"package.json": js(name="top", workspaces={"packages": ["./*", ".", "a"]}), "yarn.lock": "", "a/package.json": js(name="a"), "b/c/package.json": js(name="c")},
+        "x/empty": {"package.json": js(workspaces=[]), "a/package.json": js(name="a")},
+        "x/bare": {"pnpm-workspace.yaml": "other: 1", "package.json": js(name="top")},
+        "x/single/": {"package.json": js(version="1"), "a/package.json": js(name="a")},
+        "x/poetry": {"pyproject.toml": "", "requirements.txt": ""},
+        "x/pip": {"requirements.txt": "", "package.json": "[]"},
+        "x/none": {"README.md": "", "a/package.json": js(name="a")},
+    }
+    frame = spark.createDataFrame([(r, p, t) for r, own in files.items() for p, t in own.items()], "root string, path string, text string")
+    got = sorted((r["root"][2:].rstrip("/"), r["path"], r["name"], r["manifest"], r["manager"]) for r in repository.packages(frame).collect())
+    assert got == [
+        ("npm", ".", "top", "package.json", "yarn"), ("npm", "a", "a", "a/package.json", "yarn"), ("npm", "a", "a", "a/package.json", "yarn"),
+        ("pip", ".", "pip", "requirements.txt", "pip"),
+        ("pnpm", "apps/web", "web", "apps/web/package.json", "pnpm"), ("pnpm", "packages/a", "@x/a", "packages/a/package.json", "pnpm"), ("pnpm", "packages/b", "packages/b", "packages/b/package.json", "pnpm"),
+        ("poetry", ".", "poetry", "pyproject.toml", "poetry"), ("single", ".", "single", "package.json", "npm"),
+    ]
+    assert repository.packages(frame.where("false")).count() == 0
