@@ -185,7 +185,7 @@ def is_object(text: Column) -> Column:
 
 
 def packages(files: DataFrame) -> DataFrame:
-    """(root, path, name, manifest, manager) of the packages of repositories' files (root, path, text), one row a root and path.
+    """(root, path, name, manifest, manager) of the packages of repositories, given their files (root, path, text).
 
     The globs of a pnpm workspace file come before those of the root's package.json. ``dir/*`` names the folders in
     ``dir``, anything else one folder; a folder that two globs name comes twice. Without globs the root is the one
