@@ -478,13 +478,13 @@ def call_edges(spark, sf_dir):
 
 
 def objects(spark, sf_dir) -> dict[str, DataFrame]:
-    """Entity tables with classes: suppliers, in the module of their nation, whose methods are numbers of their parts.
+    """Entity tables with classes: suppliers, in the module of their nation, whose methods are their parts.
 
     A third of the classes extend the one before, a third one of a library. A line of an order calls a method of the next
     line's part: of its own class, of the next line's class by name, by a computed name, or by ``call``, in turn.
     """
     following = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    line = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 50).alias("k"), *[F.lead(c).over(following).alias(n) for c, n in (("l_suppkey", "t"), ("l_partkey", "p"))], F.row_number().over(following).alias("n"))
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("k"), *[F.lead(c).over(following).alias(n) for c, n in (("l_suppkey", "t"), ("l_partkey", "p"))], F.row_number().over(following).alias("n"))
     line = line.withColumn("pos", F.col("l_orderkey") * 100 + F.col("n"))
     text = lambda *parts: F.concat(*[F.col(x[1:]).cast("string") if x.startswith("$") else F.lit(x) for x in parts])
     none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
@@ -494,8 +494,8 @@ def objects(spark, sf_dir) -> dict[str, DataFrame]:
         text("K", "$s").alias("id"), text("sK", "$s").alias("symbol_id"), "module_id", text("K", "$s").alias("name"), base.alias("extends_symbol_id"),
         F.when(F.col("s") % 5 == 0, F.array(F.lit("slib"))).otherwise(F.array().cast("array<string>")).alias("implements_symbol_ids"), F.lit(True).alias("is_exported"), F.col("s").alias("seq"),
     )
-    methods = line.select("s", "k").distinct().join(home, "s").select(text("K", "$s", ".m", "$k").alias("id"), "module_id", text("K", "$s").alias("owner_class_id"), text("m", "$k").alias("name"), none("start", "long"), none("end", "long"), (F.col("s") * 50 + F.col("k")).alias("seq"))
-    calls = line.where("t is not null").withColumns({"m": F.col("p") % 50, "shape": F.col("pos") % 4}).join(home, "s")
+    methods = line.select("s", "k").distinct().join(home, "s").select(text("K", "$s", ".m", "$k").alias("id"), "module_id", text("K", "$s").alias("owner_class_id"), text("m", "$k").alias("name"), none("start", "long"), none("end", "long"), (F.col("s") * 1_000_000_000 + F.col("k")).alias("seq"))
+    calls = line.where("t is not null").withColumns({"m": F.col("p"), "shape": F.col("pos") % 4}).join(home, "s")
     there = home.select(F.col("s").alias("t"), F.col("nation").alias("far"))
     bound = calls.where("shape = 1").join(there, "t").where("nation <> far")
     shape = lambda *values: F.element_at(F.array(*[v if not isinstance(v, str) else F.lit(v) for v in values]), (F.col("shape") + 1).cast("int"))
@@ -518,7 +518,7 @@ def objects(spark, sf_dir) -> dict[str, DataFrame]:
 
 _OBJECTS = """
 l AS (
-  SELECT l_suppkey AS s, l_partkey % 50 AS k, l_orderkey * 100 + row_number() OVER w AS pos, lead(l_suppkey) OVER w AS t, (lead(l_partkey) OVER w) % 50 AS m
+  SELECT l_suppkey AS s, l_partkey AS k, l_orderkey * 100 + row_number() OVER w AS pos, lead(l_suppkey) OVER w AS t, lead(l_partkey) OVER w AS m
   FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)
 ), c AS (
   SELECT s_suppkey AS s, s_nationkey AS n, CASE s_suppkey % 3 WHEN 1 THEN s_suppkey - 1 END AS base, CASE s_suppkey % 3 WHEN 1 THEN 'K' || (s_suppkey - 1) WHEN 2 THEN 'lib' END AS symbol FROM supplier
