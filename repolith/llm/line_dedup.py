@@ -20,13 +20,10 @@ SIGNATURE = 4
 SKETCH, PLAUSIBLE = 32, 0.5
 #: Hashes of all sets together that a broadcast may hold, 16 MB.
 BROADCAST_HASHES = 4_000_000
-#: Share of their smallest hashes that similar lines have in common in the prefix filter: of 32, lines of similarity 0.8
-#: have 27 on average, and fewer than 20 with a chance of about 1 in 1000.
-COMMON = 0.625
 #: Bands of at most this many lines have all pairs of different components verified; others use finer bands, each
 #: three of the FINER smallest hashes, and then the prefix filter.
 SMALL_BAND, FINER = 8, 6
-#: 64-bit words of a line's bitmap in the prefix filter; lines of one shingle that a block of its join takes.
+#: 64-bit words of a line's bitmap in the prefix filter; longer lines of one shingle that a block of its join takes.
 BITMAP, BLOCK = 16, 1000
 
 
@@ -132,31 +129,37 @@ def bitmap(hashes: Column) -> list[Column]:
     return [F.aggregate(word(k), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h))).alias(f"b{k}") for k in range(BITMAP)]
 
 
-def prefix_pairs(lines: DataFrame, sets: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ``lines`` (lid, root) with different roots, among them those whose similarity is reached.
+def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``lines`` (lid, root) with different roots, among them all whose similarity is reached.
 
-    The sketches of two such lines have at least COMMON of their hashes in common (see there), so the lines share one of
-    the other hashes, and one more, that are rarest among ``lines``. Their sizes and bitmaps bound what they can have
-    in common at most. Pairs that fail are never rows. The lines of a frequent hash meet in blocks.
+    A line needs at least ``similarity`` of its shingles in common with a shorter one, and more with one as long or
+    longer, so one of the rarest shingles of the shorter line is among the rarest of the longer: a ninth and a fifth
+    of them at 0.8, rare being told among ``lines``. Shingles of a template are seldom so rare and then bring no pair
+    together. Sizes and bitmaps bound what two lines can have in common at most; pairs that fail are never rows.
     """
     lines = broadcast_if_small(lines)
-    words = sketches.join(lines, "lid").select("lid", F.size("low").alias("k"), F.explode("low").alias("h"))
-    often = words.groupBy("h").agg(F.count("*").alias("often"))
-    ranked = words.join(often, "h").groupBy("lid").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("all"), F.first("k").alias("k"))
-    rarest = F.slice("all", 1, F.floor(F.col("k") * (1 - COMMON)).cast("int") + 1)
-    ranked = ranked.select("lid", F.transform(F.filter(rarest, lambda x: x["often"] > 1), lambda x: x["h"]).alias("pre"))
-    maps = sets.join(lines, "lid").select("lid", "root", F.size("hashes").alias("n"), *bitmap(F.col("hashes")))
-    prefix = compact(ranked.join(maps, "lid").withColumn("h", F.explode("pre")))
-    blocks = prefix.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
-    prefix = prefix.join(blocks, "h")
-    left = prefix.withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long")).cast("int"))
-    right = prefix.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", "pre", *(f"b{k}" for k in range(BITMAP)))))
+    members = sets.join(lines, "lid").select("lid", "root", "hashes")
+    words = members.select("lid", F.explode("hashes").alias("h"))
+    often = words.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = words.join(often, "h").groupBy("lid").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("common"))
+    maps = members.select("lid", "root", F.size("hashes").alias("n"), *bitmap(F.col("hashes")))
+    alone = F.col("n") - F.size("common")  # shingles of no other line are the rarest of all
+    first = lambda share: F.greatest(F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1 - alone, F.lit(0)).cast("int")
+    rarest = lambda share: F.transform(F.slice("common", F.lit(1), first(share)), lambda x: x["h"])
+    prefix = ranked.join(maps, "lid").select("lid", "root", "n", rarest(similarity).alias("pre"), rarest(2 * similarity / (1 + similarity)).alias("short"), *(f"b{k}" for k in range(BITMAP)))
+    prefix = compact(prefix.where(F.size("pre") > 0))
+    left, right = prefix.withColumn("h", F.explode("pre")).drop("short"), prefix.withColumn("h", F.explode("short")).drop("pre")
+    blocks = left.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = compact(blocks.join(right.select("h").distinct(), "h"))
+    left = left.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long")).cast("int"))
+    right = right.join(blocks, "h").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", "short", *(f"b{k}" for k in range(BITMAP)))))
     both = F.col("n") + F.col("n_b")
     least = similarity / (1 + similarity) * both - 1e-9
     apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(BITMAP)), F.lit(0))
-    near = (F.col("root") < F.col("root_b")) & (F.least("n", "n_b") >= F.greatest("n", "n_b") * similarity - 1e-9) & (both - apart >= 2 * least)
-    near = near & (F.array_min(F.array_intersect("pre", "pre_b")) == left["h"])  # a pair meets once
+    longer = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("lid") > F.col("lid_b")))
+    near = longer & (F.col("root") != F.col("root_b")) & (F.col("n_b") >= F.col("n") * similarity - 1e-9) & (both - apart >= 2 * least)
+    near = near & (F.array_min(F.array_intersect("pre", "short_b")) == left["h"])  # a pair meets once
     same = (left["h"] == right["h"]) & (left["block"] == right["block"])
     return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b"))
 
@@ -174,8 +177,7 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     band, lines are linked to the smallest one and verified. Where that leaves a band of three or more lines in
     several components, small bands have their other pairs verified, and the lines of all such bands are linked
     to the most central one of their band and of finer bands, of three hashes each. The lines of larger bands that are
-    in several components even then go through a prefix filter, which finds every pair among them but with the small
-    chance at COMMON; each is compared exactly.
+    in several components even then go through a prefix filter, which finds every pair among them; each is compared exactly.
     """
     place = F.struct("id", "proof", "pos")
     distinct = lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("low").alias("low"))
@@ -215,7 +217,7 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     large = compact(open_bands(shared.where(F.col("size") > SMALL_BAND), roots).select("lid", "root").distinct())
     if not large.isEmpty():
         found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        found = found.union(similar(prefix_pairs(large, sets, sketches, similarity), sets, sketches, similarity))
+        found = found.union(similar(prefix_pairs(large, sets, similarity), sets, sketches, similarity))
         roots = components(found, "a", "b")
 
     rooted = distinct.drop("bands").join(roots, F.col("lid") == F.col("node"), "left").drop("node")

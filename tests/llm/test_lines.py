@@ -1,7 +1,7 @@
 import random
 import re
 
-from repolith.llm.line_dedup import dedup_lines
+from repolith.llm.line_dedup import dedup_lines, prefix_pairs
 from tests.llm.data import docs
 
 
@@ -111,3 +111,19 @@ def test_lines_without_blanks(spark):
     assert len(expected) == 24
     got = dedup_lines(docs(spark, list(enumerate(lines)))).collect()
     assert {x["doc_id"] for x in got if x["_n_removed"]} == expected
+
+
+def test_prefix_filter_finds_every_pair_once(spark):
+    """Sets of one template, of many sizes and of small universes: no pair from 0.8 on is missed or met twice."""
+    r = random.Random(13)
+    template = r.sample(range(10**6), 60)
+    sets = [set(template) | {r.randrange(10**6) for _ in range(r.randint(0, 20))} for _ in range(60)]
+    sets += [set(r.sample(range(24), r.randint(1, 24))) for _ in range(80)]
+    sets += [{*x, -5} for x in sets[::7]]
+    root = [k % 50 for k in range(len(sets))]
+    rows = spark.createDataFrame([(k, sorted(x)) for k, x in enumerate(sets)], "lid long, hashes array<int>")
+    lines = spark.createDataFrame(list(enumerate(root)), "lid long, root long")
+    got = [(min(x), max(x)) for x in prefix_pairs(lines, rows, 0.8).collect()]
+    near = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    wanted = {(a, b) for b in range(len(sets)) for a in range(b) if root[a] != root[b] and near(sets[a], sets[b])}
+    assert len(got) == len(set(got)) and wanted <= set(got) and len(wanted) > 100
