@@ -194,8 +194,8 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
         wanted = F.broadcast(wanted)
     sets = texts_of(docs).join(wanted, ["id", "proof"])
     sets = sets.select(F.explode(F.transform("wanted", lambda w: F.struct(w["lid"].alias("lid"), F.col("raw")[w["pos"]].alias("raw")))).alias("w"))
-    sets = sets.select("w.lid", shingles(normalised(F.col("w.raw"))).alias("hashes")).dropDuplicates(["lid"])
-    sets = cut(sets)
+    sets = sets.select("w.lid", "w.raw").dropDuplicates(["lid"])  # lines travel, for their sets take four times the bytes
+    sets = cut(sets.select("lid", shingles(normalised(F.col("raw"))).alias("hashes")))
     sketches = cut(sets.select("lid", F.slice("hashes", 1, SKETCH).alias("low")))
 
     found = compact(similar(edges, sets, sketches, similarity))
