@@ -77,6 +77,6 @@ def test_stages_against_brute_force(spark):
 
 def test_run_and_registration(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert {f"op{n}_" for n in range(1, 11)} == {q[: q.index("_") + 1] for q in queries if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q[: q.index("_") + 1] for q in queries if q.startswith("op")}
     assert "pipeline" in queries and set(sql) <= set(queries)
     assert queries["pipeline"](spark, SF).count() > 100
