@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.llm.common import BROADCAST_ROWS, broadcast_if_small, compact, components, cut, fresh, quoted, saved, tagged
+from repolith.llm.common import BROADCAST_ROWS, broadcast_if_small, compact, components, cut, fresh, quoted, saved, swept, tagged
 
 #: Characters of a shingle, one at every place of a line; lines with fewer than LEAST_CHARS are left alone.
 SHINGLE, LEAST_CHARS = 12, 20
@@ -25,6 +25,8 @@ BROADCAST_HASHES = 4_000_000
 SMALL_BAND, FINER = 8, 6
 #: 64-bit words of a line's bitmap in the prefix filter; longer lines of one shingle that a block of its join takes.
 BITMAP, BLOCK = 16, 1000
+#: Bits of the filter for wanted lines: those of one of Spark's bitmaps, of 4 KB; a line's share; bitmaps at most (16 MB).
+PIECE, BITS, PIECES = 32768, 64, 4096
 
 
 def normalised(line: Column) -> Column:
@@ -122,11 +124,13 @@ def central(sketches: DataFrame) -> DataFrame:
     return sketches.select("lid", "low").join(rank, "lid")
 
 
-def bitmap(hashes: Column) -> list[Column]:
-    """Parity bits of a set: two sets differ in at least as many elements as their bitmaps differ in bits."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    word = lambda k: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1) == k)
-    return [F.aggregate(word(k), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h))).alias(f"b{k}") for k in range(BITMAP)]
+def bitmaps(words: DataFrame) -> DataFrame:
+    """Parity bits of the sets in ``words`` (lid, root, n, h), a row a line: two sets differ in at least as many elements
+    as their bitmaps differ in bits."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(BITMAP - 1)
+    parity = [F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(BITMAP)]
+    return words.groupBy("lid").agg(F.first("root").alias("root"), F.first("n").alias("n"), *parity)
 
 
 def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -141,27 +145,48 @@ def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     members = sets.join(lines, "lid").select("lid", "root", "hashes")
     words = members.select("lid", F.explode("hashes").alias("h"))
     often = words.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
-    ranked = words.join(often, "h").groupBy("lid").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("common"))
-    maps = members.select("lid", "root", F.size("hashes").alias("n"), *bitmap(F.col("hashes")))
+    # A number that stands for the shingle and sorts rare ones first.
+    order = F.shiftleft("often", 32).bitwiseOR(F.col("h").cast("long").bitwiseAND(0xFFFFFFFF))
+    ranked = words.join(often, "h").groupBy("lid").agg(F.sort_array(F.collect_list(order)).alias("common"))
+    maps = bitmaps(members.select("lid", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h")))
     alone = F.col("n") - F.size("common")  # shingles of no other line are the rarest of all
     first = lambda share: F.greatest(F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1 - alone, F.lit(0)).cast("int")
-    rarest = lambda share: F.transform(F.slice("common", F.lit(1), first(share)), lambda x: x["h"])
-    prefix = ranked.join(maps, "lid").select("lid", "root", "n", rarest(similarity).alias("pre"), rarest(2 * similarity / (1 + similarity)).alias("short"), *(f"b{k}" for k in range(BITMAP)))
+    rarest = lambda share: F.slice("common", F.lit(1), first(share))
+    bits = [f"b{k}" for k in range(BITMAP)]
+    prefix = ranked.join(maps, "lid").select("lid", "root", "n", rarest(similarity).alias("pre"), rarest(2 * similarity / (1 + similarity)).alias("short"), *bits)
     prefix = compact(prefix.where(F.size("pre") > 0))
-    left, right = prefix.withColumn("h", F.explode("pre")).drop("short"), prefix.withColumn("h", F.explode("short")).drop("pre")
-    blocks = left.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = compact(blocks.join(right.select("h").distinct(), "h"))
-    left = left.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long")).cast("int"))
-    right = right.join(blocks, "h").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", "short", *(f"b{k}" for k in range(BITMAP)))))
+    swept(prefix.sparkSession)
+    shared = prefix.select(F.explode("pre").alias("h")).groupBy("h").agg(F.count("*").alias("lines")).where("lines > 1")
+    blocks = broadcast_if_small(shared.select("h", F.ceil(F.col("lines") / BLOCK).cast("int").alias("blocks")))
+    left = prefix.select(F.explode("pre").alias("h"), "lid", "root", "n", *bits).join(blocks, "h")
+    left = left.withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long")).cast("int")).drop("blocks")
+    right = prefix.select(F.explode("short").alias("h"), *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", *bits))).join(blocks, "h")
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     both = F.col("n") + F.col("n_b")
     least = similarity / (1 + similarity) * both - 1e-9
-    apart = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(BITMAP)), F.lit(0))
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_b"))) for b in bits), F.lit(0))
     longer = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("lid") > F.col("lid_b")))
     near = longer & (F.col("root") != F.col("root_b")) & (F.col("n_b") >= F.col("n") * similarity - 1e-9) & (both - apart >= 2 * least)
-    near = near & (F.array_min(F.array_intersect("pre", "short_b")) == left["h"])  # a pair meets once
     same = (left["h"] == right["h"]) & (left["block"] == right["block"])
-    return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b"))
+    # A pair meets at each rare shingle that its lines share, and goes on once; what travels for it is its bitmaps only.
+    return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b")).distinct()
+
+
+def flagged(rows: DataFrame, wanted: DataFrame, keys: list[str], flag: str) -> DataFrame:
+    """``rows`` with a column ``flag``, true where ``keys`` are among those of ``wanted``, and for few others.
+
+    It is read from a broadcast filter of bits, so that only the rows which are true need to be shuffled to meet ``wanted``.
+    """
+    pieces = max(1, min(PIECES, wanted.count() * BITS // PIECE))
+    piece_, bit_, bits_ = fresh([*rows.columns, flag], "_piece", "_bit", "_bits")
+    key = F.xxhash64(*keys)
+    piece, bit = F.pmod(key, F.lit(pieces)), F.shiftrightunsigned(key, 24).bitwiseAND(PIECE - 1)
+    bits = wanted.select(piece.alias(piece_), bit.alias(bit_)).repartition(piece_)
+    bits = bits.groupBy(piece_).agg(F.call_function("bitmap_construct_agg", F.col(bit_)).alias(bits_))
+    rows = rows.withColumns({piece_: piece, bit_: bit}).join(F.broadcast(cut(bits)), piece_, "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits_), F.shiftright(bit_, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bit_).bitwiseAND(7).cast("int"))
+    return rows.withColumn(flag, F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))).drop(piece_, bit_, bits_)
 
 
 def signed(lines: DataFrame) -> DataFrame:
@@ -181,24 +206,24 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """
     place = F.struct("id", "proof", "pos")
     distinct = lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("low").alias("low"))
-    distinct = distinct.withColumn("bands", bands(F.col("low"))).drop("low")
     distinct = cut(distinct.withColumn("lid", F.monotonically_increasing_id()))
-    banded = distinct.select("lid", F.explode("bands").alias("band"))
+    swept(distinct.sparkSession)
+    banded = distinct.select("lid", F.explode(bands(F.col("low"))).alias("band"))
     shared = banded.groupBy("band").agg(F.min("lid").alias("rep"), F.count("*").alias("size")).where("size > 1")
     shared = cut(banded.join(shared, "band"))
     edges = compact(shared.where("lid <> rep").select(F.col("lid").alias("a"), F.col("rep").alias("b")).distinct())
 
     places = compact(shared.select("lid").distinct().join(distinct.select("lid", "first"), "lid").select("lid", "first.*"))
-    wanted = places.groupBy("id", "proof").agg(F.collect_list(F.struct("pos", "lid")).alias("wanted"))
-    if places.count() <= BROADCAST_ROWS:  # of a few dozen bytes each
-        wanted = F.broadcast(wanted)
-    sets = texts_of(docs).join(wanted, ["id", "proof"])
-    sets = sets.select(F.explode(F.transform("wanted", lambda w: F.struct(w["lid"].alias("lid"), F.col("raw")[w["pos"]].alias("raw")))).alias("w"))
-    sets = sets.select("w.lid", "w.raw").dropDuplicates(["lid"])  # lines travel, for their sets take four times the bytes
+    swept(places.sparkSession)
+    # Lines travel, for their sets take four times the bytes, and only those that may be wanted.
+    sets = texts_of(docs).select("id", "proof", F.posexplode("raw").alias("pos", "raw"))
+    sets = flagged(sets, places, ["id", "proof", "pos"], "may").where("may").join(places, ["id", "proof", "pos"]).select("lid", "raw").dropDuplicates(["lid"])
     sets = cut(sets.select("lid", shingles(normalised(F.col("raw"))).alias("hashes")))
     sketches = cut(sets.select("lid", F.slice("hashes", 1, SKETCH).alias("low")))
 
+    swept(sketches.sparkSession)
     found = compact(similar(edges, sets, sketches, similarity))
+    swept(found.sparkSession)
     roots = components(found, "a", "b")
     open_ = compact(open_bands(shared.where("size > 2"), roots))
     few = open_.where(F.col("size") <= SMALL_BAND)
@@ -214,13 +239,15 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     found = found.union(similar(pairs, sets, sketches, similarity))
     roots = components(found, "a", "b")
+    swept(roots.sparkSession)
     large = compact(open_bands(shared.where(F.col("size") > SMALL_BAND), roots).select("lid", "root").distinct())
     if not large.isEmpty():
         found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         found = found.union(similar(prefix_pairs(large, sets, similarity), sets, sketches, similarity))
         roots = components(found, "a", "b")
+        swept(roots.sparkSession)
 
-    rooted = distinct.drop("bands").join(roots, F.col("lid") == F.col("node"), "left").drop("node")
+    rooted = distinct.drop("low").join(roots, F.col("lid") == F.col("node"), "left").drop("node")
     rooted = rooted.withColumn("root", F.coalesce("root", "lid"))
     many = roots.select(F.col("root").alias("lid")).distinct().withColumn("many", F.lit(True))
     rooted = rooted.join(many, "lid", "left").where((F.col("n") > 1) | (F.col("root") != F.col("lid")) | F.col("many"))
@@ -233,6 +260,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, least_chars: int =
     """(id, proof, pos): the lines to remove."""
     lines = saved(signed(lines_of(docs, least_chars)), "lines")
     repeated = cut(groups(lines, docs, similarity))
+    swept(repeated.sparkSession)
     places = lines.drop("low")
     gone = places.join(repeated.select("k1", "k2", "keep"), ["k1", "k2"]).where(F.struct("id", "proof", "pos") != F.col("keep"))
     return compact(gone.select("id", "proof", "pos"))
@@ -249,11 +277,17 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least_chars: in
     """
     docs = docs.drop("_n_lines", "_n_removed")
     gone = removals(docs, similarity, least_chars)
-    id_, proof, dropped = fresh(docs.columns, "_id", "_proof", "_drop")
+    swept(gone.sparkSession)
+    id_, proof, dropped, loses = fresh(docs.columns, "_id", "_proof", "_drop", "_loses")
     drop = gone.groupBy(F.col("id").alias(id_), F.col("proof").alias(proof)).agg(F.collect_set("pos").alias(dropped))
+    rows = tagged(docs, id_, proof)
     if gone.count() <= BROADCAST_ROWS:  # of a few dozen bytes each
-        drop = F.broadcast(drop)
-    joined = tagged(docs, id_, proof).join(drop, [id_, proof], "left")
+        joined = rows.join(F.broadcast(drop), [id_, proof], "left")
+    else:  # texts that lose no line stay where they are
+        drop = cut(drop)
+        rows = flagged(rows, drop, [id_, proof], loses)
+        joined = rows.where(F.col(loses)).join(drop, [id_, proof], "left")
+        joined = joined.unionByName(rows.where(~F.col(loses)), allowMissingColumns=True)
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(dropped, i))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).cast("long")
     n_removed = F.when(F.col(dropped).isNull(), 0).otherwise(F.size(dropped)).cast("long")

@@ -1,7 +1,10 @@
 import random
 import re
+import time
+from pathlib import Path
 
-from repolith.llm.line_dedup import dedup_lines, prefix_pairs
+from repolith.llm import line_dedup
+from repolith.llm.line_dedup import dedup_lines, flagged, prefix_pairs
 from tests.llm.data import docs
 
 
@@ -127,3 +130,42 @@ def test_prefix_filter_finds_every_pair_once(spark):
     near = lambda x, y: len(x & y) >= 0.8 * len(x | y)
     wanted = {(a, b) for b in range(len(sets)) for a in range(b) if root[a] != root[b] and near(sets[a], sets[b])}
     assert len(got) == len(set(got)) and wanted <= set(got) and len(wanted) > 100
+
+
+def test_flags_miss_no_key(spark):
+    keys = ["xxhash64(id) as id", "cast(null as long) as proof", "cast(id % 7 as int) as pos"]
+    rows, wanted = spark.range(60_000).selectExpr(*keys), spark.range(0, 60_000, 40).selectExpr(*keys)
+    out = flagged(rows, wanted, ["id", "proof", "pos"], "may")
+    assert out.columns == ["id", "proof", "pos", "may"] and out.count() == 60_000
+    found = out.where("may").select("id")
+    assert wanted.select("id").subtract(found).isEmpty() and found.count() < 1500 + 3000
+    assert flagged(rows, wanted.limit(0), ["id", "proof", "pos"], "may").where("may").isEmpty()
+
+
+def test_texts_that_stay_and_texts_that_travel(spark, monkeypatch):
+    """Beyond what a broadcast holds, texts that lose lines are joined and the others passed on."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    common = "this line is in very many documents indeed"
+    pairs = [(i, f"line of its own with the number {i * 7919} and {i * 104729}\n" + common * (i % 2)) for i in range(40)]
+    pairs += [(90, None), (91, ""), (None, common), (92, common), (92, common)]
+    table = docs(spark, pairs)
+    got = dedup_lines(table)
+    assert got.columns == [*table.columns, "_n_lines", "_n_removed"]
+    assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=repr) == brute(pairs)
+
+
+def test_shuffle_files_go_while_it_runs(spark):
+    """Of all that line dedup shuffles, only what its result still needs is on disk when it returns."""
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    pairs = [(i, "\n".join(" ".join(word() for _ in range(12)) for _ in range(10))) for i in range(2000)]
+    pairs += [(i + 2000, t + " x") for i, t in pairs]
+    folders = [Path(str(d)) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    size = lambda: sum(p.stat().st_size for d in folders for p in d.rglob("shuffle_*") if p.exists())
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before = size()
+    got = dedup_lines(docs(spark, pairs))
+    time.sleep(2)
+    assert size() - before < 1_000_000
+    assert got.where("_n_removed > 0").count() > 1900
