@@ -97,6 +97,7 @@ def similar(edges: DataFrame, sets: DataFrame, sketches: DataFrame, similarity:
     both = both.join(sketches.select(F.col("lid").alias("b"), F.col("low").alias("lb")), "b")
     least = F.least(F.size("la"), F.size("lb")) * PLAUSIBLE
     edges = compact(both.where(F.size(F.array_intersect("la", "lb")) >= least).select("a", "b"))
+    swept(edges.sparkSession)
     needed = edges.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     sets = sets.join(broadcast_if_small(needed), "lid", "left_semi")
     if (sets.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_HASHES:
@@ -151,25 +152,29 @@ def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     maps = bitmaps(members.select("lid", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h")))
     alone = F.col("n") - F.size("common")  # shingles of no other line are the rarest of all
     first = lambda share: F.greatest(F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1 - alone, F.lit(0)).cast("int")
-    rarest = lambda share: F.slice("common", F.lit(1), first(share))
+    shingle = lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")
+    rarest = lambda share: F.transform(F.slice("common", F.lit(1), first(share)), shingle)
     bits = [f"b{k}" for k in range(BITMAP)]
     prefix = ranked.join(maps, "lid").select("lid", "root", "n", rarest(similarity).alias("pre"), rarest(2 * similarity / (1 + similarity)).alias("short"), *bits)
     prefix = compact(prefix.where(F.size("pre") > 0))
     swept(prefix.sparkSession)
+    # Only shingles at which two lines can meet go on; a row knows the rarer ones of its line.
     shared = prefix.select(F.explode("pre").alias("h")).groupBy("h").agg(F.count("*").alias("lines")).where("lines > 1")
+    shared = shared.join(prefix.select(F.explode("short").alias("h")).distinct(), "h")
     blocks = broadcast_if_small(shared.select("h", F.ceil(F.col("lines") / BLOCK).cast("int").alias("blocks")))
-    left = prefix.select(F.explode("pre").alias("h"), "lid", "root", "n", *bits).join(blocks, "h")
-    left = left.withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long")).cast("int")).drop("blocks")
-    right = prefix.select(F.explode("short").alias("h"), *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", *bits))).join(blocks, "h")
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    at = lambda side: prefix.select("*", F.posexplode(side).alias("at", "h")).withColumn("rarer", F.slice(side, F.lit(1), F.col("at"))).join(blocks, "h")
+    left = at("pre").withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long")).cast("int"))
+    left = left.select("h", "block", "lid", "root", "n", "rarer", *bits)
+    right = at("short").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", "rarer", *bits)))
     both = F.col("n") + F.col("n_b")
     least = similarity / (1 + similarity) * both - 1e-9
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_b"))) for b in bits), F.lit(0))
     longer = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("lid") > F.col("lid_b")))
     near = longer & (F.col("root") != F.col("root_b")) & (F.col("n_b") >= F.col("n") * similarity - 1e-9) & (both - apart >= 2 * least)
+    near = near & ~F.arrays_overlap("rarer", "rarer_b")  # a pair meets once, at the rarest shingle that its lines share
     same = (left["h"] == right["h"]) & (left["block"] == right["block"])
-    # A pair meets at each rare shingle that its lines share, and goes on once; what travels for it is its bitmaps only.
-    return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b")).distinct()
+    return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b"))
 
 
 def flagged(rows: DataFrame, wanted: DataFrame, keys: list[str], flag: str) -> DataFrame:
