@@ -18,10 +18,14 @@ SIGNATURE = 4
 #: Smallest hashes of a line's set that tell whether two lines are worth the exact comparison, and the share of them that
 #: they must have in common: lines of similarity 0.8 have 0.8 on average and fail with a chance of less than 1 in 10**5.
 SKETCH, PLAUSIBLE = 32, 0.5
+#: Keys that similar lines share at least: hashes that follow each other in both sketches, and in sketches of fewer than SHORT
+#: hashes each one (up to twice as many: both kinds). Random pairs of similarity 0.8 with 40 to 2000 shingles shared 20 at the
+#: median, and none of 140,000 less than 4; of up to 32 shingles, every pair must share 3, or all if it has fewer.
+NEIGHBOURS, SHORT = 3, 16
 #: Hashes of all sets together that a broadcast may hold, 16 MB.
 BROADCAST_HASHES = 4_000_000
-#: Bands of at most this many lines have all pairs of different components verified; others use finer bands, each
-#: three of the FINER smallest hashes, and then the prefix filter.
+#: Keys of at most this many lines have all pairs of different components verified; lines that share larger ones use finer
+#: bands, each three of the FINER smallest hashes, and then the prefix filter.
 SMALL_BAND, FINER = 8, 6
 #: 64-bit words of a line's bitmap in the prefix filter; longer lines of one shingle that a block of its join takes.
 BITMAP, BLOCK = 16, 1000
@@ -62,7 +66,10 @@ def shingles(line: Column, width: int = SHINGLE) -> Column:
     cut_out = lambda x: F.transform(places(x), lambda i: F.hash(F.substring(x, i, width)))
     # The last stretch of a longer line may be too short for a shingle of its own.
     whole = F.filter(stretches, lambda x, i: (i == 0) | (F.char_length(x) >= width))
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(whole, cut_out))))
+    # Where all characters are bytes, a place is found at once and no stretches are needed; the hashes are the same.
+    ascii_ = (line != "") & (F.octet_length(line) == F.char_length(line))
+    found = F.when(ascii_, F.transform(F.array(line.cast("binary")), cut_out)).otherwise(F.transform(whole, cut_out))
+    return F.sort_array(F.array_distinct(F.flatten(found)))
 
 
 def signature(line: Column, size: int, width: int = SHINGLE) -> Column:
@@ -109,6 +116,14 @@ def similar(edges: DataFrame, sets: DataFrame, sketches: DataFrame, similarity:
     return both.where(F.size(F.array_intersect("ha", "hb")) >= least).select("a", "b")
 
 
+def joined(roots: DataFrame, pairs: DataFrame, sets: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """``roots`` (node, root) with the pairs (a, b) that are similar put into one component."""
+    found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(found.union(similar(pairs, sets, sketches, similarity)), "a", "b")
+    swept(roots.sparkSession)
+    return roots
+
+
 def open_bands(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """(band, size, lid, root) of the bands whose lines are in several components."""
     members = shared.join(roots, F.col("lid") == F.col("node"), "left")
@@ -117,6 +132,28 @@ def open_bands(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(split.select("band"), "band")
 
 
+def neighbours(lines: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(lid, root, few, key, size): the keys that ``lines`` (lid, root) share with lines of other roots, and by how many lines
+    in all; few: whether the line has so few hashes that one shared key is enough."""
+    n, low = F.size("low"), F.col("low")
+    after = F.zip_with(F.slice(low, F.lit(1), n - 1), F.slice(low, F.lit(2), n - 1), lambda x, y: F.xxhash64(x, y))
+    each = F.transform(low, lambda x: F.xxhash64(x))
+    keys = F.when(n < SHORT, each).when(n < 2 * SHORT, F.concat(each, after)).otherwise(after)
+    rows = sketches.join(broadcast_if_small(lines), "lid").select("lid", "root", (n < NEIGHBOURS).alias("few"), F.explode(keys).alias("key"))
+    met = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"))
+    met = compact(met.where("least < most").select("key", "size"))
+    return compact(flagged(rows, met, ["key"], "may").where("may").drop("may").join(broadcast_if_small(met), "key"))
+
+
+def unsettled(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """(lid, root): lines of ``near`` that share so many large keys with other components that a pair may have no small one."""
+    rows = near.where(F.col("size") > SMALL_BAND).select("lid", "few", "key").join(roots, F.col("lid") == F.col("node"), "left")
+    rows = rows.select("lid", "few", "key", F.coalesce("root", "lid").alias("root"))
+    met = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    lines = rows.join(met, "key").groupBy("lid", "root", "few").count()
+    return compact(lines.where((F.col("count") >= NEIGHBOURS) | F.col("few")).select("lid", "root"))
+
+
 def central(sketches: DataFrame) -> DataFrame:
     """(lid, low, rank): how often a line's hashes occur among all the lines: a line in the middle of its kin ranks high."""
     words = sketches.select("lid", F.explode("low").alias("h"))
@@ -188,10 +225,13 @@ def flagged(rows: DataFrame, wanted: DataFrame, keys: list[str], flag: str) -> D
     piece, bit = F.pmod(key, F.lit(pieces)), F.shiftrightunsigned(key, 24).bitwiseAND(PIECE - 1)
     bits = wanted.select(piece.alias(piece_), bit.alias(bit_)).repartition(piece_)
     bits = bits.groupBy(piece_).agg(F.call_function("bitmap_construct_agg", F.col(bit_)).alias(bits_))
+    # As 64-bit words, whose first byte is the highest.
+    word = lambda i: F.conv(F.hex(F.substring(F.col(bits_), i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    bits = bits.select(piece_, F.transform(F.sequence(F.lit(0), F.lit(PIECE // 64 - 1)), word).alias(bits_))
     rows = rows.withColumns({piece_: piece, bit_: bit}).join(F.broadcast(cut(bits)), piece_, "left")
-    byte = F.conv(F.hex(F.substring(F.col(bits_), F.shiftright(bit_, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bit_).bitwiseAND(7).cast("int"))
-    return rows.withColumn(flag, F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))).drop(piece_, bit_, bits_)
+    word = F.get(F.col(bits_), F.shiftright(bit_, 6).cast("int"))
+    at = F.col(bit_).bitwiseAND(63).bitwiseXOR(56).cast("int")
+    return rows.withColumn(flag, F.coalesce(F.getbit(word, at) == 1, F.lit(False))).drop(piece_, bit_, bits_)
 
 
 def signed(lines: DataFrame) -> DataFrame:
@@ -205,17 +245,20 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 
     Equal lines become one row before anything else, so a very common line costs what any line does. In each
     band, lines are linked to the smallest one and verified. Where that leaves a band of three or more lines in
-    several components, small bands have their other pairs verified, and the lines of all such bands are linked
-    to the most central one of their band and of finer bands, of three hashes each. The lines of larger bands that are
-    in several components even then go through a prefix filter, which finds every pair among them; each is compared exactly.
+    several components, its lines meet again at the keys of their sketches, and all pairs at small keys are verified. Lines
+    that share large keys with other components are linked to the most central one of their band and of finer bands, of three
+    hashes each; what shares large keys even then goes through a prefix filter, which finds every pair among them; each is
+    compared exactly.
     """
     place = F.struct("id", "proof", "pos")
     distinct = lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("low").alias("low"))
-    distinct = cut(distinct.withColumn("lid", F.monotonically_increasing_id()))
+    distinct = saved(distinct.withColumn("lid", F.monotonically_increasing_id()), "distinct")
     swept(distinct.sparkSession)
     banded = distinct.select("lid", F.explode(bands(F.col("low"))).alias("band"))
-    shared = banded.groupBy("band").agg(F.min("lid").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    shared = cut(banded.join(shared, "band"))
+    shared = compact(banded.groupBy("band").agg(F.min("lid").alias("rep"), F.count("*").alias("size")).where("size > 1"))
+    swept(shared.sparkSession)
+    # Most bands have one line; their rows need not travel a second time.
+    shared = cut(flagged(banded, shared, ["band"], "may").where("may").select("band", "lid").join(shared, "band"))
     edges = compact(shared.where("lid <> rep").select(F.col("lid").alias("a"), F.col("rep").alias("b")).distinct())
 
     places = compact(shared.select("lid").distinct().join(distinct.select("lid", "first"), "lid").select("lid", "first.*"))
@@ -223,7 +266,7 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     # Lines travel, for their sets take four times the bytes, and only those that may be wanted.
     sets = texts_of(docs).select("id", "proof", F.posexplode("raw").alias("pos", "raw"))
     sets = flagged(sets, places, ["id", "proof", "pos"], "may").where("may").join(places, ["id", "proof", "pos"]).select("lid", "raw").dropDuplicates(["lid"])
-    sets = cut(sets.select("lid", shingles(normalised(F.col("raw"))).alias("hashes")))
+    sets = cut(sets.select("lid", normalised(F.col("raw")).alias("line")).select("lid", shingles(F.col("line")).alias("hashes")))
     sketches = cut(sets.select("lid", F.slice("hashes", 1, SKETCH).alias("low")))
 
     swept(sketches.sparkSession)
@@ -231,26 +274,24 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     swept(found.sparkSession)
     roots = components(found, "a", "b")
     open_ = compact(open_bands(shared.where("size > 2"), roots))
-    few = open_.where(F.col("size") <= SMALL_BAND)
-    other = few.select("band", F.col("lid").alias("b"), F.col("root").alias("root_b"))
-    pairs = few.join(other, "band").where("root < root_b").select(F.col("lid").alias("a"), "b")
-    ranks = compact(central(sketches.join(open_.select("lid").distinct(), "lid")))
-    finer = ranks.select("lid", "rank", F.explode(finer_bands(F.slice("low", 1, FINER))).alias("band"))
-    finer = finer.union(open_.where(F.col("size") > SMALL_BAND).join(ranks, "lid").select("lid", "rank", "band"))
-    middle = finer.groupBy("band").agg(F.max_by("lid", F.struct("rank", "lid")).alias("rep"), F.count("*").alias("size")).where("size > 1")
-    stars = finer.join(middle, "band").where("lid <> rep").select(F.greatest("lid", "rep").alias("a"), F.least("lid", "rep").alias("b"))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(stars)
-    pairs = compact(pairs.distinct())
-    found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    found = found.union(similar(pairs, sets, sketches, similarity))
-    roots = components(found, "a", "b")
-    swept(roots.sparkSession)
-    large = compact(open_bands(shared.where(F.col("size") > SMALL_BAND), roots).select("lid", "root").distinct())
+    near = neighbours(open_.select("lid", "root").distinct(), sketches)
+    swept(near.sparkSession)
+    small = near.where(F.col("size") <= SMALL_BAND)
+    other = small.select("key", F.col("lid").alias("b"), F.col("root").alias("root_b"))
+    pairs = small.join(other, "key").where("root < root_b").select(F.greatest("lid", "b").alias("a"), F.least("lid", "b").alias("b"))
+    roots = joined(roots, compact(pairs.distinct()), sets, sketches, similarity)
+    large = unsettled(near, roots)
+    if not large.isEmpty():
+        lines = broadcast_if_small(large.select("lid"))
+        ranks = compact(central(sketches.join(lines, "lid")))
+        finer = ranks.select("lid", "rank", F.explode(finer_bands(F.slice("low", 1, FINER))).alias("band"))
+        finer = finer.union(shared.where(F.col("size") > SMALL_BAND).join(ranks, "lid").select("lid", "rank", "band"))
+        middle = finer.groupBy("band").agg(F.max_by("lid", F.struct("rank", "lid")).alias("rep"), F.count("*").alias("size")).where("size > 1")
+        stars = finer.join(middle, "band").where("lid <> rep").select(F.greatest("lid", "rep").alias("a"), F.least("lid", "rep").alias("b"))
+        roots = joined(roots, compact(stars.distinct()), sets, sketches, similarity)
+        large = unsettled(near, roots)
     if not large.isEmpty():
-        found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        found = found.union(similar(prefix_pairs(large, sets, similarity), sets, sketches, similarity))
-        roots = components(found, "a", "b")
-        swept(roots.sparkSession)
+        roots = joined(roots, prefix_pairs(large, sets, similarity), sets, sketches, similarity)
 
     rooted = distinct.drop("low").join(roots, F.col("lid") == F.col("node"), "left").drop("node")
     rooted = rooted.withColumn("root", F.coalesce("root", "lid"))

@@ -3,8 +3,10 @@ import re
 import time
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from repolith.llm import line_dedup
-from repolith.llm.line_dedup import dedup_lines, flagged, prefix_pairs
+from repolith.llm.line_dedup import dedup_lines, flagged, neighbours, prefix_pairs, shingles, unsettled
 from tests.llm.data import docs
 
 
@@ -169,3 +171,46 @@ def test_shuffle_files_go_while_it_runs(spark):
     time.sleep(2)
     assert size() - before < 1_000_000
     assert got.where("_n_removed > 0").count() > 1900
+
+
+def test_similar_lines_share_a_small_key_or_stay_unsettled(spark):
+    """Of sets of many sizes, some in groups of more than SMALL_BAND, each similar pair of two roots is met."""
+    r = random.Random(16)
+    sets = []
+    for size in (1, 2, 3, 4, 5, 9, 15, 16, 17, 20, 31, 33, 60, 300):
+        for copies in (2, 3, 12):
+            base = r.sample(range(10**9), size)
+            for _ in range(copies):
+                most = max(0, round(size * 0.1))
+                sets.append(set(base[r.randint(0, most) :]) | {r.randrange(10**9) for _ in range(r.randint(0, most + 1))})
+    sketches = spark.createDataFrame([(k, sorted(x)[: line_dedup.SKETCH]) for k, x in enumerate(sets)], "lid long, low array<int>")
+    near = neighbours(spark.createDataFrame([(k, k) for k in range(len(sets))], "lid long, root long"), sketches)
+    rest = {x["lid"] for x in unsettled(near, spark.createDataFrame([], "node long, root long")).collect()}
+    keys = {}
+    for x in near.where(f"size <= {line_dedup.SMALL_BAND}").collect():
+        keys.setdefault(x["lid"], set()).add(x["key"])
+    wanted = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    met = [keys.get(a, set()) & keys.get(b, set()) or {a, b} <= rest for a, b in wanted]
+    assert len(wanted) > 100 and all(met) and any({a, b} <= rest for a, b in wanted) and len(rest) <= 14 * 12
+
+
+def test_lines_of_one_phrase_do_not_reach_the_prefix_filter(spark, monkeypatch):
+    """A phrase that many unlike lines hold makes large bands of them; their sketches tell that none has a partner."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    lines = [" ".join([*(word() for _ in range(6)), "common words of them", *(word() for _ in range(6))]) for _ in range(600)]
+    calls = []
+    monkeypatch.setattr(line_dedup, "prefix_pairs", lambda *args: calls.append(1) or prefix_pairs(*args))
+    pairs = [*enumerate(lines), (600, lines[7] + " x"), (601, lines[300] + " x")]
+    got = dedup_lines(docs(spark, pairs)).where("_n_removed > 0").select("doc_id").collect()
+    assert sorted(x[0] for x in got) == [600, 601] and not calls
+
+
+def test_shingles_of_bytes_and_of_characters(spark):
+    r = random.Random(18)
+    lines = ["".join(r.choice(letters) for _ in range(n)) for letters in ("abc ", "aé", "a\u65e5\U0001f600") for n in (1, 11, 12, 13, 47, 48, 59, 60, 200)]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, line string")
+    got = {x["k"]: x["found"] for x in rows.select("k", shingles(rows["line"]).alias("found")).collect()}
+    grammed = spark.createDataFrame([(k, g) for k, x in enumerate(lines) for g in grams(x)], "k int, g string")
+    expected = {x["k"]: sorted(x["h"]) for x in grammed.groupBy("k").agg(F.collect_set(F.hash("g")).alias("h")).collect()}
+    assert got == expected
