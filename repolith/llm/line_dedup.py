@@ -15,19 +15,16 @@ STRETCH = 48
 SIMILARITY = 0.8
 #: Hashes of a signature. Bands are its pairs.
 SIGNATURE = 4
-#: Smallest hashes of a line's set that tell whether two lines are worth the exact comparison, and the share of them that
-#: they must have in common: lines of similarity 0.8 have 0.8 on average and fail with a chance of less than 1 in 10**5.
-SKETCH, PLAUSIBLE = 32, 0.5
+#: Smallest hashes of a line's set, whose keys tell which lines of open bands meet.
+SKETCH = 32
 #: Keys that similar lines share at least: hashes that follow each other in both sketches, and in sketches of fewer than SHORT
 #: hashes each one (up to twice as many: both kinds). Random pairs of similarity 0.8 with 40 to 2000 shingles shared 20 at the
 #: median, and none of 140,000 less than 4; of up to 32 shingles, every pair must share 3, or all if it has fewer.
 NEIGHBOURS, SHORT = 3, 16
-#: Hashes of all sets together that a broadcast may hold, 16 MB.
-BROADCAST_HASHES = 4_000_000
 #: Keys of at most this many lines have all pairs of different components verified; lines that share larger ones use finer
 #: bands, each three of the FINER smallest hashes, and then the prefix filter.
 SMALL_BAND, FINER = 8, 6
-#: 64-bit words of a line's bitmap in the prefix filter; longer lines of one shingle that a block of its join takes.
+#: 64-bit words of a line's bitmap; longer lines of one shingle that a block of the prefix filter's join takes.
 BITMAP, BLOCK = 16, 1000
 #: Bits of the filter for wanted lines: those of one of Spark's bitmaps, of 4 KB; a line's share; bitmaps at most (16 MB).
 PIECE, BITS, PIECES = 32768, 64, 4096
@@ -73,19 +70,20 @@ def shingles(line: Column, width: int = SHINGLE) -> Column:
 
 
 def signature(line: Column, size: int, width: int = SHINGLE) -> Column:
-    """The ``size`` smallest hashes among the shingles (shorter at the end) that begin at words, and at all places of
+    """Half the bits of the ``size`` smallest hashes among the shingles (shorter at the end) that begin at words, and at all places of
     words that are longer: a sample of the line's shingles that its content decides, so like lines have like samples.
     """
     pattern = r"(?s)(?=(.{1,%d}))(?:[^ ]{1,%d}+(?: |\z)|[^ ])" % (width, width)
     found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
-    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))), 1, size)
+    low = F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))), 1, size)
+    return F.transform(low, lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
 
 
 def bands(low: Column, size: int = SIGNATURE) -> Column:
     """Band keys of the ``size`` smallest hashes, a bottom-k MinHash signature: each pair; of one hash, itself."""
     at = lambda i: F.try_element_at(low, F.lit(i))
     pairs = [F.when(at(j).isNotNull(), F.xxhash64(at(i), at(j))) for j in range(2, size + 1) for i in range(1, j)]
-    return F.when(F.size(low) == 1, F.array(at(1))).otherwise(F.array_compact(F.array(*pairs)))
+    return F.when(F.size(low) == 1, F.array(F.xxhash64(at(1)))).otherwise(F.array_compact(F.array(*pairs)))
 
 
 def finer_bands(low: Column, size: int = FINER) -> Column:
@@ -95,31 +93,54 @@ def finer_bands(low: Column, size: int = FINER) -> Column:
     return F.array_compact(F.array(*threes))
 
 
-def similar(edges: DataFrame, sets: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(lid, n, b0, b1, ...): size and parity bits of ``sets`` (lid, hashes): two sets differ in at least as many elements as
+    their bitmaps differ in bits."""
+    words = sets.select("lid", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(BITMAP - 1)
+    parity = [F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(BITMAP)]
+    return words.groupBy("lid").agg(F.first("n").alias("n"), *parity)
+
+
+def apart(x: str, y: str) -> Column:
+    """In how many bits two bitmaps differ, their columns having ``x`` and ``y`` at the end."""
+    return sum((F.bit_count(F.col(f"b{k}{x}").bitwiseXOR(F.col(f"b{k}{y}"))) for k in range(BITMAP)), F.lit(0))
+
+
+def in_common(n: Column, m: Column, similarity: float) -> Column:
+    """How many elements sets of n and m elements must have in common to be similar."""
+    return (n + m) * (similarity / (1 + similarity)) - 1e-9
+
+
+def plausible(edges: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) that may be similar by the sizes and bitmaps of ``maps`` (as of ``bitmaps``); no similar one is lost."""
+    side = lambda x: maps.select(*(F.col(c).alias(x if c == "lid" else f"{c}_{x}") for c in maps.columns))
+    n, m = F.col("n_a"), F.col("n_b")
+    both = edges.join(side("a"), "a").join(side("b"), "b").where(F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9)
+    return both.where(n + m - apart("_a", "_b") >= 2 * in_common(n, m, similarity)).select("a", "b")
+
+
+def similar(edges: DataFrame, sets: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
     """The edges (a, b) whose exact Jaccard similarity reaches ``similarity``. sets: (lid, hashes).
 
-    Sketches, (lid, low) with each set's smallest hashes, go first, so that few sets travel in vain.
+    Bitmaps go first, so that few sets travel in vain.
     """
-    both = edges.join(sketches.select(F.col("lid").alias("a"), F.col("low").alias("la")), "a")
-    both = both.join(sketches.select(F.col("lid").alias("b"), F.col("low").alias("lb")), "b")
-    least = F.least(F.size("la"), F.size("lb")) * PLAUSIBLE
-    edges = compact(both.where(F.size(F.array_intersect("la", "lb")) >= least).select("a", "b"))
+    edges = compact(plausible(edges, maps, similarity))
     swept(edges.sparkSession)
     needed = edges.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     sets = sets.join(broadcast_if_small(needed), "lid", "left_semi")
-    if (sets.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_HASHES:
-        sets = F.broadcast(sets)
     left = sets.select(F.col("lid").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("lid").alias("b"), F.col("hashes").alias("hb"))
     both = edges.join(left, "a").join(right, "b")
-    least = (F.size("ha") + F.size("hb")) * (similarity / (1 + similarity)) - 1e-9
+    least = in_common(F.size("ha"), F.size("hb"), similarity)
     return both.where(F.size(F.array_intersect("ha", "hb")) >= least).select("a", "b")
 
 
-def joined(roots: DataFrame, pairs: DataFrame, sets: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+def joined(roots: DataFrame, pairs: DataFrame, sets: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
     """``roots`` (node, root) with the pairs (a, b) that are similar put into one component."""
     found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(found.union(similar(pairs, sets, sketches, similarity)), "a", "b")
+    roots = components(found.union(similar(pairs, sets, maps, similarity)), "a", "b")
     swept(roots.sparkSession)
     return roots
 
@@ -162,31 +183,23 @@ def central(sketches: DataFrame) -> DataFrame:
     return sketches.select("lid", "low").join(rank, "lid")
 
 
-def bitmaps(words: DataFrame) -> DataFrame:
-    """Parity bits of the sets in ``words`` (lid, root, n, h), a row a line: two sets differ in at least as many elements
-    as their bitmaps differ in bits."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
-    word = F.shiftrightunsigned("h", 6).bitwiseAND(BITMAP - 1)
-    parity = [F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(BITMAP)]
-    return words.groupBy("lid").agg(F.first("root").alias("root"), F.first("n").alias("n"), *parity)
-
-
-def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float, maps: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of ``lines`` (lid, root) with different roots, among them all whose similarity is reached.
 
     A line needs at least ``similarity`` of its shingles in common with a shorter one, and more with one as long or
     longer, so one of the rarest shingles of the shorter line is among the rarest of the longer: a ninth and a fifth
     of them at 0.8, rare being told among ``lines``. Shingles of a template are seldom so rare and then bring no pair
     together. Sizes and bitmaps bound what two lines can have in common at most; pairs that fail are never rows.
+    maps: the bitmaps of the sets, if they are there already.
     """
     lines = broadcast_if_small(lines)
-    members = sets.join(lines, "lid").select("lid", "root", "hashes")
+    members = sets.join(lines, "lid")
     words = members.select("lid", F.explode("hashes").alias("h"))
     often = words.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
     # A number that stands for the shingle and sorts rare ones first.
     order = F.shiftleft("often", 32).bitwiseOR(F.col("h").cast("long").bitwiseAND(0xFFFFFFFF))
     ranked = words.join(often, "h").groupBy("lid").agg(F.sort_array(F.collect_list(order)).alias("common"))
-    maps = bitmaps(members.select("lid", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h")))
+    maps = (bitmaps(members) if maps is None else maps).join(lines, "lid")
     alone = F.col("n") - F.size("common")  # shingles of no other line are the rarest of all
     first = lambda share: F.greatest(F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1 - alone, F.lit(0)).cast("int")
     shingle = lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")
@@ -205,10 +218,9 @@ def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     right = at("short").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", "rarer", *bits)))
     both = F.col("n") + F.col("n_b")
-    least = similarity / (1 + similarity) * both - 1e-9
-    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_b"))) for b in bits), F.lit(0))
+    least = in_common(F.col("n"), F.col("n_b"), similarity)
     longer = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("lid") > F.col("lid_b")))
-    near = longer & (F.col("root") != F.col("root_b")) & (F.col("n_b") >= F.col("n") * similarity - 1e-9) & (both - apart >= 2 * least)
+    near = longer & (F.col("root") != F.col("root_b")) & (F.col("n_b") >= F.col("n") * similarity - 1e-9) & (both - apart("", "_b") >= 2 * least)
     near = near & ~F.arrays_overlap("rarer", "rarer_b")  # a pair meets once, at the rarest shingle that its lines share
     same = (left["h"] == right["h"]) & (left["block"] == right["block"])
     return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b"))
@@ -268,9 +280,10 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     sets = flagged(sets, places, ["id", "proof", "pos"], "may").where("may").join(places, ["id", "proof", "pos"]).select("lid", "raw").dropDuplicates(["lid"])
     sets = cut(sets.select("lid", normalised(F.col("raw")).alias("line")).select("lid", shingles(F.col("line")).alias("hashes")))
     sketches = cut(sets.select("lid", F.slice("hashes", 1, SKETCH).alias("low")))
+    maps = cut(bitmaps(sets))
 
     swept(sketches.sparkSession)
-    found = compact(similar(edges, sets, sketches, similarity))
+    found = compact(similar(edges, sets, maps, similarity))
     swept(found.sparkSession)
     roots = components(found, "a", "b")
     open_ = compact(open_bands(shared.where("size > 2"), roots))
@@ -279,7 +292,7 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     small = near.where(F.col("size") <= SMALL_BAND)
     other = small.select("key", F.col("lid").alias("b"), F.col("root").alias("root_b"))
     pairs = small.join(other, "key").where("root < root_b").select(F.greatest("lid", "b").alias("a"), F.least("lid", "b").alias("b"))
-    roots = joined(roots, compact(pairs.distinct()), sets, sketches, similarity)
+    roots = joined(roots, compact(pairs.distinct()), sets, maps, similarity)
     large = unsettled(near, roots)
     if not large.isEmpty():
         lines = broadcast_if_small(large.select("lid"))
@@ -288,10 +301,10 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
         finer = finer.union(shared.where(F.col("size") > SMALL_BAND).join(ranks, "lid").select("lid", "rank", "band"))
         middle = finer.groupBy("band").agg(F.max_by("lid", F.struct("rank", "lid")).alias("rep"), F.count("*").alias("size")).where("size > 1")
         stars = finer.join(middle, "band").where("lid <> rep").select(F.greatest("lid", "rep").alias("a"), F.least("lid", "rep").alias("b"))
-        roots = joined(roots, compact(stars.distinct()), sets, sketches, similarity)
+        roots = joined(roots, compact(stars.distinct()), sets, maps, similarity)
         large = unsettled(near, roots)
     if not large.isEmpty():
-        roots = joined(roots, prefix_pairs(large, sets, similarity), sets, sketches, similarity)
+        roots = joined(roots, prefix_pairs(large, sets, similarity, maps), sets, maps, similarity)
 
     rooted = distinct.drop("low").join(roots, F.col("lid") == F.col("node"), "left").drop("node")
     rooted = rooted.withColumn("root", F.coalesce("root", "lid"))

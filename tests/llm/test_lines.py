@@ -6,7 +6,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from repolith.llm import line_dedup
-from repolith.llm.line_dedup import dedup_lines, flagged, neighbours, prefix_pairs, shingles, unsettled
+from repolith.llm.line_dedup import bitmaps, dedup_lines, flagged, neighbours, plausible, prefix_pairs, shingles, similar, unsettled
 from tests.llm.data import docs
 
 
@@ -214,3 +214,27 @@ def test_shingles_of_bytes_and_of_characters(spark):
     grammed = spark.createDataFrame([(k, g) for k, x in enumerate(lines) for g in grams(x)], "k int, g string")
     expected = {x["k"]: sorted(x["h"]) for x in grammed.groupBy("k").agg(F.collect_set(F.hash("g")).alias("h")).collect()}
     assert got == expected
+
+
+def test_bitmaps_lose_no_pair_and_spare_comparisons(spark):
+    """Of pairs of sets, those from 0.8 on are found wherever their hashes lie, and few that are far below are compared."""
+    r = random.Random(19)
+    sets, edges = [], []
+
+    def pair(x, y):
+        edges.append((len(sets) + 1, len(sets)))
+        sets.extend((set(x), set(y)))
+
+    for n in (1, 5, 40, 400, 3000):
+        for share in (0.0, 0.5, 0.8, 0.88, 0.9, 1.0):
+            common = r.sample(range(-(2**31), 2**31), round(n * share))
+            own = lambda: r.sample(range(-(2**31), 2**31), n - len(common))
+            pair(common + own(), common + own())
+    common = r.sample(range(10**9), 200)
+    pair([*common, *range(-100, -80)], [*common, *range(-80, -60)])  # no smallest hash in common, similarity 0.83
+    rows = spark.createDataFrame([(k, sorted(x)) for k, x in enumerate(sets)], "lid long, hashes array<int>")
+    pairs, maps = spark.createDataFrame(edges, "a long, b long"), bitmaps(rows)
+    near = {(a, b) for a, b in edges if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {tuple(x) for x in similar(pairs, rows, maps, 0.8).collect()} == near and (len(sets) - 1, len(sets) - 2) in near
+    compared = {tuple(x) for x in plausible(pairs, maps, 0.8).collect()}
+    assert near <= compared and all(len(sets[a] & sets[b]) > 0.6 * len(sets[a] | sets[b]) or len(sets[a]) > 1024 for a, b in compared)
