@@ -1,6 +1,7 @@
 """Searches, components and interval operators against brute force."""
 
 import random
+import time
 from collections import deque
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from repolith.functions import dims
 from repolith.operators import builders, graph, metrics
 from repolith.operators.lineage import running
+from repolith.plans.queries import QUERIES
 
 EDGES = "src string, dst string, certainty string, seq long"
 
@@ -170,3 +172,28 @@ def test_callbacks_by_bins(spark):
     want = {(s, f) for s, m, a, b in sites if a is not None for f, k, x, y, _ in inner if k == m and x >= a and y <= b and (x > a or y < b)}
     found = [(x["site"], x["callback"]) for x in got.collect()]
     assert set(found) == want and len(found) == len(want)
+
+
+def test_paths_over_shared_keys_are_those_over_pairs(spark):
+    """Counts of several rounds and components, more sources than a word has bits, nulls and repeated rows."""
+    r = random.Random(21)
+    held = [(k, node) for k in range(150) for node in r.sample(range(-40, 60), r.choice((1, 2, 3)))]
+    held += [(1000 + k, 200 + k + i) for k in range(14) for i in (0, 1)] + [(None, 5), (3, None), *held[:9]]
+    own = spark.createDataFrame(held, "key long, node long")
+    sources = spark.createDataFrame([(i,) for i in [*range(-40, 60), 200, 200, 999, None]], "id long")
+    got = [tuple(x) for x in graph.meeting_paths(own, sources).select("source", "node", "depth", F.col("paths").cast("long")).collect()]
+    other = own.withColumnRenamed("node", "dst")
+    pairs = own.withColumnRenamed("node", "src").join(other, "key").where("src <> dst").select("src", "dst", F.lit(0).alias("seq"), F.lit("direct").alias("certainty")).distinct()
+    near = graph.labels(pairs, sources.where("id is not null"), first=False).where("depth > 0")
+    assert sorted(got) == sorted(tuple(x) for x in near.select("source", "node", "depth", F.col("paths").cast("long")).collect())
+    assert max(x[2] for x in got) == 10 and max(x[3] for x in got) > 3 and (200, 210, 10, 1) in got and not any(x[:2] == (200, 211) for x in got)
+
+
+def test_supply_paths_makes_no_pairs(spark, tmp_path):
+    """One part that 20,000 suppliers ship would be 400 million pairs."""
+    spark.range(20_000).selectExpr("id as l_suppkey", "1L as l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(20_000).selectExpr("id as s_suppkey", "if(id < 3, 7, 8) as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    began = time.monotonic()
+    found = QUERIES["supply_paths"](spark, str(tmp_path))
+    assert [tuple(x) for x in found.groupBy("depth", "paths").count().collect()] == [(1, 1, 3 * 19_999)]
+    assert time.monotonic() - began < 60
