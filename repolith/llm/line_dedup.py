@@ -93,10 +93,19 @@ def finer_bands(low: Column, size: int = FINER) -> Column:
     return F.array_compact(F.array(*threes))
 
 
+def with_hashes(sets: DataFrame) -> DataFrame:
+    """(lid, hashes) of ``sets``, which have these columns or lines (lid, line), whose sets are made here.
+
+    Lines take a tenth of the bytes of their sets, so they are kept; rows that are not needed should go before.
+    """
+    return sets if "hashes" in sets.columns else sets.select("lid", shingles(F.col("line")).alias("hashes"))
+
+
 def bitmaps(sets: DataFrame) -> DataFrame:
-    """(lid, n, b0, b1, ...): size and parity bits of ``sets`` (lid, hashes): two sets differ in at least as many elements as
-    their bitmaps differ in bits."""
-    words = sets.select("lid", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    """(lid, n, b0, b1, ...): size and parity bits of ``sets`` (as of ``with_hashes``): two sets differ in at least as many
+    elements as their bitmaps differ in bits."""
+    # The inner kind of explode has Spark filter by the size of the sets, and make them twice more for that.
+    words = with_hashes(sets).select("lid", F.size("hashes").alias("n"), F.explode_outer("hashes").alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
     word = F.shiftrightunsigned("h", 6).bitwiseAND(BITMAP - 1)
     parity = [F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(BITMAP)]
@@ -122,14 +131,14 @@ def plausible(edges: DataFrame, maps: DataFrame, similarity: float) -> DataFrame
 
 
 def similar(edges: DataFrame, sets: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose exact Jaccard similarity reaches ``similarity``. sets: (lid, hashes).
+    """The edges (a, b) whose exact Jaccard similarity reaches ``similarity``. sets: as of ``with_hashes``.
 
     Bitmaps go first, so that few sets travel in vain.
     """
     edges = compact(plausible(edges, maps, similarity))
     swept(edges.sparkSession)
     needed = edges.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    sets = sets.join(broadcast_if_small(needed), "lid", "left_semi")
+    sets = with_hashes(sets.join(broadcast_if_small(needed), "lid", "left_semi"))
     left = sets.select(F.col("lid").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("lid").alias("b"), F.col("hashes").alias("hb"))
     both = edges.join(left, "a").join(right, "b")
@@ -189,12 +198,13 @@ def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float, maps: Dat
     A line needs at least ``similarity`` of its shingles in common with a shorter one, and more with one as long or
     longer, so one of the rarest shingles of the shorter line is among the rarest of the longer: a ninth and a fifth
     of them at 0.8, rare being told among ``lines``. Shingles of a template are seldom so rare and then bring no pair
-    together. Sizes and bitmaps bound what two lines can have in common at most; pairs that fail are never rows.
+    together. Sizes and bitmaps bound what two lines can have in common at most; pairs that fail are never rows, and one
+    that meets at several shingles is told from its like afterwards, for that takes fewer bytes than rows which know their line's shingles.
     maps: the bitmaps of the sets, if they are there already.
     """
     lines = broadcast_if_small(lines)
-    members = sets.join(lines, "lid")
-    words = members.select("lid", F.explode("hashes").alias("h"))
+    members = with_hashes(sets.join(lines, "lid", "left_semi"))
+    words = members.select("lid", F.explode_outer("hashes").alias("h"))
     often = words.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
     # A number that stands for the shingle and sorts rare ones first.
     order = F.shiftleft("often", 32).bitwiseOR(F.col("h").cast("long").bitwiseAND(0xFFFFFFFF))
@@ -208,22 +218,21 @@ def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float, maps: Dat
     prefix = ranked.join(maps, "lid").select("lid", "root", "n", rarest(similarity).alias("pre"), rarest(2 * similarity / (1 + similarity)).alias("short"), *bits)
     prefix = compact(prefix.where(F.size("pre") > 0))
     swept(prefix.sparkSession)
-    # Only shingles at which two lines can meet go on; a row knows the rarer ones of its line.
+    # Only shingles at which two lines can meet go on.
     shared = prefix.select(F.explode("pre").alias("h")).groupBy("h").agg(F.count("*").alias("lines")).where("lines > 1")
     shared = shared.join(prefix.select(F.explode("short").alias("h")).distinct(), "h")
     blocks = broadcast_if_small(shared.select("h", F.ceil(F.col("lines") / BLOCK).cast("int").alias("blocks")))
-    at = lambda side: prefix.select("*", F.posexplode(side).alias("at", "h")).withColumn("rarer", F.slice(side, F.lit(1), F.col("at"))).join(blocks, "h")
+    at = lambda side: prefix.select("lid", "root", "n", *bits, F.explode(side).alias("h")).join(blocks, "h")
     left = at("pre").withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long")).cast("int"))
-    left = left.select("h", "block", "lid", "root", "n", "rarer", *bits)
+    left = left.select("h", "block", "lid", "root", "n", *bits)
     right = at("short").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", "rarer", *bits)))
+    right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", *bits)))
     both = F.col("n") + F.col("n_b")
     least = in_common(F.col("n"), F.col("n_b"), similarity)
     longer = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("lid") > F.col("lid_b")))
     near = longer & (F.col("root") != F.col("root_b")) & (F.col("n_b") >= F.col("n") * similarity - 1e-9) & (both - apart("", "_b") >= 2 * least)
-    near = near & ~F.arrays_overlap("rarer", "rarer_b")  # a pair meets once, at the rarest shingle that its lines share
     same = (left["h"] == right["h"]) & (left["block"] == right["block"])
-    return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b"))
+    return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b")).distinct()
 
 
 def flagged(rows: DataFrame, wanted: DataFrame, keys: list[str], flag: str) -> DataFrame:
@@ -275,19 +284,20 @@ def groups(lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 
     places = compact(shared.select("lid").distinct().join(distinct.select("lid", "first"), "lid").select("lid", "first.*"))
     swept(places.sparkSession)
-    # Lines travel, for their sets take four times the bytes, and only those that may be wanted.
+    # Lines travel and are kept, for their sets take many times the bytes, and only those that may be wanted.
     sets = texts_of(docs).select("id", "proof", F.posexplode("raw").alias("pos", "raw"))
     sets = flagged(sets, places, ["id", "proof", "pos"], "may").where("may").join(places, ["id", "proof", "pos"]).select("lid", "raw").dropDuplicates(["lid"])
-    sets = cut(sets.select("lid", normalised(F.col("raw")).alias("line")).select("lid", shingles(F.col("line")).alias("hashes")))
-    sketches = cut(sets.select("lid", F.slice("hashes", 1, SKETCH).alias("low")))
+    sets = saved(sets.select("lid", normalised(F.col("raw")).alias("line")), "candidates")
     maps = cut(bitmaps(sets))
-
-    swept(sketches.sparkSession)
+    swept(maps.sparkSession)
     found = compact(similar(edges, sets, maps, similarity))
     swept(found.sparkSession)
     roots = components(found, "a", "b")
     open_ = compact(open_bands(shared.where("size > 2"), roots))
-    near = neighbours(open_.select("lid", "root").distinct(), sketches)
+    asked = open_.select("lid", "root").distinct()
+    few = broadcast_if_small(asked.select("lid"))
+    sketches = cut(with_hashes(sets.join(few, "lid", "left_semi")).select("lid", F.slice("hashes", 1, SKETCH).alias("low")))
+    near = neighbours(asked, sketches)
     swept(near.sparkSession)
     small = near.where(F.col("size") <= SMALL_BAND)
     other = small.select("key", F.col("lid").alias("b"), F.col("root").alias("root_b"))

@@ -238,3 +238,23 @@ def test_bitmaps_lose_no_pair_and_spare_comparisons(spark):
     assert {tuple(x) for x in similar(pairs, rows, maps, 0.8).collect()} == near and (len(sets) - 1, len(sets) - 2) in near
     compared = {tuple(x) for x in plausible(pairs, maps, 0.8).collect()}
     assert near <= compared and all(len(sets[a] & sets[b]) > 0.6 * len(sets[a] | sets[b]) or len(sets[a]) > 1024 for a, b in compared)
+
+
+def test_only_lines_are_kept(spark, monkeypatch):
+    """Sets of shingles take many times the bytes of their lines; no frame that is kept has them."""
+    r = random.Random(20)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    shared = " ".join(f"common{i}" for i in range(12))
+    own = [" ".join(word() for _ in range(12)) for _ in range(40)]
+    pairs = list(enumerate([shared + " " + o for o in own] + [shared + " " + o + " x" for o in own[::4]]))
+    kept = []
+    for name in ("cut", "compact"):
+        monkeypatch.setattr(line_dedup, name, lambda df, f=getattr(line_dedup, name): kept.append(df.columns) or f(df))
+    got = dedup_lines(docs(spark, pairs)).collect()
+    assert sorted(((x["doc_id"], x["text"]) for x in got), key=repr) == brute(pairs)
+    assert kept and not any("hashes" in columns or "line" in columns for columns in kept)
+    lines = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(pairs)], "lid long, line string")
+    sets = spark.createDataFrame([(k, [hash(g) % 2**31 for g in sorted(grams(x))]) for k, (_, x) in enumerate(pairs)], "lid long, hashes array<int>")
+    roots = lines.select("lid", "lid").toDF("lid", "root")
+    found = [{tuple(sorted(x)) for x in prefix_pairs(roots, kind, 0.8).collect()} for kind in (lines, sets)]
+    assert all(len(x) >= 10 and {(4 * k, 40 + k) for k in range(10)} <= x for x in found)
