@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions import dims
-from repolith.functions.columns import dirname, is_relative, matches_signature, normalise_path
+from repolith.functions.columns import certainty_name, dirname, is_relative, matches_signature, normalise_path
 from repolith.operators.graph import first_paths, unique_edges
-from repolith.operators.lineage import cut, numbered
+from repolith.operators.lineage import cut, numbered, settled, small
 
 
 def candidates(folder: Column, specifier: Column) -> Column:
@@ -115,57 +115,91 @@ def symbol_graph(modules: DataFrame, symbols: DataFrame, functions: DataFrame, c
     return nodes, ordered(out, "part", "at", "id").drop("part", "at")
 
 
-def call_graph(modules, imports, functions, classes, call_sites) -> tuple[DataFrame, DataFrame]:
-    """CALLS edges. Names resolve in the module (direct), through imports (resolved), through a class's methods or
-    its base (direct, inferred, unknown); computed members are dynamic; what no rule resolves goes to a node of
-    the call site (unknown). External names give no edge."""
-    free = functions.where("owner_class_id is null")
+#: What a call leads to, by ``kind`` of ``call_targets``.
+GOALS = ["function", "class", "module", "symbol", "call-site"]
+
+#: Narrow rows of classes that a broadcast may hold.
+MOST_CLASSES = 1_000_000
+
+
+def placed_sites(functions: DataFrame, call_sites: DataFrame) -> DataFrame:
+    """call_sites with module_id, owner_class_id and fn_seq of their functions; where they have these already, as they are."""
+    if {"module_id", "owner_class_id", "fn_seq"} <= set(call_sites.columns):
+        return call_sites
+    return call_sites.join(functions.select(F.col("id").alias("function_id"), "module_id", "owner_class_id", F.col("seq").alias("fn_seq")), "function_id")
+
+
+def call_targets(modules, imports, functions, classes, sites) -> DataFrame:
+    """What the calls of ``sites`` (as of ``placed_sites``) lead to: their columns, kind (a place in GOALS), to (the id of a function,
+    class or symbol), to_module and rank (of certainty).
+
+    Names are resolved where they are declared and imported, and each site is shuffled at most twice: only sites that ask for
+    a name meet names, once, and computed ones meet nothing. Ids may be of any one type; short ones make small shuffles.
+    """
     first = lambda rows, key, out: rows.groupBy(*key).agg(F.min_by("id", "seq").alias(out))
-    fn, cl = first(free, ["module_id", "name"], "fn"), first(classes, ["module_id", "name"], "cl")
-    sites = call_sites.join(functions.select(F.col("id").alias("function_id"), "module_id", "owner_class_id", F.col("seq").alias("fn_seq")), "function_id")
+    fn, cl = first(functions.where("owner_class_id is null"), ["module_id", "name"], "fn"), first(classes, ["module_id", "name"], "cl")
     called = F.col("callee_kind") == "call-apply-bind"
     tail = F.substring_index("receiver_text", ".", -1)
     dotted = F.instr("receiver_text", ".") > 0
+    columns = sites.columns
     sites = sites.withColumns({
         "name": F.when(called, F.when(dotted, tail).otherwise(F.col("receiver_text"))).otherwise(F.col("callee_name")),
         "recv": F.when(called, F.when(dotted, F.expr("substring(receiver_text, 1, length(receiver_text) - length(substring_index(receiver_text, '.', -1)) - 1)"))).otherwise(F.col("receiver_text")),
         "shape": F.when(called, F.when(dotted, "member").otherwise("identifier")).otherwise(F.when(F.col("callee_kind") == "computed-member", F.when(F.col("callee_name").isNotNull(), "member").otherwise("computed")).otherwise(F.col("callee_kind"))),
-    }).withColumn("look", F.when(F.col("shape") == "identifier", F.col("name")).otherwise(F.col("recv")))
-    bound = resolve_imports(imports, modules).where("local_name is not null and kind not in ('dynamic', 're-export')")
-    bound = bound.groupBy("module_id", "local_name").agg(F.min_by(F.struct("target", F.coalesce("imported_name", "local_name").alias("name")), "pos").alias("b"))
-    bound = bound.select("module_id", F.col("local_name").alias("look"), "b.target", F.col("b.name").alias("remote"))
-    sites = sites.join(fn.withColumnRenamed("name", "look"), ["module_id", "look"], "left").join(cl.withColumnRenamed("name", "look"), ["module_id", "look"], "left")
-    sites = sites.join(bound, ["module_id", "look"], "left")
+        "called": F.coalesce(called, F.lit(False)),
+    })
+    identifier, member = F.col("shape") == "identifier", F.col("shape") == "member"
+    this = F.coalesce(F.col("recv") == "this", F.lit(False))
+    sites = sites.withColumns({"look": F.when(identifier, F.col("name")).when(member & ~this, F.col("recv")), "this": this})
+    # Of imports that bind one name the first counts; specifiers repeat and are resolved apart.
+    imports = imports.where("local_name is not null and kind not in ('dynamic', 're-export')")
+    meant = resolve_imports(imports.select("module_id", "specifier").distinct(), modules)
+    bound = imports.groupBy("module_id", F.col("local_name").alias("look"))
+    bound = bound.agg(F.min_by(F.struct("specifier", F.coalesce("imported_name", "local_name").alias("remote")), "pos").alias("b"))
+    bound = bound.select("module_id", "look", "b.specifier", "b.remote").join(meant, ["module_id", "specifier"], "left").drop("specifier")
     far = lambda rows, out, col: rows.select(F.col("module_id").alias("target"), F.col("name").alias("remote"), F.col(col).alias(out))
-    sites = sites.join(far(fn, "far_fn", "fn"), ["target", "remote"], "left").join(far(cl, "far_cl", "cl"), ["target", "remote"], "left")
-    owner = F.when(F.col("recv") == "this", F.col("owner_class_id")).otherwise(F.coalesce("cl", "far_cl"))
-    sites = sites.withColumn("owner", F.when(F.col("shape") == "member", owner))
+    bound = bound.join(far(fn, "far_fn", "fn"), ["target", "remote"], "left").join(far(cl, "far_cl", "cl"), ["target", "remote"], "left").drop("remote")
+    names = fn.withColumnRenamed("name", "look").unionByName(cl.withColumnRenamed("name", "look"), allowMissingColumns=True).unionByName(bound, allowMissingColumns=True)
+    names = names.groupBy("module_id", "look").agg(*[F.max(c).alias(c) for c in ("fn", "cl", "target", "far_fn", "far_cl")])
+    base = classes.alias("c").join(classes.alias("s"), F.col("c.extends_symbol_id") == F.col("s.symbol_id"), "left").where("c.extends_symbol_id is not null")
+    base, n = settled(base.select(F.col("c.id").alias("owner"), F.col("c.extends_symbol_id").alias("base_symbol"), F.col("s.id").alias("base")))
+    base = small(base, n, MOST_CLASSES)
     methods = functions.where("owner_class_id is not null").groupBy("owner_class_id", "name").agg(F.min_by("id", "seq").alias("m"))
-    base = classes.alias("c").join(classes.alias("s"), F.col("c.extends_symbol_id") == F.col("s.symbol_id"), "left")
-    base = base.select(F.col("c.id").alias("owner"), F.col("c.extends_symbol_id").alias("base_symbol"), F.col("s.id").alias("base"))
-    sites = sites.join(base, "owner", "left")
-    sites = sites.join(methods.select(F.col("owner_class_id").alias("owner"), "name", F.col("m").alias("own_m")), ["owner", "name"], "left")
-    sites = sites.join(methods.select(F.col("owner_class_id").alias("base"), "name", F.col("m").alias("base_m")), ["base", "name"], "left")
-    here, there = F.lit("direct"), F.lit("resolved")
-    target = lambda dst, certainty: F.struct(dst.alias("dst"), certainty.alias("certainty"))
-    site = F.concat_ws(":", F.lit("call-site"), "function_id", "path", "line", "col")
-    pick = lambda f, c: F.when(F.col("is_new"), F.coalesce(node("class", c), node("function", f))).otherwise(F.coalesce(node("function", f), node("class", c)))
-    identifier = (
-        F.when(pick("fn", "cl").isNotNull(), target(pick("fn", "cl"), here))
-        .when(pick("far_fn", "far_cl").isNotNull(), target(pick("far_fn", "far_cl"), there))
-        .when(F.col("target").isNotNull(), target(node("module", "target"), F.lit("unknown")))
-        .when(called, target(site, F.lit("dynamic")))
-    )
-    own = F.when((F.col("recv") == "this") | F.col("cl").isNotNull(), here).otherwise(there)
-    member = (
-        F.when(F.col("own_m").isNotNull(), target(node("function", "own_m"), own))
-        .when(F.col("base_m").isNotNull(), target(node("function", "base_m"), F.lit("inferred")))
-        .when(F.col("base_symbol").isNotNull(), target(node("symbol", "base_symbol"), F.lit("unknown")))
-        .otherwise(target(site, F.when(called, "dynamic").otherwise("unknown")))
+    above = methods.select(F.col("owner_class_id").alias("base"), "name", F.col("m").alias("base_m")).join(base.where("base is not null"), "base").select("owner", "name", "base_m")
+    found = sites.where("look is not null").join(names, ["module_id", "look"], "left")
+    found = found.unionByName(sites.where("look is null and (shape in ('identifier', 'member'))"), allowMissingColumns=True)
+    found = found.withColumn("owner", F.when(member, F.when(F.col("this"), F.col("owner_class_id")).otherwise(F.coalesce("cl", "far_cl"))))
+    found = found.join(methods.select(F.col("owner_class_id").alias("owner"), "name", F.col("m").alias("own_m")), ["owner", "name"], "left").join(above, ["owner", "name"], "left")
+    found = found.join(base.select("owner", "base_symbol"), "owner", "left")
+    function, class_, module, symbol, site = (F.lit(k) for k in range(len(GOALS)))
+    unknown, dynamic, inferred, there, here = (F.lit(k) for k in range(len(dims.CERTAINTIES)))
+    of = F.struct(unknown.alias("kind"), F.coalesce("fn", "cl", "base_symbol").alias("to"), F.col("target").alias("to_module"), unknown.alias("rank"))
+    kind_of = found.select(of.alias("g")).schema["g"].dataType
+    goal = lambda kind, rank, to=F.lit(None), at=F.lit(None): F.struct(kind.alias("kind"), to.alias("to"), at.alias("to_module"), rank.alias("rank")).cast(kind_of)
+    has = lambda c: F.col(c).isNotNull()
+    class_first = F.coalesce(F.col("is_new"), F.lit(False))
+    pick = lambda f, c, rank: F.when(has(c) & (class_first | ~has(f)), goal(class_, rank, F.col(c))).when(has(f), goal(function, rank, F.col(f)))
+    by_name = F.coalesce(pick("fn", "cl", here), pick("far_fn", "far_cl", there), F.when(has("target"), goal(module, unknown, at=F.col("target"))).when(F.col("called"), goal(site, dynamic)))
+    by_class = (
+        F.when(has("own_m"), goal(function, F.when(F.col("this") | has("cl"), here).otherwise(there), F.col("own_m")))
+        .when(has("base_m"), goal(function, inferred, F.col("base_m")))
+        .when(has("base_symbol"), goal(symbol, unknown, F.col("base_symbol")))
+        .otherwise(goal(site, F.when(F.col("called"), dynamic).otherwise(unknown)))
     )
-    goal = F.when(F.col("shape") == "identifier", identifier).when(F.col("shape") == "member", member).when(F.col("shape") == "computed", target(site, F.lit("dynamic")))
-    calls = sites.withColumn("goal", goal).where("goal is not null")
-    rows = calls.select(*edge("CALLS", node("function", "function_id"), F.col("goal.dst"), F.col("goal.certainty"), F.lit(0)), "fn_seq", "site_pos", F.lit(1).alias("part"), F.lit(0).alias("inner"))
+    found = found.withColumn("goal", F.when(identifier, by_name).when(member, by_class)).where("goal is not null").select(*columns, "goal.*")
+    return found.unionByName(sites.where("shape = 'computed'").withColumn("goal", goal(site, dynamic)).select(*columns, "goal.*"))
+
+
+def call_graph(modules, imports, functions, classes, call_sites) -> tuple[DataFrame, DataFrame]:
+    """CALLS edges. Names resolve in the module (direct), through imports (resolved), through a class's methods or
+    its base (direct, inferred, unknown); computed members are dynamic; what no rule resolves goes to a node of
+    the call site (unknown). External names give no edge."""
+    sites = placed_sites(functions, call_sites)
+    calls = call_targets(modules, imports, functions, classes, sites)
+    kind = F.element_at(F.array(*map(F.lit, GOALS)), F.col("kind") + 1)
+    site = F.concat_ws(":", kind, "function_id", "path", "line", "col")
+    dst = F.when(kind == "call-site", site).otherwise(F.concat_ws(":", kind, F.when(kind == "module", F.col("to_module")).otherwise(F.col("to"))))
+    rows = calls.select(*edge("CALLS", node("function", "function_id"), dst, certainty_name(F.col("rank")), F.lit(0)), "fn_seq", "site_pos", F.lit(1).alias("part"), F.lit(0).alias("inner"))
     backs = callbacks(sites.where("has_function_argument").select("function_id", "fn_seq", "site_pos", "module_id", "start", "end"), functions).where("callback <> function_id")
     rows = rows.union(backs.select(*edge("CALLS", node("function", "function_id"), node("function", "callback"), "unknown", F.lit(0)), "fn_seq", "site_pos", F.lit(0), "inner"))
     edges = cut(ordered(rows, "fn_seq", "site_pos", "part", "inner").drop("fn_seq", "site_pos", "part", "inner"))
