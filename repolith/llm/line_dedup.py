@@ -198,8 +198,7 @@ def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float, maps: Dat
     A line needs at least ``similarity`` of its shingles in common with a shorter one, and more with one as long or
     longer, so one of the rarest shingles of the shorter line is among the rarest of the longer: a ninth and a fifth
     of them at 0.8, rare being told among ``lines``. Shingles of a template are seldom so rare and then bring no pair
-    together. Sizes and bitmaps bound what two lines can have in common at most; pairs that fail are never rows, and one
-    that meets at several shingles is told from its like afterwards, for that takes fewer bytes than rows which know their line's shingles.
+    together. Sizes and bitmaps bound what two lines can have in common at most; pairs that fail are never rows.
     maps: the bitmaps of the sets, if they are there already.
     """
     lines = broadcast_if_small(lines)
@@ -218,21 +217,22 @@ def prefix_pairs(lines: DataFrame, sets: DataFrame, similarity: float, maps: Dat
     prefix = ranked.join(maps, "lid").select("lid", "root", "n", rarest(similarity).alias("pre"), rarest(2 * similarity / (1 + similarity)).alias("short"), *bits)
     prefix = compact(prefix.where(F.size("pre") > 0))
     swept(prefix.sparkSession)
-    # Only shingles at which two lines can meet go on.
+    # Only shingles at which two lines can meet go on; a row knows the rarer ones of its line.
     shared = prefix.select(F.explode("pre").alias("h")).groupBy("h").agg(F.count("*").alias("lines")).where("lines > 1")
     shared = shared.join(prefix.select(F.explode("short").alias("h")).distinct(), "h")
     blocks = broadcast_if_small(shared.select("h", F.ceil(F.col("lines") / BLOCK).cast("int").alias("blocks")))
-    at = lambda side: prefix.select("lid", "root", "n", *bits, F.explode(side).alias("h")).join(blocks, "h")
+    at = lambda side: prefix.select("lid", "root", "n", *bits, side, F.posexplode(side).alias("at", "h")).withColumn("rarer", F.slice(side, F.lit(1), F.col("at"))).join(blocks, "h")
     left = at("pre").withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks").cast("long")).cast("int"))
-    left = left.select("h", "block", "lid", "root", "n", *bits)
+    left = left.select("h", "block", "lid", "root", "n", "rarer", *bits)
     right = at("short").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", *bits)))
+    right = right.select("h", "block", *(F.col(c).alias(f"{c}_b") for c in ("lid", "root", "n", "rarer", *bits)))
     both = F.col("n") + F.col("n_b")
     least = in_common(F.col("n"), F.col("n_b"), similarity)
     longer = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("lid") > F.col("lid_b")))
     near = longer & (F.col("root") != F.col("root_b")) & (F.col("n_b") >= F.col("n") * similarity - 1e-9) & (both - apart("", "_b") >= 2 * least)
+    near = near & ~F.arrays_overlap("rarer", "rarer_b")  # a pair meets once, at the rarest shingle that its lines share
     same = (left["h"] == right["h"]) & (left["block"] == right["block"])
-    return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b")).distinct()
+    return left.join(right.hint("merge"), same & near).select(F.col("lid").alias("a"), F.col("lid_b").alias("b"))
 
 
 def flagged(rows: DataFrame, wanted: DataFrame, keys: list[str], flag: str) -> DataFrame:
